@@ -46,6 +46,7 @@ TRAINING = (
     # menus and breadcrumbs
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (2, 1.0, 1, 1.0, 12, 0.0, 0, 1, 0), (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0),
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (6, 0.9, 1, 1.0, 3, 1.0, 0, 0, 0), (12, 0.8, 10, 0.9, 9, 0.9, 0, 0, 0), (30, 0.9, 3, 1.0, 20, 0.7, 0, 1, 0),
+    (6, 1.0, 80, 0.0, 6, 1.0, 0, 0, 0), (12, 0.9, 60, 0.0, 5, 1.0, 0, 0, 0), (4, 1.0, 50, 0.0, 3, 1.0, 0, 0, 0), (28, 0.8, 40, 0.0, 10, 0.9, 0, 0, 0),
     (2, 1.0, 80, 0.0, 1, 1.0, 1, 1, 0), (25, 0.6, 4, 1.0, 5, 1.0, 0, 0, 0), (8, 0.5, 2, 1.0, 2, 1.0, 0, 0, 0), (18, 0.45, 1, 1.0, 1, 1.0, 0, 0, 0),
     # adverts, notices, sidebars, forms
     (8, 0.0, 1, 1.0, 12, 0.0, 0, 1, 0), (15, 0.0, 2, 1.0, 9, 0.0, 0, 1, 0), (40, 0.0, 8, 0.0, 60, 0.0, 0, 1, 0), (9, 0.2, 80, 0.0, 70, 0.0, 1, 1, 0),
