@@ -1,11 +1,790 @@
-"""The registered queries and their SQL."""
+"""The registered queries of the tick engine and the SQL that each must agree with."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+from pyspark.sql import Window
+
+from .. import schemas
+from ..functions import sql as sql_functions
+from ..operators import gold, lake, quality, silver, validate
+from ..sources import ticks as T
+from ..sources.storage import scratch
+from ..streaming import streams
+
+Q: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query and its SQL."""
+    def add(f):
+        Q[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def text_time(col: str, alias: str | None = None):
+    return F.date_format(col, "yyyy-MM-dd HH:mm:ss").alias(alias or col)
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return T.table(spark, d, "events")
+
+
+def trades(spark: SparkSession, d: str) -> DataFrame:
+    return T.trades(events(spark, d))
+
+
+def hourly(spark: SparkSession, d: str) -> DataFrame:
+    return silver.bars(trades(spark, d), 3600)
+
+
+# --- SQL fragments ---
+S_UUID = "substr(md5(CAST({0} AS VARCHAR)),1,8)||'-'||substr(md5(CAST({0} AS VARCHAR)),9,4)||'-'||substr(md5(CAST({0} AS VARCHAR)),13,4)||'-'||substr(md5(CAST({0} AS VARCHAR)),17,4)||'-'||substr(md5(CAST({0} AS VARCHAR)),21,12)"
+S_RAW = "raw AS (SELECT event_id AS seq, " + S_UUID.format("event_id") + " AS tick_id, upper(event_type) AS symbol, ts, value AS price, CAST(json_extract_string(props,'$.k') AS BIGINT) AS size, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, 'SYNTH' AS venue, event_id AS sequence FROM events)"
+S_T = S_RAW + ", t AS (SELECT * FROM raw WHERE price > 0 AND size > 0)"
+BAR = (
+    "arg_min(price,{o}) AS open, max(price) AS high, min(price) AS low, arg_max(price,{o}) AS close, CAST(sum(size) AS BIGINT) AS volume, count(*) AS trade_count, "
+    "round(sum(price*size),4) AS notional, round(sum(price*size)/sum(size)+1e-9,6) AS vwap, "
+    "CAST(coalesce(sum(size) FILTER (side='buy'),0) AS BIGINT) AS buy_volume, CAST(coalesce(sum(size) FILTER (side='sell'),0) AS BIGINT) AS sell_volume, "
+    "coalesce(round((coalesce(sum(size) FILTER (side='buy'),0)-coalesce(sum(size) FILTER (side='sell'),0))/sum(size)+1e-9,6),0) AS imbalance")
+
+
+def s_bars(seconds: int) -> str:
+    return f"b AS (SELECT symbol, time_bucket(INTERVAL '{seconds} seconds', ts) AS window_start, " + BAR.format(o="seq") + " FROM t GROUP BY 1,2)"
+
+
+TIME = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
+S_H = "WITH " + S_T + ", " + s_bars(3600)
+S_G = S_H + """, r AS (SELECT *, close/lag(close) OVER (PARTITION BY symbol ORDER BY window_start)-1 AS ret FROM b),
+h AS (SELECT *, count(ret) OVER w AS n_ret, avg(ret) OVER w AS ret_mean, stddev_samp(ret) OVER w AS ret_sd, quantile_cont(ret,0.25) OVER w AS ret_q1, quantile_cont(ret,0.75) OVER w AS ret_q3,
+count(close) OVER v AS sample_size, avg(volume) OVER v AS vol_mean, stddev_samp(volume) OVER v AS vol_sd FROM r
+WINDOW w AS (PARTITION BY symbol ORDER BY window_start ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING), v AS (PARTITION BY symbol ORDER BY window_start ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+s AS (SELECT *, round(coalesce(ret,0),8) AS "return", round((high-low)/close,8) AS range_pct,
+round(CASE WHEN n_ret>=2 AND ret_sd>1e-12 THEN (coalesce(ret,0)-ret_mean)/ret_sd ELSE 0 END,6) AS zscore_return,
+round(CASE WHEN sample_size>=2 AND vol_sd>1e-12 THEN (volume-vol_mean)/vol_sd ELSE 0 END,6) AS zscore_volume,
+round(CASE WHEN n_ret>=4 AND ret_q3-ret_q1>1e-12 THEN CASE WHEN coalesce(ret,0)<ret_q1-1.5*(ret_q3-ret_q1) THEN (coalesce(ret,0)-(ret_q1-1.5*(ret_q3-ret_q1)))/(ret_q3-ret_q1) WHEN coalesce(ret,0)>ret_q3+1.5*(ret_q3-ret_q1) THEN (coalesce(ret,0)-(ret_q3+1.5*(ret_q3-ret_q1)))/(ret_q3-ret_q1) ELSE 0 END ELSE 0 END,6) AS iqr_score_return FROM h),
+g AS (SELECT *, abs(zscore_return)>=3 OR abs(zscore_volume)>=3 OR iqr_score_return<>0 AS is_anomaly FROM s)
+"""
+WS = TIME.format("window_start") + " AS window_start"
+GOLD_COLS = ["symbol", "open", "high", "low", "close", "volume", "return", "range_pct", "zscore_return", "zscore_volume", "iqr_score_return", "is_anomaly", "sample_size"]
+S_GOLD_COLS = 'symbol, open, high, low, close, volume, "return", range_pct, zscore_return, zscore_volume, iqr_score_return, is_anomaly, sample_size'
+S_WIRE = "w AS (SELECT seq, symbol, '{\"event_type\":\"trade\",\"tick_id\":\"'||tick_id||'\",\"symbol\":\"'||symbol||'\",\"ts\":\"'||strftime(ts,'%Y-%m-%dT%H:%M:%S')||'\",\"price\":'||CAST(price AS VARCHAR)||',\"size\":'||CAST(size AS VARCHAR)||',\"side\":\"'||side||'\",\"venue\":\"'||venue||'\",\"sequence\":'||CAST(sequence AS VARCHAR)||'}' AS value, price, size, side, tick_id, ts FROM raw)"
+S_DIRTY = S_RAW + ", " + S_WIRE + ", d AS (SELECT *, CASE WHEN seq % 97 = 0 THEN 'invalid json' WHEN seq % 89 = 0 THEN 'payload is not a JSON object' WHEN price <= 0 AND size <= 0 THEN 'invalid price,size' WHEN price <= 0 THEN 'invalid price' WHEN size <= 0 THEN 'invalid size' END AS error, CASE WHEN seq % 97 = 0 THEN substr(value,1,length(value)-3) WHEN seq % 89 = 0 THEN '['||value||']' ELSE value END AS sent FROM w)"
+
+
+def dirty(spark, d):
+    return validate.parse_ticks(T.dirty_wire(T.raw_ticks(events(spark, d))))
+
+
+# --- sources ---
+@query("src_synthetic_ticks")
+def _(spark, d):
+    return T.synthetic_ticks(spark, ["CLICK", "VIEW", "OTHER"], 3000)
+
+
+@query("wire_encode", "WITH " + S_T + ", " + S_WIRE + " SELECT seq, symbol AS key, value FROM w WHERE price > 0 AND size > 0")
+def _(spark, d):
+    return T.wire(trades(spark, d))
+
+
+@query("stream_source_files", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def _(spark, d):
+    return streams.run_append(streams.event_stream(spark, d).select("event_type"), "stream-source").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("src_limit_n", "SELECT event_id, event_type, value FROM events ORDER BY event_id LIMIT 100")
+def _(spark, d):
+    return events(spark, d).orderBy("event_id").limit(100).select("event_id", "event_type", "value")
+
+
+@query("normalize_ticks", "WITH " + S_RAW + " SELECT seq, tick_id, symbol, " + TIME.format("ts") + " AS ts, price, size, side, venue, sequence FROM raw")
+def _(spark, d):
+    return T.raw_ticks(events(spark, d)).withColumn("ts", text_time("ts"))
+
+
+@query("bcast_spot", "WITH " + S_T + ", sp(symbol, spot) AS (VALUES ('CLICK',101.5),('VIEW',55.25),('PURCHASE',210.0)) SELECT seq, t.symbol, CAST(coalesce(spot, 100.0) AS DOUBLE) AS spot FROM t LEFT JOIN sp ON t.symbol = sp.symbol")
+def _(spark, d):
+    # the spot table is the fixed SPOTS dictionary of the module
+    return trades(spark, d).join(F.broadcast(T.spot_table(spark)), "symbol", "left").select("seq", "symbol", F.coalesce("spot", F.lit(T.DEFAULT_SPOT)).alias("spot"))
+
+
+# --- the lake ---
+def bronze_rows(spark, d):
+    return lake.with_date(trades(spark, d), "ts").withColumn("event_type", F.lit("trade")).withColumn("ts", text_time("ts"))
+
+
+def silver_bar_rows(spark, d):
+    b = hourly(spark, d).drop("window_end")
+    return lake.with_date(b, "window_start").withColumn("event_type", F.lit("ohlcv")).withColumn("window_start", text_time("window_start"))
+
+
+def silver_trade_rows(spark, d):
+    t = silver.enrich(trades(spark, d)).select("symbol", "ts", "price", "size", "tick_id", "prev_close", "return_bps", "notional")
+    return lake.with_date(t, "ts").withColumn("event_type", F.lit("trade")).withColumn("ts", text_time("ts"))
+
+
+def gold_rows(spark, d):
+    g = gold.score(hourly(spark, d)).select("window_start", *GOLD_COLS)
+    return lake.with_date(g, "window_start").withColumn("event_type", F.lit("gold_bar")).withColumn("window_start", text_time("window_start"))
+
+
+def engine(spark, d, bronze=False, trades_=False, bars=False, gold_=False) -> lake.LakeEngine:
+    root = scratch(spark, "lake")
+    for use, rows, layer in ((bronze, bronze_rows, "bronze"), (trades_, silver_trade_rows, "silver"), (bars, silver_bar_rows, "silver"), (gold_, gold_rows, "gold")):
+        if use:
+            lake.write_layer(rows(spark, d), root, layer)
+    return lake.LakeEngine(spark, root)
+
+
+BRONZE_SEL = "SELECT event_type, symbol, date, seq, price, size, side FROM (SELECT *, 'trade' AS event_type, strftime(ts,'%Y-%m-%d') AS date FROM t)"
+DATE_TEXT = F.date_format("date", "yyyy-MM-dd").alias("date")
+
+
+def layer_round_trip(spark, d, rows, layer, fmt, cols):
+    root = scratch(spark, "lake")
+    df = rows(spark, d)
+    path = lake.write_layer(df, root, layer, fmt)
+    return spark.read.format(fmt).schema(df.schema).load(path).select(*cols)
+
+
+@query("sink_bronze_roundtrip", "WITH " + S_T + " " + BRONZE_SEL)
+def _(spark, d):
+    return layer_round_trip(spark, d, bronze_rows, "bronze", "json", ["event_type", "symbol", "date", "seq", "price", "size", "side"])
+
+
+@query("sink_silver_roundtrip", S_H + " SELECT 'ohlcv' AS event_type, symbol, strftime(window_start,'%Y-%m-%d') AS date, " + WS + ", close, volume, vwap FROM b")
+def _(spark, d):
+    return layer_round_trip(spark, d, silver_bar_rows, "silver", "json", ["event_type", "symbol", "date", "window_start", "close", "volume", "vwap"])
+
+
+@query("sink_gold_roundtrip", S_G + " SELECT symbol, strftime(window_start,'%Y-%m-%d') AS date, " + WS + ", close, is_anomaly FROM g")
+def _(spark, d):
+    return layer_round_trip(spark, d, gold_rows, "gold", "json", ["symbol", "date", "window_start", "close", "is_anomaly"])
+
+
+@query("sink_parquet_roundtrip", "WITH " + S_T + " " + BRONZE_SEL)
+def _(spark, d):
+    return layer_round_trip(spark, d, bronze_rows, "bronze", "parquet", ["event_type", "symbol", "date", "seq", "price", "size", "side"])
+
+
+@query("scan_jsonl_pruned", "WITH " + S_T + " SELECT * FROM (" + BRONZE_SEL + ") WHERE symbol = 'CLICK' AND event_type = 'trade'")
+def _(spark, d):
+    root = scratch(spark, "lake")
+    df = bronze_rows(spark, d)
+    path = lake.write_layer(df, root, "bronze", "json")
+    back = spark.read.schema(df.schema).option("mode", "DROPMALFORMED").json(path)
+    return back.filter((F.upper("symbol") == "CLICK") & (F.lower("event_type") == "trade")).select("event_type", "symbol", "date", "seq", "price", "size", "side")
+
+
+@query("scan_parquet", "WITH " + S_T + " SELECT seq, symbol, price, size FROM t")
+def _(spark, d):
+    out = scratch(spark, "scan")
+    t = trades(spark, d)
+    t.filter("seq % 2 = 0").select("seq", "symbol", "price").write.parquet(f"{out}/a=1")
+    t.filter("seq % 2 = 1").select("seq", "symbol", "price", "size").write.parquet(f"{out}/a=2")
+    merged = spark.read.option("mergeSchema", True).parquet(out)
+    return merged.join(t.select("seq", F.col("size").alias("all_size")), "seq").select("seq", "symbol", "price", F.coalesce("size", "all_size").alias("size"))
+
+
+@query("scan_json", "WITH " + S_T + " SELECT seq, symbol, price, size FROM t")
+def _(spark, d):
+    out = scratch(spark, "scan")
+    trades(spark, d).select("seq", "symbol", "price", "size").write.json(out)
+    return spark.read.json(out).select("seq", "symbol", "price", "size")
+
+
+@query("scan_union_by_name", "WITH " + S_T + ", " + s_bars(3600) + " SELECT 'trade' AS kind, symbol, price, CAST(NULL AS DOUBLE) AS close FROM t UNION ALL BY NAME SELECT 'ohlcv' AS kind, symbol, close FROM b")
+def _(spark, d):
+    a = trades(spark, d).select(F.lit("trade").alias("kind"), "symbol", "price")
+    return a.unionByName(hourly(spark, d).select(F.lit("ohlcv").alias("kind"), "symbol", "close"), allowMissingColumns=True)
+
+
+@query("scan_empty", "SELECT event_type, upper(event_type) AS symbol, '' AS date FROM events WHERE false")
+def _(spark, d):
+    return lake.LakeEngine(spark, scratch(spark, "nothing")).frame("bronze_ticks").select("event_type", "symbol", "date")
+
+
+@query("flatten_records", "WITH " + S_T + " SELECT 'trade' AS event_type, symbol, seq, price, size FROM t")
+def _(spark, d):
+    rows = trades(spark, d).select(F.lit("trade").alias("event_type"), "symbol", "seq", F.struct("symbol", "price", "size").alias("payload"))
+    return lake.flatten(rows, "payload")
+
+
+@query("sink_manifest")
+def _(spark, d):
+    m = lake.write_manifest(bronze_rows(spark, d), scratch(spark, "lake"), "bronze")
+    return spark.createDataFrame([(m["rows"], ",".join(m["partition_by"]))], "rows bigint, partition_by string")
+
+
+@query("sink_dual", "WITH " + S_T + " SELECT count(*) AS primary_rows, CAST(1 AS BIGINT) AS secondary_errors FROM t")
+def _(spark, d):
+    root = scratch(spark, "lake")
+
+    def broken(df, batch_id):
+        raise OSError("the second store is down")
+
+    sink = lake.DualSink(lambda df, i: lake.write_layer(df, root, "bronze"), broken)
+    sink.write(bronze_rows(spark, d))
+    n = lake.LakeEngine(spark, root).frame("bronze_ticks").agg(F.count("*").alias("primary_rows"))
+    return n.withColumn("secondary_errors", F.lit(sink.errors).cast("bigint"))
+
+
+@query("sink_warehouse_rows", S_G + " SELECT CASE WHEN event_type = 'gold_bar' THEN 'BARS' ELSE 'TICKS' END AS target_table, count(*) AS n FROM (SELECT 'gold_bar' AS event_type FROM g UNION ALL SELECT 'trade' FROM t) GROUP BY 1")
+def _(spark, d):
+    both = gold_rows(spark, d).select("event_type", "symbol", "close").unionByName(bronze_rows(spark, d).select("event_type", "symbol", "price"), allowMissingColumns=True)
+    return lake.warehouse_rows(both).groupBy("target_table").agg(F.count("*").alias("n"))
+
+
+@query("warehouse_rows", "WITH " + S_T + " SELECT seq, symbol, price, 'trade' AS event_type, '{\"seq\":'||seq||',\"symbol\":\"'||symbol||'\",\"price\":'||CAST(price AS VARCHAR)||',\"event_type\":\"trade\"}' AS payload, 'TICKS' AS target_table FROM t")
+def _(spark, d):
+    return lake.warehouse_rows(trades(spark, d).select("seq", "symbol", "price", F.lit("trade").alias("event_type")))
+
+
+# --- validation and dead letters ---
+@query("dlq_invalid_json", "WITH " + S_DIRTY + " SELECT seq, error, sent AS payload FROM d WHERE error = 'invalid json'")
+def _(spark, d):
+    return validate.dead_letters(dirty(spark, d)).filter(F.col("error") == validate.INVALID_JSON).select("seq", "error", "payload")
+
+
+@query("dlq_not_object", "WITH " + S_DIRTY + " SELECT seq, error, sent AS payload FROM d WHERE error = 'payload is not a JSON object'")
+def _(spark, d):
+    return validate.dead_letters(dirty(spark, d)).filter(F.col("error") == validate.NOT_OBJECT).select("seq", "error", "payload")
+
+
+BRONZE_VALID = "WITH " + S_DIRTY + " SELECT seq, symbol, price, size, side FROM d WHERE error IS NULL"
+
+
+@query("bronze_valid", BRONZE_VALID)
+def _(spark, d):
+    return validate.valid(dirty(spark, d)).select("seq", "symbol", "price", "size", "side")
+
+
+@query("bronze_dlq", "WITH " + S_DIRTY + " SELECT seq, error, sent AS payload, 'raw' AS source FROM d WHERE error IS NOT NULL")
+def _(spark, d):
+    return validate.dead_letters(dirty(spark, d))
+
+
+@query("parse_compact", "WITH " + S_T + " SELECT seq, symbol, price, size, side, 'LIVE' AS venue FROM t")
+def _(spark, d):
+    t = trades(spark, d).select("seq", F.to_json(F.struct(F.lower("symbol").alias("s"), F.col("price").alias("p"), F.col("size").alias("sz"), F.upper("side").alias("side"))).alias("value"))
+    return validate.valid(validate.parse_ticks(t)).select("seq", "symbol", "price", "size", "side", "venue")
+
+
+LETTERS = "l AS (SELECT seq, error, sent AS payload FROM d WHERE error IS NOT NULL)"
+
+
+@query("dlq_envelope", "WITH " + S_DIRTY + ", " + LETTERS + " SELECT seq, error, payload FROM l")
+def _(spark, d):
+    sent = validate.envelope(validate.dead_letters(dirty(spark, d)), "2024-02-01T00:00:00Z")
+    return sent.select("seq", F.get_json_object("value", "$.error").alias("error"), F.get_json_object("value", "$.payload").alias("payload"))
+
+
+@query("dlq_parse", "WITH " + S_DIRTY + ", " + LETTERS + " SELECT seq, error, payload, 'envelope' AS form FROM l UNION ALL SELECT -1, '', 'plain text', 'text' UNION ALL SELECT -2, '', '{\"a\":1}', 'object'")
+def _(spark, d):
+    sent = validate.envelope(validate.dead_letters(dirty(spark, d)), "2024-02-01T00:00:00Z")
+    more = spark.createDataFrame([(-1, "plain text"), (-2, '{"a":1}')], "seq bigint, value string")
+    return validate.parse_envelopes(sent.unionByName(more)).select("seq", "error", "payload", "form")
+
+
+def all_as_letters(spark, d):
+    w = dirty(spark, d)
+    return w.select("seq", F.coalesce("error", F.lit("")).alias("error"), F.col("value").alias("payload"), F.lit("raw").alias("source"))
+
+
+@query("dlq_replayable", "WITH " + S_DIRTY + " SELECT seq, error IS NULL AS replayable FROM d")
+def _(spark, d):
+    return validate.replayable(all_as_letters(spark, d)).select("seq", "replayable")
+
+
+@query("dlq_inspect", "WITH " + S_DIRTY + " SELECT seq, error FROM d WHERE error ILIKE '%JSON%' ORDER BY seq LIMIT 50")
+def _(spark, d):
+    return validate.inspect(validate.dead_letters(dirty(spark, d)), "JSON", 50).select("seq", "error")
+
+
+@query("dlq_replay_stats", "WITH " + S_DIRTY + " SELECT count(*) AS consumed, count(*) FILTER (error IS NULL) AS replayed, count(*) FILTER (error IS NOT NULL) AS skipped, CAST(0 AS BIGINT) AS inspect_only FROM d")
+def _(spark, d):
+    return validate.replay_stats(all_as_letters(spark, d))
+
+
+@query("schema_gate", "SELECT event_id AS seq, CASE WHEN event_id % 7 = 0 THEN 'missing required price' WHEN event_id % 5 = 0 THEN 'expected type number: price' WHEN event_id % 11 = 0 THEN 'expected type integer: size' END AS error FROM events")
+def _(spark, d):
+    e = events(spark, d)
+    value = F.when(F.col("event_id") % 7 == 0, '{"symbol":"A","size":1}').when(F.col("event_id") % 5 == 0, '{"symbol":"A","price":true,"size":1}').when(
+        F.col("event_id") % 11 == 0, '{"symbol":"A","price":1.5,"size":"x"}').otherwise('{"symbol":"A","price":1.5,"size":2}')
+    return validate.schema_gate(e.select(F.col("event_id").alias("seq"), value.alias("value")), {"symbol": "string", "price": "number", "size": "integer"})
+
+
+@query("infer_subject", "SELECT event_id AS seq, CASE WHEN event_id % 3 = 2 THEN 'trade-tick' ELSE 'ohlcv-bar' END AS subject FROM events")
+def _(spark, d):
+    value = F.when(F.col("event_id") % 3 == 0, '{"event_type":"OHLCV"}').when(F.col("event_id") % 3 == 1, '{"open":1,"high":1,"low":1,"close":1,"window_start":"x"}').otherwise('{"price":1}')
+    return validate.infer_subject(events(spark, d).select(F.col("event_id").alias("seq"), value.alias("value")))
+
+
+# --- projections and filters ---
+@query("bronze_project", "WITH " + S_T + " SELECT 'trade' AS event_type, symbol, strftime(ts,'%Y-%m-%d') AS event_date, seq FROM t")
+def _(spark, d):
+    return trades(spark, d).select(F.lit("trade").alias("event_type"), "symbol", F.date_format("ts", "yyyy-MM-dd").alias("event_date"), "seq")
+
+
+@query("view_filter_symbol", "WITH " + S_T + " SELECT seq, symbol, price FROM t WHERE symbol = 'VIEW'")
+def _(spark, d):
+    return engine(spark, d, bronze=True).scan("bronze_ticks", "view", None).select("seq", "symbol", "price")
+
+
+@query("view_filter_type", S_H + " SELECT symbol, " + WS + ", close FROM b")
+def _(spark, d):
+    e = engine(spark, d, trades_=True, bars=True)
+    return e.frame("silver_ohlc").filter(F.lower("event_type") == "ohlcv").select("symbol", "window_start", "close")
+
+
+@query("gold_route", "SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'skip' WHEN event_id % 5 = 0 THEN 'dlq' ELSE 'score' END AS route FROM events")
+def _(spark, d):
+    e = events(spark, d)
+    rows = e.select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "TRADE").otherwise("ohlcv").alias("event_type"), F.lit("A").alias("symbol"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("close"))
+    return gold.route(rows).select("seq", "route")
+
+
+@query("gold_dlq", "SELECT event_id AS seq, value AS close, value AS high, value AS low, value AS open, CASE WHEN event_id % 2 = 0 THEN event_id ELSE 0 END AS volume FROM events WHERE event_id % 5 <> 0")
+def _(spark, d):
+    e = events(spark, d).select(
+        F.col("event_id").alias("seq"), F.lit("ohlcv").alias("event_type"), F.lit("A").alias("symbol"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("close"),
+        *[F.lit(None).cast("double").alias(c) for c in ("high", "low", "open")], F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise("n/a").alias("volume"))
+    return gold.coerce(gold.route(e).filter("route = 'score'")).select("seq", "close", "high", "low", "open", "volume")
+
+
+@query("offset_skip", "SELECT event_id, event_id % 3 AS part, event_id // 3 AS off FROM events WHERE (event_id % 3 = 0 AND event_id // 3 > 100) OR (event_id % 3 = 1 AND event_id // 3 > 50) OR event_id % 3 = 2")
+def _(spark, d):
+    r = events(spark, d).select("event_id", (F.col("event_id") % 3).alias("part"), F.floor(F.col("event_id") / 3).alias("off"))
+    done = spark.createDataFrame([(0, 100), (1, 50)], "part bigint, done bigint")
+    return r.join(F.broadcast(done), "part", "left").filter(F.col("off") > F.coalesce("done", F.lit(-1))).select("event_id", "part", "off")
+
+
+@query("max_offsets", "SELECT event_id % 3 AS part, max(event_id // 3) AS off FROM events GROUP BY 1")
+def _(spark, d):
+    return events(spark, d).groupBy((F.col("event_id") % 3).alias("part")).agg(F.max(F.floor(F.col("event_id") / 3)).alias("off"))
+
+
+# --- silver ---
+@query("silver_dedup", "WITH " + S_T + ", u AS (SELECT * FROM t UNION ALL SELECT * REPLACE (seq + 1000000000 AS seq) FROM t WHERE seq % 50 = 0) SELECT seq, tick_id, symbol, price FROM u QUALIFY row_number() OVER (PARTITION BY tick_id ORDER BY seq) = 1")
+def _(spark, d):
+    return silver.dedup(T.replayed(trades(spark, d))).select("seq", "tick_id", "symbol", "price")
+
+
+@query("floor_window", "SELECT event_id, " + TIME.format("time_bucket(INTERVAL '60 seconds', ts)") + " AS ws FROM events")
+def _(spark, d):
+    return events(spark, d).select("event_id", silver.floor_window(F.col("ts"), 60).alias("ws")).withColumn("ws", text_time("ws"))
+
+
+S_PREV = ", a AS (SELECT *, time_bucket(INTERVAL '60 seconds', ts) AS ws FROM t), r AS (SELECT *, coalesce(ws <> lag(ws) OVER w, false) AS rolled, lag(price) OVER w AS lp FROM a WINDOW w AS (PARTITION BY symbol ORDER BY seq)), s AS (SELECT *, CASE WHEN rolled THEN lp ELSE price END AS sets FROM r), p AS (SELECT *, coalesce(lag(sets) OVER (PARTITION BY symbol ORDER BY seq), price) AS prev_close FROM s)"
+
+
+@query("silver_prev_close", "WITH " + S_T + S_PREV + " SELECT seq, symbol, price, prev_close FROM p")
+def _(spark, d):
+    return silver.prev_close(trades(spark, d)).select("seq", "symbol", "price", "prev_close")
+
+
+@query("silver_return_bps", "WITH " + S_T + S_PREV + " SELECT seq, symbol, round((price/prev_close-1)*1e4,4) AS return_bps FROM p")
+def _(spark, d):
+    return silver.prev_close(trades(spark, d)).select("seq", "symbol", "return_bps")
+
+
+@query("silver_enrich", "WITH " + S_T + S_PREV + " SELECT seq, symbol, round(price*size,6) AS notional, prev_close FROM p")
+def _(spark, d):
+    return silver.enrich(trades(spark, d)).select("seq", "symbol", "notional", "prev_close")
+
+
+BAR_NAMES = ["open", "high", "low", "close", "volume", "trade_count", "notional", "vwap", "buy_volume", "sell_volume", "imbalance"]
+
+
+def bar_query(name, seconds):
+    @query(name, "WITH " + S_T + ", " + s_bars(seconds) + " SELECT symbol, " + WS + ", " + ", ".join(BAR_NAMES) + " FROM b")
+    def _(spark, d):
+        return silver.bars(trades(spark, d), seconds).select("symbol", text_time("window_start"), *BAR_NAMES)
+
+
+for _name, _seconds in (("ohlcv_60s", 60), ("ohlcv_1h", 3600), ("ohlcv_1d", 86400), ("ohlcv_flush", 300)):
+    bar_query(_name, _seconds)
+
+
+@query("ohlcv_imbalance", S_H + " SELECT symbol, " + WS + ", buy_volume, sell_volume, imbalance FROM b")
+def _(spark, d):
+    return hourly(spark, d).select("symbol", text_time("window_start"), "buy_volume", "sell_volume", "imbalance")
+
+
+@query("ohlcv_arrival", "WITH " + S_T + ", a AS (SELECT *, (seq + CASE WHEN seq % 17 = 0 THEN 5 ELSE 0 END) * 1000000000 + seq AS arrival, time_bucket(INTERVAL '3600 seconds', ts) AS window_start FROM t), r AS (SELECT *, CASE WHEN window_start <> lag(window_start) OVER (PARTITION BY symbol ORDER BY arrival) THEN 1 ELSE 0 END AS rolled FROM a), g AS (SELECT *, CAST(sum(rolled) OVER (PARTITION BY symbol ORDER BY arrival) AS BIGINT) AS segment FROM r) SELECT symbol, segment, " + WS + ", " + BAR.format(o="arrival") + " FROM g GROUP BY symbol, segment, g.window_start")
+def _(spark, d):
+    b = silver.arrival_bars(T.late(trades(spark, d)), 3600, "arrival")
+    return b.select("symbol", "segment", text_time("window_start"), *BAR_NAMES)
+
+
+PASS = "SELECT symbol, date_trunc('second', ts) AS window_start, price AS close, price AS vwap, size AS volume, round(price*size,6) AS notional, CAST(0 AS BIGINT) AS buy_volume, CAST(0 AS BIGINT) AS sell_volume, CAST(0 AS DOUBLE) AS imbalance, seq FROM t WHERE seq % 13 = 0"
+
+
+@query("silver_bar_passthrough", "WITH " + S_T + ", q AS (" + PASS + ") SELECT seq, symbol, " + WS + ", close, volume, notional, imbalance FROM q")
+def _(spark, d):
+    return silver.passthrough(T.with_upstream_bars(trades(spark, d))[1]).select("seq", "symbol", text_time("window_start"), "close", "volume", "notional", "imbalance")
+
+
+@query("silver_all", "WITH " + S_T + ", tr AS (SELECT * FROM t WHERE seq % 13 <> 0), a AS (SELECT *, time_bucket(INTERVAL '60 seconds', ts) AS ws FROM tr), r AS (SELECT *, coalesce(ws <> lag(ws) OVER w, false) AS rolled, lag(price) OVER w AS lp FROM a WINDOW w AS (PARTITION BY symbol ORDER BY seq)), s AS (SELECT seq, symbol, price, CASE WHEN rolled THEN lp ELSE price END AS sets, true AS is_trade FROM r UNION ALL SELECT seq, symbol, price, price, false FROM t WHERE seq % 13 = 0), p AS (SELECT *, coalesce(lag(sets) OVER (PARTITION BY symbol ORDER BY seq), price) AS prev_close FROM s), b AS (SELECT symbol, time_bucket(INTERVAL '60 seconds', ts) AS window_start, arg_max(price,seq) AS close, CAST(sum(size) AS BIGINT) AS volume FROM tr GROUP BY 1,2) SELECT 'trade' AS event_type, symbol, price AS close, CAST(NULL AS BIGINT) AS volume, prev_close FROM p WHERE is_trade UNION ALL SELECT 'ohlcv', symbol, price, size, NULL FROM t WHERE seq % 13 = 0 UNION ALL SELECT 'ohlcv', symbol, close, volume, NULL FROM b")
+def _(spark, d):
+    tr, up = T.with_upstream_bars(trades(spark, d))
+    parts = [
+        silver.enrich(tr, up).select(F.lit("trade").alias("event_type"), "symbol", F.col("price").alias("close"), "prev_close"),
+        silver.passthrough(up).select(F.lit("ohlcv").alias("event_type"), "symbol", "close", "volume"),
+        silver.bars(tr, 60).select(F.lit("ohlcv").alias("event_type"), "symbol", "close", "volume"),
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select("event_type", "symbol", "close", "volume", "prev_close")
+
+
+@query("bronze_stats", "WITH " + S_DIRTY + " SELECT count(*) AS consumed, count(*) FILTER (error IS NULL) AS accepted, count(*) FILTER (error IS NOT NULL) AS dlq FROM d")
+def _(spark, d):
+    return dirty(spark, d).agg(F.count("*").alias("consumed"), F.count_if(F.col("error").isNull()).alias("accepted"), F.count_if(F.col("error").isNotNull()).alias("dlq"))
+
+
+@query("silver_stats", "WITH " + S_T + ", u AS (SELECT tick_id FROM t UNION ALL SELECT tick_id FROM t WHERE seq % 50 = 0) SELECT count(*) AS consumed, count(DISTINCT tick_id) AS accepted, count(*) - count(DISTINCT tick_id) AS duplicates FROM u")
+def _(spark, d):
+    per_key = T.replayed(trades(spark, d)).groupBy("tick_id").agg(F.count("*").alias("n"))
+    return per_key.agg(F.sum("n").alias("consumed"), F.count("*").alias("accepted"), (F.sum("n") - F.count("*")).alias("duplicates"))
+
+
+@query("gold_stats", S_G + " SELECT count(*) AS scored, count(*) FILTER (is_anomaly) AS alerts FROM g")
+def _(spark, d):
+    return gold.score(hourly(spark, d)).agg(F.count("*").alias("scored"), F.count_if("is_anomaly").alias("alerts"))
+
+
+# --- aggregates ---
+@query("vwap_by_symbol", "WITH " + S_T + " SELECT symbol, round(sum(price*size)/sum(size)+1e-9,6) AS vwap FROM t GROUP BY 1")
+def _(spark, d):
+    return trades(spark, d).groupBy("symbol").agg(F.round(F.sum(F.col("price") * F.col("size")) / F.sum("size") + 1e-9, 6).alias("vwap"))
+
+
+@query("agg_mean_stdev", "WITH " + S_T + " SELECT symbol, round(avg(price)+1e-9,6) AS mean, round(coalesce(stddev_samp(price),0)+1e-9,6) AS sd FROM t GROUP BY 1")
+def _(spark, d):
+    return trades(spark, d).groupBy("symbol").agg(F.round(F.avg("price") + 1e-9, 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("price"), F.lit(0.0)) + 1e-9, 6).alias("sd"))
+
+
+@query("agg_quantile", "WITH " + S_T + " SELECT symbol, round(quantile_cont(price,0.25)+1e-9,6) AS q1, round(quantile_cont(price,0.5)+1e-9,6) AS q2, round(quantile_cont(price,0.75)+1e-9,6) AS q3 FROM t GROUP BY 1")
+def _(spark, d):
+    return trades(spark, d).groupBy("symbol").agg(*[F.round(F.percentile("price", q) + 1e-9, 6).alias(n) for n, q in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
+
+
+@query("mean_volume", "WITH " + S_RAW + " SELECT round(coalesce(avg(size),0),6) AS mean_volume FROM raw")
+def _(spark, d):
+    return quality.mean_volume(T.raw_ticks(events(spark, d))).select(F.round("mean_volume", 6).alias("mean_volume"))
+
+
+INGESTED = (F.col("ts").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ((F.col("seq") % 997) / 1000).cast("decimal(18,6)")))
+
+
+@query("latency_ms", "WITH " + S_T + " SELECT seq, CAST(seq % 997 AS DOUBLE) AS latency FROM t")
+def _(spark, d):
+    return trades(spark, d).select("seq", quality.latency_ms(F.col("ts"), INGESTED).alias("latency"))
+
+
+SUMMARY = "WITH " + S_T + ", l AS (SELECT symbol, CAST(seq % 997 AS DOUBLE) AS latency FROM t), o AS (SELECT latency, row_number() OVER (ORDER BY latency) - 1 AS rn, count(*) OVER () AS n FROM l) SELECT (SELECT count(*) FROM l) AS ticks, (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT symbol AS s FROM l)) AS symbols, (SELECT round(avg(latency),6) FROM l) AS avg_latency_ms, (SELECT max(latency) FROM l) AS max_latency_ms, (SELECT latency FROM o WHERE rn = CAST(floor(0.95*(n-1)) AS BIGINT)) AS p95_latency_ms"
+
+
+def summary(spark, d):
+    return quality.tick_summary(trades(spark, d).select("symbol", quality.latency_ms(F.col("ts"), INGESTED).alias("latency")))
+
+
+query("tick_summary", SUMMARY)(summary)
+query("dashboard_stats", SUMMARY)(summary)
+
+
+# --- gold ---
+@query("gold_return", S_G + ' SELECT symbol, ' + WS + ', "return" FROM g')
+def _(spark, d):
+    return gold.score(hourly(spark, d)).select("symbol", text_time("window_start"), "return")
+
+
+@query("gold_history", S_G + " SELECT symbol, " + WS + ", n_ret, sample_size, round(ret_mean+1e-12,8) AS ret_mean, round(vol_mean+1e-9,6) AS vol_mean FROM g")
+def _(spark, d):
+    return gold.history(hourly(spark, d)).select("symbol", text_time("window_start"), "n_ret", "sample_size", F.round(F.col("ret_mean") + 1e-12, 8).alias("ret_mean"), F.round(F.col("vol_mean") + 1e-9, 6).alias("vol_mean"))
+
+
+@query("gold_zscore", S_G + " SELECT symbol, " + WS + ", zscore_return, zscore_volume FROM g")
+def _(spark, d):
+    return gold.score(hourly(spark, d)).select("symbol", text_time("window_start"), "zscore_return", "zscore_volume")
+
+
+@query("gold_iqr", S_G + " SELECT symbol, " + WS + ", iqr_score_return FROM g")
+def _(spark, d):
+    return gold.score(hourly(spark, d)).select("symbol", text_time("window_start"), "iqr_score_return")
+
+
+@query("gold_is_anomaly", S_G + " SELECT symbol, " + WS + ", is_anomaly FROM g")
+def _(spark, d):
+    return gold.score(hourly(spark, d)).select("symbol", text_time("window_start"), "is_anomaly")
+
+
+@query("gold_bars", S_G + " SELECT " + WS + ", " + S_GOLD_COLS + " FROM g")
+def _(spark, d):
+    return gold.score(hourly(spark, d)).select(text_time("window_start"), *GOLD_COLS)
+
+
+ALERT_COLS = ["event_type", "symbol", "zscore_return", "zscore_volume", "iqr_score_return", "close", "volume"]
+ALERTS = S_G + " SELECT 'anomaly' AS event_type, symbol, zscore_return, zscore_volume, iqr_score_return, close, volume, " + WS + " FROM g WHERE is_anomaly"
+
+
+@query("alerts", ALERTS)
+def _(spark, d):
+    return gold.alerts(gold.score(hourly(spark, d))).select(*ALERT_COLS, text_time("window_start"))
+
+
+# --- joins ---
+@query("join_tick_bar", S_H + " SELECT t.seq, t.symbol, t.price, b.vwap FROM t JOIN b ON t.symbol = b.symbol AND time_bucket(INTERVAL '3600 seconds', t.ts) = b.window_start")
+def _(spark, d):
+    t = trades(spark, d).withColumn("window_start", silver.floor_window(F.col("ts"), 3600))
+    return t.join(hourly(spark, d).select("symbol", "window_start", "vwap"), ["symbol", "window_start"]).select("seq", "symbol", "price", "vwap")
+
+
+@query("asof_tick_bar", S_H + ", e AS (SELECT symbol, window_start + INTERVAL '1 hour' AS closed, close FROM b) SELECT t.seq, t.symbol, e.close AS bar_close FROM t ASOF LEFT JOIN e ON t.symbol = e.symbol AND t.ts >= e.closed")
+def _(spark, d):
+    # the bar closed last before a tick's hour ends is the same for all ticks of the hour: look it up per hour, then join
+    bars = hourly(spark, d).select("symbol", F.col("window_end").alias("at"), "close")
+    t = trades(spark, d).withColumn("hour", silver.floor_window(F.col("ts"), 3600))
+    hours = t.select("symbol", F.col("hour").alias("at")).distinct()
+    both = hours.withColumn("close", F.lit(None).cast("double")).withColumn("ask", F.lit(1)).unionByName(bars.withColumn("ask", F.lit(0)))
+    w = Window.partitionBy("symbol").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    known = both.withColumn("bar_close", F.last("close", ignorenulls=True).over(w)).filter("ask = 1").select("symbol", F.col("at").alias("hour"), "bar_close")
+    return t.join(known, ["symbol", "hour"]).select("seq", "symbol", "bar_close")
+
+
+@query("interval_alert_tick", S_G + " SELECT g.symbol, strftime(g.window_start,'%Y-%m-%d %H:%M:%S') AS window_start, t.seq FROM g JOIN t ON g.symbol = t.symbol AND t.ts >= g.window_start AND t.ts < g.window_start + INTERVAL '30 minutes' WHERE g.is_anomaly")
+def _(spark, d):
+    a = gold.alerts(gold.score(hourly(spark, d))).select("symbol", "window_start")
+    t = trades(spark, d).withColumn("hour", silver.floor_window(F.col("ts"), 3600))
+    j = t.join(a, (t.symbol == a.symbol) & (t.hour == a.window_start) & (t.ts < a.window_start + F.expr("INTERVAL '30' MINUTE")))
+    return j.select(a.symbol, text_time("window_start"), "seq")
+
+
+def symbols_flagged(spark, d):
+    return gold.score(hourly(spark, d)).filter("zscore_volume > 4").select("symbol").distinct()
+
+
+@query("semi_anom", S_G + " SELECT symbol, count(*) AS n FROM t WHERE symbol IN (SELECT symbol FROM g WHERE zscore_volume > 4) GROUP BY 1")
+def _(spark, d):
+    return trades(spark, d).join(symbols_flagged(spark, d), "symbol", "left_semi").groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query("anti_anom", S_G + " SELECT symbol, count(*) AS n FROM t WHERE symbol NOT IN (SELECT symbol FROM g WHERE zscore_volume > 4) GROUP BY 1")
+def _(spark, d):
+    return trades(spark, d).join(symbols_flagged(spark, d), "symbol", "left_anti").groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query("reconcile_layers", "WITH " + S_DIRTY + ", a AS (SELECT seq FROM raw WHERE seq % 3 <> 0), c AS (SELECT seq FROM d WHERE error IS NULL) SELECT coalesce(a.seq, c.seq) AS seq, CASE WHEN c.seq IS NULL THEN 'bronze_only' WHEN a.seq IS NULL THEN 'silver_only' ELSE 'both' END AS state FROM a FULL OUTER JOIN c ON a.seq = c.seq")
+def _(spark, d):
+    a = T.raw_ticks(events(spark, d)).filter("seq % 3 <> 0").select("seq", F.lit(1).alias("a"))
+    c = validate.valid(dirty(spark, d)).select("seq", F.lit(1).alias("c"))
+    state = F.when(F.col("c").isNull(), "bronze_only").when(F.col("a").isNull(), "silver_only").otherwise("both")
+    return a.join(c, "seq", "full_outer").select("seq", state.alias("state"))
+
+
+# --- sorts and views ---
+@query("topk_latest", "WITH " + S_T + " SELECT seq, symbol, price FROM t ORDER BY ts DESC, symbol, tick_id LIMIT 50")
+def _(spark, d):
+    return trades(spark, d).orderBy(F.col("ts").desc(), "symbol", "tick_id").limit(50).select("seq", "symbol", "price")
+
+
+@query("latest_ticks", "WITH " + S_T + " SELECT seq, symbol, price FROM t WHERE symbol = 'CLICK' ORDER BY ts DESC, symbol, tick_id LIMIT 50")
+def _(spark, d):
+    return engine(spark, d, bronze=True).scan("bronze_ticks", "click").select("seq", "symbol", "price")
+
+
+@query("ohlc_bars", S_H + " SELECT symbol, " + WS + ", close FROM b ORDER BY b.window_start DESC, symbol LIMIT 20")
+def _(spark, d):
+    return engine(spark, d, bars=True).scan("silver_ohlc", limit=20).select("symbol", "window_start", "close")
+
+
+@query("anomalies", S_G + " SELECT symbol, " + WS + ", close FROM g WHERE is_anomaly ORDER BY g.window_start DESC, symbol LIMIT 50")
+def _(spark, d):
+    return engine(spark, d, gold_=True).scan("gold_anomalies").select("symbol", "window_start", "close")
+
+
+@query("view_scan", S_G + " SELECT symbol, " + WS + ", close FROM g WHERE symbol = 'VIEW' ORDER BY g.window_start DESC, symbol LIMIT 10")
+def _(spark, d):
+    return engine(spark, d, gold_=True).scan("gold_bars", "VIEW", 10).select("symbol", "window_start", "close")
+
+
+def view_query(view, sql, flags, cols):
+    query(f"view_{view}", sql)(lambda spark, d: engine(spark, d, **flags).frame(view).select(*cols))
+
+
+view_query("bronze_ticks", "WITH " + S_T + " SELECT symbol, seq, price, size FROM t", {"bronze": True}, ["symbol", "seq", "price", "size"])
+view_query("silver_ticks", "WITH " + S_T + S_PREV + " SELECT symbol, tick_id, prev_close FROM p", {"trades_": True, "bars": True}, ["symbol", "tick_id", "prev_close"])
+view_query("silver_ohlc", S_H + " SELECT symbol, " + WS + ", close, volume FROM b", {"trades_": True, "bars": True}, ["symbol", "window_start", "close", "volume"])
+view_query("gold_bars", S_G + " SELECT symbol, " + WS + ", close, is_anomaly FROM g", {"gold_": True}, ["symbol", "window_start", "close", "is_anomaly"])
+view_query("gold_anomalies", S_G + " SELECT symbol, " + WS + ", close FROM g WHERE is_anomaly", {"gold_": True}, ["symbol", "window_start", "close"])
+
+
+# --- SQL surface ---
+def sql_query(name, text, duck, flags, args=None):
+    query(name, duck)(lambda spark, d: engine(spark, d, **flags).sql(text, args))
+
+
+B_ = {"bronze": True}
+sql_query("sql_select", "SELECT symbol, seq, price FROM bronze_ticks WHERE price > 100", "WITH " + S_T + " SELECT symbol, seq, price FROM t WHERE price > 100", B_)
+sql_query("sql_param", "SELECT symbol, seq, price FROM bronze_ticks WHERE symbol = :s AND price > :p", "WITH " + S_T + " SELECT symbol, seq, price FROM t WHERE symbol = 'CLICK' AND price > 50", B_, {"s": "CLICK", "p": 50.0})
+sql_query("sql_groupby_symbol", "SELECT symbol, count(*) AS n, sum(size) AS volume FROM bronze_ticks GROUP BY 1", "WITH " + S_T + " SELECT symbol, count(*) AS n, CAST(sum(size) AS BIGINT) AS volume FROM t GROUP BY 1", B_)
+for _kind, _by in (("rollup", "ROLLUP (symbol, side)"), ("cube", "CUBE (symbol, side)"), ("grouping_sets", "GROUPING SETS ((symbol), (side), ())")):
+    sql_query(f"sql_{_kind}", f"SELECT symbol, side, count(*) AS n, sum(size) AS volume FROM bronze_ticks GROUP BY {_by}", f"WITH {S_T} SELECT symbol, side, count(*) AS n, CAST(sum(size) AS BIGINT) AS volume FROM t GROUP BY {_by}", B_)
+RANK = "SELECT symbol, seq, row_number() OVER w AS rn, rank() OVER v AS rk, dense_rank() OVER v AS dr, ntile(4) OVER w AS nt FROM {0} WINDOW w AS (PARTITION BY symbol ORDER BY price DESC, seq), v AS (PARTITION BY symbol ORDER BY price DESC)"
+S_RANK = "WITH " + S_T + " SELECT symbol, seq, CAST(rn AS INTEGER) AS rn, CAST(rk AS INTEGER) AS rk, CAST(dr AS INTEGER) AS dr, CAST(nt AS INTEGER) AS nt FROM (" + RANK.format("t") + ")"
+sql_query("sql_rank", RANK.format("bronze_ticks"), S_RANK, B_)
+LEAD = "SELECT symbol, seq, lead(price) OVER w AS next_price, lag(price) OVER w AS last_price FROM {0} WINDOW w AS (PARTITION BY symbol ORDER BY seq)"
+sql_query("sql_lead_lag", LEAD.format("bronze_ticks"), "WITH " + S_T + " " + LEAD.format("t"), B_)
+sql_query("sql_intersect", "SELECT size FROM bronze_ticks WHERE symbol = 'CLICK' INTERSECT SELECT size FROM bronze_ticks WHERE symbol = 'VIEW'", "WITH " + S_T + " SELECT size FROM t WHERE symbol = 'CLICK' INTERSECT SELECT size FROM t WHERE symbol = 'VIEW'", B_)
+sql_query("sql_except", "SELECT size FROM bronze_ticks WHERE price > 1 EXCEPT SELECT size FROM bronze_ticks WHERE symbol = 'VIEW' AND price > 30", "WITH " + S_T + " SELECT size FROM t WHERE price > 1 EXCEPT SELECT size FROM t WHERE symbol = 'VIEW' AND price > 30", B_)
+
+
+@query("schema_drift", "SELECT * FROM (VALUES ('added','notional'),('added','prev_close'),('added','return_bps'),('removed','venue'),('required_removed','venue')) v(kind, field)")
+def _(spark, d):
+    live = T_.StructType([f for f in schemas.TRADE_TICK.fields if f.name != "venue"] + [T_.StructField(c, T_.DoubleType()) for c in ("notional", "prev_close", "return_bps")])
+    found = schemas.drift(live, schemas.get_schema("trade-tick"))
+    return spark.createDataFrame([(k, f) for k, fs in found.items() for f in fs], "kind string, field string")
+
+
+@query("chart_series", S_H + " SELECT symbol, " + WS + ", close, round(avg(close) OVER (PARTITION BY symbol ORDER BY b.window_start ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)+1e-9,6) AS mean_12 FROM b")
+def _(spark, d):
+    w = Window.partitionBy("symbol").orderBy("window_start").rowsBetween(-11, 0)
+    return hourly(spark, d).withColumn("mean_12", F.round(F.avg("close").over(w) + 1e-9, 6)).select("symbol", text_time("window_start"), "close", "mean_12")
+
+
+# --- data quality and jobs ---
+NOW = "TIMESTAMP '2024-02-15 00:00:00'"
+
+
+def now():
+    return F.lit("2024-02-15 00:00:00").cast("timestamp")
+
+
+FRESH = "SELECT 'freshness' AS name, epoch(" + NOW + ") - CAST(floor(epoch(max(ts))) AS BIGINT) <= 86400 AS ok, count(*) AS rows_scanned, CAST(CASE WHEN epoch(" + NOW + ") - floor(epoch(max(ts))) > 86400 THEN 1 ELSE 0 END AS BIGINT) AS violations, 'age='||CAST(CAST(epoch(" + NOW + ") - floor(epoch(max(ts))) AS BIGINT) AS VARCHAR) AS detail FROM {0}"
+NULLS = "SELECT 'nulls' AS name, count(*) FILTER (seq % 10 = 0) = 0 AS ok, count(*) AS rows_scanned, count(*) FILTER (seq % 10 = 0) AS violations, 'required=tick_id,symbol,ts,price,size,side' AS detail FROM raw"
+VOLUME = "SELECT 'volume' AS name, count(*) FILTER (bad) = 0 AS ok, count(*) AS rows_scanned, count(*) FILTER (bad) AS violations, 'iqr x 3.0' AS detail FROM (SELECT size <= 0 OR (q3 > q1 AND n >= 4 AND (size > q3 + 3*(q3-q1) OR size < greatest(0, q1 - 3*(q3-q1)))) AS bad FROM x JOIN (SELECT symbol AS s2, count(*) FILTER (size > 0) AS n, quantile_cont(size,0.25) FILTER (size > 0) AS q1, quantile_cont(size,0.75) FILTER (size > 0) AS q3 FROM x GROUP BY 1) ON symbol = s2)"
+S_X = ", x AS (SELECT symbol, seq, CASE WHEN seq % 500 = 1 THEN size * 100 ELSE size END AS size FROM raw)"
+
+
+def dq_rows(spark, d):
+    raw = T.raw_ticks(events(spark, d))
+    return raw.withColumn("side", F.when(F.col("seq") % 10 != 0, F.col("side")).otherwise(" ")).withColumn("size", F.when(F.col("seq") % 500 == 1, F.col("size") * 100).otherwise(F.col("size")))
+
+
+@query("dq_freshness", FRESH.format("events"))
+def _(spark, d):
+    return quality.freshness(dq_rows(spark, d), ["ts"], now())
+
+
+@query("dq_nulls", "WITH " + S_RAW + " SELECT seq, 'side' AS missing FROM raw WHERE seq % 10 = 0")
+def _(spark, d):
+    return quality.null_rows(dq_rows(spark, d), schemas.REQUIRED_TRADE).select("seq", "missing")
+
+
+@query("dq_volume", "WITH " + S_RAW + S_X + " " + VOLUME)
+def _(spark, d):
+    return quality.volume_anomalies(dq_rows(spark, d), "size")
+
+
+@query("dq_report", "WITH " + S_RAW + S_X + " " + FRESH.format("raw") + " UNION ALL " + NULLS + " UNION ALL " + VOLUME)
+def _(spark, d):
+    return quality.report(dq_rows(spark, d), ["ts"], schemas.required_fields(["price"]), "size", now())
+
+
+@query("freshness_probe", "WITH " + S_T + ", n AS (SELECT * FROM t ORDER BY ts DESC, symbol, tick_id LIMIT 50) " + FRESH.format("n"))
+def _(spark, d):
+    return quality.freshness(engine(spark, d, bronze=True).scan("bronze_ticks"), ["ts"], now())
+
+
+@query("backfill")
+def _(spark, d):
+    ticks = T.synthetic_ticks(spark, ["CLICK", "VIEW"], 1000).withColumn("seq", F.col("sequence"))
+    ok = validate.valid(validate.parse_ticks(T.wire(ticks)))
+    root = scratch(spark, "lake")
+    lake.write_layer(lake.with_date(ok.select("seq", "symbol", "ts", "price", "size", "side"), "ts").withColumn("event_type", F.lit("trade")), root, "bronze")
+    return lake.LakeEngine(spark, root).frame("bronze_ticks").groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+# --- functions ---
+@query("fn_string", "SELECT event_id, upper(trim('  '||event_type||' ')) AS u, contains(lower(event_type), 'i') AS has_i, starts_with(event_type, 'c') AS c, regexp_replace(props, '[^0-9A-Za-z_-]', '_', 'g') AS safe, array_to_string(list_filter(list_transform(string_split(' a, ,'||event_type, ','), lambda x: upper(trim(x))), lambda x: x <> ''), '|') AS csv FROM events")
+def _(spark, d):
+    sql_functions.register(spark)
+    parts = F.filter(F.transform(F.split(F.concat(F.lit(" a, ,"), "event_type"), ","), lambda x: F.upper(F.trim(x))), lambda x: x != "")
+    return events(spark, d).select(
+        "event_id", F.upper(F.trim(F.concat(F.lit("  "), "event_type", F.lit(" ")))).alias("u"), F.contains(F.lower("event_type"), F.lit("i")).alias("has_i"),
+        F.col("event_type").startswith("c").alias("c"), F.expr("safe_name(props)").alias("safe"), F.array_join(parts, "|").alias("csv"))
+
+
+@query("fn_time", "SELECT event_id, strftime(ts,'%Y-%m-%d') AS day, CAST(floor(epoch(ts)) AS BIGINT) // 60 * 60 AS minute, CAST(floor(epoch(ts)) AS BIGINT) AS sec, '2024-01-01 10:00:00' AS parsed FROM events")
+def _(spark, d):
+    sec = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    return events(spark, d).select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), (F.floor(sec / 60) * 60).alias("minute"), sec.alias("sec"),
+                                   F.date_format(F.try_to_timestamp(F.lit("2024-01-01T10:00:00Z")), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+@query("fn_math", "SELECT event_id, abs(value-50) AS a, greatest(value, 10.0) AS g, least(value, 10.0) AS l, CAST(floor(value) AS BIGINT) AS f, CAST(ceil(value) AS BIGINT) AS c, round(sqrt(value)+1e-9,6) AS s, round(exp(-value/100)+1e-9,6) AS e, CAST(round(CASE WHEN value > 100 THEN (value-50)/10 ELSE 0 END+1e-9,6) AS DOUBLE) AS z FROM events")
+def _(spark, d):
+    sql_functions.register(spark)
+    v = F.col("value")
+    return events(spark, d).select(
+        "event_id", F.abs(v - 50).alias("a"), F.greatest(v, F.lit(10.0)).alias("g"), F.least(v, F.lit(10.0)).alias("l"), F.floor(v).alias("f"), F.ceil(v).alias("c"),
+        F.round(F.sqrt(v) + 1e-9, 6).alias("s"), F.round(F.exp(-v / 100) + 1e-9, 6).alias("e"), F.round(F.expr("zscore(value, 50D, IF(value > 100, 10D, 0D))") + 1e-9, 6).alias("z"))
+
+
+@query("fn_json", "SELECT event_id, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k, '{\"k\":'||json_extract_string(props,'$.k')||'}' AS text, json_extract_string(props,'$.k') IN ('1','2','3') AS low FROM events")
+def _(spark, d):
+    v = F.parse_json("props")
+    k = F.variant_get(v, "$.k", "bigint")
+    return events(spark, d).select("event_id", k.alias("k"), F.to_json(F.struct(k.alias("k"))).alias("text"), k.cast("string").isin("1", "2", "3").alias("low"))
+
+
+@query("fn_array", "SELECT event_type, string_agg(DISTINCT upper(substr(props, 7, 1)), ',' ORDER BY upper(substr(props, 7, 1))) AS firsts FROM events GROUP BY 1")
+def _(spark, d):
+    return events(spark, d).groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_set(F.upper(F.substring("props", 7, 1)))), ",").alias("firsts"))
+
+
+# --- windows and streams ---
+@query("win_sliding", "WITH " + S_T + ", o AS (SELECT symbol, size, unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS window_start FROM t) SELECT symbol, " + WS + ", CAST(sum(size) AS BIGINT) AS volume, count(*) AS trade_count FROM o GROUP BY symbol, o.window_start")
+def _(spark, d):
+    return silver.sliding_bars(trades(spark, d), 3600, 1800).withColumn("window_start", text_time("window_start"))
+
+
+@query("win_session", "WITH " + S_T + ", a AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY symbol ORDER BY ts) + INTERVAL '1800 seconds' THEN 1 ELSE 0 END AS new FROM t), g AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT symbol, strftime(min(ts),'%Y-%m-%d %H:%M:%S') AS window_start, CAST(sum(size) AS BIGINT) AS volume, count(*) AS trade_count FROM g GROUP BY symbol, s")
+def _(spark, d):
+    return silver.session_bars(trades(spark, d), 1800).select("symbol", text_time("window_start"), "volume", "trade_count")
+
+
+@query("stream_bronze", BRONZE_VALID)
+def _(spark, d):
+    return streams.bronze(spark, d)
+
+
+@query("stream_dedup", "WITH " + S_T + " SELECT tick_id, symbol, price, size FROM t")
+def _(spark, d):
+    return streams.dedup(spark, d)
+
+
+@query("stream_silver_ohlcv", S_H + " SELECT symbol, " + WS + ", " + ", ".join(BAR_NAMES) + " FROM b")
+def _(spark, d):
+    return streams.ohlcv(spark, d).select("symbol", text_time("window_start"), *BAR_NAMES)
+
+
+@query("stream_gold_alerts", ALERTS)
+def _(spark, d):
+    return streams.gold_alerts(spark, d).select(*ALERT_COLS, text_time("window_start"))
