@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 4000
 DICT_BYTES = 64 << 10
 SEGMENT_BYTES = 1 << 20
-MAX_CACHED_WORDS = 600_000
+MAX_CACHED_WORDS = 1_000_000
 LEVEL = 3
 ODD = re.compile(rb"0|<\|")
 
@@ -100,6 +101,12 @@ class WordTokens:
         return out
 
 
+@lru_cache(maxsize=4)
+def shared_words(path: str, id_type: str) -> WordTokens:
+    """One cache of words for all tasks that a Python worker runs."""
+    return WordTokens(path, id_type)
+
+
 def id_type_of(path: str) -> str:
     """Serialized type of an id: two bytes if every id of the vocabulary fits, else four."""
     from tokenizers import Tokenizer
@@ -171,7 +178,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     size = np.dtype(id_type).itemsize
 
     def encode(batches):
-        words, zstd = WordTokens(tokenizer, id_type), compressor(data)
+        words, zstd = shared_words(tokenizer, id_type), compressor(data)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 c = b.slice(at, 512)
