@@ -234,7 +234,7 @@ def train(rows: list[tuple[str, int]]) -> Tagger:
     tags = ((ids > 0) & np.array([y for _, y in used], bool)[:, None] & there).astype(float)
     field.fit(ids, there, tags)
     tagger = Tagger(words, field)
-    mass = np.array([sum(p for _, _, p in m) for m in tagger.marginals([t for t, _ in rows])])
+    mass = np.array([sum(p for _, _, p in m) for m in tagger.marginals([t for t, _ in rows])], float)
     tagger.curve = logistic(np.log(mass + 1e-3), np.array([y for _, y in rows], float))
     return tagger
 
@@ -259,7 +259,7 @@ def score(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str
     def run(batches):
         for b in batches:
             found = tagger.marginals(b.column(1).to_pylist())
-            mass = np.array([sum(p for _, _, p in m) for m in found])
+            mass = np.array([sum(p for _, _, p in m) for m in found], float)
             spans = [[{"start": s, "end": e, "p": p} for s, e, p in m if p >= 0.5] for m in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tagger.score(mass)), pa.array(mass), pa.array(spans, kind)], ["doc_id", "score", "mass", "spans"])
 
