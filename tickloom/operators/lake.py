@@ -122,7 +122,8 @@ class LakeEngine:
             return df
         times = [F.col(c).cast("string") for c in TIMES if c in df.columns]
         ties = [c for c in ("symbol", "tick_id", "sequence") if c in df.columns]
-        return df.orderBy(F.coalesce(*times).desc(), *ties).limit(limit)
+        newest = [F.coalesce(*times).desc()] if times else []
+        return df.orderBy(*newest, *ties).limit(limit)
 
     def register(self) -> None:
         for v in VIEWS:
