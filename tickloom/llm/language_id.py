@@ -29,6 +29,8 @@ DICT_BYTES = 96 << 10
 ALL_BYTES = 16 << 20
 PIECE_BYTES = 2048
 LEVEL = 9
+#: Bytes of its own dictionary that stand before each piece, so that a short text's matches are not lost in a block's fixed costs.
+PRIMER_BYTES = 48
 #: Relative difference of the two smallest totals under which a prediction is rejected.
 MARGIN = 0.01
 LETTER = re.compile(r"[^\W\d_]")
@@ -71,16 +73,17 @@ class Encoder:
 
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
         self.langs = list(dictionaries)
-        self.by = []
+        self.by, self.primers = [], [data[-PRIMER_BYTES:] for data in dictionaries.values()]
         for data in dictionaries.values():
             d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
             self.by.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        self.fixed = [len(c.compress(f)) for c, f in zip(self.by, self.primers)]
 
     def sizes(self, text: str) -> list[int]:
         raw = prepared(text)
         pieces = [raw[i:i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]
-        return [sum(len(c.compress(p)) for p in pieces) for c in self.by]
+        return [sum(len(c.compress(f + p)) - n for p in pieces) for c, f, n in zip(self.by, self.primers, self.fixed)]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if text is None or not self.langs or not LETTER.search(text):
@@ -90,7 +93,7 @@ class Encoder:
         best = sizes[order[0]]
         if len(order) == 1:
             return self.langs[order[0]], 1.0, True
-        margin = (sizes[order[1]] - best) / sizes[order[1]]
+        margin = (sizes[order[1]] - best) / max(1, sizes[order[1]])
         return self.langs[order[0]], min(1.0, 0.5 + 5.0 * margin), margin >= MARGIN
 
 
