@@ -106,7 +106,7 @@ def test_language(spark):
     r = random.Random(1)
     parts = {"aa": ["kalo", "mita", "sone", "lure"], "bb": ["gruz", "pflk", "strz", "wchn"]}
     rows = [(i, lang, " ".join(r.choice(p) + r.choice(p) for _ in range(r.randrange(8, 80)))) for i in range(200) for lang, p in [r.choice(list(parts.items()))]]
-    rows += [(900, None, None), (901, "aa", "123 ..."), (902, None, " ".join(r.choice(parts["aa"]) + r.choice(parts["aa"]) for _ in range(3000))), (None, "bb", "gruzpflk strz")]
+    rows += [(900, None, None), (901, "aa", "123 ..."), (902, None, " ".join(r.choice(parts["aa"]) + r.choice(parts["aa"]) for _ in range(3000))), (None, "bb", "gruzpflk strzwchn wchnpflk strzgruz pflkgruz wchnstrz gruzgruz")]
     docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
     train = language_id.training_rows(docs, F.col("doc_id") % 2 == 0).select("lang", "text")
     dictionaries = language_id.fit_dictionaries(train)
