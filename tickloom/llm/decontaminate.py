@@ -47,12 +47,8 @@ def canonical(words: Column) -> Column:
 
     def one(word: Column, i: Column) -> Column:
         before = F.get(words, i - 1)
-        after_digit = F.coalesce(F.substring(before, -1, 1).between("0", "9"), F.lit(False))
-        return F.when(word.rlike("^[a-z]+[,;]?$") & ~after_digit, F.rtrim(word, F.lit(",;"))).otherwise(
-            let(core(word), lambda bare: kind(bare, before)))
-
-    def kind(bare: Column, before: Column) -> Column:
-        return (
+        bare = core(word)
+        return F.when(word.rlike("^[a-z]+[,;]?$") & ~F.coalesce(before.rlike("\\d$"), F.lit(False)), F.rtrim(word, F.lit(",;"))).otherwise(
             F.when(bare.rlike("\\d"), F.when(bare.rlike(NUMBER_RE), "<num>").when(bare.rlike(GLUED_RE), "<num-unit>").otherwise(F.lower(bare)))
             .when(before.rlike("\\d[.,]?$") & bare.rlike(UNIT_RE), "<unit>")
             .when(bare.rlike("^\\p{Lu}") & before.rlike("[^.!?:]$") & ~bare.rlike("^\\p{Lu}{2,}$"), "<name>")
