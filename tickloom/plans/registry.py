@@ -154,7 +154,6 @@ def engine(spark, d, bronze=False, trades_=False, bars=False, gold_=False) -> la
 
 
 BRONZE_SEL = "SELECT event_type, symbol, date, seq, price, size, side FROM (SELECT *, 'trade' AS event_type, strftime(ts,'%Y-%m-%d') AS date FROM t)"
-DATE_TEXT = F.date_format("date", "yyyy-MM-dd").alias("date")
 
 
 def layer_round_trip(spark, d, rows, layer, fmt, cols):
@@ -490,19 +489,20 @@ def _(spark, d):
     return quality.mean_volume(T.raw_ticks(events(spark, d))).select(F.round("mean_volume", 6).alias("mean_volume"))
 
 
-INGESTED = (F.col("ts").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ((F.col("seq") % 997) / 1000).cast("decimal(18,6)")))
+def ingested():
+    return F.col("ts").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ((F.col("seq") % 997) / 1000).cast("decimal(18,6)"))
 
 
 @query("latency_ms", "WITH " + S_T + " SELECT seq, CAST(seq % 997 AS DOUBLE) AS latency FROM t")
 def _(spark, d):
-    return trades(spark, d).select("seq", quality.latency_ms(F.col("ts"), INGESTED).alias("latency"))
+    return trades(spark, d).select("seq", quality.latency_ms(F.col("ts"), ingested()).alias("latency"))
 
 
 SUMMARY = "WITH " + S_T + ", l AS (SELECT symbol, CAST(seq % 997 AS DOUBLE) AS latency FROM t), o AS (SELECT latency, row_number() OVER (ORDER BY latency) - 1 AS rn, count(*) OVER () AS n FROM l) SELECT (SELECT count(*) FROM l) AS ticks, (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT symbol AS s FROM l)) AS symbols, (SELECT round(avg(latency),6) FROM l) AS avg_latency_ms, (SELECT max(latency) FROM l) AS max_latency_ms, (SELECT latency FROM o WHERE rn = CAST(floor(0.95*(n-1)) AS BIGINT)) AS p95_latency_ms"
 
 
 def summary(spark, d):
-    return quality.tick_summary(trades(spark, d).select("symbol", quality.latency_ms(F.col("ts"), INGESTED).alias("latency")))
+    return quality.tick_summary(trades(spark, d).select("symbol", quality.latency_ms(F.col("ts"), ingested()).alias("latency")))
 
 
 query("tick_summary", SUMMARY)(summary)
