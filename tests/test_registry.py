@@ -4,6 +4,7 @@ import os
 import re
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tickloom.plans import registry
@@ -22,7 +23,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     if isinstance(v, bool) or "bool" in type(v).__name__:
         return bool(v)
