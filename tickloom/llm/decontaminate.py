@@ -31,49 +31,56 @@ UNITS = (
     "|sekunden?|minuten?|stunden?|tagen?|wochen?|jahren?|metern?|kilometern?|prozent"
     "|secondes?|heures?|jours?|semaines?|mois|ans?|mètres?|kilomètres?|segundos?|minutos?|horas?|días?|semanas?|años?|metros?"
 )
-NUMBER_RE = "^[+-]?\\p{Sc}?\\d+(?:[.,:/]\\d+)*\\p{Sc}?$"
-GLUED_RE = "(?i)^[+-]?\\d+(?:[.,]\\d+)*(?:" + UNITS + ")$"
-UNIT_RE = "(?i)^(?:" + UNITS + ")$"
-EDGES_RE = "^[^\\p{L}\\p{N}+\\-\\p{Sc}]+|[^\\p{L}\\p{N}%\\p{Sc}]+$"
+#: Canonical forms of typed slots: private-use characters, which punctuation rules leave alone.
+NUM, NUM_UNIT, UNIT, NAME = SLOTS = ("\ue000", "\ue001", "\ue002", "\ue003")
+#: Punctuation at the start and at the end of a word, in a text whose words have one space before and after them.
+LEAD = "[^\\p{L}\\p{N}+\\-\\p{Sc}\\x20\ue000-\ue003]"
+TAIL = "[^\\p{L}\\p{N}%\\p{Sc}\\x20\ue000-\ue003]"
+END = f"(?={TAIL}*+\\x20)"
+UNIT_RE = f"(?<=\\d)\\x20{LEAD}*+(?i:{UNITS}){END}"
+NUMBER_RE = f"\\x20{LEAD}*+[+-]?\\p{{Sc}}?\\d+(?:[.,:/]\\d+)*\\p{{Sc}}?{END}"
+GLUED_RE = f"\\x20{LEAD}*+[+-]?\\d+(?:[.,]\\d+)*(?i:{UNITS}){END}"
+NAME_RE = f"(?<=[^.!?:\\x20])\\x20{LEAD}*+(?!\\p{{Lu}}{{2,}}+{TAIL}*+\\x20)\\p{{Lu}}[^\\x20\\d]*+(?=\\x20)"
 
 
 def core(word: Column) -> Column:
     """A word without the punctuation around it."""
-    return F.regexp_replace(word, EDGES_RE, "")
+    return F.regexp_replace(word, f"^{LEAD}+|{TAIL}+$", "")
 
 
 def canonical(words: Column) -> Column:
-    """Words as canonical words: lower-case literals or ``<num>``, ``<num-unit>``, ``<unit>``, ``<name>``."""
-
-    def one(word: Column, i: Column) -> Column:
-        before = F.get(words, i - 1)
-        bare = core(word)
-        return F.when(word.rlike("^[a-z]+[,;]?$") & ~F.coalesce(before.rlike("\\d$"), F.lit(False)), F.rtrim(word, F.lit(",;"))).otherwise(
-            F.when(bare.rlike("\\d"), F.when(bare.rlike(NUMBER_RE), "<num>").when(bare.rlike(GLUED_RE), "<num-unit>").otherwise(F.lower(bare)))
-            .when(before.rlike("\\d[.,]?$") & bare.rlike(UNIT_RE), "<unit>")
-            .when(bare.rlike("^\\p{Lu}") & before.rlike("[^.!?:]$") & ~bare.rlike("^\\p{Lu}{2,}$"), "<name>")
-            .otherwise(F.lower(bare))
-        )
+    """Words as canonical words, as many: lower-case literals without the punctuation around them, or a slot.
 
-    return F.transform(words, one)
+    The patterns run over the whole text, not word by word. Units come first, as they look at the number before them;
+    names come before the punctuation goes, as they must not follow the end of a sentence.
+    """
+    text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    for pattern, slot in ((UNIT_RE, UNIT), (NUMBER_RE, NUM), (GLUED_RE, NUM_UNIT), (NAME_RE, NAME), (f"\\x20{LEAD}+", ""), (f"{TAIL}+\\x20", "")):
+        text = F.regexp_replace(text, pattern, " " + slot)
+    inner = let(F.lower(text), lambda t: F.substring(t, F.lit(2), F.length(t) - 2))
+    return F.when(F.size(words) > 0, F.split(inner, " ")).otherwise(F.array().cast("array<string>"))
 
 
 def window_hashes(canon: Column, window: int) -> Column:
-    """64-bit hashes of all windows; a shorter text is one window."""
-    size = F.size(canon)
-    return F.when(size == 0, F.array().cast("array<bigint>")).when(
-        size < window, F.array(F.xxhash64(canon, size))
-    ).otherwise(
-        F.transform(
-            F.slice(canon, 1, F.greatest(size - (window - 1), F.lit(0))),
-            lambda w, i: F.xxhash64(w, *[F.get(canon, i + k) for k in range(1, window)]),
+    """64-bit hashes of all windows; a shorter text is one window. Every word is hashed once."""
+
+    def hashes(hs: Column) -> Column:
+        size = F.size(hs)
+        return F.when(size == 0, F.array().cast("array<bigint>")).when(
+            size < window, F.array(F.xxhash64(hs, size))
+        ).otherwise(
+            F.transform(
+                F.slice(hs, 1, F.greatest(size - (window - 1), F.lit(0))),
+                lambda h, i: F.xxhash64(h, *[F.get(hs, i + k) for k in range(1, window)]),
+            )
         )
-    )
+
+    return let(F.transform(canon, lambda w: F.xxhash64(w)), hashes)
 
 
 def windows(texts: DataFrame, key: str, place: str, window: int) -> DataFrame:
     """One row per window: key, place and hash."""
-    hashed = texts.select(key, let(word_array(F.col("text")), lambda ws: let(canonical(ws), lambda c: window_hashes(c, window))).alias("hs"))
+    hashed = texts.select(key, let(word_array(F.col("text")), lambda ws: window_hashes(canonical(ws), window)).alias("hs"))
     return hashed.select(key, F.posexplode("hs").alias(place, "h"))
 
 
@@ -111,7 +118,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 F.arrays_zip(x["b"].alias("w"), canonical(x["b"]).alias("c")),
                 lambda p, q: F.struct(p["c"].alias("kind"), core(p["w"]).alias("item"), core(q["w"]).alias("doc"), q["c"].alias("other")),
             ),
-            lambda s: s["kind"].startswith("<") & (s["kind"] == s["other"]),
+            lambda s: s["kind"].isin(*SLOTS) & (s["kind"] == s["other"]),
         ),
     )
     slots = pairs.filter(F.col("shift") >= 0).select(
