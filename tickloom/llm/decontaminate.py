@@ -79,9 +79,13 @@ def window_hashes(canon: Column, window: int) -> Column:
 
 
 def windows(texts: DataFrame, key: str, place: str, window: int) -> DataFrame:
-    """One row per window: key, place and hash."""
-    hashed = texts.select(key, let(word_array(F.col("text")), lambda ws: window_hashes(canonical(ws), window)).alias("hs"))
-    return hashed.select(key, F.posexplode("hs").alias(place, "h"))
+    """One row per window: key, place and hash.
+
+    The hashes are exploded as an expression: from a column, the optimizer derives a filter on its size and computes
+    the hashes once more for it.
+    """
+    hashes = let(word_array(F.col("text")), lambda ws: window_hashes(canonical(ws), window))
+    return texts.select(key, F.posexplode(hashes).alias(place, "h"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
