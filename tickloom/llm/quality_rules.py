@@ -119,9 +119,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that pass, with their failed lines removed, in the input's columns (``n_chars`` follows the text)."""
+    """The documents that pass, with their failed lines removed, in the input's columns (``n_chars`` follows the text).
+
+    Rejected rows leave as empty arrays: a filter would be pushed below the projections and compute the rules twice.
+    """
     judged = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    verdicts = _verdict(judged).filter("kept")
+    one = F.array(F.struct("row", "clean_text"))
+    verdicts = _verdict(judged).select(F.explode(F.when(F.col("kept"), one).otherwise(F.slice(one, 1, 0))).alias("good")).select("good.*")
     cols = []
     for c in docs.columns:
         if c == text_col:
