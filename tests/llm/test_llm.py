@@ -393,3 +393,40 @@ def test_pipeline(spark):
             assert docs.count() <= before.count()
     end = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert end.count() == docs.count()
+
+
+def brute_classes(texts, k=5, similarity=0.8):
+    """Classes of texts by the Jaccard similarity of all pairs."""
+    sets = [{tuple(w[i:i + k]) for i in range(len(w) - k + 1)} or {tuple(w)} for w in (words(t.lower()) for t in texts)]
+    label = list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return {frozenset(i for i, x in enumerate(label) if x == y) for y in label}
+
+
+def got_classes(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = collections.defaultdict(set)
+    for g in simhash.similar_groups(docs).collect():
+        out[g.class_id].add(g.doc_id)
+    return {frozenset(x) for x in out.values()}
+
+
+def test_similar_texts_far_apart_in_bits(spark):
+    """Short edited copies: many pairs of the similarity have fingerprints more than 11 bits apart."""
+    r = random.Random(8)
+    texts = []
+    for i in range(150):
+        base = ["u%d" % r.randrange(5000) for _ in range(r.choice([24, 40, 60]))]
+        texts.append(" ".join(base))
+        edit = list(base)
+        edit[r.choice([0, 1, len(base) - 1])] = "edit"
+        cut = r.randrange(0, len(base) // 9)
+        texts.append(" ".join(edit[:len(edit) - cut] if i % 2 else edit))
+    far = [bin(simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).count("1") for a, b in zip(texts[::2], texts[1::2])]
+    want = brute_classes(texts)
+    assert any(f > 11 and frozenset((2 * i, 2 * i + 1)) in want for i, f in enumerate(far))
+    assert got_classes(spark, texts) == want

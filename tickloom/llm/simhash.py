@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, let, n_partitions, row_key, small, staged, unstage, word_array
@@ -94,23 +94,6 @@ def exact_keys(fp: Column, r: int, m: int) -> Column:
     return F.array(*keys)
 
 
-def probe_keys(fp: Column, r: int) -> tuple[Column, Column]:
-    """Keys of r bands, and for the other side those with one bit of the band changed, besides the unchanged ones.
-
-    Two fingerprints within ``2 r - 1`` bits have a band with at most one differing bit.
-    """
-    edges, own, probes = band_edges(r), [], []
-    for k in range(r):
-        mask = ((1 << (edges[k + 1] - edges[k])) - 1) << edges[k]
-        signed = mask - ((mask >> 63) << 64)
-        bits = fp.bitwiseAND(F.lit(signed).cast("long"))
-        own.append(F.struct(F.lit(k).alias("choice"), bits.alias("bits")))
-        for b in range(edges[k], edges[k + 1]):
-            one = (1 << b) - (((1 << b) >> 63) << 64)
-            probes.append(F.struct(F.lit(k).alias("choice"), bits.bitwiseXOR(F.lit(one).cast("long")).alias("bits")))
-    return F.array(*own), F.array(*probes)
-
-
 def sliced_pairs(fps: np.ndarray, group_of: np.ndarray, queries: np.ndarray, query_group: np.ndarray, radius: int):
     """Links between queries and the members of their group: yields (query, member, distance) index arrays.
 
@@ -323,56 +306,130 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-# --- near-duplicate removal on five-word shingles: SimHash candidates, then exact similarity ---
+# --- near-duplicate removal on five-word shingles: SimHash and a prefix-filter join find, exact similarity decides ---
 
 STAGE_SHINGLE = 5
 STAGE_SIMILARITY = 0.8
-#: Bits within which fingerprints are one group at once, and bands of the wider search (radius 2 * bands - 1 = 11).
+#: Bits within which fingerprints are candidates at once.
 STAGE_CLOSE = 3
-STAGE_BANDS = 6
+#: Counters by which shingles are ordered from rare to common, and the rows that they are added up in. The order decides speed only.
+COUNTERS, SLICES = 1 << 20, 64
+#: Words of 64 bits of a set's parity bitmap.
+PARITY = 8
+#: Rarest shingles of a set whose sharers are tried one by one before all pairs are.
+FIRST = 4
+STAGE_TILE = 1024
 
 
-def wide_links(groups: DataFrame, bands: int = STAGE_BANDS) -> DataFrame:
-    """(ga, gb, a, b): the closest pair of fingerprints within ``2 bands - 1`` bits of each pair of groups.
+def shingle_hashes(text: Column, shingle: int) -> Column:
+    """Distinct 64-bit hashes of a text's word shingles, lower-cased in A-Z; a shorter text is one shingle."""
+    def make(ws: Column) -> Column:
+        return F.array_distinct(F.when(F.size(ws) <= shingle, F.array(F.xxhash64(ws))).otherwise(
+            F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - (shingle - 1), F.lit(0))),
+                        lambda w, i: F.xxhash64(w, *[F.get(ws, i + k) for k in range(1, shingle)]))))
+
+    return let(word_array(ascii_lower(text)), make)
+
+
+def counter_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def shingle_counts(hashed: DataFrame) -> np.ndarray:
+    """Counts of shingles (column hs) per counter, added up slice by slice."""
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            hs = b.column(0).flatten().to_numpy(zero_copy_only=False)
+            total += np.bincount(counter_of(hs), minlength=COUNTERS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(total, SLICES)])], ["slice", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, c in zip(b.column(0).to_pylist(), b.column(1)):
+                sums[k] = sums.get(k, 0) + np.frombuffer(c.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
-    groups: (fp, grp). Members are keyed by each band, queries besides by each band with one bit changed.
+    kind = "slice int, counts binary"
+    rows = hashed.select("hs").mapInArrow(count, kind).repartition(SLICES, "slice").mapInArrow(add, kind).collect()
+    out = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
+    for r in rows:
+        out[r["slice"]] = np.frombuffer(bytes(r["counts"]), np.int64)
+    return out.reshape(-1)
+
+
+def shingle_sets(hashed: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """(k, node, size, fp, prefix, parity) of rows (k, hs).
+
+    node names the set of shingles, fp is its SimHash. prefix has its rarest shingles, so many that two sets of the
+    similarity share one. The bits in which two parity bitmaps differ are at most the shingles that only one set has.
     """
-    radius = 2 * bands - 1
-    own, probes = probe_keys(F.col("fp"), bands)
-    members = groups.select("fp", "grp", F.explode(own).alias("key"), F.lit(0).alias("probe"))
-    queries = groups.select("fp", "grp", F.explode(probes).alias("key"), F.lit(1).alias("probe"))
-    keyed = members.union(queries).select(F.xxhash64("key.choice", "key.bits").alias("block"), "fp", "grp", "probe")
-    dealt = keyed.repartition(n_partitions(groups.sparkSession), "block").sortWithinPartitions("block", "probe")
+    shared = hashed.sparkSession.sparkContext.broadcast(counts.astype(np.int32 if counts.max(initial=0) < 1 << 31 else np.int64))
+
+    def one(hs: np.ndarray):
+        u = np.sort(hs.view(np.uint64))
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(u), 65536):
+            ones += np.unpackbits(u[at:at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        fp = int.from_bytes(np.packbits(2 * ones > len(u)).tobytes(), "big", signed=True)
+        node = xxhash.xxh64_intdigest(u.tobytes(), 42)
+        first = len(u) - int(np.ceil(similarity * len(u) - 1e-9)) + 1
+        prefix = u[np.lexsort((u, shared.value[counter_of(u)]))[:first]].view(np.int64)
+        odd = np.bincount((u >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+        return node - ((node >> 63) << 64), len(u), fp, prefix, np.packbits(odd.astype(np.uint8)).tobytes()
 
     def run(batches):
-        for k, f, g, p in whole_blocks(batches):
-            u = f.view(np.uint64)
-            own_rows = np.flatnonzero(p == 0)
-            if not len(own_rows):
-                continue
-            for q, m, dist in sliced_pairs(u[own_rows], k[own_rows], u, k, radius):
-                m = own_rows[m]
-                other = g[q] != g[m]
-                q, m, dist = q[other], m[other], dist[other]
-                swap = g[q] > g[m]
-                q, m = np.where(swap, m, q), np.where(swap, q, m)
-                if len(q):
-                    order = np.lexsort((f[m], f[q], dist, g[m], g[q]))
-                    q, m, dist = q[order], m[order], dist[order]
-                    new = np.concatenate(([True], (g[q][1:] != g[q][:-1]) | (g[m][1:] != g[m][:-1])))
-                    q, m, dist = q[new], m[new], dist[new]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g[q], g[m], dist, f[q], f[m])], ["ga", "gb", "distance", "a", "b"])
-
-    pairs = dealt.mapInArrow(run, "ga bigint, gb bigint, distance bigint, a bigint, b bigint")
-    return pairs.groupBy("ga", "gb").agg(F.min(F.struct("distance", "a", "b")).alias("top")).select("ga", "gb", "top.a", "top.b")
+        for b in batches:
+            lists = b.column(1)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            ends = ends - ends[0]
+            found = [one(flat[x:y]) for x, y in zip(ends[:-1], ends[1:])]
+            cols = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["k", "node", "size", "fp", "prefix", "parity"])
+
+    kind = hashed.schema["k"].dataType.simpleString()
+    return hashed.select("k", "hs").mapInArrow(run, f"k {kind}, node bigint, size int, fp bigint, prefix array<bigint>, parity binary")
+
+
+def apart_pairs(keyed: DataFrame, similarity: float, tile: int = STAGE_TILE) -> DataFrame:
+    """(a, b): all pairs of sets that share a token, are in different groups and can reach the similarity by their
+    sizes and parity bitmaps. keyed: (token, node, size, grp, parity); large tokens are cut into pairs of tiles."""
+    held = keyed.groupBy("token").agg(F.count("*").alias("n"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 <> g1")
+    held = held.select("token", F.ceil(F.col("n") / tile).cast("int").alias("t"))
+    j = keyed.join(small(held), "token").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("t")).cast("int"))
+    j = j.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    j = j.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", "size", "grp", "parity")
+    dealt = j.repartition(n_partitions(keyed.sparkSession), "block").sortWithinPartitions("block", "size", "node")
+    reach = (1 - similarity) / (1 + similarity)
+
+    def run(batches):
+        for block, node, size, grp, parity in whole_blocks(batches):
+            bits = np.frombuffer(b"".join(parity), np.uint64).reshape(-1, PARITY)
+            ends = np.concatenate((np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
+            end_of = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
+            a, b = [], []
+            for i in np.flatnonzero(end_of - np.arange(len(block)) > 1).tolist():
+                top = i + 1 + int(np.searchsorted(size[i + 1:end_of[i]], size[i] / similarity + 1e-9, side="right"))
+                other = np.arange(i + 1, top)[grp[i + 1:top] != grp[i]]
+                differ = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                other = other[differ <= reach * (size[other] + size[i]) + 1e-9]
+                a.append(np.full(len(other), i))
+                b.append(other)
+            if a:
+                x, y = node[np.concatenate(a)], node[np.concatenate(b)]
+                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").filter("a <> b").distinct()
 
 
 def whole_blocks(batches, at_least: int = 1 << 16):
-    """Column arrays of sorted batches (block, fp, grp, probe), cut only between blocks."""
+    """Column arrays of sorted batches whose first column is the block, cut only between blocks."""
     kept: list[list[np.ndarray]] = []
     rows = 0
     for b in batches:
-        cols = [c.to_numpy() for c in b.columns]
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
         if not len(cols[0]):
             continue
         kept.append(cols)
@@ -386,40 +443,48 @@ def whole_blocks(batches, at_least: int = 1 << 16):
         yield [np.concatenate([x[i] for x in kept]) for i in range(len(kept[0]))]
 
 
-def shingle_hashes(text: Column, shingle: int) -> Column:
-    """Distinct 64-bit hashes of a text's word shingles, lower-cased in A-Z; a shorter text is one shingle."""
-    def make(ws: Column) -> Column:
-        return F.array_distinct(F.when(F.size(ws) <= shingle, F.array(F.xxhash64(ws))).otherwise(
-            F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - (shingle - 1), F.lit(0))),
-                        lambda w, i: F.xxhash64(w, *[F.get(ws, i + k) for k in range(1, shingle)]))))
-
-    return let(word_array(ascii_lower(text)), make)
-
-
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE,
                    similarity: float = STAGE_SIMILARITY) -> DataFrame:
-    """(key, doc_id, class_id): classes of documents linked by SimHash and, beyond a few bits, by exact similarity."""
+    """(key, doc_id, class_id): classes of documents linked by the exact similarity of their shingles.
+
+    Candidates come in three rounds: close fingerprints, neighbours among the sharers of a rare shingle, and then all
+    pairs of the prefix-filter join whose groups are still apart. Every candidate is checked, only equal sets are not.
+    """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     d = d.withColumn("key", row_key(F.col("doc_id"), F.col("text")))
-    marked = staged(fingerprints(d.select(F.struct("key", "doc_id").alias("k"), "text"), "k", "text", shingle).select(
-        "doc_id.key", "doc_id.doc_id", "fp"), "stage-fingerprints")
-    distinct = staged(marked.groupBy("fp").agg(F.min("key").alias("rep")), "stage-distinct")
-    close = components(spanning_links(distinct.select("fp"), STAGE_CLOSE))
-    groups = staged(distinct.join(close, distinct.fp == close.node, "left").select(
-        "fp", "rep", F.coalesce("root", "fp").alias("grp")), "stage-groups")
-    pairs = staged(wide_links(groups.select("fp", "grp")), "stage-pairs")
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    reps = groups.join(ends, "fp").select("fp", F.col("rep").alias("key"))
-    texts = d.join(small(reps), "key").dropDuplicates(["fp"]).select("fp", shingle_hashes(F.col("text"), shingle).alias("hs"))
-    texts = staged(texts, "stage-shingles")
-    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("hs").alias("x")), "a").join(
-        texts.select(F.col("fp").alias("b"), F.col("hs").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    linked = both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select(
-        F.col("ga").alias("a"), F.col("gb").alias("b"))
-    roots = components(linked)
-    named = groups.join(roots, groups.grp == roots.node, "left").select("fp", F.coalesce("root", "grp").alias("class_id"))
-    return staged(marked.join(named, "fp").select("key", "doc_id", "class_id"), "stage-classes")
+    hashed = d.select(F.struct("key", "doc_id").alias("k"), shingle_hashes(F.col("text"), shingle).alias("hs"))
+    marked = staged(shingle_sets(hashed, shingle_counts(hashed), similarity).select("k.key", "k.doc_id", "node", "size", "fp", "prefix", "parity"), "stage-sets")
+    sets = staged(marked.groupBy("node").agg(F.min_by(F.struct("key", "size", "fp", "prefix", "parity"), "key").alias("s")).select("node", "s.*"), "stage-distinct")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stage-pairs")
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        reps = sets.join(ends, "node").select("node", "key")
+        texts = d.join(small(reps), "key").dropDuplicates(["node"]).select("node", shingle_hashes(F.col("text"), shingle).alias("hs"))
+        texts = staged(texts, "stage-shingles")
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("hs").alias("x")), "a").join(
+            texts.select(F.col("node").alias("b"), F.col("hs").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return staged(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "stage-similar")
+
+    def grouped(links: DataFrame) -> DataFrame:
+        roots = components(links).withColumnRenamed("node", "of")
+        return staged(sets.join(roots, sets.node == roots.of, "left").select(*sets.columns, F.coalesce("root", "node").alias("grp")), "stage-groups")
+
+    by_fp = staged(sets.groupBy("fp").agg(F.min("node").alias("rep")), "stage-fingerprints")
+    near = spanning_links(by_fp.select("fp"), STAGE_CLOSE)
+    near = near.join(by_fp.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+    near = near.select(F.col("ra").alias("a"), F.col("rb").alias("b")).union(sets.join(by_fp, "fp").select("node", "rep"))
+    rare = sets.select("node", F.posexplode("prefix").alias("at", "token")).filter(F.col("at") < FIRST)
+    held = rare.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token", F.ceil(F.col("n") / STAGE_TILE).cast("int").alias("t"))
+    rare = rare.join(small(held), "token").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("t")))
+    beside = Window.partitionBy("token", "own").orderBy(F.xxhash64("node", "token"), "node")
+    rare = rare.select(F.col("node").alias("a"), F.lead("node").over(beside).alias("b")).filter("b is not null")
+    first = similar(near.union(rare))
+    groups = grouped(first)
+    keyed = groups.select(F.explode("prefix").alias("token"), "node", "size", "grp", "parity")
+    groups = grouped(first.union(similar(apart_pairs(keyed, similarity))))
+    return staged(marked.select("key", "doc_id", "node").join(groups.select("node", F.col("grp").alias("class_id")), "node").select("key", "doc_id", "class_id"), "stage-classes")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
