@@ -430,3 +430,14 @@ def test_similar_texts_far_apart_in_bits(spark):
     want = brute_classes(texts)
     assert any(f > 11 and frozenset((2 * i, 2 * i + 1)) in want for i, f in enumerate(far))
     assert got_classes(spark, texts) == want
+
+
+def test_close_fingerprints_of_different_texts(spark):
+    """A passage repeated many times rules the SimHash, not the similarity."""
+    r = random.Random(9)
+    head = " ".join("h%d" % i for i in range(13))
+    tails = [" ".join("t%d" % r.randrange(5000) for _ in range(40)) for _ in range(6)]
+    texts = [(head + " ") * 60 + t for t in tails] + [(head + " ") * 60 + t + " more" for t in tails]
+    fps = [brute_fingerprint(t, 5) for t in texts]
+    assert all(bin(a ^ b).count("1") <= 3 for a in fps for b in fps)
+    assert got_classes(spark, texts) == brute_classes(texts) == {frozenset((i, i + 6)) for i in range(6)}
