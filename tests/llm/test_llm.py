@@ -441,3 +441,13 @@ def test_close_fingerprints_of_different_texts(spark):
     fps = [brute_fingerprint(t, 5) for t in texts]
     assert all(bin(a ^ b).count("1") <= 3 for a in fps for b in fps)
     assert got_classes(spark, texts) == brute_classes(texts) == {frozenset((i, i + 6)) for i in range(6)}
+
+
+def test_leaks_before_the_start(spark):
+    """An item whose first words are cut off at the start of a text, and a consistent copy after a broken one."""
+    item = "Yesterday morning the keeper Anna bought 12 apples for 3 euros in Paris and then Anna sold 5 apples to Bob near the old market"
+    bench = spark.createDataFrame([(1, item)], "item_id int, text string")
+    broken = item.replace("keeper Anna", "keeper Clara").replace("then Anna", "then Dora").replace("12", "7").replace("sold 5", "sold 7").replace("3 euros", "7 euros")
+    texts = [" ".join(words(item)[3:]), f"It says {broken} and more. It says {item} and more.", f"It says {broken} and more."]
+    got = {g.doc_id for g in decontaminate.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), bench).collect()}
+    assert got == {0, 1}

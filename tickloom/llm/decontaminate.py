@@ -8,7 +8,8 @@ whose names and figures were replaced is found too.
 Defined results: null and empty texts on either side have no windows and match nothing. A text of fewer than eight
 words is one window of its own length, so it matches only a text that is equal in canonical form. Repeated documents
 match alike; repeated items match each. An empty benchmark or corpus gives an empty result. A hit is per
-(document, item); more than one alignment keeps the best, ties to the first.
+(document, item): the best of the alignments that pass both checks, ties to the first. An alignment may begin before
+the document does.
 """
 
 from __future__ import annotations
@@ -102,45 +103,47 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     aligned = hits.groupBy("doc_key", "item_key", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
         F.count("*").alias("n_windows")
     )
-    best = aligned.join(small(sizes), "item_key").filter(F.col("n_windows") >= min_coverage * F.col("item_windows"))
-    best = best.groupBy("doc_key", "item_key", "item_windows").agg(
-        F.max(F.struct("n_windows", (-F.col("shift")).alias("back"))).alias("top")
-    ).select("doc_key", "item_key", "item_windows", F.col("top.n_windows").alias("n_windows"), (-F.col("top.back")).alias("shift"))
-    best = staged(best, "leak-candidates")
-    keys = best.select("doc_key").distinct()
+    reached = staged(aligned.join(small(sizes), "item_key").filter(F.col("n_windows") >= min_coverage * F.col("item_windows")), "leak-candidates")
+    keys = reached.select("doc_key").distinct()
     found = d.join(small(keys), "doc_key", "left_semi").dropDuplicates(["doc_key"])
     found = found.select("doc_key", "doc_id", word_array(F.col("text")).alias("ws"))
-    pairs = found.join(small(best), "doc_key").join(small(items.select("item_key", "item_id", word_array(F.col("text")).alias("iw"))), "item_key")
-    facing = let(
-        F.struct(
-            F.col("iw").alias("a"),
-            F.slice("ws", F.greatest(F.col("shift"), F.lit(0)) + 1, F.size("iw")).alias("b"),
-        ),
-        lambda x: F.filter(
-            F.zip_with(
-                F.arrays_zip(x["a"].alias("w"), canonical(x["a"]).alias("c")),
-                F.arrays_zip(x["b"].alias("w"), canonical(x["b"]).alias("c")),
-                lambda p, q: F.struct(p["c"].alias("kind"), core(p["w"]).alias("item"), core(q["w"]).alias("doc"), q["c"].alias("other")),
-            ),
-            lambda s: s["kind"].isin(*SLOTS) & (s["kind"] == s["other"]),
+    found = found.withColumn("wc", canonical(F.col("ws")))
+    sides = items.select("item_key", "item_id", word_array(F.col("text")).alias("iw"))
+    sides = sides.withColumn("ic", canonical(F.col("iw")))
+    pairs = found.join(small(reached), "doc_key").join(small(sides), "item_key")
+    item_from, doc_from = F.greatest(-F.col("shift"), F.lit(0)) + 1, F.greatest(F.col("shift"), F.lit(0)) + 1
+
+    def part(name: str, start: Column) -> Column:
+        return F.slice(name, start, F.size("iw"))
+
+    facing = F.filter(
+        F.zip_with(
+            F.arrays_zip(part("iw", item_from).alias("w"), part("ic", item_from).alias("c")),
+            F.arrays_zip(part("ws", doc_from).alias("w"), part("wc", doc_from).alias("c")),
+            lambda p, q: F.struct(p["c"].alias("kind"), core(p["w"]).alias("item"), core(q["w"]).alias("doc"), q["c"].alias("other")),
         ),
+        lambda s: s["kind"].isin(*SLOTS) & (s["kind"] == s["other"]),
     )
-    slots = pairs.filter(F.col("shift") >= 0).select(
-        "doc_key", "doc_id", "item_id", "n_windows", "item_windows",
+    slots = pairs.select(
+        "doc_key", "doc_id", "item_key", "item_id", "n_windows", "item_windows", "shift",
         F.transform(facing, lambda s: F.concat_ws("\u0001", s["kind"], F.lower(s["item"]), F.lower(s["doc"]))).alias("both"),
         F.transform(facing, lambda s: F.concat_ws("\u0001", s["kind"], F.lower(s["item"]))).alias("left"),
         F.transform(facing, lambda s: F.concat_ws("\u0001", s["kind"], F.lower(s["doc"]))).alias("right"),
     )
     n_both, n_left, n_right = (F.size(F.array_distinct(c)) for c in ("both", "left", "right"))
     broken = (n_both - n_left) + (n_both - n_right)
-    return slots.filter(broken <= max_inconsistent * F.size("both")).select(
-        "doc_key", "doc_id", "item_id",
-        F.col("n_windows").cast("long").alias("n_windows"),
-        F.col("item_windows").cast("long").alias("item_windows"),
-        F.round(F.col("n_windows") / F.col("item_windows"), 6).alias("coverage"),
-        F.size("both").cast("long").alias("n_slots"),
-        (F.size(F.array_except("left", "right")) > 0).alias("reparameterised"),
+    consistent = slots.filter(broken <= max_inconsistent * F.size("both")).select(
+        "doc_key", "doc_id", "item_key", "item_id", "n_windows", "shift",
+        F.struct(
+            F.col("n_windows").cast("long").alias("n_windows"),
+            F.col("item_windows").cast("long").alias("item_windows"),
+            F.round(F.col("n_windows") / F.col("item_windows"), 6).alias("coverage"),
+            F.size("both").cast("long").alias("n_slots"),
+            (F.size(F.array_except("left", "right")) > 0).alias("reparameterised"),
+        ).alias("hit"),
     )
+    best = consistent.groupBy("doc_key", "item_key", "doc_id", "item_id").agg(F.max_by("hit", F.struct("n_windows", -F.col("shift"))).alias("hit"))
+    return best.select("doc_key", "doc_id", "item_id", "hit.*")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
