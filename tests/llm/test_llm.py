@@ -451,3 +451,12 @@ def test_leaks_before_the_start(spark):
     texts = [" ".join(words(item)[3:]), f"It says {broken} and more. It says {item} and more.", f"It says {broken} and more."]
     got = {g.doc_id for g in decontaminate.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), bench).collect()}
     assert got == {0, 1}
+
+
+def test_urls_far_from_seeds(spark):
+    """A chain of 14 links before a blocked host; each link has 30 others beside it, so that scores are tiny."""
+    pages = [(0, "http://h0.net/", '<a href="http://b.com/">'), (1, "http://b.com/de/1", None)]
+    for k in range(1, 15):
+        pages += [(100 * k + j, f"http://{'h%d' % k if j == 0 else 'x%d-%d' % (k, j)}.net/", f'<a href="http://h{k - 1}.net/">') for j in range(31)]
+    got = {g.page_id: g.verdict for g in url_filter.judge(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == len(pages) and set(got.values()) == {"block"}

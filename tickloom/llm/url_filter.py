@@ -4,8 +4,8 @@ Hosts are nodes; an edge goes from a page's host to every host that the page lin
 and both ways between a host and the host that it mirrors (``www.``, ``m.``, ``blog.`` ...). Trust is the personalised
 PageRank from the hosts whose pages an allow rule admits; distrust is the same over reversed edges from the hosts
 whose pages a block rule refuses, so that linking to a blocked host counts against the one who links. A seed's weight
-is the share of its pages. A host is blocked if its distrust exceeds ``RATIO`` times its trust; hosts without either
-are allowed.
+is the share of its pages. Rounds end when no score changes by more than ``TOLERANCE`` of itself. A host is blocked if
+its distrust exceeds ``RATIO`` times its trust, both unrounded; hosts without either are allowed.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed. Null or
 empty html has no links. Repeated pages each get their row and count as pages of their host. An empty table gives an
@@ -28,8 +28,13 @@ RULES = (
     ("block", "com", "/de/"),
 )
 DAMPING = 0.85
+#: Rounds between two tests of convergence.
 ROUNDS = 12
+#: Largest relative change of a score in the last round.
+TOLERANCE = 1e-8
 RATIO = 1.0
+#: Relative excess that a comparison of scores needs, above what is left to the limit.
+EXCESS = 1e-6
 #: Fixed list of first labels under which a host mirrors another.
 MIRRORS = "^(?:www|m|mobile|blog|amp|news|shop|en|de|fr|es)\\."
 HREF = "(?i)\\bhref\\s*=\\s*[\"']?\\s*(?:https?:)?//([^/?#\"'\\s>]+)"
@@ -65,8 +70,9 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(both).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) after so many rounds; seeds: (host, trust_seed, distrust_seed).
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS,
+              tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust) at the limit, tested after every so many rounds; seeds: (host, trust_seed, distrust_seed).
 
     Both scores move in one pass: trust along shares of the source's weight, distrust back along shares of the target's.
     """
@@ -79,14 +85,20 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     start = seeds.select("host", ((1 - damping) * F.col("trust_seed")).alias("t"), ((1 - damping) * F.col("distrust_seed")).alias("d"))
     if not shares.take(1):
         return score
-    for _ in range(rounds):
-        ahead = shares.join(score, shares.src == score.host).select(F.col("dst").alias("host"), (damping * F.col("along") * F.col("trust")).alias("t"), F.lit(0.0).alias("d"))
-        behind = shares.join(score, shares.dst == score.host).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (damping * F.col("back") * F.col("distrust")).alias("d"))
-        after = ahead.union(behind).union(start).groupBy("host").agg(F.sum("t").alias("trust"), F.sum("d").alias("distrust"))
-        after = staged(after, "scores")
-        unstage(score)
-        score = after
-    return score
+    change = lambda new, old: F.max(F.when(F.col(new) > 1e-290, F.abs(F.col(new) - F.col(old)) / F.col(new)))
+    while True:
+        for at in range(rounds):
+            ahead = shares.join(score, shares.src == score.host).select(F.col("dst").alias("host"), (damping * F.col("along") * F.col("trust")).alias("t"), F.lit(0.0).alias("d"))
+            behind = shares.join(score, shares.dst == score.host).select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (damping * F.col("back") * F.col("distrust")).alias("d"))
+            after = ahead.union(behind).union(start).groupBy("host").agg(F.sum("t").alias("trust"), F.sum("d").alias("distrust"))
+            after = staged(after, "scores")
+            if at == rounds - 1:
+                old = score.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0"))
+                moved = after.join(old, "host", "left").na.fill(0.0, ["t0", "d0"]).agg(F.greatest(change("trust", "t0"), change("distrust", "d0"))).first()[0]
+            unstage(score)
+            score = after
+        if (moved or 0.0) <= tolerance:
+            return score
 
 
 def judge(pages: DataFrame, rules=RULES, ratio: float = RATIO, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
@@ -98,8 +110,8 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = RATIO, damping: float =
         (F.count_if(F.col("rule_verdict") == "block") / F.count("*")).alias("distrust_seed"),
     )
     score = propagate(host_edges(named), seeds, damping, rounds)
-    verdicts = score.select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
-    verdicts = verdicts.withColumn("blocked", F.col("distrust") > ratio * F.col("trust"))
+    blocked = F.col("distrust") > ratio * (1 + EXCESS) * F.col("trust")
+    verdicts = score.select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), blocked.alias("blocked"))
     judged = named.drop("html").join(small(verdicts), "host", "left")
     return judged.select(
         "page_id", "host", "path", "rule",
