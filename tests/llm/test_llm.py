@@ -460,3 +460,10 @@ def test_urls_far_from_seeds(spark):
         pages += [(100 * k + j, f"http://{'h%d' % k if j == 0 else 'x%d-%d' % (k, j)}.net/", f'<a href="http://h{k - 1}.net/">') for j in range(31)]
     got = {g.page_id: g.verdict for g in url_filter.judge(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
     assert len(got) == len(pages) and set(got.values()) == {"block"}
+
+
+def test_language_of_many_copies(spark):
+    """Each of a few texts is learned, however many copies a language has."""
+    docs = spark.range(20000).selectExpr("'aa' as lang", "concat('text number ', id % 20, ' of twenty') as text")
+    learned = language_id.fit_dictionaries(docs)["aa"].decode().split("\n")
+    assert sorted(filter(None, learned)) == sorted(f"text number {i} of twenty" for i in range(20))

@@ -5,8 +5,8 @@ kilobytes, every piece is encoded with every dictionary, and the language with t
 smallest totals are closer than a margin the classifier rejects: ``accepted`` is false, though ``lang_pred`` still
 names the smallest.
 
-The dictionaries are fitted on a bounded sample: at most ``SAMPLE_ROWS`` rows a language, chosen by a hash of the row,
-and ``DICT_BYTES`` of their text. Prediction reads every whole text.
+The dictionaries are fitted on a bounded sample: at most ``SAMPLE_ROWS`` distinct texts a language, chosen by their
+hash, the first ``TEXT_BYTES`` characters of each and ``DICT_BYTES`` in all. Prediction reads every whole text.
 
 Defined results: a null text and one without a letter are ``und`` with score 0. Without a labelled row everything is
 ``und``. Ties go to the language first in code-point order. Repeated rows get equal results; ids may be null.
@@ -44,15 +44,16 @@ def training_rows(docs: DataFrame, keep: Column) -> DataFrame:
 def fit_dictionaries(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionary content per language from a bounded sample of rows (lang, text).
 
-    Rows are picked by a hash threshold that expects four times the bound, then the lowest hashes.
+    Distinct texts are picked by a hash threshold that expects four times the bound, then the lowest hashes.
     """
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    h = F.xxhash64("text")
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct(h).alias("n")).collect()}
     if not counts:
         return {}
     share = {k: min(1.0, 4.0 * sample_rows / n) for k, n in counts.items()}
     limits = F.create_map(*[F.lit(x) for k, s in share.items() for x in (k, int(s * (1 << 31)))])
-    h = F.xxhash64("text")
     picked = rows.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 31)) <= limits[F.col("lang")])
+    picked = picked.groupBy("lang", "h").agg(F.min("text").alias("text"))
     from pyspark.sql import Window
 
     ranked = picked.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("at") <= sample_rows)
