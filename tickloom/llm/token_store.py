@@ -1,6 +1,6 @@
 """Operator 4, token-ID / binary output: a shared zstandard dictionary over serialized id arrays.
 
-Every document is encoded with a public tokenizer, its ids are serialized little-endian (two bytes each if the
+Documents are range-partitioned by id; each is encoded with a public tokenizer, its ids are serialized little-endian (two bytes each if the
 vocabulary fits, else four) and compressed on their own with one shared dictionary, trained on the id arrays of a
 bounded sample of documents. A segment packs the frames of consecutive documents, in ascending id order, with the
 dictionary's hash and an index of offsets, so a short document is read by slicing its frame and decompressing that.
@@ -10,7 +10,8 @@ Layout: ``<path>/packed`` (part, seq, dict_hash, id_bytes, doc_ids, n_tokens, of
 total, frames), ``<path>/index`` (part, seq, start: the ids before the segment) and ``<path>/dictionary`` (dict_hash, data).
 
 Defined results: a null text is encoded as an empty one, which leaves the end id. Null ids sort first; rows of equal
-id sort by their text and each gets its own frame. An empty table gives an empty segment table.
+id sort by a hash of their text and each gets its own frame; rows that repeat both are dealt out by their place in the
+input, so that no id is one task's work. Ids may be of any type that sorts. An empty table gives an empty segment table.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import n_partitions, new_path
@@ -32,7 +34,9 @@ SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 4000
 DICT_BYTES = 64 << 10
 SEGMENT_BYTES = 1 << 20
-MAX_CACHED_WORDS = 1_000_000
+#: Words whose ids a Python worker keeps (about 300 bytes each), and texts whose words are looked up together.
+MAX_CACHED_WORDS = 150_000
+TEXTS_AT_ONCE = 256
 LEVEL = 3
 ODD = re.compile(rb"0|<\|")
 
@@ -61,8 +65,6 @@ class WordTokens:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.id_type).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.cache) + len(words) > MAX_CACHED_WORDS:
-            self.cache.clear()
         plain = []
         for w in words:
             if ODD.search(w):
@@ -85,16 +87,17 @@ class WordTokens:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(texts), 256):
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
             words = []
-            for t in texts[at:at + 256]:
+            for t in texts[at:at + TEXTS_AT_ONCE]:
                 raw = (t or "").encode("utf-8", "replace")
                 words.append((raw if b"<|" in raw else raw.lower()).split())
             new = set().union(*words)
             missing = new - self.cache.keys()
             if missing:
                 if len(self.cache) + len(missing) > MAX_CACHED_WORDS:
-                    missing = new
+                    # the words in use now, most of them the common ones, stay
+                    self.cache = {w: self.cache[w] for w in new - missing}
                 self.learn(missing)
             get = self.cache.__getitem__
             out += [b"".join(map(get, w)) for w in words]
@@ -143,27 +146,6 @@ def decompressor(data: bytes) -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data)) if data else zstandard.ZstdDecompressor()
 
 
-def range_of(docs: DataFrame, parts: int) -> Column:
-    """Number of the id range that a row belongs to; ranges ascend and hold about equally many rows. Nulls are in the first."""
-    cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
-    if not cuts:
-        return F.lit(0)
-    cuts = sorted(set(cuts))
-    kind = docs.schema["doc_id"].dataType
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]), lambda c: c < F.col("doc_id"))), F.lit(0)) if len(cuts) < 64 else _search(cuts, kind)
-
-
-def _search(cuts: list, kind) -> Column:
-    """The number of cuts below the id, by nested halves."""
-    def half(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") > F.lit(cuts[mid]).cast(kind), half(mid + 1, hi)).otherwise(half(lo, mid))
-
-    return F.coalesce(half(0, len(cuts)), F.lit(0))
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
                  segment_bytes: int = SEGMENT_BYTES) -> None:
     """Writes the token files of all documents under ``path``."""
@@ -176,24 +158,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     kind = d.schema["doc_id"].dataType.simpleString()
     end = np.array([end_id], id_type).tobytes()
     size = np.dtype(id_type).itemsize
-
-    def encode(batches):
-        words, zstd = shared_words(tokenizer, id_type), compressor(data)
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                c = b.slice(at, 512)
-                ids = [x + end for x in words.encode(c.column(2).to_pylist())]
-                frames = [zstd.compress(x) for x in ids]
-                counts = [len(x) // size for x in ids]
-                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), c.column(3), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], ["part", "doc_id", "tie", "n_tokens", "frame"])
-
-    parts = n_partitions(spark)
-    rows = d.select(range_of(d, parts).cast("int").alias("part"), "doc_id", "text", F.xxhash64("text").alias("tie"))
-    frames = rows.mapInArrow(encode, f"part int, doc_id {kind}, tie bigint, n_tokens bigint, frame binary")
-    dealt = frames.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie")
+    order = (F.col("doc_id").asc_nulls_first(), "tie", "salt")
+    rows = d.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("salt"))
+    dealt = rows.repartitionByRange(n_partitions(spark), *order).sortWithinPartitions(*order)
 
     def pack(batches):
-        ids, counts, found, held, part, seq = [], [], [], 0, None, 0
+        words, zstd = shared_words(tokenizer, id_type), compressor(data)
+        ids, counts, found, held, seq = [], [], [], 0, 0
 
         def row():
             offsets = np.cumsum([0, *map(len, found)])
@@ -203,23 +174,25 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
                 pa.array([sum(counts)], pa.int64()), pa.array([b"".join(found)], pa.binary()),
             ], ["part", "seq", "dict_hash", "id_bytes", "doc_ids", "n_tokens", "offsets", "total", "frames"])
 
-        doc_type = None
+        part, doc_type = TaskContext.get().partitionId(), None
         for b in batches:
-            doc_type = b.column(1).type
-            for p, i, n, f in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4))):
-                if ids and (held >= segment_bytes or p != part):
-                    yield row()
-                    ids, counts, found, held, seq = [], [], [], 0, seq + 1
-                part = p
-                ids.append(i)
-                counts.append(n)
-                found.append(f)
-                held += len(f) + 24
+            doc_type = b.column(0).type
+            for at in range(0, b.num_rows, TEXTS_AT_ONCE):
+                c = b.slice(at, TEXTS_AT_ONCE)
+                for i, tokens in zip(c.column(0).to_pylist(), words.encode(c.column(1).to_pylist())):
+                    if held >= segment_bytes:
+                        yield row()
+                        ids, counts, found, held, seq = [], [], [], 0, seq + 1
+                    tokens += end
+                    ids.append(i)
+                    counts.append(len(tokens) // size)
+                    found.append(zstd.compress(tokens))
+                    held += len(found[-1]) + 24
         if ids:
             yield row()
 
     fields = f"part int, seq bigint, dict_hash string, id_bytes int, doc_ids array<{kind}>, n_tokens array<bigint>, offsets array<bigint>, total bigint, frames binary"
-    dealt.mapInArrow(pack, fields).write.option("compression", "none").parquet(f"{path}/packed")
+    dealt.select("doc_id", "text").mapInArrow(pack, fields).write.option("compression", "none").parquet(f"{path}/packed")
     packed = spark.read.parquet(f"{path}/packed")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts_at = packed.groupBy("part").agg(F.sum("total").alias("in_part")).select("part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("part_start"))
