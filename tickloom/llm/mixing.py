@@ -1,15 +1,19 @@
 """Operator 9, mixing sources to target weights: entropy balancing.
 
-Targets share a budget by source weights, none above twice its source's size, the excess reshared by weight. Rates
-minimise the entropy divergence from taking each document once, subject to one token constraint a source. The dual is
-convex: its gradient is the tokens taken at the present multipliers minus the targets, its Hessian the tokens taken.
-Newton iterations evaluate both by grouped sums over (source, size) classes; a document's rate is the exponential of
-its source's multiplier, tilted so far that the constraint holds and never above the bound.
+Targets share a budget by source weights, none above twice its source's size, the excess reshared by weight. Document
+rates minimise the entropy divergence from taking each document once, subject to token constraints: every source gives
+its target, and every class of document sizes (powers of two) keeps the tokens that the source targets imply, so that a
+tilt favours neither long nor short texts. Rates are at most ``CAP``. The dual is convex and its solution tilts every
+document on its own: rate = min(CAP, exp(size * (source's multiplier + class's multiplier))).
 
-Rates become whole copies by error diffusion: within a source the classes are passed from the largest size down, each
+Newton iterations solve the dual. Tokens taken and curvatures are grouped sums over (source, size) in Spark. Sources
+meet only through the few size classes, so each step solves the classes' Schur complement (at most 64 x 64) and then
+every source's multiplier by itself, in Spark; a backtracking search along the step keeps the dual falling.
+
+Rates become whole copies by error diffusion: within a source the sizes are passed from the largest down, each
 takes the copies that bring the tokens taken closest to the tokens due, so that only the smallest documents' rounding
-is left at the end. Within a class the documents first in a hash order get the odd copies; a class of many documents
-is cut by hash and the odd copies are dealt to the parts in proportion, so no class meets in one task.
+is left at the end. Within a size the documents first in a hash order get the odd copies; a size of many documents
+is cut by hash and the odd copies are dealt to the parts in proportion, so no size meets in one task.
 
 Defined results: null and blank texts have size 0 and take nothing. A null source is a source of its own, last in
 order. A source of size 0 has target 0. Repeated rows are rows of their own. An empty table gives an empty result.
@@ -17,18 +21,23 @@ order. A source of size 0 has target 0. Repeated rows are rows of their own. An
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, small, staged, unstage, word_array
+from .common import small, small_enough, staged, unstage, whole_row_key, word_array
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 CAP = 2.0
-ROUNDS = 40
-TOLERANCE = 1e-9
-#: Documents of one class that a task ranks.
+#: Newton steps at most, the largest relative miss of a constraint at which they end, and halvings of a step.
+ROUNDS = 60
+TOLERANCE = 1e-7
+HALVINGS = 12
+#: Documents of one source and size that a task ranks.
 PART = 50_000
 
 
@@ -51,26 +60,85 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: floa
     return s.select("skey", "source", "source_size", F.least("most", F.coalesce(F.col("weight") * F.col("free_level"), F.col("most"))).alias("target"))
 
 
-def newton(classes: DataFrame, goal: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(skey, multiplier): solves the dual; classes: (skey, size, n), goal: (skey, target)."""
-    state = staged(goal.filter("target > 0").select("skey", "target", F.lit(0.0).alias("multiplier")), "multipliers")
-    for _ in range(rounds):
-        taken = classes.join(state, "skey").groupBy("skey", "target", "multiplier").agg(
-            F.sum(F.col("n") * F.col("size") * F.exp("multiplier")).alias("taken"))
-        step = taken.select("skey", "target", (F.col("multiplier") - (F.col("taken") - F.col("target")) / F.col("taken")).alias("multiplier"),
-                            F.abs(F.col("taken") / F.col("target") - 1).alias("off"))
-        after = staged(step, "multipliers")
-        unstage(state)
-        state = after.drop("off")
-        state.staged_path = after.staged_path
-        worst = after.agg(F.max("off")).first()[0]
-        if worst is None or worst <= tolerance:
+def size_class(size: Column) -> Column:
+    return F.floor(F.log2(F.greatest(size, F.lit(1)))).cast("int")
+
+
+def tilt(multiplier: Column, mu: dict[int, float], size: Column) -> Column:
+    """The exponent of a document's rate."""
+    by_class = F.create_map(*[F.lit(x) for c, m in mu.items() for x in (c, float(m))])
+    return size * (multiplier + F.coalesce(F.try_element_at(by_class, size_class(size)), F.lit(0.0)))
+
+
+def newton(classes: DataFrame, goal: DataFrame, cap: float = CAP, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(skey, size, n, rate) at the dual's solution; classes: (skey, size, n), goal: (skey, source_size, target).
+
+    Sources whose target is all that the cap allows take every document ``cap`` times and leave the system.
+    """
+    full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
+    free = goal.filter((F.col("source_size") > 0) & ~full)
+    few = F.broadcast if small_enough(goal) else lambda df: df
+    c = staged(classes.filter("size > 0").join(few(free), "skey").select("skey", "size", "n", size_class(F.col("size")).alias("cls"), "target", "source_size"), "free-classes")
+    due = {r["cls"]: r["due"] for r in c.groupBy("cls").agg(F.sum(F.col("n") * F.col("size") / F.col("source_size") * F.col("target")).alias("due")).collect()}
+    order = sorted(due)
+    want, place = np.array([due[k] for k in order]), {k: i for i, k in enumerate(order)}
+    mu = np.zeros(len(order))
+    state = staged(free.select("skey", "target", F.lit(0.0).alias("lam")), "multipliers")
+    top = math.log(cap)
+
+    def named(values) -> dict[int, float]:
+        return dict(zip(order, values))
+
+    for _ in range(rounds if order else 0):
+        u = tilt(F.col("lam"), named(mu), F.col("size"))
+        now = c.drop("target").join(few(state), "skey").withColumn("u", u).withColumn("rate", F.exp(F.least(F.col("u"), F.lit(top))))
+        now = now.groupBy("skey", "target", "lam", "cls").agg(
+            F.sum(F.col("n") * F.col("size") * F.col("rate")).alias("taken"),
+            F.sum(F.when(F.col("u") < top, F.col("n") * F.col("size") * F.col("size") * F.col("rate")).otherwise(0.0)).alias("h"))
+        now = now.groupBy("skey", "target", "lam").agg(
+            (F.sum("taken") - F.first("target")).alias("g"), (F.sum("h") + 1e-9 * F.sum("taken")).alias("hs"), F.collect_list(F.struct("cls", "taken", "h")).alias("by"))
+        now = staged(now, "newton")
+        pair = now.select("target", "g", "hs", F.explode("by").alias("x"), "by").select("target", "g", "hs", "x", F.explode("by").alias("y"))
+        cross = pair.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(
+            F.sum(F.col("x.h") * F.col("y.h") / F.col("hs")).alias("s"), F.sum(F.col("x.h") * F.col("g") / F.col("hs")).alias("r"),
+            F.sum("x.h").alias("h"), F.sum("x.taken").alias("taken"), F.max(F.abs("g") / F.col("target")).alias("off")).collect()
+        worst = max(r["off"] for r in cross)
+        schur, right, gap = np.zeros((len(order), len(order))), np.zeros(len(order)), -want
+        for r in cross:
+            i, j = place[r["a"]], place[r["b"]]
+            schur[i, j] -= r["s"]
+            if i == j:
+                schur[i, i] += r["h"]
+                right[i] -= r["r"]
+                gap[i] += r["taken"]
+        if max(worst, float(np.max(np.abs(gap) / want))) <= tolerance:
+            unstage(now)
             break
-    return state.select("skey", "multiplier")
+        step = np.linalg.lstsq(schur, -(gap + right), rcond=1e-13)[0]
+        moved = F.aggregate("by", F.lit(0.0), lambda a, x: a + x["h"] * F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for k, m in named(step).items() for v in (k, float(m))]), x["cls"]), F.lit(0.0)))
+        ahead = staged(now.select("skey", "target", "lam", (-(F.col("g") + moved) / F.col("hs")).alias("dl")), "steps")
+        # the dual along the step; its value beyond the cap goes on as a straight line
+        parts = []
+        for k in range(HALVINGS):
+            t = 0.5 ** k
+            v = tilt(F.col("lam") + t * F.col("dl"), named(mu + t * step), F.col("size"))
+            parts.append(F.sum(F.col("n") * (F.exp(F.least(v, F.lit(top))) + cap * F.greatest(v - top, F.lit(0.0)))).alias(f"v{k}"))
+        grown = c.drop("target").join(few(ahead), "skey").agg(*parts).first()
+        lines = ahead.agg(F.sum(F.col("target") * F.col("lam")), F.sum(F.col("target") * F.col("dl"))).first()
+        values = np.array([grown[k] - lines[0] - 0.5 ** k * lines[1] - float(want @ (mu + 0.5 ** k * step)) for k in range(HALVINGS)])
+        k = int(np.flatnonzero(values <= values.min() + 1e-12 * abs(values.min()))[0])
+        mu = mu + 0.5 ** k * step
+        after = staged(ahead.select("skey", "target", (F.col("lam") + 0.5 ** k * F.col("dl")).alias("lam")), "multipliers")
+        for old in (state, now, ahead):
+            unstage(old)
+        state = after
+    rate = F.when(full, cap).when(F.col("lam").isNotNull(), F.exp(F.least(tilt(F.col("lam"), named(mu), F.col("size")), F.lit(top)))).otherwise(0.0)
+    known = goal.join(state.select("skey", "lam"), "skey", "left")
+    return classes.join(few(known), "skey").select("skey", "size", "n", F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"))
 
 
 def diffuse(classes: DataFrame) -> DataFrame:
-    """Adds copies, the whole copies that a class takes; classes: (skey, size, n, rate). Rows a source: its distinct sizes."""
+    """Adds copies, the whole copies that a class takes; classes: (skey, size, n, rate). A source's rows are its distinct sizes."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size", ascending=False)
         copies, due = [], 0.0
@@ -79,26 +147,22 @@ def diffuse(classes: DataFrame) -> DataFrame:
             take = min(max(round(due / size), 0), int(CAP) * n) if size else 0
             due -= take * size
             copies.append(take)
-        return group.assign(copies=copies)[["skey", "size", "n", "copies"]]
+        return group.assign(copies=copies)[["skey", "size", "n", "rate", "copies"]]
 
-    return classes.groupBy("skey").applyInPandas(run, "skey string, size bigint, n bigint, copies bigint")
+    return classes.groupBy("skey").applyInPandas(run, "skey string, size bigint, n bigint, rate double, copies bigint")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
         budget: float = BUDGET, part: int = PART) -> DataFrame:
     """(doc_id, key, size, source_size, target, rate, copies, taken) of every document."""
     sizes = staged(docs.select(
-        F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(source_col).alias("source"),
+        F.col(id_col).alias("doc_id"), whole_row_key(docs).alias("key"), F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("skey"),
         F.size(word_array(F.col(text_col))).cast("bigint").alias("size"),
     ), "sizes")
     goal = staged(targets(sizes, weights, budget), "targets")
     classes = staged(sizes.groupBy("skey", "size").agg(F.count("*").alias("n")), "classes")
-    rates = goal.join(newton(classes, goal), "skey", "left").select(
-        "skey", "source_size", "target", F.least(F.lit(CAP), F.coalesce(F.exp("multiplier"), F.lit(0.0))).alias("rate"))
-    rates = staged(rates, "rates")
-    taken = diffuse(classes.join(small(rates), "skey").select("skey", "size", "n", "rate"))
-    taken = staged(taken, "copies")
+    taken = staged(diffuse(newton(classes, goal)), "copies")
     hashed = F.xxhash64("key", F.lit(11))
     parts = sizes.join(small(taken), ["skey", "size"]).withColumn("h", hashed).withColumn(
         "part", F.pmod(hashed, F.ceil(F.col("n") / part)).cast("int"))
@@ -109,7 +173,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = dealt.withColumn("upto", F.sum("m").over(upto)).select(
         "skey", "size", "part", (share(F.col("upto")) - share(F.col("upto") - F.col("m"))).alias("odd"))
     ranked = parts.withColumn("at", F.row_number().over(Window.partitionBy("skey", "size", "part").orderBy("h", "doc_id")))
-    ranked = ranked.join(small(dealt), ["skey", "size", "part"]).join(small(rates), "skey")
+    ranked = ranked.join(small(dealt), ["skey", "size", "part"]).join(small(goal.select("skey", "source_size", "target")), "skey")
     copies = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("at") <= F.col("odd"), 1).otherwise(0)
     return ranked.select(
         "doc_id", "key", "size", "source_size", "target", "rate", copies.cast("bigint").alias("copies"),
@@ -117,12 +181,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: every document as many times as it is copied, in the input's columns."""
+    """The mix itself: every document as many times as it is copied, in the input's columns. Only rows that are equal in
+    every column are interchangeable."""
     copies = mix(docs, id_col, text_col, source_col).groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
     copies = staged(copies.filter("copies <> 1 or n > 1"), "mix-copies")
-    kept = docs.select(F.struct(*docs.columns).alias("row"), row_key(F.col(id_col), F.col(text_col)).alias("key"))
+    kept = docs.select(F.struct(*docs.columns).alias("row"), whole_row_key(docs).alias("key"))
     kept = kept.join(small(copies), "key", "left")
     once = kept.filter(F.coalesce("n", F.lit(1)) == 1).select("row", "copies")
-    again = kept.filter("n > 1").dropDuplicates(["key"]).select("row", "copies")
+    again = kept.filter("n > 1").dropDuplicates(["key"]).select("row", "copies")  # rows that are equal in every column
     return once.union(again).filter(F.coalesce("copies", F.lit(1)) > 0).select(
         "row", F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))).alias("copy")).select("row.*")
