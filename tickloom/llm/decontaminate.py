@@ -7,14 +7,17 @@ whose names and figures were replaced is found too.
 
 Defined results: null and empty texts on either side have no windows and match nothing. A text of fewer than eight
 words is one window of its own length, so it matches only a text that is equal in canonical form. Repeated documents
-match alike; repeated items match each. An empty benchmark or corpus gives an empty result. A hit is per
+match alike; repeated items match each. A window of slots only tells nothing: it is no evidence for its item, and an item that
+has no other windows is sought by its plain words. Of equal windows of an item the first ``SAME`` count. An empty benchmark or corpus gives an empty result. A hit is per
 (document, item): the best of the alignments that pass both checks, ties to the first. An alignment may begin before
 the document does.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let, row_key, small, staged, word_array
@@ -22,6 +25,8 @@ from .common import let, row_key, small, staged, word_array
 WINDOW = 8
 #: Share of an item's windows that must be found on one alignment.
 MIN_COVERAGE = 0.5
+#: Places of equal windows of an item that are sought, so that a text of equal words meets it in proportion to its length.
+SAME = 4
 #: Share of the aligned slots that may break the one-to-one mapping.
 MAX_INCONSISTENT = 0.2
 #: Fixed list of units.
@@ -79,16 +84,37 @@ def window_hashes(canon: Column, window: int) -> Column:
     return let(F.transform(canon, lambda w: F.xxhash64(w)), hashes)
 
 
-def windows(texts: DataFrame, key: str, place: str, window: int) -> DataFrame:
+def plain(words: Column) -> Column:
+    """Words in lower case without the punctuation around them."""
+    return F.transform(words, lambda w: F.lower(core(w)))
+
+
+def windows(texts: DataFrame, key: str, place: str, window: int, form=canonical) -> DataFrame:
     """One row per window: key, place and hash.
 
     The hashes are exploded as an expression: from a column, the optimizer derives a filter on its size and computes
     the hashes once more for it.
     """
-    hashes = let(word_array(F.col("text")), lambda ws: window_hashes(canonical(ws), window))
+    hashes = let(word_array(F.col("text")), lambda ws: window_hashes(form(ws), window))
     return texts.select(key, F.posexplode(hashes).alias(place, "h"))
 
 
+def sought_windows(items: DataFrame, window: int) -> DataFrame:
+    """(item_key, item_at, h, by): the windows by which items are found, by canonical or plain words."""
+    def literal(canon: Column) -> Column:
+        """For each window whether it holds a word that is no slot."""
+        starts = F.sequence(F.lit(0), F.greatest(F.size(canon) - window, F.lit(0)))
+        return F.transform(starts, lambda i: F.exists(F.slice(canon, i + 1, window), lambda w: ~w.isin(*SLOTS)))
+
+    tells = items.select("item_key", F.posexplode(let(canonical(word_array(F.col("text"))), literal)).alias("item_at", "tells"))
+    found = windows(items, "item_key", "item_at", window).join(tells, ["item_key", "item_at"])
+    none = found.groupBy("item_key").agg(F.max("tells").alias("any")).filter(~F.col("any")).select("item_key")
+    by_words = windows(items.join(none, "item_key", "left_semi"), "item_key", "item_at", window, plain)
+    both = found.filter("tells").select("item_key", "item_at", "h", F.lit("canonical").alias("by")).unionByName(by_words.withColumn("by", F.lit("plain")))
+    nth = F.row_number().over(Window.partitionBy("item_key", "h").orderBy("item_at"))
+    return both.withColumn("nth", nth).filter(F.col("nth") <= SAME).drop("nth")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
           min_coverage: float = MIN_COVERAGE, max_inconsistent: float = MAX_INCONSISTENT) -> DataFrame:
@@ -97,9 +123,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     d = d.withColumn("doc_key", row_key(F.col("doc_id"), F.col("text")))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     items = staged(items.withColumn("item_key", row_key(F.col("item_id"), F.col("text"))).dropDuplicates(["item_key"]), "items")
-    sought = staged(windows(items, "item_key", "item_at", window), "item-windows")
+    sought = staged(sought_windows(items, window), "item-windows")
     sizes = sought.groupBy("item_key").agg(F.count("*").alias("item_windows"))
-    hits = windows(d, "doc_key", "doc_at", window).join(small(sought), "h")
+    by_form = {r["by"] for r in sought.select("by").distinct().collect()} or {"canonical"}
+    hits = reduce(DataFrame.union, [
+        windows(d, "doc_key", "doc_at", window, form).join(small(sought.filter(F.col("by") == by).drop("by")), "h")
+        for by, form in (("canonical", canonical), ("plain", plain)) if by in by_form])
     aligned = hits.groupBy("doc_key", "item_key", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
         F.count("*").alias("n_windows")
     )
