@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, n_partitions, row_key, small, staged, unstage, word_array
+from .common import n_partitions, row_key, small, staged, unstage
+from .hashing import LOWER, Words, shingle_set
 
 #: Words of a shingle and radius of the contract's query.
 SHINGLE = 4
@@ -33,7 +34,6 @@ RADIUS = 4
 TILE = 4096
 #: Distinct fingerprints a key should hold on average, by which the number of bands is chosen.
 PER_KEY = 64
-LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -289,6 +289,8 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are unfinished after {max_rounds} rounds")
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
@@ -321,27 +323,17 @@ FIRST = 4
 STAGE_TILE = 1024
 
 
-def shingle_hashes(text: Column, shingle: int) -> Column:
-    """Distinct 64-bit hashes of a text's word shingles, lower-cased in A-Z; a shorter text is one shingle."""
-    def make(ws: Column) -> Column:
-        return F.array_distinct(F.when(F.size(ws) <= shingle, F.array(F.xxhash64(ws))).otherwise(
-            F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - (shingle - 1), F.lit(0))),
-                        lambda w, i: F.xxhash64(w, *[F.get(ws, i + k) for k in range(1, shingle)]))))
-
-    return let(word_array(ascii_lower(text)), make)
-
-
 def counter_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes.view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)
+    return (hashes % np.uint64(COUNTERS)).astype(np.int64)
 
 
-def shingle_counts(hashed: DataFrame) -> np.ndarray:
-    """Counts of shingles (column hs) per counter, added up slice by slice."""
+def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Counts of the shingles of a column of texts per counter, added up slice by slice."""
     def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total, cache = np.zeros(COUNTERS, np.int64), Words()
         for b in batches:
-            hs = b.column(0).flatten().to_numpy(zero_copy_only=False)
-            total += np.bincount(counter_of(hs), minlength=COUNTERS)
+            for t in b.column(0):
+                np.add.at(total, counter_of(shingle_set(t.as_py(), shingle, cache)), 1)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(total, SLICES)])], ["slice", "counts"])
 
     def add(batches):
@@ -352,23 +344,22 @@ def shingle_counts(hashed: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
     kind = "slice int, counts binary"
-    rows = hashed.select("hs").mapInArrow(count, kind).repartition(SLICES, "slice").mapInArrow(add, kind).collect()
+    rows = texts.mapInArrow(count, kind).repartition(SLICES, "slice").mapInArrow(add, kind).collect()
     out = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
     for r in rows:
         out[r["slice"]] = np.frombuffer(bytes(r["counts"]), np.int64)
     return out.reshape(-1)
 
 
-def shingle_sets(hashed: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
-    """(k, node, size, fp, prefix, parity) of rows (k, hs).
+def shingle_sets(keyed: DataFrame, counts: np.ndarray, shingle: int, similarity: float) -> DataFrame:
+    """(k, node, size, fp, prefix, parity) of rows (k, text).
 
     node names the set of shingles, fp is its SimHash. prefix has its rarest shingles, so many that two sets of the
     similarity share one. The bits in which two parity bitmaps differ are at most the shingles that only one set has.
     """
-    shared = hashed.sparkSession.sparkContext.broadcast(counts.astype(np.int32 if counts.max(initial=0) < 1 << 31 else np.int64))
+    shared = keyed.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
 
-    def one(hs: np.ndarray):
-        u = np.sort(hs.view(np.uint64))
+    def one(u: np.ndarray):
         ones = np.zeros(64, np.int64)
         for at in range(0, len(u), 65536):
             ones += np.unpackbits(u[at:at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -377,35 +368,62 @@ def shingle_sets(hashed: DataFrame, counts: np.ndarray, similarity: float) -> Da
         first = len(u) - int(np.ceil(similarity * len(u) - 1e-9)) + 1
         prefix = u[np.lexsort((u, shared.value[counter_of(u)]))[:first]].view(np.int64)
         odd = np.bincount((u >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
-        return node - ((node >> 63) << 64), len(u), fp, prefix, np.packbits(odd.astype(np.uint8)).tobytes()
+        return node - ((node >> 63) << 64), len(u), fp, prefix, np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
     def run(batches):
+        cache = Words()
         for b in batches:
-            lists = b.column(1)
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            ends = ends - ends[0]
-            found = [one(flat[x:y]) for x, y in zip(ends[:-1], ends[1:])]
-            cols = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["k", "node", "size", "fp", "prefix", "parity"])
+            for at in range(0, b.num_rows, 512):
+                c = b.slice(at, 512)
+                found = [one(shingle_set(t.as_py(), shingle, cache)) for t in c.column(1)]
+                cols = [pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([c.column(0), *cols], ["k", "node", "size", "fp", "prefix", "parity"])
+
+    kind = keyed.schema["k"].dataType.simpleString()
+    return keyed.select("k", "text").mapInArrow(run, f"k {kind}, node bigint, size int, fp bigint, prefix array<bigint>, parity array<bigint>")
+
+
+def full_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, hs): the whole sets of rows (node, text)."""
+    def run(batches):
+        cache = Words()
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                c = b.slice(at, 256)
+                sets = [shingle_set(t.as_py(), shingle, cache).view(np.int64) for t in c.column(1)]
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hs"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, hs array<bigint>")
+
 
-    kind = hashed.schema["k"].dataType.simpleString()
-    return hashed.select("k", "hs").mapInArrow(run, f"k {kind}, node bigint, size int, fp bigint, prefix array<bigint>, parity binary")
+def can_reach(similarity: float) -> Column:
+    """Whether the sizes (sa, sb) and parity bitmaps (pa, pb) of two sets allow the similarity."""
+    low, high = F.least("sa", "sb"), F.greatest("sa", "sb")
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return (low >= similarity * high - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (low + high) + 1e-9)
 
 
-def apart_pairs(keyed: DataFrame, similarity: float, tile: int = STAGE_TILE) -> DataFrame:
-    """(a, b): all pairs of sets that share a token, are in different groups and can reach the similarity by their
-    sizes and parity bitmaps. keyed: (token, node, size, grp, parity); large tokens are cut into pairs of tiles."""
+def apart_pairs(sets: DataFrame, groups: DataFrame, similarity: float, tile: int = STAGE_TILE) -> DataFrame:
+    """(a, b): all pairs of sets that share a token of their prefixes, are in different groups and can reach the
+    similarity by their sizes and parity bitmaps. Only tokens that different groups share are looked at again; those
+    of many sets are cut into pairs of tiles."""
+    near = small(groups)
+    keyed = sets.select("node", "prefix").join(near, "node").select(F.explode("prefix").alias("token"), "node", "grp")
     held = keyed.groupBy("token").agg(F.count("*").alias("n"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 <> g1")
-    held = held.select("token", F.ceil(F.col("n") / tile).cast("int").alias("t"))
-    j = keyed.join(small(held), "token").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("t")).cast("int"))
+    held = staged(held.select("token", F.ceil(F.col("n") / tile).cast("int").alias("t")), "open-tokens")
+    j = sets.select("node", F.explode("prefix").alias("token")).join(small(held), "token")
+    j = j.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("t")).cast("int"))
     j = j.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    j = j.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", "size", "grp", "parity")
-    dealt = j.repartition(n_partitions(keyed.sparkSession), "block").sortWithinPartitions("block", "size", "node")
+    j = j.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node")
+    j = j.join(sets.select("node", "size", "parity"), "node").join(near, "node").select("block", "node", "size", "grp", "parity")
+    dealt = j.repartition(n_partitions(sets.sparkSession), "block").sortWithinPartitions("block", "size", "node")
     reach = (1 - similarity) / (1 + similarity)
 
     def run(batches):
         for block, node, size, grp, parity in whole_blocks(batches):
-            bits = np.frombuffer(b"".join(parity), np.uint64).reshape(-1, PARITY)
+            bits = np.stack(list(parity)).view(np.uint64)
             ends = np.concatenate((np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
             end_of = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
             a, b = [], []
@@ -452,39 +470,53 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     d = d.withColumn("key", row_key(F.col("doc_id"), F.col("text")))
-    hashed = d.select(F.struct("key", "doc_id").alias("k"), shingle_hashes(F.col("text"), shingle).alias("hs"))
-    marked = staged(shingle_sets(hashed, shingle_counts(hashed), similarity).select("k.key", "k.doc_id", "node", "size", "fp", "prefix", "parity"), "stage-sets")
+    counts = shingle_counts(d.select("text"), shingle)
+    marked = shingle_sets(d.select(F.struct("key", "doc_id").alias("k"), "text"), counts, shingle, similarity)
+    marked = staged(marked.select("k.key", "k.doc_id", "node", "size", "fp", "prefix", "parity"), "stage-sets")
     sets = staged(marked.groupBy("node").agg(F.min_by(F.struct("key", "size", "fp", "prefix", "parity"), "key").alias("s")).select("node", "s.*"), "stage-distinct")
+    look = sets.select("node", "size", "parity")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stage-pairs")
+        pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.join(look.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("parity").alias("pa")), "a")
+        pairs = pairs.join(look.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("parity").alias("pb")), "b")
+        pairs = staged(pairs.filter(can_reach(similarity)).select("a", "b"), "stage-pairs")
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        reps = sets.join(ends, "node").select("node", "key")
-        texts = d.join(small(reps), "key").dropDuplicates(["node"]).select("node", shingle_hashes(F.col("text"), shingle).alias("hs"))
-        texts = staged(texts, "stage-shingles")
+        reps = sets.select("node", "key").join(ends, "node")
+        texts = staged(full_sets(d.join(small(reps), "key").dropDuplicates(["node"]), shingle), "stage-shingles")
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("hs").alias("x")), "a").join(
             texts.select(F.col("node").alias("b"), F.col("hs").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
-        return staged(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "stage-similar")
+        links = staged(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "stage-similar")
+        unstage(pairs)
+        unstage(texts)
+        return links
 
     def grouped(links: DataFrame) -> DataFrame:
         roots = components(links).withColumnRenamed("node", "of")
-        return staged(sets.join(roots, sets.node == roots.of, "left").select(*sets.columns, F.coalesce("root", "node").alias("grp")), "stage-groups")
+        nodes = sets.select("node")
+        return staged(nodes.join(roots, nodes.node == roots.of, "left").select("node", F.coalesce("root", "node").alias("grp")), "stage-groups")
 
     by_fp = staged(sets.groupBy("fp").agg(F.min("node").alias("rep")), "stage-fingerprints")
     near = spanning_links(by_fp.select("fp"), STAGE_CLOSE)
     near = near.join(by_fp.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    near = near.select(F.col("ra").alias("a"), F.col("rb").alias("b")).union(sets.join(by_fp, "fp").select("node", "rep"))
-    rare = sets.select("node", F.posexplode("prefix").alias("at", "token")).filter(F.col("at") < FIRST)
+    near = near.select(F.col("ra").alias("a"), F.col("rb").alias("b")).union(sets.select("node", "fp").join(by_fp, "fp").select("node", "rep"))
+    rare = sets.select("node", F.posexplode(F.slice("prefix", 1, FIRST)).alias("at", "token"))
     held = rare.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token", F.ceil(F.col("n") / STAGE_TILE).cast("int").alias("t"))
-    rare = rare.join(small(held), "token").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("t")))
+    rare = rare.join(small(staged(held, "rare-tokens")), "token").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("t")))
     beside = Window.partitionBy("token", "own").orderBy(F.xxhash64("node", "token"), "node")
     rare = rare.select(F.col("node").alias("a"), F.lead("node").over(beside).alias("b")).filter("b is not null")
     first = similar(near.union(rare))
     groups = grouped(first)
-    keyed = groups.select(F.explode("prefix").alias("token"), "node", "size", "grp", "parity")
-    groups = grouped(first.union(similar(apart_pairs(keyed, similarity))))
-    return staged(marked.select("key", "doc_id", "node").join(groups.select("node", F.col("grp").alias("class_id")), "node").select("key", "doc_id", "class_id"), "stage-classes")
+    second = similar(apart_pairs(sets, groups, similarity))
+    if second.take(1):
+        unstage(groups)
+        groups = grouped(first.union(second))
+    classes = marked.select("key", "doc_id", "node").join(groups.select("node", F.col("grp").alias("class_id")), "node").select("key", "doc_id", "class_id")
+    classes = staged(classes, "stage-classes")
+    for t in (marked, sets, by_fp, first, second, groups):
+        unstage(t)
+    return classes
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
