@@ -56,16 +56,19 @@ def history(bars: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
 
 
 def score(bars: DataFrame, lookback: int = LOOKBACK, z_threshold: float = Z_THRESHOLD, iqr_k: float = IQR_K) -> DataFrame:
-    """Gold bars: return, range, scores and the anomaly flag."""
+    """Gold bars: return, range, rounded scores, and the anomaly flag of the scores as they were before."""
     d = history(bars, lookback)
     now = F.coalesce("ret", F.lit(0.0))
     d = d.select(
         "*", F.round(now, 8).alias("return"), F.round(F.when(F.col("close") != 0, (F.col("high") - F.col("low")) / F.col("close")).otherwise(0.0), 8).alias("range_pct"),
-        F.round(zscore(now, F.col("ret_mean"), F.col("ret_sd"), F.col("n_ret")), 6).alias("zscore_return"),
-        F.round(zscore(F.col("volume"), F.col("vol_mean"), F.col("vol_sd"), F.col("sample_size")), 6).alias("zscore_volume"),
-        F.round(iqr_score(now, F.col("ret_q1"), F.col("ret_q3"), F.col("n_ret"), iqr_k), 6).alias("iqr_score_return"))
-    flag = (F.abs("zscore_return") >= z_threshold) | (F.abs("zscore_volume") >= z_threshold) | (F.col("iqr_score_return") != 0)
-    return d.withColumn("is_anomaly", flag).withColumn("lookback", F.lit(lookback))
+        F.col("open").alias("bar_open"), zscore(now, F.col("ret_mean"), F.col("ret_sd"), F.col("n_ret")).alias("_zr"),
+        zscore(F.col("volume"), F.col("vol_mean"), F.col("vol_sd"), F.col("sample_size")).alias("_zv"),
+        iqr_score(now, F.col("ret_q1"), F.col("ret_q3"), F.col("n_ret"), iqr_k).alias("_iqr"))
+    flag = (F.abs("_zr") >= z_threshold) | (F.abs("_zv") >= z_threshold) | (F.col("_iqr") != 0)
+    d = d.withColumns({
+        "is_anomaly": flag, "zscore_return": F.round("_zr", 6), "zscore_volume": F.round("_zv", 6), "iqr_score_return": F.round("_iqr", 6),
+        "lookback": F.lit(lookback)})
+    return d.drop("_zr", "_zv", "_iqr")
 
 
 def alerts(scored: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import quality
+
 #: Folder, partition columns and row filter of each layer and view.
 LAYERS = {
     "bronze": ("bronze/ticks", ("event_type", "symbol", "date")),
@@ -27,22 +29,43 @@ def with_date(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn("date", F.date_format(ts, "yyyy-MM-dd"))
 
 
-def write_layer(df: DataFrame, root: str, layer: str, fmt: str = "parquet", mode: str = "append") -> str:
-    """Appends rows to a layer, partitioned; rows of a partition go to one writer a task."""
+def write_layer(df: DataFrame, root: str, layer: str, fmt: str = "parquet", mode: str = "append", writers: int = 8) -> str:
+    """Appends rows to a layer, partitioned; a partition's rows go to at most ``writers`` tasks, so files are few."""
     folder, parts = LAYERS[layer]
-    df.write.mode(mode).partitionBy(*parts).format(fmt).save(f"{root}/{folder}")
+    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in parts]), F.lit(writers))
+    df.repartition(*parts, salt).write.mode(mode).partitionBy(*parts).format(fmt).save(f"{root}/{folder}")
     return f"{root}/{folder}"
 
 
 def write_manifest(df: DataFrame, root: str, layer: str) -> dict:
-    """Writes a layer and, beside it, a snapshot with files, rows and partition columns."""
+    """Writes a layer and, beside it, a snapshot with files, rows and partition columns.
+
+    Rows are counted while they are written; the files that the write added are listed.
+    """
     spark = df.sparkSession
-    path = write_layer(df, root, layer)
-    back = spark.read.parquet(path)
-    files = back.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows"))
-    files.write.mode("overwrite").json(f"{root}/{layer}/_snapshots")
-    n = files.agg(F.count("*").alias("files"), F.sum("rows").alias("rows")).first()
-    return {"files": n["files"], "rows": n["rows"] or 0, "partition_by": list(LAYERS[layer][1])}
+    seen = Observation(f"rows-{layer}")
+    folder = f"{root}/{LAYERS[layer][0]}"
+    old = set(data_files(spark, folder))
+    path = write_layer(df.observe(seen, F.count("*").alias("rows")), root, layer)
+    new = sorted(set(data_files(spark, path)) - old)
+    found = {"files": len(new), "rows": seen.get["rows"], "partition_by": list(LAYERS[layer][1])}
+    snapshot = spark.createDataFrame([(len(new), found["rows"], ",".join(found["partition_by"]), new)], "files bigint, rows bigint, partition_by string, paths array<string>")
+    snapshot.coalesce(1).write.mode("append").json(f"{root}/{layer}/_snapshots")
+    return found
+
+
+def data_files(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the data files below a folder; none if it does not exist."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    if fs.exists(path):
+        it = fs.listFiles(path, True)
+        while it.hasNext():
+            p = it.next().getPath()
+            if not p.getName().startswith(("_", ".")):
+                out.append(p.toString())
+    return out
 
 
 @dataclass
@@ -125,6 +148,26 @@ class LakeEngine:
         newest = [F.coalesce(*times).desc()] if times else []
         return df.orderBy(*newest, *ties).limit(limit)
 
+    def quality_report(self, view: str, now: Column, limit: int = 500) -> DataFrame:
+        """All data-quality rules over the newest rows of a view; the required fields follow from the rows."""
+        return quality.report(self.scan(view, limit=limit), now)
+
+    def dashboard(self, now: Column, symbol: str | None = None, limit: int = 200) -> dict[str, DataFrame]:
+        """The newest ticks, bars and anomalies, the summary of the bronze ticks (of the silver ones if there are
+        none; a tick without an ingestion time is as late as ``now``), and each symbol's closes in time order."""
+        found = {k: self.scan(v, symbol, limit) for k, v in (("ticks", "bronze_ticks"), ("silver_ticks", "silver_ticks"), ("ohlc", "silver_ohlc"), ("anomalies", "gold_anomalies"))}
+        rows = found["ticks"] if found["ticks"].take(1) else found["silver_ticks"]
+        if "ts" in rows.columns:
+            came = F.coalesce(F.to_timestamp("ingested_at"), now) if "ingested_at" in rows.columns else now
+            rows = rows.withColumn("latency", quality.latency_ms(F.to_timestamp("ts"), came))
+        else:
+            rows = rows.withColumn("latency", F.lit(None).cast("double"))
+        found["stats"] = quality.tick_summary(rows.select("symbol", "latency"))
+        if "close" in found["ohlc"].columns:
+            place = F.row_number().over(Window.partitionBy("symbol").orderBy("window_start"))
+            found["series"] = found["ohlc"].filter("close IS NOT NULL").select("symbol", place.cast("bigint").alias("place"), "close")
+        return found
+
     def register(self) -> None:
         for v in VIEWS:
             self.frame(v).createOrReplaceTempView(v)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import REQUIRED_OHLCV, REQUIRED_TRADE
+
 MAX_AGE_SECONDS = 86_400
 IQR_MULTIPLIER = 3.0
 RULE = ("name", "ok", "rows_scanned", "violations", "detail")
@@ -24,14 +26,60 @@ def missing(df: DataFrame, name: str) -> Column:
     return bad
 
 
+def infer_required(df: DataFrame) -> tuple[str, ...]:
+    """Required fields of rows: those of bars if there is a volume or a row says that it is a bar, else of trades."""
+    if "volume" in df.columns or ("event_type" in df.columns and df.filter(F.lower("event_type") == "ohlcv").take(1)):
+        return REQUIRED_OHLCV
+    return REQUIRED_TRADE
+
+
+def number(df: DataFrame, name: str) -> Column:
+    """A column as a number: null for booleans, blanks, NaN and what cannot be read."""
+    if name not in df.columns or df.schema[name].dataType.typeName() == "boolean":
+        return F.lit(None).cast("double")
+    return F.nullif(F.trim(F.col(name).cast("string")).try_cast("double"), F.lit(float("nan")))
+
+
+def volume_of(df: DataFrame) -> Column:
+    """Size, else volume."""
+    return F.coalesce(number(df, "size"), number(df, "volume"))
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], buckets: int = 256) -> DataFrame:
+    """(keys, n, at): exact quantiles, interpolated between ranks, of every key's values; nulls do not count.
+
+    Equal values are counted first; the counts are cut at approximate quantiles, the cuts' sums give each cut its first
+    rank, and only the cuts that hold a wanted rank are sorted: no task sorts a hot key's values.
+    """
+    c = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    cuts = c.groupBy(*keys).agg(F.sum("_n").alias("n"), F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 4 * buckets).alias("_cuts"))
+    b = c.join(cuts, keys).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts")
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = b.groupBy(*keys, "n", "_b").agg(F.sum("_n").alias("_m")).withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("n")
+    places = [F.lit(q) * (F.col("n") - 1) for q in qs]
+    ranks = F.array_distinct(F.array(*[r.cast("bigint") for p in places for r in (F.floor(p), F.ceil(p))]))
+    held = b.join(sums, [*keys, "_b"]).withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_m"))))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    held = held.filter(F.size("_ranks") > 0).withColumn("_upto", F.col("_before") + upto)
+    hit = F.filter("_ranks", lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_n")))
+    found = held.select(*keys, "n", "_v", F.explode(hit).alias("_r")).groupBy(*keys, "n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))
+
+    def at(p: Column) -> Column:
+        low, high = F.element_at("_at", F.floor(p).cast("bigint")), F.element_at("_at", F.ceil(p).cast("bigint"))
+        return low * (1 - (p - F.floor(p))) + high * (p - F.floor(p))
+
+    return found.select(*keys, "n", F.array(*[at(p) for p in places]).alias("at"))
+
+
 def freshness(df: DataFrame, ts_columns: list[str], now: Column, max_age_seconds: int = MAX_AGE_SECONDS) -> DataFrame:
     """Violated without a time, or if the newest is older than the limit."""
-    newest = F.max(F.coalesce(*[F.col(c).cast("timestamp") for c in ts_columns]))
+    newest = F.max(F.coalesce(*[F.col(c).cast("timestamp") for c in ts_columns])) if ts_columns else F.lit(None).cast("timestamp")
     d = df.agg(F.count("*").alias("rows_scanned"), newest.alias("newest")).withColumn("age", F.unix_timestamp(now) - F.unix_timestamp("newest"))
     stale = F.col("age").isNull() | (F.col("age") > max_age_seconds)
+    detail = F.concat(F.lit("latest="), F.date_format("newest", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00 age_seconds="), F.col("age").cast("string"), F.lit(f" max={max_age_seconds}"))
     return d.select(
         F.lit("freshness").alias("name"), (~stale).alias("ok"), "rows_scanned", F.when(stale, 1).otherwise(0).cast("bigint").alias("violations"),
-        F.coalesce(F.concat(F.lit("age="), F.col("age").cast("string")), F.lit("no timestamp")).alias("detail"))
+        F.coalesce(detail, F.lit("no timestamped rows")).alias("detail"))
 
 
 def null_rows(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
@@ -40,56 +88,64 @@ def null_rows(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
     return df.withColumn("missing", F.array_join(names, ",")).filter("missing <> ''")
 
 
-def nulls(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
+def nulls(df: DataFrame, required: tuple[str, ...] | None = None) -> DataFrame:
+    required = required or infer_required(df)
     names = F.array_compact(F.array(*[F.when(missing(df, c), F.lit(c)) for c in required]))
-    bad = F.count_if(F.size(names) > 0)
-    return df.agg(F.count("*").alias("rows_scanned"), bad.alias("violations")).select(
+    d = df.agg(F.count("*").alias("rows_scanned"), F.count_if(F.size(names) > 0).alias("violations"))
+    return d.select(
         F.lit("nulls").alias("name"), (F.col("violations") == 0).alias("ok"), "rows_scanned", "violations",
-        F.concat(F.lit("required="), F.lit(",".join(required))).alias("detail"))
+        F.concat(F.lit(f"required={list(required)} missing_rows="), F.col("violations").cast("string")).alias("detail"))
 
 
-def fences(df: DataFrame, volume: str, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
-    """(symbol, low, high): fences of a symbol's positive volumes, null with fewer than four or no spread."""
-    v = F.when(F.col(volume) > 0, F.col(volume))
-    q = df.groupBy("symbol").agg(F.count(v).alias("n"), F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.75).alias("q3"))
-    use = (F.col("n") >= 4) & (F.col("q3") > F.col("q1"))
+def fences(df: DataFrame, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
+    """(symbol, low, high): fences of the positive volumes (column v) of the symbols with four or more and a spread."""
+    q = quantiles(df.filter("v > 0"), ["symbol"], "v", [0.25, 0.75]).select("symbol", "n", F.get("at", F.lit(0)).alias("q1"), F.get("at", F.lit(1)).alias("q3"))
     iqr = F.col("q3") - F.col("q1")
-    return q.select("symbol", F.when(use, F.greatest(F.lit(0.0), F.col("q1") - multiplier * iqr)).alias("low"), F.when(use, F.col("q3") + multiplier * iqr).alias("high"))
+    return q.filter((F.col("n") >= 4) & (iqr > 0)).select("symbol", F.greatest(F.lit(0.0), F.col("q1") - multiplier * iqr).alias("low"), (F.col("q3") + multiplier * iqr).alias("high"))
 
 
-def volume_anomalies(df: DataFrame, volume: str, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
-    """Volumes that are not positive, and those outside their symbol's fences."""
-    d = df.join(fences(df, volume, multiplier), "symbol", "left")
-    bad = F.count_if(F.col(volume) <= 0) + F.count_if((F.col(volume) > 0) & ((F.col(volume) < F.col("low")) | (F.col(volume) > F.col("high"))))
-    return d.agg(F.count("*").alias("rows_scanned"), bad.alias("violations")).select(
-        F.lit("volume").alias("name"), (F.col("violations") == 0).alias("ok"), "rows_scanned", "violations",
-        F.concat(F.lit("iqr x "), F.lit(str(multiplier))).alias("detail"))
+def volume_anomalies(df: DataFrame, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
+    """Volumes that are not positive, and those outside their symbol's fences; rows without a volume are not scanned,
+    rows without a symbol are one symbol."""
+    symbol = F.coalesce(F.nullif(F.col("symbol").cast("string"), F.lit("")), F.lit("_")) if "symbol" in df.columns else F.lit("_")
+    d = df.select(symbol.alias("symbol"), volume_of(df).alias("v")).filter("v IS NOT NULL")
+    d = d.join(fences(d, multiplier), "symbol", "left")
+    d = d.agg(F.count("*").alias("rows_scanned"), F.count_if(F.expr("v <= 0")).alias("low"), F.count_if(F.expr("v > 0 AND (v < low OR v > high)")).alias("out"))
+    return d.select(
+        F.lit("volume_anomalies").alias("name"), (F.col("low") + F.col("out") == 0).alias("ok"), "rows_scanned", (F.col("low") + F.col("out")).alias("violations"),
+        F.concat(F.lit("non_positive="), F.col("low").cast("string"), F.lit(" iqr_outliers="), F.col("out").cast("string"), F.lit(f" multiplier={multiplier}")).alias("detail"))
 
 
-def report(df: DataFrame, ts_columns: list[str], required: tuple[str, ...], volume: str, now: Column) -> DataFrame:
-    """All rules."""
-    return freshness(df, ts_columns, now).unionByName(nulls(df, required)).unionByName(volume_anomalies(df, volume))
+def report(df: DataFrame, now: Column, required: tuple[str, ...] | None = None, max_age_seconds: int = MAX_AGE_SECONDS, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
+    """All rules over rows: freshness by the first time that a row has, nulls of the inferred fields, volumes."""
+    times = [c for c in ("ts", "window_start", "ingested_at") if c in df.columns]
+    return freshness(df, times, now, max_age_seconds).unionByName(nulls(df, required)).unionByName(volume_anomalies(df, multiplier))
 
 
 def latency_ms(ts: Column, ingested_at: Column) -> Column:
-    """Milliseconds from event to ingestion, never negative."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(ingested_at.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 1000.0)
+    """Milliseconds from event to ingestion, never negative; null without a time."""
+    lag = (F.unix_micros(ingested_at.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 1000.0
+    return F.when(lag.isNotNull(), F.greatest(F.lit(0.0), lag))
 
 
 def tick_summary(df: DataFrame) -> DataFrame:
-    """One row: ticks, symbols, and latencies in ms (average, maximum, and the value at rank floor(0.95 (n - 1))).
+    """One row: ticks, symbols and their number, and latencies in ms (average, maximum, and the value at rank
+    floor(0.95 (n - 1))) of the rows that have one; null if none has.
 
-    The rank is looked up in counts per latency, so no task holds the latencies of all ticks.
+    The rank is found by ``quantiles``, so no task holds the latencies of all ticks.
     """
-    counts = df.groupBy("latency").agg(F.count("*").alias("n"), F.collect_set(F.upper("symbol")).alias("names"))
-    d = counts.withColumn("upto", F.sum("n").over(Window.orderBy("latency"))).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    return d.agg(
-        F.sum("n").alias("ticks"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))), ",").alias("symbols"),
-        F.round(F.sum(F.col("latency") * F.col("n")) / F.sum("n"), 6).alias("avg_latency_ms"), F.max("latency").alias("max_latency_ms"),
-        F.min(F.when(F.col("upto") > F.floor(0.95 * (F.col("all") - 1)), F.col("latency"))).alias("p95_latency_ms"))
+    one = df.agg(
+        F.count("*").alias("ticks"), F.array_join(F.array_sort(F.collect_set(F.upper(F.nullif(F.col("symbol"), F.lit(""))))), ",").alias("symbols"),
+        F.count_distinct(F.upper(F.nullif(F.col("symbol"), F.lit("")))).alias("symbol_count"),
+        F.round(F.avg("latency"), 6).alias("avg_latency_ms"), F.max("latency").alias("max_latency_ms"), F.count("latency").alias("_n"))
+    known = df.filter("latency IS NOT NULL").select(F.lit(0).alias("_one"), "latency")
+    # the quantile whose place is exactly the wanted rank
+    n = known.count()
+    rank = int(0.95 * (n - 1)) if n else 0
+    p95 = quantiles(known, ["_one"], "latency", [rank / (n - 1) if n > 1 else 0.0]).select("_one", F.round(F.get("at", F.lit(0)), 6).alias("p95_latency_ms"))
+    return one.withColumn("_one", F.lit(0)).join(F.broadcast(p95), "_one", "left").drop("_one", "_n")
 
 
 def mean_volume(df: DataFrame) -> DataFrame:
     """Mean of size, else volume; what cannot be read as a number is left out; 0 without any."""
-    cols = [F.col(c).cast("string").try_cast("double") for c in ("size", "volume") if c in df.columns]
-    return df.agg(F.coalesce(F.avg(F.coalesce(*cols)), F.lit(0.0)).alias("mean_volume"))
+    return df.agg(F.coalesce(F.avg(volume_of(df)), F.lit(0.0)).alias("mean_volume"))

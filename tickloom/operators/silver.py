@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Places of arrival order in one range.
+#: Rows of arrival order in one range, and ranges at most (two levels of cuts).
 RANGE = 250_000
+FAN = 64
 
 
 def dedup(ticks: DataFrame, key: str = "tick_id", order: str = "seq") -> DataFrame:
@@ -25,9 +26,33 @@ def floor_window(ts: Column, seconds: int) -> Column:
     return F.window(ts, f"{seconds} seconds")["start"]
 
 
+def range_number(df: DataFrame, order: str, size: int) -> Column:
+    """Number of the range that a row's place in the order belongs to; ranges ascend and hold about ``size`` rows.
+
+    The cuts are quantiles of the order column itself, which may be as sparse as it likes.
+    """
+    n = df.count()
+    parts = min(FAN * FAN, -(-n // size))
+    if parts <= 1:
+        return F.lit(0)
+    cuts = sorted(set(df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0]))
+    tops = cuts[FAN - 1::FAN]
+    rows = [cuts[i:i + FAN - 1] for i in range(0, len(cuts), FAN)] + [[]]
+    kind = df.schema[order].dataType
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda c: c < F.col(order)))
+
+    def literal(values) -> Column:
+        return F.array(*[F.lit(v).cast(kind) for v in values]).cast(f"array<{kind.simpleString()}>")
+
+    top = below(literal(tops))
+    return top * FAN + below(F.get(F.array(*[literal(r) for r in rows]), top))
+
+
 def lag_by_range(df: DataFrame, value: str, name: str, key: str = "symbol", order: str = "seq", size: int = RANGE) -> DataFrame:
     """Adds the value of the row before in arrival order, per key."""
-    d = df.withColumn("_range", F.floor(F.col(order) / size))
+    d = df.withColumn("_range", range_number(df, order, size))
     last = d.groupBy(key, "_range").agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("_last"))
     carry = last.select(key, "_range", F.lag("_last").over(Window.partitionBy(key).orderBy("_range")).alias("_carry"))
     inside = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(key, "_range").orderBy(order))
@@ -36,7 +61,7 @@ def lag_by_range(df: DataFrame, value: str, name: str, key: str = "symbol", orde
 
 def running_sum(df: DataFrame, value: str, name: str, key: str = "symbol", order: str = "seq", size: int = RANGE) -> DataFrame:
     """Adds the sum of a value up to each row in arrival order, per key."""
-    d = df.withColumn("_range", F.floor(F.col(order) / size))
+    d = df.withColumn("_range", range_number(df, order, size))
     total = d.groupBy(key, "_range").agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carry = total.select(key, "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carry"))
@@ -77,17 +102,22 @@ def enrich(trades: DataFrame, bars: DataFrame | None = None, seconds: int = 60)
     return prev_close(trades, bars, seconds).withColumn("notional", F.round(F.col("price") * F.col("size"), 6))
 
 
+def notional_sum() -> Column:
+    """Sum of price times size, added up in decimals, so that no order of the rows changes it."""
+    return F.sum((F.col("price") * F.col("size")).cast("decimal(28,9)")).cast("double")
+
+
 def bar_columns(order: str = "seq") -> list[Column]:
     """The aggregates of a bar; the first and last price are those of arrival."""
     buy = F.coalesce(F.sum(F.when(F.col("side") == "buy", F.col("size"))), F.lit(0))
     sell = F.coalesce(F.sum(F.when(F.col("side") == "sell", F.col("size"))), F.lit(0))
-    notional, volume = F.sum(F.col("price") * F.col("size")), F.sum("size")
+    notional, volume = notional_sum(), F.sum("size")
     return [
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"),
-        volume.alias("volume"), F.count("*").alias("trade_count"), F.round(notional, 4).alias("notional"),
-        F.round(F.coalesce(notional / F.nullif(volume, F.lit(0)), F.max_by("price", order)) + 1e-9, 6).alias("vwap"),
+        volume.alias("volume"), F.count("*").alias("trade_count"), F.round(notional, 6).alias("notional"),
+        F.round(F.coalesce(notional / F.nullif(volume, F.lit(0)), F.max_by("price", order)), 6).alias("vwap"),
         buy.alias("buy_volume"), sell.alias("sell_volume"),
-        F.coalesce(F.round((buy - sell) / F.nullif(buy + sell, F.lit(0)) + 1e-9, 6), F.lit(0.0)).alias("imbalance"),
+        F.coalesce(F.round((buy - sell) / F.nullif(buy + sell, F.lit(0)), 6), F.lit(0.0)).alias("imbalance"),
     ]
 
 
@@ -99,6 +129,20 @@ def bars(trades: DataFrame, seconds: int, order: str = "seq") -> DataFrame:
     return grouped.select("symbol", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *values)
 
 
+def filled_bars(trades: DataFrame, seconds: int) -> DataFrame:
+    """(symbol, window_start, open, close, volume, trade_count, vwap): bars without gaps.
+
+    A window without a trade between a symbol's bars carries the close before it: no volume, and its vwap is its open.
+    """
+    b = bars(trades, seconds).select("symbol", "window_start", "open", "close", "volume", "trade_count", "vwap")
+    after = F.lead("window_start").over(Window.partitionBy("symbol").orderBy("window_start"))
+    step = F.expr(f"INTERVAL '{seconds}' SECOND")
+    gap = b.withColumn("_next", after).filter(F.col("_next") > F.col("window_start") + step)
+    gap = gap.select("symbol", F.explode(F.sequence(F.col("window_start") + step, F.col("_next") - step, step)).alias("window_start"), F.col("close").alias("open"), "close")
+    none = F.lit(0).cast("bigint")
+    return b.unionByName(gap.withColumns({"volume": none, "trade_count": none, "vwap": F.round("open", 6)}))
+
+
 def sliding_bars(trades: DataFrame, seconds: int, slide: int) -> DataFrame:
     w = F.window("ts", f"{seconds} seconds", f"{slide} seconds")
     return trades.groupBy("symbol", w.alias("w")).agg(F.sum("size").alias("volume"), F.count("*").alias("trade_count")).select("symbol", F.col("w.start").alias("window_start"), "volume", "trade_count")

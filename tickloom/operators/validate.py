@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 #: Message of each failure.
 INVALID_JSON = "invalid json"
 NOT_OBJECT = "payload is not a JSON object"
+NOT_A_LETTER = "dlq value is not valid JSON"
 UUID_RE = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds a column that is computed once a row: filters on it are not pushed below, where they would compute it again."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def decode(records: DataFrame) -> DataFrame:
     """Adds ``payload`` (VARIANT, null if the value is not JSON) and ``json_error``."""
-    d = records.withColumn("payload", F.try_parse_json("value"))
+    d = once(records, F.try_parse_json("value"), "payload")
     shape = F.schema_of_variant("payload")
     return d.withColumn("json_error", F.when(F.col("payload").isNull(), INVALID_JSON).when(~shape.startswith("OBJECT"), NOT_OBJECT))
 
@@ -25,18 +31,19 @@ def field(path: str, kind: str) -> Column:
 def parse_ticks(records: DataFrame) -> DataFrame:
     """Canonical and compact (``s, p, sz, side``) trades as columns, with the list of what is wrong.
 
-    Records decode once; the columns are null where a field is absent or cannot be read.
+    A record is parsed once and its fields are read once, whatever is filtered later; the columns are null where a
+    field is absent or cannot be read.
     """
     d = decode(records)
     compact = field("symbol", "string").isNull() & field("s", "string").isNotNull()
-    d = d.select(
-        "*", F.upper(F.trim(F.coalesce(field("symbol", "string"), field("s", "string")))).alias("symbol"),
+    d = once(d, F.struct(
+        F.upper(F.trim(F.coalesce(field("symbol", "string"), field("s", "string")))).alias("symbol"),
         field("tick_id", "string").alias("tick_id"), F.coalesce(field("price", "double"), field("p", "double")).alias("price"),
         F.coalesce(field("size", "bigint"), field("sz", "bigint")).alias("size"),
         F.when(compact, F.lower(field("side", "string"))).otherwise(field("side", "string")).alias("side"),
         F.coalesce(field("venue", "string"), F.when(compact, "LIVE").otherwise("SYNTH")).alias("venue"),
         F.coalesce(field("sequence", "bigint"), F.lit(0)).alias("sequence"), F.try_to_timestamp(field("ts", "string")).cast("timestamp_ntz").alias("ts"),
-    )
+        "json_error"), "tick").drop("json_error").select("*", "tick.*").drop("tick", "payload")
     wrong = [
         (F.coalesce(F.col("symbol"), F.lit("")) == "", "symbol"), (F.coalesce(F.col("price"), F.lit(0.0)) <= 0, "price"),
         (F.coalesce(F.col("size"), F.lit(0)) <= 0, "size"), (~F.coalesce(F.col("side"), F.lit("")).isin("buy", "sell"), "side"),
@@ -61,15 +68,17 @@ def envelope(letters: DataFrame, received_at: str) -> DataFrame:
 
 
 def parse_envelopes(records: DataFrame) -> DataFrame:
-    """(seq, error, payload, source, form) from an envelope, a bare object (no error) or text that is not JSON."""
+    """(seq, error, payload, source, form) from an envelope (an object with a payload, which may be null), another
+    JSON value (no error) or text that is not JSON (an error of its own)."""
     d = decode(records)
-    inner = field("payload", "string")
+    inner = F.try_variant_get("payload", "$.payload", "variant")
     is_envelope = F.col("json_error").isNull() & inner.isNotNull()
+    is_json = F.col("payload").isNotNull()
     return d.select(
-        "seq", F.when(is_envelope, field("error", "string")).otherwise("").alias("error"),
-        F.when(is_envelope, inner).otherwise(F.col("value")).alias("payload"),
+        "seq", F.when(is_envelope, F.coalesce(field("error", "string"), F.lit(""))).when(is_json, "").otherwise(NOT_A_LETTER).alias("error"),
+        F.when(is_envelope, field("payload", "string")).otherwise(F.col("value")).alias("payload"),
         F.when(is_envelope, field("source", "string")).alias("source"),
-        F.when(is_envelope, "envelope").when(F.col("json_error").isNull(), "object").otherwise("text").alias("form"))
+        F.when(is_envelope, "envelope").when(is_json, "object").otherwise("text").alias("form"))
 
 
 def replayable(letters: DataFrame) -> DataFrame:

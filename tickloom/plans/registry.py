@@ -61,9 +61,9 @@ S_RAW = "raw AS (SELECT event_id AS seq, " + S_UUID.format("event_id") + " AS ti
 S_T = S_RAW + ", t AS (SELECT * FROM raw WHERE price > 0 AND size > 0)"
 BAR = (
     "arg_min(price,{o}) AS open, max(price) AS high, min(price) AS low, arg_max(price,{o}) AS close, CAST(sum(size) AS BIGINT) AS volume, count(*) AS trade_count, "
-    "round(sum(price*size),4) AS notional, round(sum(price*size)/sum(size)+1e-9,6) AS vwap, "
+    "round(CAST(sum(CAST(price*size AS DECIMAL(28,9))) AS DOUBLE),6) AS notional, round(CAST(sum(CAST(price*size AS DECIMAL(28,9))) AS DOUBLE)/sum(size),6) AS vwap, "
     "CAST(coalesce(sum(size) FILTER (side='buy'),0) AS BIGINT) AS buy_volume, CAST(coalesce(sum(size) FILTER (side='sell'),0) AS BIGINT) AS sell_volume, "
-    "coalesce(round((coalesce(sum(size) FILTER (side='buy'),0)-coalesce(sum(size) FILTER (side='sell'),0))/sum(size)+1e-9,6),0) AS imbalance")
+    "coalesce(round((coalesce(sum(size) FILTER (side='buy'),0)-coalesce(sum(size) FILTER (side='sell'),0))/sum(size),6),0) AS imbalance")
 
 
 def s_bars(seconds: int) -> str:
@@ -76,15 +76,15 @@ S_G = S_H + """, r AS (SELECT *, close/lag(close) OVER (PARTITION BY symbol ORDE
 h AS (SELECT *, count(ret) OVER w AS n_ret, avg(ret) OVER w AS ret_mean, stddev_samp(ret) OVER w AS ret_sd, quantile_cont(ret,0.25) OVER w AS ret_q1, quantile_cont(ret,0.75) OVER w AS ret_q3,
 count(close) OVER v AS sample_size, avg(volume) OVER v AS vol_mean, stddev_samp(volume) OVER v AS vol_sd FROM r
 WINDOW w AS (PARTITION BY symbol ORDER BY window_start ROWS BETWEEN 19 PRECEDING AND 1 PRECEDING), v AS (PARTITION BY symbol ORDER BY window_start ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
-s AS (SELECT *, round(coalesce(ret,0),8) AS "return", round((high-low)/close,8) AS range_pct,
-round(CASE WHEN n_ret>=2 AND ret_sd>1e-12 THEN (coalesce(ret,0)-ret_mean)/ret_sd ELSE 0 END,6) AS zscore_return,
-round(CASE WHEN sample_size>=2 AND vol_sd>1e-12 THEN (volume-vol_mean)/vol_sd ELSE 0 END,6) AS zscore_volume,
-round(CASE WHEN n_ret>=4 AND ret_q3-ret_q1>1e-12 THEN CASE WHEN coalesce(ret,0)<ret_q1-1.5*(ret_q3-ret_q1) THEN (coalesce(ret,0)-(ret_q1-1.5*(ret_q3-ret_q1)))/(ret_q3-ret_q1) WHEN coalesce(ret,0)>ret_q3+1.5*(ret_q3-ret_q1) THEN (coalesce(ret,0)-(ret_q3+1.5*(ret_q3-ret_q1)))/(ret_q3-ret_q1) ELSE 0 END ELSE 0 END,6) AS iqr_score_return FROM h),
-g AS (SELECT *, abs(zscore_return)>=3 OR abs(zscore_volume)>=3 OR iqr_score_return<>0 AS is_anomaly FROM s)
+s AS (SELECT *, CASE WHEN n_ret>=2 AND ret_sd>1e-12 THEN (coalesce(ret,0)-ret_mean)/ret_sd ELSE 0 END AS zr,
+CASE WHEN sample_size>=2 AND vol_sd>1e-12 THEN (volume-vol_mean)/vol_sd ELSE 0 END AS zv,
+CASE WHEN n_ret>=4 AND ret_q3-ret_q1>1e-12 THEN CASE WHEN coalesce(ret,0)<ret_q1-1.5*(ret_q3-ret_q1) THEN (coalesce(ret,0)-(ret_q1-1.5*(ret_q3-ret_q1)))/(ret_q3-ret_q1) WHEN coalesce(ret,0)>ret_q3+1.5*(ret_q3-ret_q1) THEN (coalesce(ret,0)-(ret_q3+1.5*(ret_q3-ret_q1)))/(ret_q3-ret_q1) ELSE 0 END ELSE 0 END AS iq FROM h),
+g AS (SELECT *, round(coalesce(ret,0),8) AS "return", round((high-low)/close,8) AS range_pct, open AS bar_open, round(zr,6) AS zscore_return, round(zv,6) AS zscore_volume, round(iq,6) AS iqr_score_return,
+abs(zr)>=3 OR abs(zv)>=3 OR iq<>0 AS is_anomaly FROM s)
 """
 WS = TIME.format("window_start") + " AS window_start"
-GOLD_COLS = ["symbol", "open", "high", "low", "close", "volume", "return", "range_pct", "zscore_return", "zscore_volume", "iqr_score_return", "is_anomaly", "sample_size"]
-S_GOLD_COLS = 'symbol, open, high, low, close, volume, "return", range_pct, zscore_return, zscore_volume, iqr_score_return, is_anomaly, sample_size'
+GOLD_COLS = ["symbol", "bar_open", "open", "high", "low", "close", "volume", "return", "range_pct", "zscore_return", "zscore_volume", "iqr_score_return", "is_anomaly", "sample_size"]
+S_GOLD_COLS = 'symbol, bar_open, open, high, low, close, volume, "return", range_pct, zscore_return, zscore_volume, iqr_score_return, is_anomaly, sample_size'
 S_WIRE = "w AS (SELECT seq, symbol, '{\"event_type\":\"trade\",\"tick_id\":\"'||tick_id||'\",\"symbol\":\"'||symbol||'\",\"ts\":\"'||strftime(ts,'%Y-%m-%dT%H:%M:%S')||'\",\"price\":'||CAST(price AS VARCHAR)||',\"size\":'||CAST(size AS VARCHAR)||',\"side\":\"'||side||'\",\"venue\":\"'||venue||'\",\"sequence\":'||CAST(sequence AS VARCHAR)||'}' AS value, price, size, side, tick_id, ts FROM raw)"
 S_DIRTY = S_RAW + ", " + S_WIRE + ", d AS (SELECT *, CASE WHEN seq % 97 = 0 THEN 'invalid json' WHEN seq % 89 = 0 THEN 'payload is not a JSON object' WHEN price <= 0 AND size <= 0 THEN 'invalid price,size' WHEN price <= 0 THEN 'invalid price' WHEN size <= 0 THEN 'invalid size' END AS error, CASE WHEN seq % 97 = 0 THEN substr(value,1,length(value)-3) WHEN seq % 89 = 0 THEN '['||value||']' ELSE value END AS sent FROM w)"
 
@@ -192,14 +192,13 @@ def _(spark, d):
     return back.filter((F.upper("symbol") == "CLICK") & (F.lower("event_type") == "trade")).select("event_type", "symbol", "date", "seq", "price", "size", "side")
 
 
-@query("scan_parquet", "WITH " + S_T + " SELECT seq, symbol, price, size FROM t")
+@query("scan_parquet", "WITH " + S_T + " SELECT seq, symbol, price, CASE WHEN seq % 2 = 1 THEN size END AS size FROM t")
 def _(spark, d):
     out = scratch(spark, "scan")
     t = trades(spark, d)
     t.filter("seq % 2 = 0").select("seq", "symbol", "price").write.parquet(f"{out}/a=1")
     t.filter("seq % 2 = 1").select("seq", "symbol", "price", "size").write.parquet(f"{out}/a=2")
-    merged = spark.read.option("mergeSchema", True).parquet(out)
-    return merged.join(t.select("seq", F.col("size").alias("all_size")), "seq").select("seq", "symbol", "price", F.coalesce("size", "all_size").alias("size"))
+    return spark.read.option("mergeSchema", True).parquet(out).select("seq", "symbol", "price", "size")
 
 
 @query("scan_json", "WITH " + S_T + " SELECT seq, symbol, price, size FROM t")
@@ -226,7 +225,7 @@ def _(spark, d):
     return lake.flatten(rows, "payload")
 
 
-@query("sink_manifest")
+@query("sink_manifest", "WITH " + S_T + " SELECT count(*) AS rows, 'event_type,symbol,date' AS partition_by FROM t")
 def _(spark, d):
     m = lake.write_manifest(bronze_rows(spark, d), scratch(spark, "lake"), "bronze")
     return spark.createDataFrame([(m["rows"], ",".join(m["partition_by"]))], "rows bigint, partition_by string")
@@ -295,10 +294,10 @@ def _(spark, d):
     return sent.select("seq", F.get_json_object("value", "$.error").alias("error"), F.get_json_object("value", "$.payload").alias("payload"))
 
 
-@query("dlq_parse", "WITH " + S_DIRTY + ", " + LETTERS + " SELECT seq, error, payload, 'envelope' AS form FROM l UNION ALL SELECT -1, '', 'plain text', 'text' UNION ALL SELECT -2, '', '{\"a\":1}', 'object'")
+@query("dlq_parse", "WITH " + S_DIRTY + ", " + LETTERS + " SELECT seq, error, payload, 'envelope' AS form FROM l UNION ALL SELECT -1, 'dlq value is not valid JSON', 'plain text', 'text' UNION ALL SELECT -2, '', '{\"a\":1}', 'object' UNION ALL SELECT -3, 'x', NULL, 'envelope' UNION ALL SELECT -4, '', '[7]', 'object'")
 def _(spark, d):
     sent = validate.envelope(validate.dead_letters(dirty(spark, d)), "2024-02-01T00:00:00Z")
-    more = spark.createDataFrame([(-1, "plain text"), (-2, '{"a":1}')], "seq bigint, value string")
+    more = spark.createDataFrame([(-1, "plain text"), (-2, '{"a":1}'), (-3, '{"error":"x","payload":null}'), (-4, "[7]")], "seq bigint, value string")
     return validate.parse_envelopes(sent.unionByName(more)).select("seq", "error", "payload", "form")
 
 
@@ -418,10 +417,30 @@ def bar_query(name, seconds):
         return silver.bars(trades(spark, d), seconds).select("symbol", text_time("window_start"), *BAR_NAMES)
 
 
-for _name, _seconds in (("ohlcv_60s", 60), ("ohlcv_1h", 3600), ("ohlcv_1d", 86400), ("ohlcv_flush", 300)):
+for _name, _seconds in (("ohlcv_60s", 60), ("ohlcv_1h", 3600), ("ohlcv_1d", 86400)):
     bar_query(_name, _seconds)
 
 
+OPEN = "WITH " + S_T + ", " + s_bars(300) + ", m AS (SELECT max(ts) - INTERVAL '10 minutes' AS mark FROM t) SELECT symbol, " + WS + ", close, volume, b.window_start + INTERVAL '300 seconds' > m.mark AS open FROM b, m"
+
+
+@query("ohlcv_flush", OPEN)
+def _(spark, d):
+    # at the end of a batch all windows are flushed; those that the watermark has not passed are still open
+    t = trades(spark, d)
+    mark = t.agg((F.max("ts") - F.expr("INTERVAL '10' MINUTE")).alias("mark"))
+    b = silver.bars(t, 300).crossJoin(F.broadcast(mark))  # one row
+    return b.select("symbol", text_time("window_start"), "close", "volume", (F.col("window_end") > F.col("mark")).alias("open"))
+
+
+FILLED = S_H + ", e AS (SELECT symbol, unnest(generate_series(min(window_start), max(window_start), INTERVAL '1 hour')) AS window_start FROM b GROUP BY 1), f AS (SELECT e.symbol, e.window_start, b.open, last_value(b.close IGNORE NULLS) OVER (PARTITION BY e.symbol ORDER BY e.window_start) AS close, b.volume, b.trade_count, b.vwap FROM e LEFT JOIN b ON e.symbol = b.symbol AND e.window_start = b.window_start) SELECT symbol, strftime(f.window_start, '%Y-%m-%d %H:%M:%S') AS window_start, coalesce(open, close) AS open, close, coalesce(volume, 0) AS volume, coalesce(trade_count, 0) AS trade_count, coalesce(vwap, round(close, 6)) AS vwap FROM f"
+
+
+@query("ohlcv_filled", FILLED)
+def _(spark, d):
+    return silver.filled_bars(trades(spark, d), 3600).withColumn("window_start", text_time("window_start"))
+
+
 @query("ohlcv_imbalance", S_H + " SELECT symbol, " + WS + ", buy_volume, sell_volume, imbalance FROM b")
 def _(spark, d):
     return hourly(spark, d).select("symbol", text_time("window_start"), "buy_volume", "sell_volume", "imbalance")
@@ -469,19 +488,20 @@ def _(spark, d):
 
 
 # --- aggregates ---
-@query("vwap_by_symbol", "WITH " + S_T + " SELECT symbol, round(sum(price*size)/sum(size)+1e-9,6) AS vwap FROM t GROUP BY 1")
+@query("vwap_by_symbol", "WITH " + S_T + " SELECT symbol, round(CAST(sum(CAST(price*size AS DECIMAL(28,9))) AS DOUBLE)/sum(size),6) AS vwap FROM t GROUP BY 1")
 def _(spark, d):
-    return trades(spark, d).groupBy("symbol").agg(F.round(F.sum(F.col("price") * F.col("size")) / F.sum("size") + 1e-9, 6).alias("vwap"))
+    return trades(spark, d).groupBy("symbol").agg(F.round(silver.notional_sum() / F.sum("size"), 6).alias("vwap"))
 
 
-@query("agg_mean_stdev", "WITH " + S_T + " SELECT symbol, round(avg(price)+1e-9,6) AS mean, round(coalesce(stddev_samp(price),0)+1e-9,6) AS sd FROM t GROUP BY 1")
+@query("agg_mean_stdev", "WITH " + S_T + " SELECT symbol, round(avg(price),6) AS mean, round(coalesce(stddev_samp(price),0),6) AS sd FROM t GROUP BY 1")
 def _(spark, d):
-    return trades(spark, d).groupBy("symbol").agg(F.round(F.avg("price") + 1e-9, 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("price"), F.lit(0.0)) + 1e-9, 6).alias("sd"))
+    return trades(spark, d).groupBy("symbol").agg(F.round(F.avg("price"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("price"), F.lit(0.0)), 6).alias("sd"))
 
 
-@query("agg_quantile", "WITH " + S_T + " SELECT symbol, round(quantile_cont(price,0.25)+1e-9,6) AS q1, round(quantile_cont(price,0.5)+1e-9,6) AS q2, round(quantile_cont(price,0.75)+1e-9,6) AS q3 FROM t GROUP BY 1")
+@query("agg_quantile", "WITH " + S_T + " SELECT symbol, round(quantile_cont(price,0.25),6) AS q1, round(quantile_cont(price,0.5),6) AS q2, round(quantile_cont(price,0.75),6) AS q3 FROM t GROUP BY 1")
 def _(spark, d):
-    return trades(spark, d).groupBy("symbol").agg(*[F.round(F.percentile("price", q) + 1e-9, 6).alias(n) for n, q in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
+    q = quality.quantiles(trades(spark, d), ["symbol"], "price", [0.25, 0.5, 0.75])
+    return q.select("symbol", *[F.round(F.get("at", F.lit(i)), 6).alias(n) for i, n in enumerate(("q1", "q2", "q3"))])
 
 
 @query("mean_volume", "WITH " + S_RAW + " SELECT round(coalesce(avg(size),0),6) AS mean_volume FROM raw")
@@ -498,15 +518,21 @@ def _(spark, d):
     return trades(spark, d).select("seq", quality.latency_ms(F.col("ts"), ingested()).alias("latency"))
 
 
-SUMMARY = "WITH " + S_T + ", l AS (SELECT symbol, CAST(seq % 997 AS DOUBLE) AS latency FROM t), o AS (SELECT latency, row_number() OVER (ORDER BY latency) - 1 AS rn, count(*) OVER () AS n FROM l) SELECT (SELECT count(*) FROM l) AS ticks, (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT symbol AS s FROM l)) AS symbols, (SELECT round(avg(latency),6) FROM l) AS avg_latency_ms, (SELECT max(latency) FROM l) AS max_latency_ms, (SELECT latency FROM o WHERE rn = CAST(floor(0.95*(n-1)) AS BIGINT)) AS p95_latency_ms"
+def s_summary(ticks: str, latency: str) -> str:
+    return ticks + ", l AS (SELECT symbol, " + latency + " AS latency FROM x), o AS (SELECT latency, row_number() OVER (ORDER BY latency) - 1 AS rn, count(*) OVER () AS n FROM l WHERE latency IS NOT NULL) SELECT (SELECT count(*) FROM l) AS ticks, (SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT symbol AS s FROM l)) AS symbols, (SELECT count(DISTINCT symbol) FROM l) AS symbol_count, (SELECT round(avg(latency),6) FROM l) AS avg_latency_ms, (SELECT max(latency) FROM l) AS max_latency_ms, (SELECT latency FROM o WHERE rn = CAST(floor(0.95*(n-1)) AS BIGINT)) AS p95_latency_ms"
 
 
-def summary(spark, d):
-    return quality.tick_summary(trades(spark, d).select("symbol", quality.latency_ms(F.col("ts"), ingested()).alias("latency")))
+@query("tick_summary", s_summary("WITH " + S_T + ", x AS (SELECT * FROM t)", "CASE WHEN seq % 10 <> 0 THEN CAST(seq % 997 AS DOUBLE) END"))
+def _(spark, d):
+    # a tenth of the ticks has no ingestion time
+    lag = quality.latency_ms(F.col("ts"), F.when(F.col("seq") % 10 != 0, ingested()))
+    return quality.tick_summary(trades(spark, d).select("symbol", lag.alias("latency")))
 
 
-query("tick_summary", SUMMARY)(summary)
-query("dashboard_stats", SUMMARY)(summary)
+@query("dashboard_stats", s_summary("WITH " + S_T + ", x AS (SELECT * FROM t ORDER BY date_trunc('second', ts) DESC, symbol, tick_id LIMIT 200)", "CAST(epoch(TIMESTAMP '2024-02-15 00:00:00') - epoch(date_trunc('second', ts)) AS DOUBLE) * 1000"))
+def _(spark, d):
+    # no bronze layer is written, so the newest silver ticks are summed up
+    return engine(spark, d, trades_=True, bars=True).dashboard(now())["stats"]
 
 
 # --- gold ---
@@ -515,9 +541,9 @@ def _(spark, d):
     return gold.score(hourly(spark, d)).select("symbol", text_time("window_start"), "return")
 
 
-@query("gold_history", S_G + " SELECT symbol, " + WS + ", n_ret, sample_size, round(ret_mean+1e-12,8) AS ret_mean, round(vol_mean+1e-9,6) AS vol_mean FROM g")
+@query("gold_history", S_G + " SELECT symbol, " + WS + ", n_ret, sample_size, round(ret_mean,8) AS ret_mean, round(vol_mean,6) AS vol_mean FROM g")
 def _(spark, d):
-    return gold.history(hourly(spark, d)).select("symbol", text_time("window_start"), "n_ret", "sample_size", F.round(F.col("ret_mean") + 1e-12, 8).alias("ret_mean"), F.round(F.col("vol_mean") + 1e-9, 6).alias("vol_mean"))
+    return gold.history(hourly(spark, d)).select("symbol", text_time("window_start"), "n_ret", "sample_size", F.round(F.col("ret_mean"), 8).alias("ret_mean"), F.round(F.col("vol_mean"), 6).alias("vol_mean"))
 
 
 @query("gold_zscore", S_G + " SELECT symbol, " + WS + ", zscore_return, zscore_volume FROM g")
@@ -662,10 +688,9 @@ def _(spark, d):
     return spark.createDataFrame([(k, f) for k, fs in found.items() for f in fs], "kind string, field string")
 
 
-@query("chart_series", S_H + " SELECT symbol, " + WS + ", close, round(avg(close) OVER (PARTITION BY symbol ORDER BY b.window_start ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)+1e-9,6) AS mean_12 FROM b")
+@query("chart_series", S_H + ", n AS (SELECT symbol, window_start, close FROM b ORDER BY window_start DESC, symbol LIMIT 200) SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY n.window_start) AS place, close FROM n")
 def _(spark, d):
-    w = Window.partitionBy("symbol").orderBy("window_start").rowsBetween(-11, 0)
-    return hourly(spark, d).withColumn("mean_12", F.round(F.avg("close").over(w) + 1e-9, 6)).select("symbol", text_time("window_start"), "close", "mean_12")
+    return engine(spark, d, bars=True).dashboard(now())["series"]
 
 
 # --- data quality and jobs ---
@@ -676,43 +701,56 @@ def now():
     return F.lit("2024-02-15 00:00:00").cast("timestamp")
 
 
-FRESH = "SELECT 'freshness' AS name, epoch(" + NOW + ") - CAST(floor(epoch(max(ts))) AS BIGINT) <= 86400 AS ok, count(*) AS rows_scanned, CAST(CASE WHEN epoch(" + NOW + ") - floor(epoch(max(ts))) > 86400 THEN 1 ELSE 0 END AS BIGINT) AS violations, 'age='||CAST(CAST(epoch(" + NOW + ") - floor(epoch(max(ts))) AS BIGINT) AS VARCHAR) AS detail FROM {0}"
-NULLS = "SELECT 'nulls' AS name, count(*) FILTER (seq % 10 = 0) = 0 AS ok, count(*) AS rows_scanned, count(*) FILTER (seq % 10 = 0) AS violations, 'required=tick_id,symbol,ts,price,size,side' AS detail FROM raw"
-VOLUME = "SELECT 'volume' AS name, count(*) FILTER (bad) = 0 AS ok, count(*) AS rows_scanned, count(*) FILTER (bad) AS violations, 'iqr x 3.0' AS detail FROM (SELECT size <= 0 OR (q3 > q1 AND n >= 4 AND (size > q3 + 3*(q3-q1) OR size < greatest(0, q1 - 3*(q3-q1)))) AS bad FROM x JOIN (SELECT symbol AS s2, count(*) FILTER (size > 0) AS n, quantile_cont(size,0.25) FILTER (size > 0) AS q1, quantile_cont(size,0.75) FILTER (size > 0) AS q3 FROM x GROUP BY 1) ON symbol = s2)"
-S_X = ", x AS (SELECT symbol, seq, CASE WHEN seq % 500 = 1 THEN size * 100 ELSE size END AS size FROM raw)"
+def s_fresh(rows: str) -> str:
+    age = "CAST(epoch(" + NOW + ") - floor(epoch(max(ts))) AS BIGINT)"
+    return "SELECT 'freshness' AS name, " + age + " <= 86400 AS ok, count(*) AS rows_scanned, CAST(CASE WHEN " + age + " > 86400 THEN 1 ELSE 0 END AS BIGINT) AS violations, 'latest='||strftime(max(ts),'%Y-%m-%dT%H:%M:%S')||'+00:00 age_seconds='||CAST(" + age + " AS VARCHAR)||' max=86400' AS detail FROM " + rows
+
+
+NULLS = "SELECT 'nulls' AS name, count(*) FILTER ({0}) = 0 AS ok, count(*) AS rows_scanned, count(*) FILTER ({0}) AS violations, 'required=[''tick_id'', ''symbol'', ''ts'', ''price'', ''size''] missing_rows='||count(*) FILTER ({0}) AS detail FROM {1}"
+VOLUME = "SELECT 'volume_anomalies' AS name, count(*) FILTER (low OR out) = 0 AS ok, count(*) AS rows_scanned, count(*) FILTER (low OR out) AS violations, 'non_positive='||count(*) FILTER (low)||' iqr_outliers='||count(*) FILTER (out)||' multiplier=3.0' AS detail FROM (SELECT size <= 0 AS low, size > 0 AND coalesce(q3 > q1 AND n >= 4 AND (size > q3 + 3*(q3-q1) OR size < greatest(0, q1 - 3*(q3-q1))), false) AS out FROM x LEFT JOIN (SELECT coalesce(symbol, '_') AS s2, count(*) FILTER (size > 0) AS n, quantile_cont(size,0.25) FILTER (size > 0) AS q1, quantile_cont(size,0.75) FILTER (size > 0) AS q3 FROM x GROUP BY 1) ON coalesce(symbol, '_') = s2 WHERE size IS NOT NULL)"
+S_X = ", x AS (SELECT CASE WHEN seq % 10 <> 0 THEN tick_id ELSE ' ' END AS tick_id, CASE WHEN seq % 40 <> 3 THEN symbol END AS symbol, seq, ts, price, CASE WHEN seq % 500 = 1 THEN size * 100 WHEN seq % 30 <> 7 THEN size END AS size FROM raw)"
+BAD = "seq % 10 = 0 OR symbol IS NULL OR size IS NULL"
 
 
 def dq_rows(spark, d):
-    raw = T.raw_ticks(events(spark, d))
-    return raw.withColumn("side", F.when(F.col("seq") % 10 != 0, F.col("side")).otherwise(" ")).withColumn("size", F.when(F.col("seq") % 500 == 1, F.col("size") * 100).otherwise(F.col("size")))
+    raw, seq = T.raw_ticks(events(spark, d)), F.col("seq")
+    return raw.withColumns({
+        "tick_id": F.when(seq % 10 != 0, F.col("tick_id")).otherwise(" "), "symbol": F.when(seq % 40 != 3, F.col("symbol")),
+        "size": F.when(seq % 500 == 1, F.col("size") * 100).when(seq % 30 != 7, F.col("size"))})
 
 
-@query("dq_freshness", FRESH.format("events"))
+@query("dq_freshness", s_fresh("events"))
 def _(spark, d):
     return quality.freshness(dq_rows(spark, d), ["ts"], now())
 
 
-@query("dq_nulls", "WITH " + S_RAW + " SELECT seq, 'side' AS missing FROM raw WHERE seq % 10 = 0")
+@query("dq_nulls", "WITH " + S_RAW + S_X + " SELECT seq, concat_ws(',', CASE WHEN seq % 10 = 0 THEN 'tick_id' END, CASE WHEN symbol IS NULL THEN 'symbol' END, CASE WHEN size IS NULL THEN 'size' END) AS missing FROM x WHERE " + BAD)
 def _(spark, d):
-    return quality.null_rows(dq_rows(spark, d), schemas.REQUIRED_TRADE).select("seq", "missing")
+    rows = dq_rows(spark, d)
+    return quality.null_rows(rows, quality.infer_required(rows)).select("seq", "missing")
 
 
 @query("dq_volume", "WITH " + S_RAW + S_X + " " + VOLUME)
 def _(spark, d):
-    return quality.volume_anomalies(dq_rows(spark, d), "size")
+    return quality.volume_anomalies(dq_rows(spark, d))
+
+
+@query("dq_report", "WITH " + S_RAW + S_X + " " + s_fresh("raw") + " UNION ALL " + NULLS.format(BAD, "x") + " UNION ALL " + VOLUME)
+def _(spark, d):
+    return quality.report(dq_rows(spark, d), now())
 
 
-@query("dq_report", "WITH " + S_RAW + S_X + " " + FRESH.format("raw") + " UNION ALL " + NULLS + " UNION ALL " + VOLUME)
+@query("dq_job", "WITH " + S_T + ", x AS (SELECT * FROM t ORDER BY ts DESC, symbol, tick_id LIMIT 500) " + s_fresh("x") + " UNION ALL " + NULLS.format("false", "x") + " UNION ALL " + VOLUME)
 def _(spark, d):
-    return quality.report(dq_rows(spark, d), ["ts"], schemas.required_fields(["price"]), "size", now())
+    return engine(spark, d, bronze=True).quality_report("bronze_ticks", now())
 
 
-@query("freshness_probe", "WITH " + S_T + ", n AS (SELECT * FROM t ORDER BY ts DESC, symbol, tick_id LIMIT 50) " + FRESH.format("n"))
+@query("freshness_probe", "WITH " + S_T + ", n AS (SELECT * FROM t ORDER BY ts DESC, symbol, tick_id LIMIT 50) " + s_fresh("n"))
 def _(spark, d):
     return quality.freshness(engine(spark, d, bronze=True).scan("bronze_ticks"), ["ts"], now())
 
 
-@query("backfill")
+@query("backfill", "SELECT symbol, CAST(n AS BIGINT) AS n FROM (VALUES ('CLICK', 500), ('VIEW', 500)) v(symbol, n)")
 def _(spark, d):
     ticks = T.synthetic_ticks(spark, ["CLICK", "VIEW"], 1000).withColumn("seq", F.col("sequence"))
     ok = validate.valid(validate.parse_ticks(T.wire(ticks)))
@@ -738,13 +776,13 @@ def _(spark, d):
                                    F.date_format(F.try_to_timestamp(F.lit("2024-01-01T10:00:00Z")), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
-@query("fn_math", "SELECT event_id, abs(value-50) AS a, greatest(value, 10.0) AS g, least(value, 10.0) AS l, CAST(floor(value) AS BIGINT) AS f, CAST(ceil(value) AS BIGINT) AS c, round(sqrt(value)+1e-9,6) AS s, round(exp(-value/100)+1e-9,6) AS e, CAST(round(CASE WHEN value > 100 THEN (value-50)/10 ELSE 0 END+1e-9,6) AS DOUBLE) AS z FROM events")
+@query("fn_math", "SELECT event_id, abs(value-50) AS a, greatest(value, 10.0) AS g, least(value, 10.0) AS l, CAST(floor(value) AS BIGINT) AS f, CAST(ceil(value) AS BIGINT) AS c, round(sqrt(value),6) AS s, round(exp(-value/100),6) AS e, CAST(round(CASE WHEN value > 100 THEN (value-50)/10 ELSE 0 END,6) AS DOUBLE) AS z FROM events")
 def _(spark, d):
     sql_functions.register(spark)
     v = F.col("value")
     return events(spark, d).select(
         "event_id", F.abs(v - 50).alias("a"), F.greatest(v, F.lit(10.0)).alias("g"), F.least(v, F.lit(10.0)).alias("l"), F.floor(v).alias("f"), F.ceil(v).alias("c"),
-        F.round(F.sqrt(v) + 1e-9, 6).alias("s"), F.round(F.exp(-v / 100) + 1e-9, 6).alias("e"), F.round(F.expr("zscore(value, 50D, IF(value > 100, 10D, 0D))") + 1e-9, 6).alias("z"))
+        F.round(F.sqrt(v), 6).alias("s"), F.round(F.exp(-v / 100), 6).alias("e"), F.round(F.expr("zscore(value, 50D, IF(value > 100, 10D, 0D))"), 6).alias("z"))
 
 
 @query("fn_json", "SELECT event_id, CAST(json_extract_string(props,'$.k') AS BIGINT) AS k, '{\"k\":'||json_extract_string(props,'$.k')||'}' AS text, json_extract_string(props,'$.k') IN ('1','2','3') AS low FROM events")

@@ -20,8 +20,8 @@ OHLCV_BAR = T.StructType([
 #: Registered subjects and versions; JSON type of each field, by Spark type.
 REGISTRY = {("trade-tick", 1): TRADE_TICK, ("ohlcv-bar", 1): OHLCV_BAR}
 JSON_TYPES = {"string": "string", "double": "number", "bigint": "integer", "timestamp_ntz": "string", "boolean": "boolean"}
-REQUIRED_TRADE = ("tick_id", "symbol", "ts", "price", "size", "side")
-REQUIRED_OHLCV = ("symbol", "window_start", "window_end", "open", "high", "low", "close", "volume")
+REQUIRED_TRADE = ("tick_id", "symbol", "ts", "price", "size")
+REQUIRED_OHLCV = ("symbol", "window_start", "open", "high", "low", "close", "volume")
 
 
 def get_schema(subject: str, version: int = 1) -> T.StructType:
@@ -47,8 +47,3 @@ def drift(live: T.StructType, registered: T.StructType) -> dict[str, list[str]]:
     a, b = set(live.fieldNames()), set(registered.fieldNames())
     ra, rb = ({f.name for f in s.fields if not f.nullable} for s in (live, registered))
     return {"added": sorted(a - b), "removed": sorted(b - a), "required_added": sorted(ra - rb), "required_removed": sorted(rb - ra)}
-
-
-def required_fields(columns: list[str]) -> tuple[str, ...]:
-    """Required fields of a view, by its declared columns: bars have a volume."""
-    return REQUIRED_OHLCV if "volume" in columns else REQUIRED_TRADE

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -27,9 +29,10 @@ def run_append(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{out}/data")
 
 
-def run_batches(df: DataFrame, name: str, each, mode: str) -> str:
-    """Runs a stream through a function of (batch, batch id, folder); returns the folder."""
-    out = scratch(df.sparkSession, name)
+def run_batches(df: DataFrame, name: str, each, mode: str, out: str | None = None) -> str:
+    """Runs a stream through a function of (batch, batch id, folder); returns the folder. A folder of an earlier run
+    goes on where that ended."""
+    out = out or scratch(df.sparkSession, name)
     q = df.writeStream.outputMode(mode).foreachBatch(lambda b, i: each(b, i, out)).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     return out
@@ -48,17 +51,34 @@ def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_append(twice.withWatermark("ts", "10 minutes").dropDuplicatesWithinWatermark(["tick_id"]).select("tick_id", "symbol", "price", "size"), "stream-dedup")
 
 
+def bar_updates(ticks: DataFrame, seconds: int, out: str | None = None, delay: str = "10 minutes") -> str:
+    """Bars of a stream of ticks by event time; every batch writes the windows that it changed, under its number.
+
+    Ticks that come late but within the watermark change their window's bar again; later ones are dropped. Writing a
+    batch again replaces it, so a restart leaves each once.
+    """
+    bars = silver.bars(ticks.withWatermark("ts", delay), seconds)
+    return run_batches(bars, "stream-ohlcv", lambda b, i, to: b.write.mode("overwrite").parquet(f"{to}/batch={i}"), "update", out)
+
+
+def merged_bars(spark: SparkSession, out: str) -> DataFrame:
+    """The last state of every window, by symbol and start; those of the newest batches may still be open."""
+    found = [spark.read.parquet(f"{out}/batch={i}").withColumn("_batch", F.lit(i)) for i in _batches(spark, out)]
+    rows = reduce(DataFrame.unionByName, found)
+    cols = [c for c in rows.columns if c not in ("symbol", "window_start", "_batch")]
+    return rows.groupBy("symbol", "window_start").agg(F.max_by(F.struct(*cols), "_batch").alias("bar")).select("symbol", "window_start", "bar.*")
+
+
 def ohlcv(spark: SparkSession, sf_dir: str, seconds: int = 3600) -> DataFrame:
-    """Bars of a stream; the complete table is rewritten by every batch, so the open windows are in it."""
-    ticks = T.trades(event_stream(spark, sf_dir)).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "10 minutes")
-    bars = silver.bars(ticks, seconds)
+    """Bars of the events, open windows included."""
+    ticks = T.trades(event_stream(spark, sf_dir)).withColumn("ts", F.col("ts").cast("timestamp"))
+    return merged_bars(spark, bar_updates(ticks, seconds))
 
-    def each(batch: DataFrame, batch_id: int, out: str) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    out = run_batches(bars, "stream-ohlcv", each, "complete")
-    last = max(_batches(spark, out))
-    return spark.read.parquet(f"{out}/batch={last}")
+def dedup_bars(ticks: DataFrame, seconds: int, out: str | None = None, delay: str = "10 minutes") -> str:
+    """Deduplication and windows chained in one stream; appends a bar when the watermark passes its window."""
+    once = ticks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["tick_id"])
+    return run_batches(silver.bars(once, seconds), "stream-dedup-bars", lambda b, i, to: b.write.mode("overwrite").parquet(f"{to}/batch={i}"), "append", out)
 
 
 def _batches(spark: SparkSession, out: str) -> list[int]:
@@ -67,21 +87,35 @@ def _batches(spark: SparkSession, out: str) -> list[int]:
     return [int(n.split("=")[1]) for n in names if n.startswith("batch=")]
 
 
-def gold_alerts(spark: SparkSession, sf_dir: str, seconds: int = 3600, lookback: int = gold.LOOKBACK) -> DataFrame:
-    """Alerts of a stream of bars: each batch is scored with the last bars of every symbol carried over."""
-    bars = ohlcv(spark, sf_dir, seconds)
-    source = scratch(spark, "bar-stream")
-    bars.write.parquet(f"{source}/in")
-    stream = spark.readStream.schema(bars.schema).parquet(f"{source}/in")
+def score_stream(bars: DataFrame, out: str | None = None, lookback: int = gold.LOOKBACK) -> str:
+    """Scores a stream of closed bars in time order; the last bars of every symbol are carried from batch to batch."""
+    spark = bars.sparkSession
 
-    def each(batch: DataFrame, batch_id: int, out: str) -> None:
-        known = [b for b in _batches(spark, out) if b < batch_id]
+    def each(batch: DataFrame, batch_id: int, to: str) -> None:
+        known = [b for b in _batches(spark, to) if b < batch_id]
         new = batch.withColumn("_new", F.lit(True))
         if known:
-            new = new.unionByName(spark.read.parquet(f"{out}/tail={max(known)}").withColumn("_new", F.lit(False)))
-        gold.alerts(gold.score(new, lookback).filter("_new")).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            new = new.unionByName(spark.read.parquet(f"{to}/tail={max(known)}").withColumn("_new", F.lit(False)))
         last = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("window_start").desc()))
-        new.withColumn("_at", last).filter(F.col("_at") <= lookback + 1).drop("_at", "_new").write.mode("overwrite").parquet(f"{out}/tail={batch_id}")
+        new.withColumn("_at", last).filter(F.col("_at") <= lookback + 1).drop("_at", "_new").write.mode("overwrite").parquet(f"{to}/tail={batch_id}")
+        gold.alerts(gold.score(new, lookback).filter("_new")).write.mode("overwrite").parquet(f"{to}/batch={batch_id}")
+
+    return run_batches(bars, "stream-alerts", each, "append", out)
 
-    out = run_batches(stream, "stream-alerts", each, "append")
+
+def alert_rows(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(*[f"{out}/batch={b}" for b in _batches(spark, out)])
+
+
+def gold_alerts(spark: SparkSession, sf_dir: str, seconds: int = 3600, lookback: int = gold.LOOKBACK) -> DataFrame:
+    """Alerts of the bars, which arrive in three files, oldest first."""
+    bars = ohlcv(spark, sf_dir, seconds)
+    source = scratch(spark, "bar-stream")
+    third = F.ntile(3).over(Window.orderBy("day"))
+    days = bars.select(F.to_date("window_start").alias("day")).distinct().withColumn("part", third)
+    split = bars.withColumn("day", F.to_date("window_start")).join(F.broadcast(days), "day").drop("day").persist()
+    for part in (1, 2, 3):
+        split.filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{source}/in")
+    split.unpersist()
+    stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/in")
+    return alert_rows(spark, score_stream(stream, None, lookback))
