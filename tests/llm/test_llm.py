@@ -150,15 +150,42 @@ def brute_repeats(texts, n=35):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [300, 1 << 20])
-def test_repeated_spans(spark, small_docs, block_bytes):
+@pytest.mark.parametrize("block_bytes,slice_bytes", [(300, 500), (3000, 1 << 20), (1 << 20, 1 << 20)])
+def test_repeated_spans(spark, small_docs, block_bytes, slice_bytes):
     texts = small_docs + ["q " * 200, "p " * 36, "p " * 34]
-    got = substring_dedup.repeated_spans(corpus(spark, texts), block_bytes=block_bytes).collect()
+    got = substring_dedup.repeated_spans(corpus(spark, texts), block_bytes=block_bytes, slice_bytes=slice_bytes).collect()
     assert collections.Counter((g.n_words, g.n_removed, g.kept_sha256) for g in got) == collections.Counter(brute_repeats(texts))
     assert all(sum(s.end - s.start for s in g.spans) == g.n_removed for g in got)
     assert substring_dedup.repeated_spans(corpus(spark, texts).limit(0)).count() == 0
 
 
+def test_factors_are_the_greedy_ones():
+    """Against a plain search for the longest match at every step; small alphabets give many places and ties."""
+    r = np.random.default_rng(12)
+    for kinds in (2, 3, 9):
+        ref, text, w = r.integers(0, kinds, 150), r.integers(0, kinds, 120), 4
+        text[30:60] = ref[70:100]
+        hashes = lambda x: np.array([hash(tuple(x[i:i + w].tolist())) for i in range(len(x) - w + 1)]).view(np.uint64)
+        # the text's windows are of two documents, so that runs end between them
+        keep = np.concatenate((np.arange(0, 50 - w + 1), np.arange(50, 120 - w + 1)))
+        index = substring_dedup.Index(hashes(ref), np.arange(len(ref) - w + 1))
+        got, across = substring_dedup.factors(index, hashes(text)[keep], keep, w)
+        want, ends, i = [], [], 0
+        while i + w <= 120:
+            end = 50 if i < 50 else 120
+            n = max((next((k for k in range(min(end - i, 150 - j) + 1) if k == min(end - i, 150 - j) or text[i + k] != ref[j + k]), 0) for j in range(150)))
+            if n < w:
+                i += 1
+                continue
+            want.append((i, n))
+            held = {tuple(ref[j:j + w]) for j in range(150 - w + 1)}
+            ends += [k for k in range(i + n - w + 1, i + n) if k + w <= end and tuple(text[k:k + w]) in held]
+            i += n
+        assert [(int(keep[a]), n + w - 1) for a, _, n in got] == want and want
+        assert keep[across].tolist() == ends
+        assert all((text[keep[a]:keep[a] + n + w - 1] == ref[p:p + n + w - 1]).all() for a, p, n in got)
+
+
 def brute_fingerprint(text, k):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     ws = words(low)

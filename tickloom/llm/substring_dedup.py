@@ -1,23 +1,25 @@
-"""Operator 5, substring dedup: relative Lempel-Ziv parsing.
+"""Operator 5, substring dedup: relative Lempel-Ziv parsing against indexed reference blocks.
 
-The corpus is cut into reference blocks of a few megabytes, each a row of a staged table. Every document is parsed
-against the phrases of every block through a distributed phrase index:
+The corpus is cut into reference blocks of a few megabytes. A window is 35 consecutive words; each has a seed, of the
+eight-word sequences inside it the one with the least hash, which depends on the window's words only, so that equal
+windows have equal seeds.
 
-1. Each document is cut into phrases at anchors: of the eight-word sequences inside a window of 35 words, the one with
-   the least hash. A window's anchor depends on its words only, so equal windows always meet at the same anchor. A
-   phrase is the anchor with the words of all windows that it serves. Index tasks compare whole phrases of all blocks:
-   a phrase that occurs again is a factor, long enough by construction, and all its words repeat.
-2. A phrase that is alone, but whose anchor also occurs in other phrases, is where a factor ends inside. There the
-   factor boundary is checked window by window: those phrases, and one of each kind they can meet, are looked up
-   again by the hashes of their windows.
+1. Seeds of all blocks meet in one grouping. A seed's reference blocks are the first and the last block that hold it.
+   Seeds of one block only need no other block: their windows are counted inside it.
+2. Every block sends the windows of each other seed to its reference blocks, and the reference blocks index theirs:
+   sorted window hashes with their places. There each run of windows is parsed greedily from left to right: the factor
+   at a place is the longest run of reference windows that equals the text from there on, over all places that the index
+   names; the next factor starts behind it. A factor is at least one window, so it is long enough to be a duplicate
+   span, on both sides. The windows across a factor's end belong to no factor: these are looked up one by one.
+3. A window that neither reference block holds, but whose seed lies in further blocks, is counted among the others of
+   that kind in one more grouping, so nothing is lost however many blocks share a seed.
 
-A window is therefore repeated exactly if its phrase is a factor or its own hash is found twice, and the spans of a
-document are the unions of its repeated windows. Each index task gets one packed row per block, combined within the
-block, and answers with two bits per phrase, so a phrase that a third of all documents share costs an entry per
-block. Hashes have 64 bits.
+So a passage in a third of all documents is parsed against two blocks, not against all of them, and its requests are
+dealt to as many tasks as their bytes need. Hashes have 64 bits.
 
 Defined results: null, empty and blank texts have no words; texts of fewer words than the window lose none. Repeated
-rows repeat each other, so they lose all their windows. Ids may be null or repeat; each row gets its own result.
+rows repeat each other, so they lose all their windows. Ids may be null or repeat; each row gets its own result. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,60 +28,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, staged
+from .common import n_partitions, small, staged, unstage
+from .hashing import Rolling, Words
 
 WINDOW = 35
-ANCHOR = 8
-#: Text bytes of a reference block, and words whose hashes a task keeps.
+SEED = 8
+#: Text bytes of a reference block, and bytes of requests that one task parses against a block.
 BLOCK_BYTES = 2 << 20
-MAX_CACHED_WORDS = 1 << 20
-BASE = 0x9E3779B97F4A7C15 | 1
-MASK = (1 << 64) - 1
-INVERSE = pow(BASE, -1, 1 << 64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Spreads the bits of 64-bit values."""
-    h = h ^ (h >> np.uint64(29))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(32))
-    return h * np.uint64(0x94D049BB133111EB)
-
-
-class Words(dict):
-    """Word to its 64-bit hash; forgets when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MAX_CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 17)
-        return value
-
-
-class Rolling:
-    """Hashes of any word ranges of a sequence, from prefix sums of a polynomial modulo 2**64."""
-
-    def __init__(self, hashes: np.ndarray):
-        n = len(hashes)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(hashes * powers(BASE, n), out=self.sums[1:])
-        self.back = powers(INVERSE, n + 1)
-
-    def range(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.back[start])
+SLICE_BYTES = 16 << 20
 
 
 def least_places(values: np.ndarray, width: int) -> np.ndarray:
@@ -94,55 +54,28 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
-class Phrases:
-    """The phrases of a block of texts."""
+class Windows:
+    """The windows of a block of texts: start (word number in the block), hash and seed of each."""
 
-    def __init__(self, texts: list[bytes | None], cache: Words, window: int, anchor: int):
-        self.window = window
+    def __init__(self, texts: list[bytes | None], cache: Words, window: int, seed: int):
         words = [t.split() if t else [] for t in texts]
-        self.count = np.fromiter(map(len, words), np.int64, len(words))
-        self.words = words
-        hashes = np.fromiter((cache[w] for ws in words for w in ws), np.uint64, int(self.count.sum()))
-        first = np.concatenate(([0], np.cumsum(self.count)))
-        self.first = first
-        self.rolling = Rolling(hashes)
-        starts, anchors = [], []
-        n = len(hashes)
-        if n >= anchor:
-            at = np.arange(n - anchor + 1)
-            order = self.rolling.range(at, at + anchor)
-            for i in np.flatnonzero(self.count >= window):
+        count = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.concatenate(([0], np.cumsum(count)))
+        rolling = Rolling(np.fromiter((cache[w] for ws in words for w in ws), np.uint64, int(first[-1])))
+        starts, seeds = [], []
+        if first[-1] >= seed:
+            at = np.arange(first[-1] - seed + 1)
+            order = rolling.range(at, at + seed)
+            for i in np.flatnonzero(count >= window):
                 a, b = int(first[i]), int(first[i + 1])
-                least = least_places(order[a:b - anchor + 1], window - anchor + 1)
                 starts.append(np.arange(a, b - window + 1))
-                anchors.append(least + a)
+                seeds.append(order[least_places(order[a:b - seed + 1], window - seed + 1) + a])
         self.start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        place = np.concatenate(anchors) if anchors else np.zeros(0, np.int64)
-        cut = np.flatnonzero(place[1:] != place[:-1]) + 1 if len(place) else np.zeros(0, np.int64)
-        self.lo = np.concatenate(([0], cut)) if len(place) else cut
-        self.hi = np.concatenate((cut, [len(place)])) if len(place) else cut
-        p = place[self.lo]
-        left, right = self.start[self.lo], self.start[self.hi - 1] + window
-        self.anchor = order[p] if len(p) else np.zeros(0, np.uint64)
-        body = self.rolling.range(left, right)
-        shape = mixed((p - left).astype(np.uint64) * np.uint64(4096) + (right - p).astype(np.uint64))
-        self.phrase = mixed(body ^ shape ^ self.anchor)
-
-    def windows(self, chosen: np.ndarray) -> np.ndarray:
-        """Places (in ``start``) of the windows of the chosen phrases."""
-        size = self.hi[chosen] - self.lo[chosen]
-        return np.repeat(self.lo[chosen] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-
-    def window_hashes(self, places: np.ndarray) -> np.ndarray:
-        s = self.start[places]
-        return self.rolling.range(s, s + self.window)
-
+        self.seed = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
+        self.hash = rolling.range(self.start, self.start + window)
 
-def bucket_of(values: np.ndarray, n: int) -> np.ndarray:
-    return ((values >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
 
-
-def pack_block(ids: list, texts: list[bytes | None]) -> bytes:
+def pack_block(texts: list[bytes | None]) -> bytes:
     """Texts of a block in one compressed buffer: lengths (-1: null), then bytes."""
     lengths = np.array([-1 if t is None else len(t) for t in texts], "<i8")
     return zstandard.ZstdCompressor(level=3).compress(lengths.tobytes() + b"".join(t or b"" for t in texts))
@@ -150,24 +83,25 @@ def pack_block(ids: list, texts: list[bytes | None]) -> bytes:
 
 def unpack_block(payload: bytes, n: int) -> list[bytes | None]:
     raw = zstandard.ZstdDecompressor().decompress(payload)
-    lengths = np.frombuffer(raw, "<i8", n)
     out, at = [], 8 * n
-    for k in lengths.tolist():
+    for k in np.frombuffer(raw, "<i8", n).tolist():
         out.append(None if k < 0 else raw[at:at + k])
         at += max(k, 0)
     return out
 
 
-def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, ids, payload): the corpus as rows of a few megabytes of whole texts each."""
+def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, window: int, seed: int) -> DataFrame:
+    """(block, ids, payload, seeds): the corpus as rows of a few megabytes of whole texts each, with their seeds."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = d.schema["doc_id"].dataType
 
     def run(batches):
-        ids, texts, size = [], [], 0
+        ids, texts, size, cache = [], [], 0, Words()
 
         def row():
-            return pa.RecordBatch.from_pydict({"ids": pa.array([ids], pa.list_(batch_type)), "payload": [pack_block(ids, texts)]})
+            seeds = np.unique(Windows(texts, cache, window, seed).seed).view(np.int64)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([ids], pa.list_(batch_type)), pa.array([pack_block(texts)], pa.binary()), pa.array([seeds], pa.list_(pa.int64()))], ["ids", "payload", "seeds"])
 
         batch_type = None
         for b in batches:
@@ -183,174 +117,196 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BL
         if ids:
             yield row()
 
-    rows = d.mapInArrow(run, f"ids array<{id_type.simpleString()}>, payload binary")
-    return staged(rows.select(F.monotonically_increasing_id().alias("block"), "ids", "payload"), "reference-blocks")
-
-
-def ask(block: int, keys: list[np.ndarray], n: int) -> pa.RecordBatch:
-    """Rows (bucket, block, data) of a block: its key columns, dealt to n buckets by the first one."""
-    bucket = bucket_of(keys[0], n)
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    there = np.unique(bucket)
-    lo, hi = np.searchsorted(bucket, there), np.searchsorted(bucket, there, side="right")
-    data = [b"".join(k[order[a:b]].tobytes() for k in keys) for a, b in zip(lo, hi)]
-    return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(np.full(len(there), block)), pa.array(data, pa.binary())], ["bucket", "block", "data"])
-
-
-def answers_in_order(buckets: list[int], data: list[bytes], keys: np.ndarray, n: int) -> np.ndarray:
-    """A byte of flags for each key of a block, from the answers of the buckets."""
-    bucket = bucket_of(keys, n)
-    order = np.argsort(bucket, kind="stable")
-    by = dict(zip(buckets, data))
-    flat = np.frombuffer(b"".join(by[b] for b in np.unique(bucket).tolist()), np.uint8)
-    out = np.zeros(len(keys), np.uint8)
-    out[order] = flat
-    return out
-
-
-def groups_in(batches, columns: int):
-    """Everything a task was dealt: blocks, sizes and the key columns."""
-    rows = [(k, b, d) for x in batches for k, b, d in zip(*(c.to_pylist() for c in x.columns))]
-    sizes = np.array([len(d) // (8 * columns) for _, _, d in rows], np.int64)
-    cols = []
-    for c in range(columns):
-        parts = [np.frombuffer(d, np.uint64, s, c * s * 8) for (_, _, d), s in zip(rows, sizes.tolist())]
-        cols.append(np.concatenate(parts) if parts else np.zeros(0, np.uint64))
-    return rows, sizes, cols
-
-
-def reply(rows, sizes, flags: np.ndarray) -> pa.RecordBatch:
-    ends = np.cumsum(sizes)
-    data = [flags[e - s:e].tobytes() for s, e in zip(sizes.tolist(), ends.tolist())]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array(data, pa.binary())], ["bucket", "block", "data"])
-
-
-FACTOR, LOOK = 1, 2
-
-
-def phrase_flags(batches):
-    """Index task, first round: FACTOR if the phrase occurs again, LOOK if its windows must be looked up."""
-    rows, sizes, (anchor, phrase, many) = groups_in(batches, 3)
-    if not rows:
-        return
-    order = np.lexsort((phrase, anchor))
-    a, p, m = anchor[order], phrase[order], many[order]
-    new_p = np.concatenate(([True], (a[1:] != a[:-1]) | (p[1:] != p[:-1])))
-    new_a = np.concatenate(([True], a[1:] != a[:-1]))
-    kind = np.cumsum(new_p) - 1
-    first = np.flatnonzero(new_p)
-    count = np.add.reduceat(m, first)
-    kinds = np.add.reduceat(new_p.astype(np.int64), np.flatnonzero(new_a))
-    mixed_anchor = np.repeat(kinds, np.diff(np.concatenate((np.flatnonzero(new_a), [len(a)])))) > 1
-    lone_kind = np.add.reduceat((count[kind] == 1) & new_p, np.flatnonzero(new_a)) if len(a) else None
-    has_lone = np.repeat(lone_kind > 0, np.diff(np.concatenate((np.flatnonzero(new_a), [len(a)]))))
-    flags = (count[kind] > 1) * FACTOR + (mixed_anchor & has_lone & new_p) * LOOK
-    out = np.zeros(len(order), np.uint8)
-    out[order] = flags
-    yield reply(rows, sizes, out)
-
-
-def window_flags(batches):
-    """Index task, second round: 1 if the window is found twice."""
-    rows, sizes, (h,) = groups_in(batches, 1)
-    if rows:
-        _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-        yield reply(rows, sizes, (count[inverse] > 1).astype(np.uint8))
-
-
-def packed_answers(df: DataFrame, name: str) -> DataFrame:
-    """Answers per block; a block has at most one row per bucket."""
-    return df.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias(name))
-
-
-def distinct_phrases(ph: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's phrases combined: the first place of each kind, its count, and the kind of every phrase."""
-    _, first, kind, count = np.unique(ph.phrase, return_index=True, return_inverse=True, return_counts=True)
-    return first, count, kind, ph.anchor[first]
-
-
-ASK_SCHEMA = "bucket int, block bigint, data binary"
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR,
-                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    rows = d.mapInArrow(run, f"ids array<{id_type.simpleString()}>, payload binary, seeds array<bigint>")
+    return staged(rows.select(F.monotonically_increasing_id().alias("block"), "ids", "payload", "seeds"), "reference-blocks")
+
+
+class Index:
+    """The windows that a reference block offers: hashes in the order of their places, and sorted."""
+
+    def __init__(self, hashes: np.ndarray, starts: np.ndarray):
+        self.hash, self.start = hashes, starts
+        self.order = np.argsort(hashes, kind="stable")
+        self.sorted = hashes[self.order]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each hash the range of ``order`` with its places."""
+        return np.searchsorted(self.sorted, hashes), np.searchsorted(self.sorted, hashes, side="right")
+
+    def longest(self, places: np.ndarray, hashes: np.ndarray, starts: np.ndarray, at: int) -> tuple[int, int]:
+        """(windows, place) of the longest run that equals the text from ``at`` on, over all the given places."""
+        done, step = 1, 32
+        while True:
+            ahead = np.arange(done, min(done + step, len(hashes) - at))
+            mine = ahead[starts[at + ahead] == starts[at] + ahead]
+            there = np.minimum(places[:, None] + mine, len(self.hash) - 1)
+            same = (places[:, None] + mine < len(self.hash)) & (self.hash[there] == hashes[at + mine]) & (self.start[there] == self.start[places][:, None] + mine)
+            run = same.cumprod(axis=1).sum(axis=1) if len(mine) else np.zeros(len(places), np.int64)
+            best = int(run.max())
+            done += best
+            if best < len(ahead) or not len(ahead):
+                return done, int(places[int(np.argmax(run))])
+            places, step = places[run == best], 2 * step
+
+
+def factors(index: Index, hashes: np.ndarray, starts: np.ndarray, window: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """Greedy factors (window, reference place, windows) of a text's windows, and the windows across factor ends
+    that the index holds."""
+    low, high = index.find(hashes)
+    there = np.flatnonzero(high > low)
+    out, across, at = [], [], 0
+    while True:
+        k = int(np.searchsorted(there, at))
+        if k == len(there):
+            break
+        i = int(there[k])
+        n, place = index.longest(index.order[low[i]:high[i]], hashes, starts, i)
+        out.append((i, place, n))
+        end = i + n
+        # the next factor starts with the first word behind this one
+        at = int(np.searchsorted(starts, starts[end - 1] + window))
+        a, z = np.searchsorted(there, (end, at))
+        across.append(there[a:z])
+    return out, np.concatenate(across) if across else np.zeros(0, np.int64)
+
+
+ASK = "ref bigint, block bigint, far binary, hashes binary, starts binary"
+TELL = "kind string, block bigint, hashes array<bigint>"
+
+
+def parse_requests(batches, window: int):
+    """Rows (ref, part, block, ...) sorted by ref, part and block, a part's index first: (hit, block, window hashes)
+    of the windows that factors or checks at their ends found, and (miss, block, hashes) of those of far seeds."""
+    key, index, found = None, None, None
+
+    def close():
+        if index is not None and found.any():
+            yield "hit", key[0], np.unique(index.hash[found]).view(np.int64)
+
+    def tell(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["kind", "block", "hashes"])
+
+    for b in batches:
+        rows = []
+        for ref, part, block, far, hashes, starts in zip(*(c.to_pylist() for c in b.columns)):
+            h, s = np.frombuffer(hashes, np.uint64), np.frombuffer(starts, np.int32).astype(np.int64)
+            if (ref, part) != key:
+                rows += close()
+                key, index, found = (ref, part), None, None
+            if block == -1:
+                index, found = Index(h, s), np.zeros(len(h), bool)
+                continue
+            hit = np.zeros(len(h), bool)
+            parsed, across = factors(index, h, s, window)
+            for i, place, n in parsed:
+                hit[i:i + n] = True
+                found[place:place + n] = True
+            hit[across] = True
+            low, _ = index.find(h[across])
+            found[index.order[low]] = True
+            if hit.any():
+                rows.append(("hit", block, np.unique(h[hit]).view(np.int64)))
+            miss = ~hit & (np.frombuffer(far, np.uint8) > 0)
+            if miss.any():
+                rows.append(("miss", block, np.unique(h[miss]).view(np.int64)))
+        if rows:
+            yield tell(rows)
+    if last := list(close()):
+        yield tell(last)
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED,
+                   block_bytes: int = BLOCK_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per document: (doc_id, n_words, n_removed, spans, kept_sha256).
 
     spans: word ranges (start, end) that repeated windows cover; kept_sha256: of the words outside, joined by a space.
     """
     spark = docs.sparkSession
     n = max(4, n_partitions(spark))
-    blocks = blocks_of(docs, id_col, text_col, block_bytes)
+    blocks = blocks_of(docs, id_col, text_col, block_bytes, window, seed)
     id_type = blocks.schema["ids"].dataType.elementType.simpleString()
+    held = blocks.select("block", F.explode("seeds").alias("seed"))
+    refs = held.groupBy("seed").agg(F.min("block").alias("low"), F.max("block").alias("high"), F.count("*").alias("n")).filter("n > 1")
+    shared = held.join(refs, "seed").groupBy("block").agg(F.collect_list(F.struct("seed", "low", "high", (F.col("n") > 2).alias("far"))).alias("shared"))
+    shared = staged(shared, "shared-seeds")
 
-    def ask_phrases(batches):
-        cache = Words()
-        for b in batches:
-            for block, ids, payload in zip(*(c.to_pylist() for c in b.columns)):
-                ph = Phrases(unpack_block(payload, len(ids)), cache, window, anchor)
-                first, count, _, anchors = distinct_phrases(ph)
-                if len(first):
-                    yield ask(block, [anchors, ph.phrase[first], np.minimum(count, 2).astype(np.uint64)], n)
-
-    asked = blocks.mapInArrow(ask_phrases, ASK_SCHEMA).repartition(n, "bucket")
-    first_round = staged(asked.mapInArrow(phrase_flags, ASK_SCHEMA), "phrase-answers")
-
-    def ask_windows(batches):
+    def ask(batches):
         cache = Words()
         for b in batches:
-            for block, ids, payload, one in zip(*(c.to_pylist() for c in b.columns)):
-                if one is None:
-                    continue
-                ph = Phrases(unpack_block(payload, len(ids)), cache, window, anchor)
-                first, _, _, anchors = distinct_phrases(ph)
-                flags = answers_in_order([x["bucket"] for x in one], [x["data"] for x in one], anchors, n)
-                chosen = np.sort(first[(flags & LOOK) > 0])
-                if len(chosen):
-                    yield ask(block, [ph.window_hashes(ph.windows(chosen))], n)
-
-    parsed = blocks.join(packed_answers(first_round, "one"), "block", "left")
-    looked = parsed.select("block", "ids", "payload", "one").mapInArrow(ask_windows, ASK_SCHEMA).repartition(n, "bucket")
-    second_round = staged(looked.mapInArrow(window_flags, ASK_SCHEMA), "window-answers")
+            for block, ids, payload, ours in zip(*(c.to_pylist() for c in b.columns)):
+                w = Windows(unpack_block(payload, len(ids)), cache, window, seed)
+                known = sorted((x["seed"], x["low"], x["high"], x["far"]) for x in ours)
+                names = np.array([k[0] for k in known], np.int64)
+                at = np.minimum(np.searchsorted(names, w.seed.view(np.int64)), len(names) - 1)
+                use = np.flatnonzero(names[at] == w.seed.view(np.int64))
+                low, high, far = (np.array([k[i] for k in known], np.int64)[at[use]] for i in (1, 2, 3))
+                sent = []
+                mine = use[(low == block) | (high == block)]
+                if len(mine):
+                    sent.append((block, -1, mine, np.zeros(0, np.uint8)))
+                for ref in np.union1d(low, high).tolist():
+                    if ref != block:
+                        chosen = (low == ref) | (high == ref)
+                        # windows of the seed's other reference block are complete without a count of the rest
+                        sent.append((ref, block, use[chosen], ((far > 0) & (low != block) & (high != block))[chosen].astype(np.uint8)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([s[0] for s in sent], pa.int64()), pa.array([s[1] for s in sent], pa.int64()), pa.array([s[3].tobytes() for s in sent], pa.binary()),
+                    pa.array([w.hash[s[2]].tobytes() for s in sent], pa.binary()), pa.array([w.start[s[2]].astype(np.int32).tobytes() for s in sent], pa.binary()),
+                ], ["ref", "block", "far", "hashes", "starts"])
+
+    asked = blocks.join(small(shared), "block").select("block", "ids", "payload", "shared").mapInArrow(ask, ASK)
+    asked = staged(asked, "requests")
+    slices = asked.filter("block >= 0").groupBy("ref").agg(F.ceil(F.sum(F.octet_length("hashes")) / slice_bytes).alias("parts"))
+    dealt = asked.join(small(slices), "ref")
+    own = F.pmod(F.xxhash64("block"), F.col("parts"))
+    part = F.when(F.col("block") < 0, F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).otherwise(F.array(own))
+    dealt = dealt.select("ref", F.explode(part).alias("part"), "block", "far", "hashes", "starts")
+    dealt = dealt.repartition(n, "ref", "part").sortWithinPartitions("ref", "part", "block")
+    told = staged(dealt.mapInArrow(lambda batches: parse_requests(batches, window), TELL), "answers")
+    unstage(asked)
+    # missed by both reference blocks, and found in another block that they missed, too
+    lost = told.filter("kind = 'miss'").select("block", F.explode("hashes").alias("h")).groupBy("block", "h").agg(F.count("*").alias("n")).filter("n > 1").select("block", "h")
+    again = lost.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    rest = lost.join(again, "h").groupBy("block").agg(F.collect_list("h").alias("hashes"))
+    hits = told.filter("kind = 'hit'").select("block", "hashes").unionByName(rest)
+    hits = staged(hits.groupBy("block").agg(F.collect_list("hashes").alias("hits")), "hits")
 
     def finish(batches):
         cache = Words()
         for b in batches:
-            for block, ids, payload, one, two in zip(*(c.to_pylist() for c in b.columns)):
-                ph = Phrases(unpack_block(payload, len(ids)), cache, window, anchor)
-                hit = np.zeros(len(ph.start), bool)
-                if one is not None:
-                    first, _, kind, anchors = distinct_phrases(ph)
-                    flags = answers_in_order([x["bucket"] for x in one], [x["data"] for x in one], anchors, n)
-                    hit[ph.windows(np.flatnonzero(flags[kind] & FACTOR))] = True
-                    if two is not None:
-                        places = ph.windows(np.sort(first[(flags & LOOK) > 0]))
-                        again = answers_in_order([x["bucket"] for x in two], [x["data"] for x in two], ph.window_hashes(places), n)
-                        hit[places[again > 0]] = True
-                yield cut_spans(ids, ph, hit, b.schema.field("ids").type.value_type)
-
-    done = parsed.join(packed_answers(second_round, "two"), "block", "left").select("block", "ids", "payload", "one", "two")
+            for ids, payload, hits in zip(*(c.to_pylist() for c in b.columns)):
+                texts = unpack_block(payload, len(ids))
+                w = Windows(texts, cache, window, seed)
+                _, kind, count = np.unique(w.hash, return_inverse=True, return_counts=True)
+                hit = count[kind] > 1
+                for h in hits or []:
+                    hit |= np.isin(w.hash, np.array(h, np.int64).view(np.uint64))
+                yield cut_spans(ids, texts, w.start[hit], window, b.schema.field("ids").type.value_type)
+
+    done = blocks.join(small(hits), "block", "left").select("ids", "payload", "hits")
     return done.mapInArrow(finish, f"doc_id {id_type}, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept_sha256 string")
 
 
-def cut_spans(ids: list, ph: Phrases, hit: np.ndarray, id_type: pa.DataType) -> pa.RecordBatch:
-    """The result rows of a block."""
-    change = np.zeros(len(ph.rolling.sums), np.int64)
-    np.add.at(change, ph.start[hit], 1)
-    np.add.at(change, ph.start[hit] + ph.window, -1)
+def cut_spans(ids: list, texts: list[bytes | None], starts: np.ndarray, window: int, id_type: pa.DataType) -> pa.RecordBatch:
+    """The result rows of a block, from the starts of its repeated windows."""
+    words = [t.split() if t else [] for t in texts]
+    first = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
+    change = np.zeros(int(first[-1]) + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + window, -1)
     gone = np.cumsum(change)[:-1] > 0
     removed, spans, digests = [], [], []
-    for i, words in enumerate(ph.words):
-        g = gone[ph.first[i]:ph.first[i + 1]]
+    for i, ws in enumerate(words):
+        g = gone[first[i]:first[i + 1]]
         if g.any():
             edge = np.flatnonzero(np.diff(np.concatenate(([0], g.view(np.int8), [0])))).reshape(-1, 2)
             spans.append([{"start": int(a), "end": int(z)} for a, z in edge])
-            words = [w for w, x in zip(words, g.tolist()) if not x]
+            ws = [w for w, x in zip(ws, g.tolist()) if not x]
         else:
             spans.append([])
         removed.append(int(g.sum()))
-        digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+        digests.append(hashlib.sha256(b" ".join(ws)).hexdigest())
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, id_type), pa.array(ph.count), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(digests)],
+        [pa.array(ids, id_type), pa.array([len(w) for w in words], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(digests)],
         ["doc_id", "n_words", "n_removed", "spans", "kept_sha256"])
