@@ -279,8 +279,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 w = Windows(texts, cache, window, seed)
                 _, kind, count = np.unique(w.hash, return_inverse=True, return_counts=True)
                 hit = count[kind] > 1
-                for h in hits or []:
-                    hit |= np.isin(w.hash, np.array(h, np.int64).view(np.uint64))
+                if hits:
+                    hit |= np.isin(w.hash, np.concatenate([np.array(h, np.int64) for h in hits]).view(np.uint64))
                 yield cut_spans(ids, texts, w.start[hit], window, b.schema.field("ids").type.value_type)
 
     done = blocks.join(small(hits), "block", "left").select("ids", "payload", "hits")
