@@ -389,14 +389,14 @@ def test_toxicity(spark):
 
 
 def test_field_against_all_paths():
-    """Marginals of the chain equal sums over all tag sequences."""
+    """Marginals of the chain, by both ways, equal sums over all tag sequences."""
     from itertools import product
 
-    f = toxicity.Field(2)
-    f.word, f.beside, f.bias, f.change = np.array([0, 1.5, -0.3]), np.array([0.4, -0.2]), -0.5, np.array([[0.1, -0.7], [0.3, 0.9]])
-    ids, there = toxicity.padded([[0, 1, 2, 0], [2, 1]])
-    marginal, _, log_z = f.messages(ids, there)
-    e = f.emissions(ids)
+    f = toxicity.Field()
+    f.change = np.array([[0.1, -0.7], [0.3, 0.9]])
+    e, there = np.array([[-0.5, 1.3, -0.8, -0.1], [0.7, 1.1, 0, 0]]), np.array([[1, 1, 1, 1], [1, 1, 0, 0]], bool)
+    marginal, _, log_z = f.messages(e, there)
+    assert np.allclose(f.marginals(e, there), marginal)
     for row, n in ((0, 4), (1, 2)):
         total, on = 0.0, np.zeros(n)
         for tags in product((0, 1), repeat=n):
@@ -406,6 +406,33 @@ def test_field_against_all_paths():
         assert np.allclose(marginal[row, :n], on / total) and np.isclose(log_z[row], np.log(total))
 
 
+def test_toxic_words_of_like_form():
+    """A word that the fit never saw is tagged for its form; the sum of many faint marginals is no toxicity."""
+    r = random.Random(5)
+    plain = ["".join(r.choice("abcdeilmnoprstu") for _ in range(r.randrange(3, 9))) for _ in range(400)]
+    bad = ["grumblewort" + x for x in ("s", "ing", "y", "ed", "er")]
+    rows = []
+    for i in range(300):
+        ws = [r.choice(plain) for _ in range(40)]
+        if i % 3 == 0:
+            for _ in range(2):
+                ws.insert(r.randrange(40), r.choice(bad))
+        rows.append((" ".join(ws) + ".", int(i % 3 == 0)))
+    tagger = toxicity.train(rows)
+    text = " ".join(plain[:20]) + " grumbleworth " + " ".join(plain[20:40])
+    assert [text[s["start"]:s["end"]] for s in tagger.spans(text, tagger.marginals([text])[0])] == ["grumbleworth"]
+    long = " ".join(r.choice(plain) for _ in range(20000))
+    assert tagger.score(toxicity.mass_of(tagger.marginals([long])))[0] < 0.3
+
+
+def test_hot_id_in_the_sample(spark):
+    """One id on most rows, with as many different texts, does not exceed the sample's bound."""
+    docs = spark.range(5000).selectExpr("if(id < 4000, 1, id) as doc_id", "concat('text ', id) as text")
+    labels = spark.createDataFrame([(1, 1), (4500, 0), (4501, 0)], "doc_id bigint, toxic int")
+    got = collections.Counter(y for _, y in toxicity.sample(docs, labels, F.lit(True), sample_docs=50))
+    assert got == {1: 50, 0: 2}
+
+
 @needs_data
 def test_pipeline(spark):
     import corpus_pipeline
