@@ -48,6 +48,10 @@ TRAINING = (
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (6, 0.9, 1, 1.0, 3, 1.0, 0, 0, 0), (12, 0.8, 10, 0.9, 9, 0.9, 0, 0, 0), (30, 0.9, 3, 1.0, 20, 0.7, 0, 1, 0),
     (6, 1.0, 80, 0.0, 6, 1.0, 0, 0, 0), (12, 0.9, 60, 0.0, 5, 1.0, 0, 0, 0), (4, 1.0, 50, 0.0, 3, 1.0, 0, 0, 0), (28, 0.8, 40, 0.0, 10, 0.9, 0, 0, 0),
     (2, 1.0, 80, 0.0, 1, 1.0, 1, 1, 0), (25, 0.6, 4, 1.0, 5, 1.0, 0, 0, 0), (8, 0.5, 2, 1.0, 2, 1.0, 0, 0, 0), (18, 0.45, 1, 1.0, 1, 1.0, 0, 0, 0),
+    # menus and links without a hint, before or behind paragraphs
+    (3, 1.0, 0, 0.0, 40, 0.0, 0, 0, 0), (3, 1.0, 0, 0.0, 13, 0.0, 0, 0, 0), (1, 1.0, 1, 1.0, 60, 0.0, 0, 0, 0), (2, 1.0, 2, 1.0, 25, 0.0, 0, 0, 0),
+    (8, 0.9, 4, 1.0, 70, 0.0, 0, 0, 0), (5, 1.0, 0, 0.0, 110, 0.0, 0, 0, 0), (12, 0.8, 3, 1.0, 35, 0.0, 0, 0, 0), (2, 1.0, 4, 0.0, 0, 0.0, 0, 0, 0),
+    (2, 1.0, 5, 0.0, 3, 1.0, 0, 0, 0), (4, 1.0, 35, 0.0, 50, 0.0, 0, 0, 0), (7, 0.7, 0, 0.0, 20, 0.0, 0, 0, 0), (2, 1.0, 90, 0.0, 40, 0.0, 0, 0, 0),
     # adverts, notices, sidebars, forms
     (8, 0.0, 1, 1.0, 12, 0.0, 0, 1, 0), (15, 0.0, 2, 1.0, 9, 0.0, 0, 1, 0), (40, 0.0, 8, 0.0, 60, 0.0, 0, 1, 0), (9, 0.2, 80, 0.0, 70, 0.0, 1, 1, 0),
     (25, 0.1, 120, 0.0, 90, 0.0, 1, 1, 0), (60, 0.0, 1, 1.0, 40, 0.0, 0, 1, 0), (5, 0.0, 3, 0.0, 2, 0.0, 0, 1, 0), (120, 0.05, 30, 0.0, 80, 0.0, 0, 1, 0),
@@ -61,6 +65,10 @@ TRAINING = (
     (2, 0.0, 90, 0.0, 110, 0.0, 1, 0, 1), (1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 1), (45, 0.3, 50, 0.1, 60, 0.0, 1, 0, 1), (5, 1.0, 60, 0.0, 80, 0.0, 1, 0, 1),
     (20, 0.5, 30, 0.2, 11, 0.0, 1, 0, 1), (150, 0.0, 90, 0.0, 11, 0.0, 1, 0, 1), (3, 0.0, 150, 0.0, 9, 0.2, 1, 0, 1), (8, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1),
     (1, 1.0, 40, 0.0, 60, 0.0, 1, 0, 1), (2, 0.5, 1, 1.0, 3, 1.0, 1, 0, 1),
+    # short paragraphs and last lines of pages without such an element
+    (13, 0.0, 5, 0.0, 4, 0.0, 0, 0, 1), (13, 0.0, 0, 0.0, 4, 0.0, 0, 0, 1), (4, 0.0, 13, 0.0, 2, 1.0, 0, 0, 1), (5, 0.0, 30, 0.0, 2, 1.0, 0, 0, 1),
+    (6, 0.0, 14, 0.0, 3, 1.0, 0, 0, 1), (15, 0.0, 3, 1.0, 6, 0.0, 0, 0, 1), (7, 0.0, 45, 0.0, 2, 1.0, 0, 0, 1), (12, 0.1, 20, 0.0, 9, 0.0, 0, 0, 1),
+    (5, 0.0, 2, 1.0, 13, 0.0, 0, 0, 1), (4, 0.0, 3, 1.0, 30, 0.0, 0, 0, 1), (3, 0.0, 60, 0.0, 4, 1.0, 0, 0, 1), (14, 0.0, 12, 0.0, 13, 0.0, 0, 0, 1),
     # paragraphs of pages without such an element
     (60, 0.0, 8, 0.0, 75, 0.0, 0, 0, 1), (90, 0.05, 60, 0.0, 40, 0.1, 0, 0, 1), (35, 0.1, 5, 0.0, 80, 0.0, 0, 0, 1), (22, 0.0, 50, 0.0, 45, 0.0, 0, 0, 1),
     (120, 0.0, 3, 1.0, 2, 1.0, 0, 0, 1), (18, 0.0, 25, 0.0, 30, 0.0, 0, 0, 1), (6, 0.0, 2, 1.0, 70, 0.0, 0, 0, 1), (9, 0.0, 6, 0.0, 65, 0.0, 0, 0, 1),
@@ -127,7 +135,6 @@ class Blocks:
         self.open: list[tuple[str, str]] = []
         self.in_link = False
         at, end = 0, len(page)
-        low = None
         while at < end:
             m = TAG.search(page, at)
             if not m:
@@ -141,8 +148,8 @@ class Blocks:
             if m.group(1):
                 self.close(name)
             elif name in RAW and not m.group(3).endswith("/"):
-                low = page.lower() if low is None else low
-                stop = low.find(f"</{name}", at)
+                ended = re.compile(f"</{name}", re.I | re.A).search(page, at)
+                stop = ended.start() if ended else -1
                 self.flush() if name in BLOCK else None
                 if stop < 0 and name in ("script", "style", "textarea", "title", "iframe"):
                     break
@@ -197,7 +204,7 @@ class Blocks:
                     main, side = True, False
                 elif h == "side":
                     side = True
-            self.blocks.append((text, text.count(" ") + 1, len("".join(self.links).split()), main, side))
+            self.blocks.append((text, text.count(" ") + 1, len(" ".join(self.links).split()), main, side))
         self.parts, self.links = [], []
 
 
