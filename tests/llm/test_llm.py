@@ -521,3 +521,78 @@ def test_language_of_many_copies(spark):
     docs = spark.range(20000).selectExpr("'aa' as lang", "concat('text number ', id % 20, ' of twenty') as text")
     learned = language_id.fit_dictionaries(docs)["aa"].decode().split("\n")
     assert sorted(filter(None, learned)) == sorted(f"text number {i} of twenty" for i in range(20))
+
+
+def test_html_without_hints(spark):
+    """A menu and an article that no element or class marks, repeated pages, letters whose lower case is longer, depth."""
+    menu = '<div><a href=1>Home</a> <a href=2>News</a> <a href=3>Sport</a></div><p>' + "word " * 40 + "</p>"
+    short = "<p>One two three four five six seven eight nine ten eleven twelve thirteen.</p><p>The short last line.</p><p><a href=x>Next page</a></p>"
+    dotted = "<article><p>" + "\u0130" * 40 + "</p><SCRIPT>x</Script ><p>The next paragraph stays.</p></article>"
+    deep = "<div>" * 3000 + "<article><p>" + "long " * 50000 + "</p>"
+    rows = [(1, "u", menu), (1, "u", menu), (2, "u", short), (3, "u", dotted), (4, "u", deep)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = html_text.extract(df).collect()
+    by = {g.page_id: g.text for g in got}
+    assert len(got) == 5 and by[1] == ("word " * 40).strip()
+    assert by[2] == "One two three four five six seven eight nine ten eleven twelve thirteen.\nThe short last line."
+    assert by[3] == "\u0130" * 40 + "\nThe next paragraph stays." and len(by[4]) == 5 * 50000 - 1
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def brute_rates(size, source, target, rounds=3000):
+    """The tilted rates by cyclic one-dimensional bisection, source after source and class after class."""
+    cls = np.floor(np.log2(size)).astype(int)
+    due = {c: sum(size[(source == s) & (cls == c)].sum() / size[source == s].sum() * t for s, t in target.items()) for c in set(cls)}
+    eta = np.zeros(len(size))
+    for _ in range(rounds):
+        worst = 0.0
+        for chosen, want in [(source == s, t) for s, t in target.items()] + [(cls == c, d) for c, d in due.items()]:
+            x, base = size[chosen], eta[chosen]
+            taken = lambda m: (x * np.minimum(2.0, np.exp(np.minimum(base + x * m, 9)))).sum()  # noqa: E731, B023
+            worst = max(worst, abs(taken(0.0) / want - 1))
+            low, high = -5.0, 5.0
+            for _ in range(60):
+                mid = (low + high) / 2
+                low, high = (mid, high) if taken(mid) < want else (low, mid)
+            eta[chosen] += x * low
+        if worst < 1e-9:
+            break
+    return np.minimum(2.0, np.exp(eta))
+
+
+def test_rates_against_another_optimiser(spark):
+    r = np.random.default_rng(7)
+    size = np.maximum(1, np.exp(r.normal(2.2, 0.9, 300)).astype(int))
+    source = r.choice(["a", "b", "c"], 300)
+    target = {"a": 1.3 * size[source == "a"].sum(), "b": 0.6 * size[source == "b"].sum(), "c": 1.05 * size[source == "c"].sum()}
+    docs = spark.createDataFrame([(s, int(n)) for s, n in zip(source.tolist(), size)], "skey string, size bigint")
+    goal = spark.createDataFrame([(s, int(size[source == s].sum()), float(t)) for s, t in target.items()], "skey string, source_size bigint, target double")
+    got = {(g.skey, g.size): g.rate for g in mixing.newton(docs.groupBy("skey", "size").agg(F.count("*").alias("n")), goal).collect()}
+    want = brute_rates(size, source, target)
+    assert np.allclose([got[s, int(n)] for s, n in zip(source.tolist(), size)], want, rtol=1e-3)
+    assert all(len({round(v, 6) for (s, _), v in got.items() if s == x}) > 5 for x in "abc")
+
+
+def test_mix_of_repeated_ids(spark):
+    """Rows of equal id and text but other sources keep their own copies."""
+    rows = [(1, "w w w", "x")] * 3 + [(1, "w w w", "y")] * 3 + [(2, "w w w w", "y"), (3, "w", "x"), (4, "w w", "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = collections.Counter()
+    for g in mixing.mix(docs).withColumn("row", F.col("target")).collect():
+        want[round(g.target, 6)] += g.taken
+    got = collections.Counter(x.source for x in mixing.take_mix(docs).collect() for _ in words(x.text))
+    assert sorted(got.values()) == sorted(v for v in want.values() if v)
+
+
+def test_slots_are_no_evidence(spark):
+    """A table of numbers meets another in no window; an item of numbers is found by its numbers."""
+    item, other = (" ".join(str(k * i % 997) for i in range(1, 400)) for k in (7, 11))
+    bench = spark.createDataFrame([(1, item)], "item_id int, text string")
+    docs = spark.createDataFrame([(1, "so " + item), (2, other)], "doc_id bigint, text string")
+    assert [g.doc_id for g in decontaminate.leaks(docs, bench).collect()] == [1]
+
+
+def test_tokens_of_text_ids(spark):
+    docs = spark.createDataFrame([(f"d{i:02d}", f"text {i}") for i in range(20)], "doc_id string, text string")
+    got = token_store.tokenize(docs, queries.TOKENIZER).orderBy("start").collect()
+    assert [g.doc_id for g in got] == [f"d{i:02d}" for i in range(20)]

@@ -6,7 +6,7 @@ smallest totals are closer than a margin the classifier rejects: ``accepted`` is
 names the smallest.
 
 The dictionaries are fitted on a bounded sample: at most ``SAMPLE_ROWS`` distinct texts a language, chosen by their
-hash, the first ``TEXT_BYTES`` characters of each and ``DICT_BYTES`` in all. Prediction reads every whole text.
+hash, ``TEXT_CHARS`` characters of each from a place that its hash picks, and ``DICT_BYTES`` in all. Prediction reads every whole text.
 
 Defined results: a null text and one without a letter are ``und`` with score 0. Without a labelled row everything is
 ``und``. Ties go to the language first in code-point order. Repeated rows get equal results; ids may be null.
@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds of the fit: rows a language, bytes of one text, bytes of a dictionary, and of all dictionaries together.
+#: Bounds of the fit: rows a language, characters of one text, bytes of a dictionary, and of all dictionaries together.
 SAMPLE_ROWS = 256
-TEXT_BYTES = 384
+TEXT_CHARS = 384
 DICT_BYTES = 96 << 10
 ALL_BYTES = 16 << 20
 PIECE_BYTES = 2048
@@ -57,12 +57,13 @@ def fit_dictionaries(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, dict_bytes
     from pyspark.sql import Window
 
     ranked = picked.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("at") <= sample_rows)
-    texts = ranked.select("lang", "at", F.substring("text", 1, TEXT_BYTES).alias("text")).orderBy("lang", "at").collect()
+    place = F.pmod("h", F.greatest(F.length("text") - TEXT_CHARS + 1, F.lit(1))).cast("int") + 1
+    texts = ranked.select("lang", "at", F.substring("text", place, F.lit(TEXT_CHARS)).alias("text")).orderBy("lang", "at").collect()
     each = max(1024, min(dict_bytes, ALL_BYTES // len(counts)))
     out: dict[str, bytes] = {}
     for r in texts:
         out[r["lang"]] = out.get(r["lang"], b"") + prepared(r["text"]) + b"\n"
-    return {k: v[:each] for k, v in sorted(out.items())}
+    return {k: v if len(v) <= each else v[:v.rfind(b"\n", 0, each) + 1] or v[:each] for k, v in sorted(out.items())}
 
 
 def prepared(text: str) -> bytes:
