@@ -596,3 +596,21 @@ def test_tokens_of_text_ids(spark):
     docs = spark.createDataFrame([(f"d{i:02d}", f"text {i}") for i in range(20)], "doc_id string, text string")
     got = token_store.tokenize(docs, queries.TOKENIZER).orderBy("start").collect()
     assert [g.doc_id for g in got] == [f"d{i:02d}" for i in range(20)]
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_agrees_with_sql(spark, small_docs, name):
+    """On a table with edge cases, repeated rows and null ids, and on the smallest tables."""
+    duckdb = pytest.importorskip("duckdb")
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/sql-{name}"
+    more = ["Home\nA fine line ends here, says the text, with enough of words.\n\nHome\nHome", "a | b | c | d\nWHAT IS ALL THIS SHOUTING ABOUT HERE.", "r s t u v w " * 20]
+    corpus(spark, small_docs + more).write.parquet(f"{folder}/documents.parquet")
+    for where, files in ((folder, f"{folder}/documents.parquet/*.parquet"), (DATA, f"{DATA}/documents.parquet")):
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from '{files}'")
+        got = queries.queries()[name](spark, where)
+        want = con.execute(queries.oracle_sql()[name])
+        names = [c[0] for c in want.description]
+        assert sorted(got.columns) == sorted(names)
+        assert collections.Counter(map(tuple, got.select(*names).collect())) == collections.Counter(want.fetchall())

@@ -77,5 +77,55 @@ def queries() -> dict:
         op7_url_filter, op8_html_text, op9_mixing, op10_toxicity, pipeline)}
 
 
+#: Words of every text; row numbers tell rows of equal ids apart.
+S_WORDS = """d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d)"""
+
+
+def quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def op2_sql() -> str:
+    """The counts by joins of windows and lines; the line rules by DuckDB's own patterns."""
+    q, n = quality_rules, quality_rules.WINDOW
+    blank = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+
+    def without(pattern: str) -> str:
+        return f"length(regexp_replace(bare, {quoted(pattern)}, '', 'g'))"
+
+    return f"""WITH {S_WORDS},
+g AS (SELECT r, i, ws[i:i+{n - 1}] AS k FROM w, unnest(range(1, len(ws) - {n - 2})) AS t(i)),
+twice AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+rep AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, range({n}) AS t(j) GROUP BY r),
+split AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM d),
+l AS (SELECT r, place, line, trim(line, {blank}) AS bare FROM split WHERE trim(line, {blank}) <> ''),
+m AS (SELECT *, length(bare) AS size, length(bare) - {without(q.SYMBOLS)} AS symbols, {without("[^\\p{Lu}]+")} AS upper, {without("[^\\p{L}]+")} AS letters FROM l),
+v AS (SELECT r, place, line, NOT (NOT regexp_matches(bare, {quoted(q.ENDS_SENTENCE)}) OR symbols > {q.MAX_SYMBOL_SHARE}::DOUBLE * size
+  OR (letters >= 20 AND upper > {q.MAX_UPPER_SHARE}::DOUBLE * letters) OR len(regexp_split_to_array(bare, {quoted(q.SEPARATOR)})) > 3
+  OR regexp_matches(bare, {quoted(q.NAVIGATION)}) OR regexp_matches(bare, {quoted(q.BOILERPLATE)})) AS good FROM m),
+s AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, sum(length(line)) AS chars, count(*) FILTER (good) AS n_good,
+  coalesce(sum(length(line)) FILTER (good), 0) AS good_chars FROM v GROUP BY r),
+b AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(text) - length(regexp_replace(text, {quoted(q.SYMBOLS)}, '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_good, 0) AS n_good,
+  coalesce(chars, 0) AS chars, coalesce(good_chars, 0) AS good_chars FROM w LEFT JOIN rep USING (r) LEFT JOIN s USING (r)),
+f AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+n_repeat_words::BIGINT AS n_repeat_words, base_failed, n_lines::BIGINT AS n_lines, n_good::BIGINT AS n_lines_kept,
+NOT base_failed AND chars - good_chars <= {q.MAX_LOST}::DOUBLE * chars AS kept FROM f"""
+
+
+def op5_sql() -> str:
+    """All windows as texts, grouped, without blocks, seeds or hashes."""
+    n = substring_dedup.WINDOW
+    return f"""WITH {S_WORDS},
+g AS (SELECT r, i, array_to_string(ws[i:i+{n - 1}], ' ') AS k FROM w, unnest(range(1, len(ws) - {n - 2})) AS t(i)),
+twice AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY k) > 1),
+gone AS (SELECT DISTINCT r, i + j AS place FROM twice, range({n}) AS t(j)),
+every AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM w),
+s AS (SELECT e.r, count(gone.place) AS n, string_agg(word, ' ' ORDER BY e.place) FILTER (gone.place IS NULL) AS kept FROM every e LEFT JOIN gone ON e.r = gone.r AND e.place = gone.place GROUP BY e.r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": op2_sql(), "op5_substring_dedup": op5_sql()}
