@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import xxhash
 
@@ -38,8 +40,8 @@ class Words(dict):
         value = self[word] = xxhash.xxh64_intdigest(word, 17)
         return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def of(self, words: Iterable[bytes], n: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, n)
 
 
 class Rolling:
@@ -58,7 +60,7 @@ class Rolling:
 def shingle_set(text: str | None, size: int, cache: Words) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles, A-Z lower-cased; a shorter text is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    rolled = Rolling(cache.of(words))
+    rolled = Rolling(cache.of(words, len(words)))
     if len(words) <= size:
         return rolled.range(np.zeros(1, np.int64), np.array([len(words)])) + np.uint64(len(words))
     at = np.arange(len(words) - size + 1)

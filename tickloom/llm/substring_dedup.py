@@ -25,6 +25,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -58,10 +59,10 @@ class Windows:
     """The windows of a block of texts: start (word number in the block), hash and seed of each."""
 
     def __init__(self, texts: list[bytes | None], cache: Words, window: int, seed: int):
-        words = [t.split() if t else [] for t in texts]
+        self.words = words = [t.split() if t else [] for t in texts]
         count = np.fromiter(map(len, words), np.int64, len(words))
         first = np.concatenate(([0], np.cumsum(count)))
-        rolling = Rolling(np.fromiter((cache[w] for ws in words for w in ws), np.uint64, int(first[-1])))
+        rolling = Rolling(cache.of(chain.from_iterable(words), int(first[-1])))
         starts, seeds = [], []
         if first[-1] >= seed:
             at = np.arange(first[-1] - seed + 1)
@@ -275,21 +276,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cache = Words()
         for b in batches:
             for ids, payload, hits in zip(*(c.to_pylist() for c in b.columns)):
-                texts = unpack_block(payload, len(ids))
-                w = Windows(texts, cache, window, seed)
+                w = Windows(unpack_block(payload, len(ids)), cache, window, seed)
                 _, kind, count = np.unique(w.hash, return_inverse=True, return_counts=True)
                 hit = count[kind] > 1
                 if hits:
                     hit |= np.isin(w.hash, np.concatenate([np.array(h, np.int64) for h in hits]).view(np.uint64))
-                yield cut_spans(ids, texts, w.start[hit], window, b.schema.field("ids").type.value_type)
+                yield cut_spans(ids, w.words, w.start[hit], window, b.schema.field("ids").type.value_type)
 
     done = blocks.join(small(hits), "block", "left").select("ids", "payload", "hits")
     return done.mapInArrow(finish, f"doc_id {id_type}, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept_sha256 string")
 
 
-def cut_spans(ids: list, texts: list[bytes | None], starts: np.ndarray, window: int, id_type: pa.DataType) -> pa.RecordBatch:
-    """The result rows of a block, from the starts of its repeated windows."""
-    words = [t.split() if t else [] for t in texts]
+def cut_spans(ids: list, words: list[list[bytes]], starts: np.ndarray, window: int, id_type: pa.DataType) -> pa.RecordBatch:
+    """The result rows of a block, from the words of its texts and the starts of its repeated windows."""
     first = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
     change = np.zeros(int(first[-1]) + 1, np.int64)
     np.add.at(change, starts, 1)
