@@ -614,3 +614,13 @@ def test_agrees_with_sql(spark, small_docs, name):
         names = [c[0] for c in want.description]
         assert sorted(got.columns) == sorted(names)
         assert collections.Counter(map(tuple, got.select(*names).collect())) == collections.Counter(want.fetchall())
+
+
+def test_ids_of_odd_words():
+    words, r = token_store.WordTokens(queries.TOKENIZER, "<u2"), random.Random(3)
+    kinds = ["abcxyz", "abXYZ'slvred", "0189ab-.", "<|>endoftxa", "éÉ́Å中ſßΩk", "a\x00\x1c\x7f\x0b\t ~_b"]
+    texts = [" ".join("".join(r.choices(r.choice(kinds), k=r.randint(1, 9))) for _ in range(r.randint(0, 12))) for _ in range(1500)]
+    texts += ["", "<|endoftext|>", "a<|endoftext|>B", "KK", "don't 's 'S", "x" * 5000]
+    assert words.whole_letters
+    for text, got in zip(texts, words.encode(texts)):
+        assert got == np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes(), text

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -39,6 +40,10 @@ MAX_CACHED_WORDS = 150_000
 TEXTS_AT_ONCE = 256
 LEVEL = 3
 ODD = re.compile(rb"0|<\|")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+LETTERS_ONLY = re.compile(rb"[a-z]+")
+#: ASCII words without capitals and control characters.
+PRINTABLE = re.compile(rb"[!-@\[-~]+")
 
 
 class WordTokens:
@@ -46,7 +51,9 @@ class WordTokens:
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in a row. Words that
     are not cached are encoded together, divided by a word that is one token; words that contain it, or the start of
-    a special token, are encoded alone.
+    a special token, are encoded alone. Where the tokenizer neither changes nor cuts a run of the letters a to z before
+    its merges, words of these letters go to the merges directly, and other ASCII words pass the normalizer by if it
+    leaves all of ASCII but capitals as it is.
     """
 
     def __init__(self, path: str, id_type: str, divider: str = "0"):
@@ -59,21 +66,40 @@ class WordTokens:
         self.id_type = np.dtype(id_type)
         (self.divider_id,) = self.tokenizer.encode(divider, add_special_tokens=False).ids
         self.join = f" {divider} "
+        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        ascii_kept = "".join(c for c in map(chr, range(33, 127)) if not c.isupper())
+        same = normal is None or all(normal.normalize_str(x) == x for x in (ascii_kept, ascii_kept[::-1], self.join.join(ascii_kept)))
+        same, self.bare = same and cut is not None, self.tokenizer
+        if same:
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = cut
+        self.whole_letters = same and all([x for x, _ in cut.pre_tokenize_str(w)] == [w] for w in (LETTERS, LETTERS[::-1]))
         self.cache: dict[bytes, bytes] = {}
 
     def alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.id_type).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        plain = []
+        plain, ascii_words = [], []
+        merges, pack = self.tokenizer.model.tokenize, array
+        kind = "H" if self.id_type.itemsize == 2 else "I"
         for w in words:
-            if ODD.search(w):
+            if self.whole_letters and LETTERS_ONLY.fullmatch(w):
+                self.cache[w] = pack(kind, [x.id for x in merges(w.decode())]).tobytes()
+            elif ODD.search(w):
                 self.cache[w] = self.alone(w.decode("utf-8", "replace"))
+            elif PRINTABLE.fullmatch(w):
+                ascii_words.append(w)
             else:
                 plain.append(w)
+        self.together(self.bare, ascii_words)
+        self.together(self.tokenizer, plain)
+
+    def together(self, tokenizer, plain: list[bytes]) -> None:
+        """Ids of words that are encoded in rows of 64."""
         groups = [plain[i:i + 64] for i in range(0, len(plain), 64)]
         joined = [self.join.join(w.decode("utf-8", "replace") for w in g) for g in groups]
-        for g, e in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+        for g, e in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(e.ids, self.id_type)
             cut = np.flatnonzero(ids == self.divider_id).tolist()
             if len(cut) != len(g) - 1:
