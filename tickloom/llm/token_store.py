@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -40,8 +39,10 @@ MAX_CACHED_WORDS = 150_000
 TEXTS_AT_ONCE = 256
 LEVEL = 3
 ODD = re.compile(rb"0|<\|")
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
-LETTERS_ONLY = re.compile(rb"[a-z]+")
+#: Small letters of ASCII and Latin-1, and words of them that may end in ASCII punctuation (no apostrophe, no "<").
+LETTERS = "".join(c for c in map(chr, range(97, 256)) if c.islower() and c not in "ªµº")
+ENDS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "'<")
+LETTERS_WORD = re.compile(f"([{LETTERS}]+)([{re.escape(ENDS)}]*)")
 #: ASCII words without capitals and control characters.
 PRINTABLE = re.compile(rb"[!-@\[-~]+")
 
@@ -51,9 +52,9 @@ class WordTokens:
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in a row. Words that
     are not cached are encoded together, divided by a word that is one token; words that contain it, or the start of
-    a special token, are encoded alone. Where the tokenizer neither changes nor cuts a run of the letters a to z before
-    its merges, words of these letters go to the merges directly, and other ASCII words pass the normalizer by if it
-    leaves all of ASCII but capitals as it is.
+    a special token, are encoded alone. Where the tokenizer neither changes nor cuts a run of ``LETTERS`` before its
+    merges, but cuts it off from punctuation behind, words of these letters go to the merges directly. Other ASCII words
+    pass the normalizer by if it leaves all of ASCII but capitals as it is.
     """
 
     def __init__(self, path: str, id_type: str, divider: str = "0"):
@@ -61,6 +62,7 @@ class WordTokens:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.id_type = np.dtype(id_type)
@@ -73,19 +75,30 @@ class WordTokens:
         if same:
             self.bare = Tokenizer(self.tokenizer.model)
             self.bare.pre_tokenizer = cut
-        self.whole_letters = same and all([x for x, _ in cut.pre_tokenize_str(w)] == [w] for w in (LETTERS, LETTERS[::-1]))
+        # how the tokenizer spells a letter for its merges
+        self.spelled = {ord(c): cut.pre_tokenize_str(c)[0][0] for c in LETTERS} if same else {}
+        self.whole_letters = same and all(
+            normal is None or normal.normalize_str(w) == w for w in (LETTERS, LETTERS[::-1])) and all(
+            [x for x, _ in cut.pre_tokenize_str(w + e)] == [w.translate(self.spelled), *([e] if e else [])]
+            for w in (LETTERS, LETTERS[::-1]) for e in ("", ENDS, *ENDS))
+        # the merges alone, over words that are spelled for them; tokens with the end mark end a word
+        mark = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.whole_letters = self.whole_letters and bool(mark)
+        self.merges, self.ends = Tokenizer(self.tokenizer.model), np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        if mark:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(mark)]] = True
         self.cache: dict[bytes, bytes] = {}
 
     def alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.id_type).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        plain, ascii_words = [], []
-        merges, pack = self.tokenizer.model.tokenize, array
-        kind = "H" if self.id_type.itemsize == 2 else "I"
+        plain, ascii_words, lettered = [], [], []
         for w in words:
-            if self.whole_letters and LETTERS_ONLY.fullmatch(w):
-                self.cache[w] = pack(kind, [x.id for x in merges(w.decode())]).tobytes()
+            m = LETTERS_WORD.fullmatch(w.decode("utf-8", "replace")) if self.whole_letters else None
+            if m:
+                lettered.append((w, *m.groups()))
             elif ODD.search(w):
                 self.cache[w] = self.alone(w.decode("utf-8", "replace"))
             elif PRINTABLE.fullmatch(w):
@@ -94,6 +107,27 @@ class WordTokens:
                 plain.append(w)
         self.together(self.bare, ascii_words)
         self.together(self.tokenizer, plain)
+        groups = [lettered[i:i + 256] for i in range(0, len(lettered), 256)]
+        spelled = [" ".join([x[1] for x in g]).translate(self.spelled) for g in groups]
+        size = self.id_type.itemsize
+        for g, e in zip(groups, self.merges.encode_batch_fast(spelled, add_special_tokens=False)):
+            ids = np.array(e.ids, self.id_type)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+            if len(cuts) != len(g):
+                for w, _, _ in g:
+                    self.cache[w] = self.alone(w.decode())
+                continue
+            raw, at = ids.tobytes(), 0
+            for (w, _, end), z in zip(g, cuts):
+                self.cache[w] = raw[at:z] + self.end(end) if end else raw[at:z]
+                at = z
+
+    def end(self, text: str) -> bytes:
+        """Ids of the punctuation behind a word."""
+        key = text.encode()
+        if key not in self.cache:
+            self.cache[key] = self.alone(text)
+        return self.cache[key]
 
     def together(self, tokenizer, plain: list[bytes]) -> None:
         """Ids of words that are encoded in rows of 64."""
