@@ -599,7 +599,7 @@ def test_tokens_of_text_ids(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(set(queries.oracle_sql()) - {"op11_exponion"}))  # that one reads no documents
 def test_agrees_with_sql(spark, small_docs, name):
     """On a table with edge cases, repeated rows and null ids, and on the smallest tables."""
     duckdb = pytest.importorskip("duckdb")
