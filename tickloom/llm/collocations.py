@@ -18,6 +18,7 @@ rows count as often as they stand there. Ties go by count and phrase. An empty t
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,18 +34,21 @@ MIN_WORDS, MAX_WORDS = 2, 3
 MIN_COUNT = 10
 COVER_PERCENT = 50
 TOP = 2000
-#: Occurrences that one task takes, and words of a block.
-TASK_WORDS = 1_000_000
+#: Occurrences that one task takes, words of a block, and distinct words that a task counts at once.
+TASK_WORDS = 500_000
 BLOCK_WORDS = 500_000
-#: A-Z in lower case, the ends of pieces as line feeds.
-BYTES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+COUNTED_WORDS = 100_000
+#: A-Z in lower case, tabs as spaces, the ends of pieces as line feeds.
+BYTES = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEEDS = range(42, 50)
 #: Prefixes at most that are dealt to more tasks than the others.
 MAX_HOT = 4096
+#: What stands for the end of a piece and for nothing between two spaces.
+END, NOTHING = 0, 1
 
 
 class Hashes(dict):
-    """Word to its 64-bit hash, 0 for the empty one only; forgets when full."""
+    """Word to its 64-bit hash; forgets when full."""
 
     def __init__(self, seed: int):
         super().__init__()
@@ -53,44 +57,35 @@ class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MAX_CACHED_WORDS:
             self.clear()
-        value = self[word] = (xxhash.xxh64_intdigest(word, self.seed) or 1) if word else 0
+        value = END if word == b"\n" else NOTHING if word == b"" else max(2, xxhash.xxh64_intdigest(word, self.seed))
+        self[word] = value
         return value
 
 
-def pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The words of each piece of a text."""
-    return (p.split() for p in text.translate(BYTES).split(b"\n"))
+def hashed(text: bytes, cache: Hashes) -> np.ndarray:
+    """The hashes of a text's words, an END behind each piece."""
+    words = (text.translate(BYTES) + b"\n").replace(b"\n", b" \n ").split(b" ")
+    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    return h[h != NOTHING]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    """(language, words, hashes) of blocks of texts; an empty word, of hash 0, ends each piece."""
+def blocks(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[str, np.ndarray]]:
+    """(language, hashes) of blocks of texts."""
     cache = Hashes(seed)
-
-    def done(lang: str, words: list[bytes]) -> tuple:
-        return lang, words, np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-
-    open_: dict[str, list[bytes]] = {}
-    total = 0
+    open_: dict[str, list[np.ndarray]] = {}
+    sizes: Counter = Counter()
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
-            words = open_.setdefault(lang, [])
-            before = len(words)
-            for p in pieces(text.as_py() or b""):
-                if p:
-                    words += p
-                    words.append(b"")
-            total += len(words) - before
-            if len(words) >= BLOCK_WORDS:
-                total -= len(words)
-                yield done(lang, open_.pop(lang))
-            elif total >= 2 * BLOCK_WORDS:
-                # many languages: all go
-                for name in list(open_):
-                    yield done(name, open_.pop(name))
-                total = 0
-    for lang, words in open_.items():
-        if words:
-            yield done(lang, words)
+            h = hashed(text.as_py() or b"", cache)
+            open_.setdefault(lang, []).append(h)
+            sizes[lang] += len(h)
+            # with many languages all blocks go before any is full
+            full = [lang] if sizes[lang] >= BLOCK_WORDS else list(open_) if sizes.total() >= 2 * BLOCK_WORDS else []
+            for name in full:
+                del sizes[name]
+                yield name, np.concatenate(open_.pop(name))
+    for lang, parts in open_.items():
+        yield lang, np.concatenate(parts)
 
 
 def texts_by_language(docs: DataFrame) -> DataFrame:
@@ -99,14 +94,25 @@ def texts_by_language(docs: DataFrame) -> DataFrame:
 
 def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     """(lang, h, n, word, other): the occurrences of every hash, and its least and greatest word."""
+    apart = BYTES.replace(b"\n", b" ")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, h in blocks(batches, seed):
-            h, first, n = np.unique(h, return_index=True, return_counts=True)
-            keep = h != 0
-            h, first, n = h[keep], first[keep], n[keep]
-            yield pa.record_batch({
-                "lang": pa.array([lang]).take(pa.array(np.zeros(len(h), np.int64))), "h": h.view(np.int64), "n": n.astype(np.int64),
-                "word": pa.array([words[i] for i in first], pa.binary())})
+        found: dict[str, Counter] = {}
+        cache = Hashes(seed)
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, c in found.items():
+                h = np.fromiter(map(cache.__getitem__, c), np.uint64, len(c))
+                yield pa.record_batch({
+                    "lang": pa.array([lang] * len(c), pa.string()), "h": h.view(np.int64), "n": pa.array(list(c.values()), pa.int64()), "word": pa.array(list(c), pa.binary())})
+            found.clear()
+
+        for b in batches:
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
+                found.setdefault(lang, Counter()).update((text.as_py() or b"").translate(apart).split())
+                if len(found[lang]) >= COUNTED_WORDS or len(found) >= 1000:
+                    yield from counted()
+        yield from counted()
 
     found = docs.mapInArrow(run, "lang string, h bigint, n bigint, word binary")
     return found.groupBy("lang", "h").agg(F.sum("n").alias("n"), F.min("word").alias("word"), F.max("word").alias("other"))
@@ -156,12 +162,14 @@ def projected(docs: DataFrame, seed: int, dealing: Dealing, max_words: int = MAX
     An occurrence is the hashes of its word and of those that follow it in the piece (0 beyond the end), and its number.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, _, h in blocks(batches, seed):
+        for lang, h in blocks(batches, seed):
             rows = np.zeros((len(h), max_words), np.uint64)
             rows[:, 0] = h
             for k in range(1, max_words):
-                rows[:-k, k] = np.where(rows[:-k, k - 1] != 0, h[k:], np.uint64(0))
-            rows = rows[h != 0]
+                rows[:-k, k] = np.where(rows[:-k, k - 1] != END, h[k:], np.uint64(END))
+            rows = rows[h != END]
+            if not len(rows):
+                continue
             order = np.lexsort(rows.T[::-1])
             rows = rows[order]
             starts = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)]))
