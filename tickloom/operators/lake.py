@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -19,9 +20,22 @@ VIEWS = {
     "bronze_ticks": ("bronze", "event_type = 'trade'"), "silver_ticks": ("silver", "event_type = 'trade'"),
     "silver_ohlc": ("silver", "event_type = 'ohlcv'"), "gold_bars": ("gold", None), "gold_anomalies": ("gold", "is_anomaly"),
 }
+#: Folder name of rows without a date.
+NO_DATE = "__HIVE_DEFAULT_PARTITION__"
 TIMES = ("ts", "window_start", "window_end", "ingested_at")
-#: Commands that a read-only statement may be, by the class of its parsed plan.
-READ_COMMANDS = ("ExplainCommand", "DescribeQueryCommand", "DescribeRelation", "DescribeTableCommand", "ShowTables", "ShowNamespaces", "ShowColumns", "ShowViews", "ShowFunctions")
+#: Commands that a read-only statement may be, by the class of its parsed plan, and the plans inside them.
+READ_COMMANDS = {
+    "ExplainCommand": ("logicalPlan",), "DescribeQueryCommand": ("plan",), "DescribeRelation": (), "DescribeTableCommand": (), "ShowTables": (), "ShowNamespaces": (),
+    "ShowColumns": (), "ShowViews": (), "ShowFunctions": ()}
+#: Nodes that a parsed query may have.
+READ_PLANS = frozenset("""
+Aggregate AsOfJoin Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation Pivot Project RelationTimeTravel
+Sample Sort SubqueryAlias Tail Union UnresolvedHaving UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction
+UnresolvedTVFAliases UnresolvedWith Unpivot Window WithWindowDefinition
+""".split())
+SUBQUERIES = ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression")
+#: Functions that run any code.
+CALLS_JAVA = ("reflect", "java_method", "try_reflect")
 
 
 def with_date(df: DataFrame, ts: str) -> DataFrame:
@@ -99,6 +113,44 @@ def warehouse_rows(df: DataFrame) -> DataFrame:
     return df.select("*", F.to_json(F.struct(*df.columns)).alias("payload"), table.alias("target_table"))
 
 
+#: Rows of one insert into the warehouse.
+BATCH_SIZE = 500
+
+
+def dense_number(df: DataFrame, name: str, root: str) -> DataFrame:
+    """Adds the numbers 0, 1, 2, ... in two levels: rows are counted per partition, and each partition starts where the
+    ones before it end. The rows are written once with their places, so the numbers never change."""
+    spark = df.sparkSession
+    place = F.monotonically_increasing_id()
+    df.withColumns({"_part": F.shiftright(place, 33), "_at": place.bitwiseAND((1 << 33) - 1)}).write.parquet(root)
+    rows = spark.read.parquet(root)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a partition
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+
+
+def insert_chunks(df: DataFrame, batch_id: int, root: str, batch_size: int = BATCH_SIZE) -> str | None:
+    """Writes a batch to its warehouse table in numbered chunks; returns the table, None for an empty batch.
+
+    A batch of gold bars only goes to BARS, any other to TICKS. The batch id names the folder, so a batch that is
+    written again replaces its chunks, and every row is there once.
+    """
+    kinds = df.agg(F.count("*").alias("n"), F.bool_and(F.coalesce(F.col("event_type") == "gold_bar", F.lit(False))).alias("bars")).first()
+    if not kinds.n:
+        return None
+    name = "BARS" if kinds.bars else "TICKS"
+    rows = dense_number(df.withColumn("payload", F.to_json(F.struct(*df.columns))), "_row", f"{root}/_numbered/{uuid.uuid4().hex}")
+    chunk = F.floor(F.col("_row") / batch_size).cast("bigint")
+    rows.withColumn("chunk", chunk).drop("_row").write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+    return name
+
+
+def warehouse_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The rows of a warehouse table with their batch and chunk."""
+    return spark.read.option("basePath", f"{root}/{name}").option("mergeSchema", "true").parquet(f"{root}/{name}/batch=*")
+
+
 def flatten(df: DataFrame, payload: str) -> DataFrame:
     """Envelope columns and the fields of a struct; an envelope column is never overridden."""
     envelope = [c for c in df.columns if c != payload]
@@ -136,17 +188,42 @@ class LakeEngine:
             df = df.unionByName(p, allowMissingColumns=True)
         return df.filter(where) if where else df
 
-    def scan(self, view: str, symbol: str | None = None, limit: int | None = 50) -> DataFrame:
-        """Newest rows first; the symbol filter prunes partitions, the sort and limit become one top-k."""
+    def scan(self, view: str, symbol: str | None = None, limit: int | None = 50, predicate: Column | None = None) -> DataFrame:
+        """Newest rows first, of those that fit the symbol and the predicate; only the newest dates are read that can
+        hold them, then the sort and limit become one top-k."""
         df = self.frame(view)
         if symbol is not None:
             df = df.filter(F.upper("symbol") == symbol.strip().upper())
+        if predicate is not None:
+            df = df.filter(predicate)
         if limit is None:
             return df
         times = [F.col(c).cast("string") for c in TIMES if c in df.columns]
         ties = [c for c in ("symbol", "tick_id", "sequence") if c in df.columns]
         newest = [F.coalesce(*times).desc()] if times else []
-        return df.orderBy(*newest, *ties).limit(limit)
+        return self.newest_dates(df, view, limit).orderBy(*newest, *ties).limit(limit)
+
+    def dates(self, view: str) -> list[str]:
+        """The dates that a view's layer has a folder for, newest first; no file is opened."""
+        folder, parts = LAYERS[VIEWS[view][0]]
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([f"{self.root}/{folder}", *[f"{p}=*" for p in parts]]))
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+        return sorted({s.getPath().getName().removeprefix("date=") for s in found} - {NO_DATE}, reverse=True)
+
+    def newest_dates(self, df: DataFrame, view: str, limit: int) -> DataFrame:
+        """The rows of the newest dates that hold ``limit`` rows together, all rows if no dates do.
+
+        A row's date is that of its time, so no older date has a newer row. Dates are counted in steps of doubling
+        width, each step reads its own folders only.
+        """
+        dates, have, at, width = self.dates(view), 0, 0, 1
+        while at < len(dates):
+            step = dates[at:at + width]
+            have += df.filter(F.col("date").cast("string").between(step[-1], step[0])).count()
+            if have >= limit:
+                return df.filter(F.col("date").cast("string") >= step[-1])
+            at, width = at + width, 2 * width
+        return df
 
     def quality_report(self, view: str, now: Column, limit: int = 500) -> DataFrame:
         """All data-quality rules over the newest rows of a view; the required fields follow from the rows."""
@@ -179,17 +256,40 @@ class LakeEngine:
         return self.spark.sql(statement, args=args or {})
 
 
+def seq(items) -> list:
+    """A Scala sequence as a list."""
+    return [items.apply(i) for i in range(items.size())]
+
+
 def assert_readonly(spark: SparkSession, statement: str) -> None:
-    """ValueError unless the statement parses to a query or one of the reading commands."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
-    todo = [plan]
+    """ValueError unless the statement parses to a query or one of the reading commands.
+
+    Every node of the plan, also of common table expressions, subqueries and what is explained, must be one that only
+    reads; anything else is refused, as are functions that call Java methods.
+    """
+    todo = [(spark._jsparkSession.sessionState().sqlParser().parsePlan(statement), True)]
     while todo:
-        p = todo.pop()
+        p, is_plan = todo.pop()
         name = p.getClass().getSimpleName()
-        command = any(name.endswith(x) for x in ("Command", "Statement")) or p.getClass().getName().startswith("org.apache.spark.sql.catalyst.plans.logical") and name.startswith(("Drop", "Create", "Insert", "Delete", "Update", "Merge", "Alter", "Replace", "Append", "Overwrite", "Truncate", "Rename", "Set", "Cache", "Load", "Refresh", "Add", "Repair", "Analyze", "Uncache"))
-        if command and name not in READ_COMMANDS:
-            raise ValueError(f"not a read-only statement: {name}")
-        if name in READ_COMMANDS:
-            continue
-        children = p.children()
-        todo += [children.apply(i) for i in range(children.size())]
+        if is_plan:
+            if name in READ_COMMANDS:
+                todo += [(getattr(p, inner)(), True) for inner in READ_COMMANDS[name]]
+                continue
+            if name not in READ_PLANS:
+                raise ValueError(f"not a read-only statement: {name}")
+            todo += [(e, False) for e in seq(p.expressions())]
+            if name == "UnresolvedWith":
+                todo += [(r._2(), True) for r in seq(p.cteRelations())]
+            if name == "UnresolvedTableValuedFunction":
+                refuse_functions(seq(p.name()))
+        else:
+            if name == "UnresolvedFunction":
+                refuse_functions(seq(p.nameParts()))
+            if name in SUBQUERIES:
+                todo.append((p.plan(), True))
+        todo += [(c, is_plan) for c in seq(p.children())]
+
+
+def refuse_functions(parts: list[str]) -> None:
+    if parts[-1].lower() in CALLS_JAVA:
+        raise ValueError(f"not a read-only function: {parts[-1]}")

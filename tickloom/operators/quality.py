@@ -104,11 +104,50 @@ def fences(df: DataFrame, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
     return q.filter((F.col("n") >= 4) & (iqr > 0)).select("symbol", F.greatest(F.lit(0.0), F.col("q1") - multiplier * iqr).alias("low"), (F.col("q3") + multiplier * iqr).alias("high"))
 
 
+#: Samples that a rule shows at most.
+MAX_SAMPLES = 5
+ARRIVAL = ("seq", "sequence", "tick_id")
+
+
+def first_samples(bad: DataFrame, sample: Column, order: list[Column], k: int = MAX_SAMPLES) -> DataFrame:
+    """One row with ``samples``: JSON of the first ``k`` rows in an order. Every task keeps ``k`` rows, and so does the one that joins them."""
+    text = F.to_json(sample, {"ignoreNullFields": "false"})
+    top = bad.select(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], text.alias("text")).alias("s")).orderBy("s").limit(k)
+    return top.agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["text"]).alias("samples"))
+
+
+def arrival(df: DataFrame) -> list[Column]:
+    """What rows are put in order by: the columns of arrival that they have."""
+    return [F.col(c) for c in ARRIVAL if c in df.columns]
+
+
+def null_samples(df: DataFrame, required: tuple[str, ...] | None = None, k: int = MAX_SAMPLES) -> DataFrame:
+    """The first rows with missing fields: which fields, and the symbol."""
+    bad = null_rows(df, required or infer_required(df))
+    symbol = F.col("symbol") if "symbol" in df.columns else F.lit(None).cast("string")
+    return first_samples(bad, F.struct(F.split("missing", ",").alias("missing"), symbol.alias("symbol")), [*arrival(df), F.col("missing")], k)
+
+
+def symbol_or_none(df: DataFrame) -> Column:
+    """A row's symbol; rows without one are one symbol."""
+    return F.coalesce(F.nullif(F.col("symbol").cast("string"), F.lit("")), F.lit("_")) if "symbol" in df.columns else F.lit("_")
+
+
+def volume_samples(df: DataFrame, multiplier: float = IQR_MULTIPLIER, k: int = MAX_SAMPLES) -> DataFrame:
+    """The first volumes that are not positive, in order of arrival, then those beyond their symbol's fences, by symbol."""
+    d = df.select(*arrival(df), symbol_or_none(df).alias("symbol"), volume_of(df).alias("v")).filter("v IS NOT NULL")
+    d = d.join(fences(d, multiplier), "symbol", "left").filter("v <= 0 OR v < low OR v > high")
+    low = F.col("v") <= 0
+    sample = F.struct(
+        F.when(low, "non_positive").otherwise("iqr").alias("reason"), "symbol", F.col("v").alias("volume"),
+        F.when(~low, F.col("low")).alias("low"), F.when(~low, F.col("high")).alias("high"))
+    return first_samples(d, sample, [F.when(low, 0).otherwise(1), F.when(~low, F.col("symbol")), *arrival(df), F.col("v")], k)
+
+
 def volume_anomalies(df: DataFrame, multiplier: float = IQR_MULTIPLIER) -> DataFrame:
     """Volumes that are not positive, and those outside their symbol's fences; rows without a volume are not scanned,
     rows without a symbol are one symbol."""
-    symbol = F.coalesce(F.nullif(F.col("symbol").cast("string"), F.lit("")), F.lit("_")) if "symbol" in df.columns else F.lit("_")
-    d = df.select(symbol.alias("symbol"), volume_of(df).alias("v")).filter("v IS NOT NULL")
+    d = df.select(symbol_or_none(df).alias("symbol"), volume_of(df).alias("v")).filter("v IS NOT NULL")
     d = d.join(fences(d, multiplier), "symbol", "left")
     d = d.agg(F.count("*").alias("rows_scanned"), F.count_if(F.expr("v <= 0")).alias("low"), F.count_if(F.expr("v > 0 AND (v < low OR v > high)")).alias("out"))
     return d.select(
@@ -122,6 +161,14 @@ def report(df: DataFrame, now: Column, required: tuple[str, ...] | None = None,
     return freshness(df, times, now, max_age_seconds).unionByName(nulls(df, required)).unionByName(volume_anomalies(df, multiplier))
 
 
+def report_with_samples(df: DataFrame, now: Column, required: tuple[str, ...] | None = None, k: int = MAX_SAMPLES) -> DataFrame:
+    """``report`` with ``samples``, the first violating rows of each rule as JSON."""
+    required = required or infer_required(df)
+    none = df.sparkSession.range(1).select(F.array().cast("array<string>").alias("samples"))
+    found = [none.withColumn("name", F.lit("freshness")), null_samples(df, required, k).withColumn("name", F.lit("nulls")), volume_samples(df, k=k).withColumn("name", F.lit("volume_anomalies"))]
+    return report(df, now, required).join(F.broadcast(found[0].unionByName(found[1]).unionByName(found[2])), "name")  # three rows of k samples
+
+
 def latency_ms(ts: Column, ingested_at: Column) -> Column:
     """Milliseconds from event to ingestion, never negative; null without a time."""
     lag = (F.unix_micros(ingested_at.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 1000.0

@@ -160,6 +160,16 @@ def arrival_bars(trades: DataFrame, seconds: int, order: str = "seq") -> DataFra
     return d.groupBy("symbol", "segment", F.col("ws").alias("window_start")).agg(*bar_columns(order))
 
 
+def finished_bars(sums: DataFrame) -> DataFrame:
+    """Bars from their sums (``notional`` as an exact decimal in text), rounded as ``bars`` does."""
+    notional, volume = F.col("notional").cast("decimal(38,9)").cast("double"), F.col("volume")
+    buy, sell = F.col("buy_volume"), F.col("sell_volume")
+    return sums.select(
+        "symbol", "segment", "window_start", "open", "high", "low", "close", "volume", "trade_count", F.round(notional, 6).alias("notional"),
+        F.round(F.coalesce(notional / F.nullif(volume, F.lit(0)), F.col("close")), 6).alias("vwap"), "buy_volume", "sell_volume",
+        F.coalesce(F.round((buy - sell) / F.nullif(buy + sell, F.lit(0)), 6), F.lit(0.0)).alias("imbalance"))
+
+
 def passthrough(bars_in: DataFrame) -> DataFrame:
     """Upstream bars with the columns of our own; no sides are known."""
     return bars_in.select(

@@ -53,6 +53,69 @@ def parse_ticks(records: DataFrame) -> DataFrame:
     return d.withColumn("error", F.coalesce("json_error", F.when(F.size(faults) > 0, F.concat(F.lit("invalid "), F.array_join(faults, ",")))))
 
 
+#: Event types by the kind of event, and the fields that show a bar without a type.
+BAR_TYPES, TRADE_TYPES = ("ohlcv", "ohlcv-bar", "bar"), ("trade", "trade-tick", "tick")
+BAR_FIELDS = ("open", "high", "low", "close", "window_start")
+
+
+def generated_id(*cols: Column) -> Column:
+    """An id in UUID form that depends on the record alone, so a record that is read again gets it again."""
+    h = F.md5(F.to_json(F.struct(*cols)).cast("binary"))
+    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def parse_events(records: DataFrame, now: Column) -> DataFrame:
+    """Trades, canonical or compact, and bars in one frame, with the list of what is wrong.
+
+    The tag is ``event_type``, else the fields of a bar, else it is a trade; ``s`` without ``symbol`` makes a compact
+    trade, whose side may have any case and whose venue is LIVE. A trade without an id or a time gets an id from its
+    record and ``now``; an id or a time that cannot be read is wrong. Every record is parsed once, and each field is
+    read once for the branch that it belongs to: the fields of the other branch are null.
+    """
+    d = decode(records)
+    kind = F.lower(F.coalesce(field("event_type", "string"), F.lit("")))
+    shape = F.lit(True)
+    for f in BAR_FIELDS:
+        shape = shape & F.try_variant_get("payload", f"$.{f}", "variant").isNotNull()
+    bar = kind.isin(*BAR_TYPES) | (~kind.isin(*TRADE_TYPES) & shape)
+    compact = field("symbol", "string").isNull() & field("s", "string").isNotNull()
+    d = once(d, F.when(F.col("json_error").isNull(), F.when(bar, "ohlcv").when(compact, "compact").otherwise("trade")), "tag")
+    trade = F.col("tag").isin("trade", "compact")
+
+    def of(branch: Column, value: Column) -> Column:
+        return F.when(branch, value)
+
+    def at(name: str) -> Column:
+        return F.try_to_timestamp(field(name, "string")).cast("timestamp_ntz")
+
+    bars = F.col("tag") == "ohlcv"
+    doubles, longs = ("open", "high", "low", "close", "vwap"), ("volume", "trade_count")
+    d = once(d, F.struct(
+        F.when(bars, "ohlcv").when(trade, "trade").alias("event_type"), F.upper(F.trim(F.coalesce(field("symbol", "string"), of(F.col("tag") == "compact", field("s", "string"))))).alias("symbol"),
+        of(trade, field("tick_id", "string")).alias("given_id"), of(trade, F.try_variant_get("payload", "$.ts", "variant").isNotNull()).alias("has_ts"), of(trade, at("ts")).alias("ts"),
+        of(trade, F.coalesce(field("price", "double"), field("p", "double"))).alias("price"), of(trade, F.coalesce(field("size", "bigint"), field("sz", "bigint"))).alias("size"),
+        F.when(F.col("tag") == "compact", F.lower(field("side", "string"))).when(trade, field("side", "string")).alias("side"),
+        of(trade, F.coalesce(field("venue", "string"), F.when(F.col("tag") == "compact", "LIVE").otherwise("SYNTH"))).alias("venue"),
+        of(trade, F.coalesce(field("sequence", "bigint"), F.lit(0))).alias("sequence"),
+        of(bars, at("window_start")).alias("window_start"), of(bars, at("window_end")).alias("window_end"),
+        *[of(bars, field(c, "double")).alias(c) for c in doubles], *[of(bars, field(c, "bigint")).alias(c) for c in longs]), "event")
+    d = d.select(*records.columns, "json_error", "event.*")
+    wrong = [
+        (F.coalesce(F.col("symbol"), F.lit("")) == "", "symbol"), (trade_row() & (F.coalesce(F.col("price"), F.lit(0.0)) <= 0), "price"), (trade_row() & (F.coalesce(F.col("size"), F.lit(0)) <= 0), "size"),
+        (trade_row() & ~F.coalesce(F.col("side"), F.lit("")).isin("buy", "sell"), "side"), (trade_row() & (F.col("sequence") < 0), "sequence"),
+        (F.col("given_id").isNotNull() & ~F.col("given_id").rlike(UUID_RE), "tick_id"), (F.col("has_ts") & F.col("ts").isNull(), "ts"),
+        *[(~trade_row() & F.col(c).isNull(), c) for c in ("window_start", "window_end")], *[(~trade_row() & ~F.coalesce(F.col(c) > 0, F.lit(False)), c) for c in doubles],
+        *[(~trade_row() & ~F.coalesce(F.col(c) >= 0, F.lit(False)), c) for c in longs]]
+    faults = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in wrong]))
+    d = d.withColumn("error", F.coalesce("json_error", F.when(F.size(faults) > 0, F.concat(F.lit("invalid "), F.array_join(faults, ",")))))
+    made = {"tick_id": F.when(trade_row(), F.coalesce("given_id", generated_id(*records.columns))), "ts": F.when(trade_row(), F.when(F.col("has_ts"), F.col("ts")).otherwise(now.cast("timestamp_ntz")))}
+    return d.withColumns(made).drop("json_error", "given_id", "has_ts")
+
+
+def trade_row() -> Column:
+    return F.col("event_type") == "trade"
+
+
 def valid(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("error").isNull())
 

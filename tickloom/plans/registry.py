@@ -11,10 +11,10 @@ from pyspark.sql import Window
 
 from .. import schemas
 from ..functions import sql as sql_functions
-from ..operators import gold, lake, quality, silver, validate
+from ..operators import fifo, gold, lake, quality, silver, validate
 from ..sources import ticks as T
 from ..sources.storage import scratch
-from ..streaming import streams
+from ..streaming import stateful, streams
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -39,7 +39,7 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-def text_time(col: str, alias: str | None = None):
+def text_time(col, alias: str | None = None):
     return F.date_format(col, "yyyy-MM-dd HH:mm:ss").alias(alias or col)
 
 
@@ -250,6 +250,21 @@ def _(spark, d):
     return lake.warehouse_rows(both).groupBy("target_table").agg(F.count("*").alias("n"))
 
 
+S_SENT = S_G + ", n AS (SELECT 0 AS batch, 'BARS' AS target_table, count(*) AS n FROM g UNION ALL SELECT 1, 'TICKS', count(*) FROM t UNION ALL SELECT 2, 'TICKS', (SELECT count(*) FROM g) + (SELECT count(*) FROM t WHERE seq % 7 = 0)) "
+
+
+@query("sink_warehouse_chunks", S_SENT + "SELECT batch, target_table, chunk, least(500, n - 500 * chunk) AS n FROM (SELECT *, unnest(range(0, CAST(ceil(n / 500.0) AS BIGINT))) AS chunk FROM n)")
+def _(spark, d):
+    # gold bars, ticks, and both together; the second batch is sent again, as after a failure
+    root = scratch(spark, "warehouse")
+    bars, ticks = gold_rows(spark, d).select("event_type", "symbol", "close"), bronze_rows(spark, d).select("event_type", "symbol", "price", "seq")
+    both = bars.unionByName(ticks.filter("seq % 7 = 0"), allowMissingColumns=True)
+    for batch, rows in ((0, bars), (1, ticks), (2, both), (1, ticks)):
+        lake.insert_chunks(rows, batch, root)
+    found = [lake.warehouse_table(spark, root, n).groupBy("batch", "chunk").agg(F.count("*").alias("n")).withColumn("target_table", F.lit(n)) for n in ("BARS", "TICKS")]
+    return found[0].unionByName(found[1]).select("batch", "target_table", "chunk", "n")
+
+
 @query("warehouse_rows", "WITH " + S_T + " SELECT seq, symbol, price, 'trade' AS event_type, '{\"seq\":'||seq||',\"symbol\":\"'||symbol||'\",\"price\":'||CAST(price AS VARCHAR)||',\"event_type\":\"trade\"}' AS payload, 'TICKS' AS target_table FROM t")
 def _(spark, d):
     return lake.warehouse_rows(trades(spark, d).select("seq", "symbol", "price", F.lit("trade").alias("event_type")))
@@ -285,6 +300,56 @@ def _(spark, d):
     return validate.valid(validate.parse_ticks(t)).select("seq", "symbol", "price", "size", "side", "venue")
 
 
+#: A third of the records are bars, a third canonical and a third compact trades; some of each are broken.
+EVENT_WIRE = """w AS (SELECT seq, symbol, ts, price, size, side, tick_id, CASE WHEN seq % 3 = 0 THEN
+'{"symbol":"'||lower(symbol)||'","window_start":"'||strftime(ts,'%Y-%m-%dT%H:%M:00')||'","window_end":"'||strftime(ts,'%Y-%m-%dT%H:%M:59')||'","open":'||price||',"high":'||price||',"low":'||CASE WHEN seq % 41 = 0 THEN '-1' ELSE CAST(price AS VARCHAR) END||',"close":'||price||',"volume":'||size||',"trade_count":1'||CASE WHEN seq % 43 = 0 THEN '' ELSE ',"vwap":'||price END||CASE WHEN seq % 2 = 0 THEN ',"event_type":"OHLCV"' ELSE '' END||'}'
+WHEN seq % 3 = 1 THEN '{"event_type":"trade","tick_id":"'||CASE WHEN seq % 47 = 0 THEN 'x' ELSE tick_id END||'","symbol":"'||symbol||'","ts":"'||CASE WHEN seq % 53 = 0 THEN 'noon' ELSE strftime(ts,'%Y-%m-%dT%H:%M:%SZ') END||'","price":'||price||',"size":'||size||',"side":"'||side||'","venue":"SYNTH","sequence":'||seq||'}'
+ELSE '{"s":"'||lower(symbol)||'","p":'||price||',"sz":'||size||',"side":"'||upper(side)||'"}' END AS value FROM raw)"""
+EVENT_ERRORS = """CASE WHEN seq % 97 = 0 THEN 'invalid json' WHEN seq % 89 = 0 THEN 'payload is not a JSON object' ELSE
+nullif('invalid '||CASE WHEN seq % 3 = 0 THEN concat_ws(',', CASE WHEN price <= 0 THEN 'open,high' END, CASE WHEN price <= 0 OR seq % 41 = 0 THEN 'low' END, CASE WHEN price <= 0 THEN 'close' END, CASE WHEN price <= 0 OR seq % 43 = 0 THEN 'vwap' END)
+ELSE concat_ws(',', CASE WHEN price <= 0 THEN 'price' END, CASE WHEN size <= 0 THEN 'size' END, CASE WHEN seq % 3 = 1 AND seq % 47 = 0 THEN 'tick_id' END, CASE WHEN seq % 3 = 1 AND seq % 53 = 0 THEN 'ts' END) END, 'invalid ') END"""
+BRONZE_EVENTS = "WITH " + S_RAW + ", e AS (SELECT *, " + EVENT_ERRORS + " AS error, CASE WHEN seq % 3 = 0 THEN 'ohlcv' ELSE 'trade' END AS kind FROM raw) "
+
+
+def event_wire(spark, d):
+    """The records of ``EVENT_WIRE``, made by the same rules."""
+    raw, seq = T.raw_ticks(events(spark, d)), F.col("seq")
+    minute = F.date_trunc("minute", "ts")
+    text = lambda c, end="": F.date_format(c, f"yyyy-MM-dd'T'HH:mm:ss{end}")
+    bar = F.to_json(F.struct(
+        F.lower("symbol").alias("symbol"), text(minute).alias("window_start"), text(minute + F.expr("INTERVAL '59' SECOND")).alias("window_end"), *[F.col("price").alias(c) for c in ("open", "high")],
+        F.when(seq % 41 == 0, -1.0).otherwise(F.col("price")).alias("low"), F.col("price").alias("close"), F.col("size").alias("volume"), F.lit(1).alias("trade_count"),
+        F.when(seq % 43 != 0, F.col("price")).alias("vwap"), F.when(seq % 2 == 0, "OHLCV").alias("event_type")))
+    trade = F.to_json(F.struct(
+        F.lit("trade").alias("event_type"), F.when(seq % 47 == 0, "x").otherwise(F.col("tick_id")).alias("tick_id"), "symbol",
+        F.when(seq % 53 == 0, "noon").otherwise(text("ts", "'Z'")).alias("ts"), "price", "size", "side", "venue", "sequence"))
+    compact = F.to_json(F.struct(F.lower("symbol").alias("s"), F.col("price").alias("p"), F.col("size").alias("sz"), F.upper("side").alias("side")))
+    value = F.when(seq % 3 == 0, bar).when(seq % 3 == 1, trade).otherwise(compact)
+    broken = F.when(seq % 97 == 0, F.expr("substr(value, 1, length(value) - 3)")).when(seq % 89 == 0, F.concat(F.lit("["), "value", F.lit("]"))).otherwise(F.col("value"))
+    return raw.select("seq", value.alias("value")).withColumn("value", broken)
+
+
+@query("bronze_events", BRONZE_EVENTS + "SELECT seq, kind AS event_type, symbol, CASE WHEN kind = 'ohlcv' THEN price END AS close, CASE WHEN kind = 'ohlcv' THEN size END AS volume, CASE WHEN kind = 'ohlcv' THEN strftime(ts,'%Y-%m-%d %H:%M:00') END AS window_start, CASE WHEN kind = 'trade' THEN price END AS price, CASE WHEN kind = 'trade' THEN size END AS size, CASE WHEN kind = 'trade' THEN side END AS side, CASE WHEN seq % 3 = 2 THEN 'LIVE' WHEN seq % 3 = 1 THEN 'SYNTH' END AS venue, CASE WHEN seq % 3 = 2 THEN '2024-02-15 00:00:00' WHEN seq % 3 = 1 THEN strftime(ts,'%Y-%m-%d %H:%M:%S') END AS ts, CASE WHEN seq % 3 = 1 THEN tick_id END AS tick_id FROM e WHERE error IS NULL")
+def _(spark, d):
+    e = validate.valid(validate.parse_events(event_wire(spark, d), now()))
+    # a compact record's id is made from the record; here it is left out
+    return e.select("seq", "event_type", "symbol", "close", "volume", text_time("window_start"), "price", "size", "side", "venue", text_time("ts"), F.when(F.col("venue") != "LIVE", F.col("tick_id")).alias("tick_id"))
+
+
+@query("bronze_events_dlq", BRONZE_EVENTS + "SELECT seq, error FROM e WHERE error IS NOT NULL")
+def _(spark, d):
+    return validate.dead_letters(validate.parse_events(event_wire(spark, d), now())).select("seq", "error")
+
+
+@query("silver_events", BRONZE_EVENTS + ", g AS (SELECT * FROM e WHERE error IS NULL), tr AS (SELECT *, time_bucket(INTERVAL '60 seconds', CASE WHEN seq % 3 = 2 THEN TIMESTAMP '2024-02-15 00:00:00' ELSE ts END) AS ws FROM g WHERE kind = 'trade'), r AS (SELECT *, coalesce(ws <> lag(ws) OVER w, false) AS rolled, lag(price) OVER w AS lp FROM tr WINDOW w AS (PARTITION BY symbol ORDER BY seq)), s AS (SELECT seq, symbol, price, kind, CASE WHEN rolled THEN lp ELSE price END AS sets FROM r UNION ALL SELECT seq, symbol, price, kind, price FROM g WHERE kind = 'ohlcv'), p AS (SELECT *, coalesce(lag(sets) OVER (PARTITION BY symbol ORDER BY seq), price) AS prev_close FROM s) SELECT seq, kind AS event_type, symbol, CASE WHEN kind = 'trade' THEN prev_close END AS prev_close, CAST(NULL AS DOUBLE) AS notional FROM p WHERE kind = 'trade' UNION ALL SELECT seq, kind, symbol, NULL, round(price * size, 6) FROM g WHERE kind = 'ohlcv'")
+def _(spark, d):
+    # the bars of the wire pass through silver, and their closes count for the trades behind them
+    e = validate.valid(validate.parse_events(event_wire(spark, d), now()))
+    tr, up = e.filter("event_type = 'trade'"), e.filter("event_type = 'ohlcv'")
+    t = silver.enrich(tr.select("seq", "symbol", "ts", "price", "size", "side"), up.select("seq", "symbol", "close")).select("seq", F.lit("trade").alias("event_type"), "symbol", "prev_close")
+    return t.unionByName(silver.passthrough(up).select("seq", F.lit("ohlcv").alias("event_type"), "symbol", "notional"), allowMissingColumns=True)
+
+
 LETTERS = "l AS (SELECT seq, error, sent AS payload FROM d WHERE error IS NOT NULL)"
 
 
@@ -385,6 +450,22 @@ def _(spark, d):
     return silver.dedup(T.replayed(trades(spark, d))).select("seq", "tick_id", "symbol", "price")
 
 
+#: An exact memory of 200 ids by recursion over the records whose id comes more than once; the others are all accepted.
+BOUNDED = "WITH RECURSIVE " + S_T + """, u AS (SELECT seq * 1000 AS seq, tick_id, symbol, price FROM t UNION ALL SELECT (seq + 7) * 1000 + 1, tick_id, symbol, price FROM t WHERE seq % 20 = 0
+UNION ALL SELECT (seq + 190) * 1000 + 2, tick_id, symbol, price FROM t WHERE seq % 50 = 0 UNION ALL SELECT (seq + 700) * 1000 + 3, tick_id, symbol, price FROM t WHERE seq % 90 = 0),
+c AS (SELECT *, count(*) OVER (PARTITION BY tick_id) AS copies FROM u), b AS (SELECT *, count(*) FILTER (copies = 1) OVER (ORDER BY seq) AS singles FROM c),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM b WHERE copies > 1),
+f(n, seq, accepted, before, memory) AS (SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), false, CAST(0 AS BIGINT), MAP([''], [CAST(0 AS BIGINT)]) UNION ALL
+SELECT o.n, o.seq, coalesce(o.singles + before - memory[o.tick_id] > 200, true), before + CASE WHEN coalesce(o.singles + before - memory[o.tick_id] > 200, true) THEN 1 ELSE 0 END,
+CASE WHEN coalesce(o.singles + before - memory[o.tick_id] > 200, true) THEN map_concat(memory, MAP([o.tick_id], [o.singles + before])) ELSE memory END FROM f JOIN o ON o.n = f.n + 1)
+SELECT c.seq, tick_id, symbol, price FROM c LEFT JOIN f ON c.seq = f.seq WHERE copies = 1 OR accepted"""
+
+
+@query("silver_dedup_bounded", BOUNDED)
+def _(spark, d):
+    return fifo.dedup_bounded(T.resent(trades(spark, d)), 200, size=2000).select("seq", "tick_id", "symbol", "price")
+
+
 @query("floor_window", "SELECT event_id, " + TIME.format("time_bucket(INTERVAL '60 seconds', ts)") + " AS ws FROM events")
 def _(spark, d):
     return events(spark, d).select("event_id", silver.floor_window(F.col("ts"), 60).alias("ws")).withColumn("ws", text_time("ws"))
@@ -740,6 +821,21 @@ def _(spark, d):
     return quality.report(dq_rows(spark, d), now())
 
 
+MISSING = "list_filter([CASE WHEN seq % 10 = 0 THEN 'tick_id' END, CASE WHEN symbol IS NULL THEN 'symbol' END, CASE WHEN size IS NULL THEN 'size' END], lambda z: z IS NOT NULL)"
+SAMPLES = (
+    "WITH " + S_RAW + S_X + ", q AS (SELECT coalesce(symbol, '_') AS s2, count(*) FILTER (size > 0) AS n, quantile_cont(size,0.25) FILTER (size > 0) AS q1, quantile_cont(size,0.75) FILTER (size > 0) AS q3 FROM x GROUP BY 1), "
+    "v AS (SELECT seq, s2 AS symbol, CAST(size AS DOUBLE) AS v, CASE WHEN n >= 4 AND q3 > q1 THEN greatest(0.0, q1 - 3*(q3-q1)) END AS low, CASE WHEN n >= 4 AND q3 > q1 THEN q3 + 3*(q3-q1) END AS high FROM x JOIN q ON coalesce(symbol, '_') = s2 WHERE size IS NOT NULL), "
+    "o AS (SELECT *, v <= 0 AS none FROM v WHERE v <= 0 OR v < low OR v > high) "
+    "SELECT 'freshness' AS name, '' AS samples, CAST(1 AS BIGINT) AS violations UNION ALL "
+    "SELECT 'nulls', (SELECT string_agg(z, ' ' ORDER BY seq) FROM (SELECT seq, to_json({'missing': " + MISSING + ", 'symbol': symbol})::VARCHAR AS z FROM x WHERE " + BAD + " ORDER BY seq LIMIT 5)), (SELECT count(*) FROM x WHERE " + BAD + ") UNION ALL "
+    "SELECT 'volume_anomalies', (SELECT string_agg(z, ' ' ORDER BY k, s, seq) FROM (SELECT NOT none AS k, CASE WHEN none THEN '' ELSE symbol END AS s, seq, to_json({'reason': CASE WHEN none THEN 'non_positive' ELSE 'iqr' END, 'symbol': symbol, 'volume': v, 'low': CASE WHEN NOT none THEN low END, 'high': CASE WHEN NOT none THEN high END})::VARCHAR AS z FROM o ORDER BY k, s, seq LIMIT 5)), (SELECT count(*) FROM o)")
+
+
+@query("dq_report_samples", SAMPLES)
+def _(spark, d):
+    return quality.report_with_samples(dq_rows(spark, d), now()).select("name", F.array_join("samples", " ").alias("samples"), "violations")
+
+
 @query("dq_job", "WITH " + S_T + ", x AS (SELECT * FROM t ORDER BY ts DESC, symbol, tick_id LIMIT 500) " + s_fresh("x") + " UNION ALL " + NULLS.format("false", "x") + " UNION ALL " + VOLUME)
 def _(spark, d):
     return engine(spark, d, bronze=True).quality_report("bronze_ticks", now())
@@ -826,3 +922,84 @@ def _(spark, d):
 @query("stream_gold_alerts", ALERTS)
 def _(spark, d):
     return streams.gold_alerts(spark, d).select(*ALERT_COLS, text_time("window_start"))
+
+
+# --- the silver layer as a stream with keyed state; its input arrives in parts, the stream stops between them ---
+def silver_rows(ticks: DataFrame) -> DataFrame:
+    return ticks.select(F.lit("trade").alias("kind"), "seq", "symbol", "tick_id", F.col("ts").cast("timestamp").alias("ts"), "price", "size", "side")
+
+
+def arrival_parts(rows: DataFrame, n: int = 3, part=None) -> list[DataFrame]:
+    """Rows in ``n`` parts by their sequence; the last one ends with a mark that moves the watermark past all bars."""
+    spark = rows.sparkSession
+    top = rows.agg(F.max("seq")).first()[0] or 0
+    part = F.least(F.floor(F.col("seq") * n / (top + 1)), F.lit(n - 1)) if part is None else part(top)
+    parts = [rows.filter(part == k) for k in range(n)]
+    end = spark.createDataFrame([("end", top + 1, "", "2100-01-01 00:00:00")], "kind string, seq bigint, symbol string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    return [*parts[:-1], parts[-1].unionByName(end, allowMissingColumns=True)]
+
+
+ENRICHED = "WITH " + S_T + S_PREV + " SELECT seq, symbol, price, prev_close, round((price/prev_close-1)*1e4,4) AS return_bps, round(price*size,6) AS notional FROM p"
+ENRICHED_COLS = ["seq", "symbol", "price", "prev_close", "return_bps", "notional"]
+
+
+@query("stream_enrich", ENRICHED)
+def _(spark, d):
+    out = stateful.fed(spark, arrival_parts(silver_rows(trades(spark, d))), "stream-enrich")
+    return stateful.enriched(spark, out).select(*ENRICHED_COLS)
+
+
+@query("stream_restore", ENRICHED)
+def _(spark, d):
+    # the last part goes to a stream of its own that begins with the state of the first one
+    *first, last = arrival_parts(silver_rows(trades(spark, d)))
+    before = stateful.fed(spark, first, "stream-first")
+    after = stateful.fed(spark, [last], "stream-second", initial=stateful.state_table(spark, before))
+    return stateful.enriched(spark, before).unionByName(stateful.enriched(spark, after)).select(*ENRICHED_COLS)
+
+
+@query("stream_ohlcv_arrival", SQL["ohlcv_arrival"])
+def _(spark, d):
+    # arrival order sets ticks back by five places; the watermark waits longer than that
+    late = T.late(trades(spark, d)).withColumn("seq", F.col("arrival"))
+    out = stateful.fed(spark, arrival_parts(silver_rows(late)), "stream-arrival", 3600)
+    return stateful.closed_bars(spark, out).select("symbol", "segment", text_time("window_start"), *BAR_NAMES)
+
+
+S_PARTS = ", top AS (SELECT max(seq) AS top FROM t), k AS (SELECT unnest([0, 1, 2]) AS part)"
+AUDIT = "WITH " + S_T + S_PREV + S_PARTS + ", c AS (SELECT k.part, s.* FROM s, top, k WHERE least(floor(s.seq * 3 / (top + 1)), 2) <= k.part) SELECT part, symbol, arg_max(sets, seq) AS prev_close, arg_max(price, seq) AS close, strftime(arg_max(ws, seq), '%Y-%m-%d %H:%M:%S') AS window_start, CAST(sum(CAST(rolled AS BIGINT)) AS BIGINT) AS segment FROM c GROUP BY part, symbol"
+
+
+@query("stream_state_audit", AUDIT)
+def _(spark, d):
+    # the state store is read as it was behind each part
+    out = stateful.fed(spark, arrival_parts(silver_rows(trades(spark, d))), "stream-audit")
+    batches = sorted(r.batch for r in stateful.emitted(spark, out, "trade").select("batch").distinct().collect())
+    states = [stateful.state_table(spark, out, b).withColumn("part", F.lit(i)) for i, b in enumerate(batches)]
+    return reduce(DataFrame.unionByName, states).select("part", "symbol", "prev_close", "close", text_time(F.timestamp_micros("window_start"), "window_start"), "segment")
+
+
+S_LATE = "WITH " + S_T + ", top AS (SELECT max(seq) AS top FROM t), q AS (SELECT t.*, CAST(least(floor(seq * 3 / (top + 1)), 2) AS INTEGER) AS own FROM t, top), m AS (SELECT *, CASE WHEN seq % 40 = 0 THEN least(own + 1, 2) ELSE own END AS part FROM q), w AS (SELECT k.part, max(epoch_ms(ts)) - 3600000 AS mark FROM m, (SELECT unnest([1, 2]) AS part) k WHERE m.part < k.part GROUP BY 1), l AS (SELECT m.*, coalesce(epoch_ms(ts) < mark, false) AS late FROM m LEFT JOIN w USING (part)) "
+
+
+def late_stream(spark, d):
+    def part(top):
+        own = F.least(F.floor(F.col("seq") * 3 / (top + 1)), F.lit(2))
+        return F.when(F.col("seq") % 40 == 0, F.least(own + 1, F.lit(2))).otherwise(own)
+
+    return stateful.fed(spark, arrival_parts(silver_rows(trades(spark, d)), 3, part), "stream-late", 3600, "1 hour")
+
+
+@query("stream_late_rows", S_LATE + "SELECT seq, symbol, tick_id, price, size FROM l WHERE late")
+def _(spark, d):
+    return stateful.late_rows(spark, late_stream(spark, d)).select("seq", "symbol", "tick_id", "price", "size")
+
+
+@query("stream_late_account", S_LATE + "SELECT symbol, count(*) AS sent, count(*) FILTER (NOT late) AS in_bars, count(*) FILTER (late) AS late FROM l GROUP BY symbol")
+def _(spark, d):
+    out = late_stream(spark, d)
+    sent = trades(spark, d).groupBy("symbol").agg(F.count("*").alias("sent"))
+    bars = stateful.closed_bars(spark, out).groupBy("symbol").agg(F.sum("trade_count").alias("in_bars"))
+    late = stateful.late_rows(spark, out).groupBy("symbol").agg(F.count("*").alias("late"))
+    zero = {"in_bars": 0, "late": 0}
+    return sent.join(bars, "symbol", "left").join(late, "symbol", "left").fillna(zero)

@@ -48,6 +48,15 @@ def replayed(ticks: DataFrame) -> DataFrame:
     return ticks.unionByName(ticks.filter("seq % 50 = 0").withColumn("seq", F.col("seq") + 1_000_000_000))
 
 
+def resent(ticks: DataFrame) -> DataFrame:
+    """Ticks of which some are sent again soon, some later and some much later; ``seq`` leaves room between them."""
+    def again(every: int, later: int, place: int) -> DataFrame:
+        return ticks.filter(F.col("seq") % every == 0).withColumn("seq", (F.col("seq") + later) * 1000 + place)
+
+    first = ticks.withColumn("seq", F.col("seq") * 1000)
+    return first.unionByName(again(20, 7, 1)).unionByName(again(50, 190, 2)).unionByName(again(90, 700, 3))
+
+
 def late(ticks: DataFrame) -> DataFrame:
     """Ticks out of order: every seventeenth arrives five places later; adds ``arrival``."""
     return ticks.withColumn("arrival", (F.col("seq") + F.when(F.col("seq") % 17 == 0, 5).otherwise(0)) * 1_000_000_000 + F.col("seq"))
