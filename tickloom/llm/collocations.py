@@ -238,7 +238,7 @@ def grown(occurrences: DataFrame, dealing: Dealing, min_count: int = MIN_COUNT,
                 parted.append(part)
         return pa.table({"lang": pa.array(langs, pa.string()), "p": pa.array(patterns, pa.list_(pa.int64())), "a": pa.array(counts, pa.int64()), "parted": pa.array(parted, pa.bool_())})
 
-    found = staged(occurrences.groupBy("task").applyInArrow(run, "lang string, p array<bigint>, a bigint, parted boolean"), "patterns")
+    found = staged(occurrences.repartition(dealing.tasks, "task").groupBy("task").applyInArrow(run, "lang string, p array<bigint>, a bigint, parted boolean"), "patterns")
     whole = found.filter("NOT parted").drop("parted")
     added = found.filter("parted").groupBy("lang", "p").agg(F.sum("a").alias("a")).filter(F.col("a") >= min_count)
     return whole.unionByName(added)
@@ -289,7 +289,8 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = M
     phrases = named.groupBy("lang", "p", "a", "l", "r", "score").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     best = [F.col("score").desc(), F.col("a").desc(), "phrase"]
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(n_partitions(spark)))
-    first = phrases.withColumn("_salt", salt).withColumn("_rank", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*best))).filter(F.col("_rank") <= top)
-    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("bigint")).filter(F.col("rank") <= top)
-    return ranked.join(small(sizes), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # the first of each share of a language's phrases, then the first of fewer shares
+    for shares in (n_partitions(spark), 16, 1):
+        w = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(shares))).orderBy(*best)
+        phrases = phrases.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= top)
+    return phrases.join(small(sizes), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
