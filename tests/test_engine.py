@@ -67,6 +67,39 @@ def test_prev_close_is_the_stateful_rule(spark):
     assert [x.prev_close for x in d.collect()] == model_prev_close(rows)
 
 
+def test_ranges_do_not_change_the_history(spark):
+    """Upstream bars between trades, ranges of one row and more, several symbols."""
+    import random
+
+    r = random.Random(8)
+    rows = [(i, r.choice("AAAB"), DAY + dt.timedelta(seconds=i * 9 + r.randrange(100)), round(r.uniform(5, 9), 2), r.random() < 0.8) for i in range(150)]
+    t = spark.createDataFrame([(i, s, ts, p, 1, "buy") for i, s, ts, p, trade in rows if trade], "seq bigint, symbol string, ts timestamp_ntz, price double, size bigint, side string")
+    b = spark.createDataFrame([(i, s, p) for i, s, ts, p, trade in rows if not trade], "seq bigint, symbol string, close double")
+    last, window, price, segment, want = {}, {}, {}, {}, []
+    for i, s, ts, p, trade in rows:
+        if not trade:
+            last[s] = p
+            continue
+        w = int((ts - DAY).total_seconds()) // 60
+        rolled = window.get(s, w) != w
+        segment[s] = segment.get(s, 0) + rolled
+        want.append((i, last.get(s, p), segment[s]))
+        last[s], window[s], price[s] = price[s] if rolled else p, w, p
+    for size in (2, 5, 40, 1000):
+        got = silver.prev_close(t, b, size=size).orderBy("seq").collect()
+        assert [(x.seq, x.prev_close) for x in got] == [(i, p) for i, p, _ in want], size
+        bars = silver.arrival_bars(t, 60, size=size).select("symbol", "segment", "trade_count").collect()
+        counts = {}
+        for i, _, n in want:
+            counts[rows[i][1], n] = counts.get((rows[i][1], n), 0) + 1
+        assert {(x.symbol, x.segment): x.trade_count for x in bars} == counts
+
+
+def test_history_takes_one_shuffle(spark):
+    plan = silver.prev_close(ticks(spark, [(i, i + 1, 1, "buy") for i in range(40)]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
 def test_ranges_do_not_change_lags(spark):
     d = ticks(spark, [(i, i + 1, 1, "buy") for i in range(40)])
     for size in (3, 7, 100):

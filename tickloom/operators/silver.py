@@ -69,32 +69,72 @@ def running_sum(df: DataFrame, value: str, name: str, key: str = "symbol", order
     return d.withColumn("_in", inside).join(carry, [key, "_range"]).withColumn(name, F.col("_in") + F.col("_carry")).drop("_in", "_carry", "_range")
 
 
-def rolled(trades: DataFrame, seconds: int = 60, order: str = "seq") -> DataFrame:
-    """Adds ``ws`` and ``rolled``: whether a trade's window differs from the one of the trade before."""
-    d = lag_by_range(trades.withColumn("ws", floor_window(F.col("ts"), seconds)), "ws", "_ws", order=order)
-    return d.withColumn("rolled", F.coalesce(F.col("ws") != F.col("_ws"), F.lit(False))).drop("_ws")
-
-
-def prev_close(trades: DataFrame, bars: DataFrame | None = None, seconds: int = 60, order: str = "seq", mode: str = "stateful") -> DataFrame:
+def with_history(rows: DataFrame, seconds: int = 60, order: str = "seq", size: int = RANGE) -> DataFrame:
+    """Adds ``ws``, ``rolled``, ``segment`` and ``_prev`` to rows with ``_trade`` (a trade, else an upstream bar) and
+    ``_value`` (its price or close).
+
+    A trade rolls if its window differs from that of the trade before it, and ``segment`` counts these. ``_prev`` is what
+    the row before leaves behind as the previous close: its value, but for a trade that rolled the price of the trade
+    before that one. All of it comes from one shuffle and one sort by range; of the ranges before, the last row, the
+    last two trades and the number of rolls are enough, one small row a range. With one range there is nothing to carry.
+    """
+    number = range_number(rows, order, size)
+    # a window of a null time would drop its row
+    known = F.coalesce("ts", F.lit("1970-01-01").cast(rows.schema["ts"].dataType))
+    d = rows.withColumns({"ws": F.when(F.col("_trade") & F.col("ts").isNotNull(), floor_window(known, seconds)), "_range": number})
+    w = Window.partitionBy("symbol", "_range").orderBy(order)
+    trade = F.when(F.col("_trade"), F.struct(F.col("_value").alias("price"), "ws"))
+    d = d.withColumn("_before", F.last(trade, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+
+    def rolls(before: Column) -> Column:
+        return F.coalesce(F.col("_trade") & (F.col("ws") != before["ws"]), F.lit(False))
+
+    before, carried, rolls_before = F.col("_before"), None, F.lit(0).cast("bigint")
+    if not number._jc.toString().isdigit():
+        d = d.join(carries(d, rolls(before), order), ["symbol", "_range"])
+        before, carried, rolls_before = F.coalesce("_before", "_last"), F.col("_left"), F.col("_rolls")
+    d = d.withColumn("rolled", rolls(before))
+    sets = F.struct(F.when(F.col("rolled"), before["price"]).otherwise(F.col("_value")).alias("v"))
+    inside = F.lag(sets).over(w)
+    d = d.withColumns({
+        "_prev": (inside if carried is None else F.coalesce(inside, carried))["v"],
+        "segment": rolls_before + F.sum(F.col("rolled").cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    return d.drop("_range", "_before", "_last", "_left", "_rolls")
+
+
+def carries(d: DataFrame, rolls: Column, order: str) -> DataFrame:
+    """(symbol, _range, _last, _left, _rolls): what the ranges before leave to each: their last trade, their last row's
+    value for the next one, and their number of rolls."""
+    is_trade = F.col("_trade")
+    ends = d.groupBy("symbol", "_range").agg(
+        F.max_by(F.struct("_trade", "_value"), order).alias("row"), F.max_by(F.struct(F.col("_value").alias("price"), "ws", "_before"), F.when(is_trade, F.col(order))).alias("end"),
+        F.min_by("ws", F.when(is_trade, F.col(order))).alias("first"), F.sum(rolls.cast("bigint")).alias("rolls"))
+    # as many rows of a symbol as there are ranges
+    by = Window.partitionBy("symbol").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    one = F.when(F.col("end").isNotNull(), F.struct(F.col("end.price").alias("price"), F.col("end.ws").alias("ws")))
+    d = ends.withColumn("_last", F.last(one, ignorenulls=True).over(by))
+    two = F.when(F.col("end").isNotNull(), F.struct(F.coalesce("end._before", "_last").alias("t")))
+    rolled_here = F.coalesce((F.col("first") != F.col("_last.ws")).cast("bigint"), F.lit(0))
+    d = d.withColumns({"_two": F.last(two, ignorenulls=True).over(by)["t"], "_rolls": F.coalesce(F.sum(F.col("rolls") + rolled_here).over(by), F.lit(0)), "_row": F.last("row").over(by)})
+    left = F.when(F.col("_row._trade"), F.when(F.col("_two.ws") != F.col("_last.ws"), F.col("_two.price")).otherwise(F.col("_last.price"))).otherwise(F.col("_row._value"))
+    return d.select("symbol", "_range", "_last", F.when(F.col("_row").isNotNull(), F.struct(left.alias("v"))).alias("_left"), "_rolls")
+
+
+def prev_close(trades: DataFrame, bars: DataFrame | None = None, seconds: int = 60, order: str = "seq", mode: str = "stateful", size: int = RANGE) -> DataFrame:
     """Adds ``prev_close`` and ``return_bps``.
 
     stateful: after a trade that closes a window, the price that counts next is the closed bar's close, that is the
     price before; upstream bars (seq, symbol, close) count with their close. lag: plainly the price before.
     """
-    d = trades
     if mode == "stateful":
-        d = lag_by_range(rolled(d, seconds, order), "price", "_p", order=order)
-        d = d.withColumn("_sets", F.when(F.col("rolled"), F.col("_p")).otherwise(F.col("price"))).drop("_p", "rolled", "ws")
-    else:
-        d = d.withColumn("_sets", F.col("price"))
-    if bars is None:
-        d = lag_by_range(d, "_sets", "_prev", order=order)
+        rows = trades.select(F.struct(*trades.columns).alias("row"), "symbol", order, "ts", F.lit(True).alias("_trade"), F.col("price").alias("_value"))
+        if bars is not None:
+            rows = rows.unionByName(bars.select("symbol", order, F.lit(False).alias("_trade"), F.col("close").alias("_value")), allowMissingColumns=True)
+        d = with_history(rows, seconds, order, size).filter("_trade").select("row.*", "_prev")
     else:
-        both = d.select(F.struct(*trades.columns).alias("row"), "symbol", order, "_sets").unionByName(
-            bars.select("symbol", order, F.col("close").alias("_sets")), allowMissingColumns=True)
-        d = lag_by_range(both, "_sets", "_prev", order=order).filter(F.col("row").isNotNull()).select("row.*", "_prev")
+        d = lag_by_range(trades, "price", "_prev", order=order, size=size)
     d = d.withColumn("prev_close", F.coalesce("_prev", "price"))
-    return d.withColumn("return_bps", F.round((F.col("price") / F.col("prev_close") - 1) * 1e4, 4)).drop("_prev", "_sets")
+    return d.withColumn("return_bps", F.round((F.col("price") / F.col("prev_close") - 1) * 1e4, 4)).drop("_prev")
 
 
 def enrich(trades: DataFrame, bars: DataFrame | None = None, seconds: int = 60) -> DataFrame:
@@ -153,10 +193,9 @@ def session_bars(trades: DataFrame, gap_seconds: int) -> DataFrame:
     return trades.groupBy("symbol", w.alias("w")).agg(F.sum("size").alias("volume"), F.count("*").alias("trade_count")).select("symbol", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "volume", "trade_count")
 
 
-def arrival_bars(trades: DataFrame, seconds: int, order: str = "seq") -> DataFrame:
+def arrival_bars(trades: DataFrame, seconds: int, order: str = "seq", size: int = RANGE) -> DataFrame:
     """Bars by arrival: a trade of another window closes the open bar, so late trades split bars."""
-    d = rolled(trades, seconds, order).withColumn("_step", F.col("rolled").cast("bigint"))
-    d = running_sum(d, "_step", "segment", order=order)
+    d = with_history(trades.withColumns({"_trade": F.lit(True), "_value": F.col("price")}), seconds, order, size)
     return d.groupBy("symbol", "segment", F.col("ws").alias("window_start")).agg(*bar_columns(order))
 
 
