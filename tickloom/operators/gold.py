@@ -26,6 +26,12 @@ def coerce(rows: DataFrame) -> DataFrame:
     return rows.withColumns({**{c: F.coalesce(c, "close") for c in ("open", "high", "low")}, "volume": F.coalesce(F.col("volume").try_cast("bigint"), F.lit(0))})
 
 
+def event_time(rows: DataFrame, now: Column) -> Column:
+    """The time of a row: its window's start, else its ``ts``; ``now`` without either, or where the text cannot be read."""
+    named = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("window_start", "ts") if c in rows.columns]
+    return F.coalesce(F.try_to_timestamp(F.coalesce(*named)), now) if named else now
+
+
 def returns(bars: DataFrame) -> DataFrame:
     """Adds ``ret``, the return on the bar before; null for a symbol's first bar."""
     w = Window.partitionBy("symbol").orderBy("window_start")

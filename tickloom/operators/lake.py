@@ -63,11 +63,30 @@ def write_manifest(df: DataFrame, root: str, layer: str) -> dict:
     path = write_layer(df.observe(seen, F.count("*").alias("rows")), root, layer)
     new = sorted(set(data_files(spark, path)) - old)
     found = {"files": len(new), "rows": seen.get["rows"], "partition_by": list(LAYERS[layer][1])}
-    snapshot = spark.createDataFrame([(len(new), found["rows"], ",".join(found["partition_by"]), new)], "files bigint, rows bigint, partition_by string, paths array<string>")
+    found["snapshot"] = len(snapshots(spark, root, layer).take(1)) and snapshots(spark, root, layer).agg(F.max("snapshot")).first()[0] + 1
+    snapshot = spark.createDataFrame([(found["snapshot"], len(new), found["rows"], ",".join(found["partition_by"]), new)], SNAPSHOT)
     snapshot.coalesce(1).write.mode("append").json(f"{root}/{layer}/_snapshots")
     return found
 
 
+SNAPSHOT = "snapshot bigint, files bigint, rows bigint, partition_by string, paths array<string>"
+
+
+def snapshots(spark: SparkSession, root: str, layer: str) -> DataFrame:
+    """The snapshots of a layer; none where none was written."""
+    folder = f"{root}/{layer}/_snapshots"
+    return spark.read.schema(SNAPSHOT).json(folder) if data_files(spark, folder) else spark.createDataFrame([], SNAPSHOT)
+
+
+def read_snapshot(spark: SparkSession, root: str, layer: str, snapshot: int) -> DataFrame:
+    """A layer as it was behind a snapshot: the files that it and the ones before it added, whatever came since."""
+    rows = snapshots(spark, root, layer).filter(F.col("snapshot") <= snapshot)
+    if not rows.filter(F.col("snapshot") == snapshot).take(1):
+        raise KeyError(snapshot)
+    paths = [r.path for r in rows.select(F.explode("paths").alias("path")).collect()]
+    return spark.read.option("basePath", f"{root}/{LAYERS[layer][0]}").option("mergeSchema", "true").parquet(*paths)
+
+
 def data_files(spark: SparkSession, folder: str) -> list[str]:
     """Paths of the data files below a folder; none if it does not exist."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -158,6 +177,18 @@ def flatten(df: DataFrame, payload: str) -> DataFrame:
     return df.select(*envelope, *[F.col(payload)[c].alias(c) for c in inner])
 
 
+def columnar(*frames: DataFrame) -> DataFrame:
+    """Rows of several frames under the union of their columns, in the order in which they first come; nested values are
+    JSON text."""
+    def plain(df: DataFrame) -> DataFrame:
+        return df.select(*[F.to_json(F.col(f"`{f.name}`"), {"ignoreNullFields": "false"}).alias(f.name) if f.dataType.typeName() in ("struct", "array", "map", "variant") else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+    out = plain(frames[0])
+    for f in frames[1:]:
+        out = out.unionByName(plain(f), allowMissingColumns=True)
+    return out
+
+
 @dataclass
 class LakeEngine:
     """Named views over a lake, scans and read-only SQL."""
@@ -177,7 +208,7 @@ class LakeEngine:
         parts = []
         for fmt in self.formats:
             try:
-                parts.append(self.spark.read.format(fmt).option("mergeSchema", "true").load(folder))
+                parts.append(self.spark.read.format(fmt).option("mergeSchema", "true").option("pathGlobFilter", f"*.{fmt}*").load(folder))
             except Exception as e:
                 if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                     raise
@@ -185,7 +216,9 @@ class LakeEngine:
             return self.spark.createDataFrame([], "event_type string, symbol string, date string")
         df = parts[0]
         for p in parts[1:]:
-            df = df.unionByName(p, allowMissingColumns=True)
+            # text has its types guessed; the first format's types hold
+            kinds = {f.name: f.dataType for f in df.schema.fields}
+            df = df.unionByName(p.select(*[F.col(c).cast(kinds.get(c, p.schema[c].dataType)).alias(c) for c in p.columns]), allowMissingColumns=True)
         return df.filter(where) if where else df
 
     def scan(self, view: str, symbol: str | None = None, limit: int | None = 50, predicate: Column | None = None) -> DataFrame:

@@ -50,6 +50,20 @@ def range_number(df: DataFrame, order: str, size: int) -> Column:
     return top * FAN + below(F.get(F.array(*[literal(r) for r in rows]), top))
 
 
+def interval_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, key: str = "symbol", seconds: int = 3600) -> DataFrame:
+    """Every point with the spans of its key that hold it (start inclusive, end exclusive), whatever the spans' length.
+
+    Spans are cut into buckets of ``seconds`` and meet the points of each bucket by equality, so no key's points and
+    spans are all compared. A bucket width near the usual length of a span keeps both sides small.
+    """
+    step = F.expr(f"INTERVAL '{seconds}' SECOND")
+    first, last = floor_window(F.col(start), seconds), floor_window(F.col(end) - F.expr("INTERVAL '1' MICROSECOND"), seconds)
+    cut = spans.filter(F.col(start) < F.col(end)).withColumns({"_first": first, "_end": last}).withColumn("_bucket", F.explode(F.sequence("_first", "_end", step))).drop("_first", "_end")
+    p = points.withColumn("_bucket", floor_window(F.col(at), seconds))
+    both = p.join(cut, [key, "_bucket"]).drop("_bucket")
+    return both.filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end)))
+
+
 def lag_by_range(df: DataFrame, value: str, name: str, key: str = "symbol", order: str = "seq", size: int = RANGE) -> DataFrame:
     """Adds the value of the row before in arrival order, per key."""
     d = df.withColumn("_range", range_number(df, order, size))
@@ -188,9 +202,18 @@ def sliding_bars(trades: DataFrame, seconds: int, slide: int) -> DataFrame:
     return trades.groupBy("symbol", w.alias("w")).agg(F.sum("size").alias("volume"), F.count("*").alias("trade_count")).select("symbol", F.col("w.start").alias("window_start"), "volume", "trade_count")
 
 
-def session_bars(trades: DataFrame, gap_seconds: int) -> DataFrame:
-    w = F.session_window("ts", f"{gap_seconds} seconds")
-    return trades.groupBy("symbol", w.alias("w")).agg(F.sum("size").alias("volume"), F.count("*").alias("trade_count")).select("symbol", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "volume", "trade_count")
+def session_bars(trades: DataFrame, gap_seconds: int, size: int = RANGE) -> DataFrame:
+    """Bars of trades that follow each other within the gap.
+
+    Trades of one time are added up before the shuffle, then sessions are numbered by ranges of time, so a symbol
+    with most of the trades is spread over many tasks.
+    """
+    gap = F.expr(f"INTERVAL '{gap_seconds}' SECOND")
+    d = trades.groupBy("symbol", "ts").agg(F.sum("size").alias("volume"), F.count("*").alias("trade_count"))
+    d = lag_by_range(d, "ts", "_last", order="ts", size=size)
+    d = d.withColumn("_new", F.coalesce(F.col("ts") >= F.col("_last") + gap, F.lit(False)).cast("bigint"))
+    d = running_sum(d, "_new", "_session", order="ts", size=size)
+    return d.groupBy("symbol", "_session").agg(F.min("ts").alias("window_start"), (F.max("ts") + gap).alias("window_end"), F.sum("volume").alias("volume"), F.sum("trade_count").alias("trade_count")).drop("_session")
 
 
 def arrival_bars(trades: DataFrame, seconds: int, order: str = "seq", size: int = RANGE) -> DataFrame:

@@ -17,6 +17,11 @@ def once(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def decoded(records: DataFrame) -> DataFrame:
+    """Records with ``value`` as text; bytes that are no UTF-8 become replacement characters."""
+    return records.withColumn("value", F.make_valid_utf8(F.col("value").cast("string")))
+
+
 def decode(records: DataFrame) -> DataFrame:
     """Adds ``payload`` (VARIANT, null if the value is not JSON) and ``json_error``."""
     d = once(records, F.try_parse_json("value"), "payload")
@@ -164,31 +169,58 @@ def replay_stats(letters: DataFrame, dry_run: bool = False) -> DataFrame:
         (F.count("*") - ok).alias("skipped"), (ok if dry_run else F.lit(0).cast("bigint")).alias("inspect_only"))
 
 
-def schema_gate(records: DataFrame, required: dict[str, str]) -> DataFrame:
-    """(seq, error): required fields and JSON types only; ``required`` maps a field to string, number or integer.
+#: Beginnings of a variant's schema by JSON type.
+SHAPES = {
+    "string": ("STRING",), "number": ("BIGINT", "DOUBLE", "FLOAT", "DECIMAL"), "integer": ("BIGINT",), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",), "null": ("VOID",)}
 
-    A boolean is no number; a null where null is not allowed has the wrong type; an absent field is missing.
-    """
-    kinds = {"string": ("STRING",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "integer": ("BIGINT",)}
-    d = decode(records)
+
+def type_errors(fields: dict, required: set | None = None) -> Column:
+    """What is wrong with the fields of a payload, joined by semicolons; empty if nothing is."""
     errors = []
-    for name, kind in required.items():
+    for name, kind in fields.items():
+        kinds = (kind,) if isinstance(kind, str) else tuple(kind)
         v = F.try_variant_get("payload", f"$.{name}", "variant")
         shape = F.schema_of_variant(v)
         fits = F.lit(False)
-        for k in kinds[kind]:
-            fits = fits | shape.startswith(k)
-        errors.append(F.when(v.isNull(), F.lit(f"missing required {name}")).when(~fits, F.lit(f"expected type {kind}: {name}")))
-    found = F.array_join(F.array_compact(F.array(*errors)), "; ")
-    return d.select("seq", F.coalesce("json_error", F.when(found != "", found)).alias("error"))
+        for k in kinds:
+            for start in SHAPES[k]:
+                fits = fits | shape.startswith(start)
+        wrong = F.when(~fits, F.lit(f"expected type {'|'.join(kinds)}: {name}"))
+        errors.append(F.when(v.isNull(), F.lit(f"missing required {name}") if required is None or name in required else None).otherwise(wrong))
+    return F.array_join(F.array_compact(F.array(*errors)), "; ")
 
 
-def infer_subject(records: DataFrame) -> DataFrame:
-    """(seq, subject) from the event type, else from the fields that a bar has."""
+def schema_gate(records: DataFrame, required: dict) -> DataFrame:
+    """(seq, error): required fields and JSON types only; ``required`` maps a field to a JSON type or to several.
+
+    A boolean is no number; a null where null is not allowed has the wrong type; an absent field is missing.
+    """
+    found = type_errors(required)
+    return decode(records).select("seq", F.coalesce("json_error", F.when(found != "", found)).alias("error"))
+
+
+def subject_gate(records: DataFrame, documents: dict[str, dict]) -> DataFrame:
+    """(seq, subject, error): every record against the JSON Schema of its subject; fields that a schema does not require
+    are only checked where they are there."""
     d = decode(records)
+    subject = subject_of_payload()
+    found = F.lit("")
+    for name, doc in documents.items():
+        kinds = {f: p["type"] for f, p in doc["properties"].items()}
+        found = F.when(subject == name, type_errors(kinds, set(doc["required"]))).otherwise(found)
+    d = once(d, found, "_found")
+    return d.select("seq", subject.alias("subject"), F.coalesce("json_error", F.when(F.col("_found") != "", F.col("_found"))).alias("error"))
+
+
+def subject_of_payload() -> Column:
+    """The subject from the event type, else from the fields that a bar has; null for what is no JSON object."""
     kind = F.lower(field("event_type", "string"))
     bar = F.lit(True)
-    for f in ("open", "high", "low", "close", "window_start"):
+    for f in BAR_FIELDS:
         bar = bar & F.try_variant_get("payload", f"$.{f}", "variant").isNotNull()
-    return d.select("seq", F.when(F.col("json_error").isNotNull(), None).when(kind.isin("ohlcv", "bar", "ohlcv-bar"), "ohlcv-bar").when(
-        kind.isin("trade", "tick", "trade-tick"), "trade-tick").when(bar, "ohlcv-bar").otherwise("trade-tick").alias("subject"))
+    return F.when(F.col("json_error").isNotNull(), None).when(kind.isin(*BAR_TYPES), "ohlcv-bar").when(kind.isin(*TRADE_TYPES), "trade-tick").when(bar, "ohlcv-bar").otherwise("trade-tick")
+
+
+def infer_subject(records: DataFrame) -> DataFrame:
+    """(seq, subject) of records."""
+    return decode(records).select("seq", subject_of_payload().alias("subject"))

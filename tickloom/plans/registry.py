@@ -13,6 +13,7 @@ from .. import schemas
 from ..functions import sql as sql_functions
 from ..operators import fifo, gold, lake, quality, silver, validate
 from ..sources import ticks as T
+from ..sources import wire_log
 from ..sources.storage import scratch
 from ..streaming import stateful, streams
 
@@ -94,9 +95,13 @@ def dirty(spark, d):
 
 
 # --- sources ---
-@query("src_synthetic_ticks")
+WALK = "WITH " + S_T + ", sp(symbol, spot) AS (VALUES ('CLICK',101.5),('VIEW',55.25),('PURCHASE',210.0)), r AS (SELECT seq, symbol FROM t), c AS (SELECT *, sum(CAST(seq * 7919 % 1000 * 2 - 999 AS BIGINT)) OVER (PARTITION BY symbol ORDER BY seq) / 200000.0 AS path FROM r) SELECT seq, c.symbol, round(greatest(0.01, coalesce(spot, 100.0) * exp(path)), 4) AS price FROM c LEFT JOIN sp ON c.symbol = sp.symbol"
+
+
+@query("src_synthetic_ticks", WALK)
 def _(spark, d):
-    return T.synthetic_ticks(spark, ["CLICK", "VIEW", "OTHER"], 3000)
+    # the walk takes its steps from the ticks of the table
+    return T.walk(trades(spark, d)).select("seq", "symbol", "price")
 
 
 @query("wire_encode", "WITH " + S_T + ", " + S_WIRE + " SELECT seq, symbol AS key, value FROM w WHERE price > 0 AND size > 0")
@@ -214,9 +219,44 @@ def _(spark, d):
     return a.unionByName(hourly(spark, d).select(F.lit("ohlcv").alias("kind"), "symbol", "close"), allowMissingColumns=True)
 
 
-@query("scan_empty", "SELECT event_type, upper(event_type) AS symbol, '' AS date FROM events WHERE false")
+@query("scan_empty", "WITH " + S_T + " SELECT 'bronze_ticks' AS view, count(*) AS n FROM t UNION ALL SELECT unnest(['gold_anomalies', 'gold_bars', 'silver_ohlc', 'silver_ticks']), 0")
+def _(spark, d):
+    # only the bronze layer is written; the other views have no folder
+    e = engine(spark, d, bronze=True)
+    found = [e.frame(v).agg(F.count("*").alias("n")).select(F.lit(v).alias("view"), "n") for v in e.list_views()]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("scan_mixed_formats", "WITH " + S_T + " SELECT event_type, symbol, date, seq, price, size, side, CASE WHEN seq % 2 = 0 THEN venue END AS venue FROM (SELECT *, 'trade' AS event_type, strftime(ts,'%Y-%m-%d') AS date FROM t)")
+def _(spark, d):
+    # one layer with Parquet and JSON files; the JSON rows have a column less
+    root, rows = scratch(spark, "lake"), bronze_rows(spark, d)
+    lake.write_layer(rows.filter("seq % 2 = 0"), root, "bronze", "parquet")
+    lake.write_layer(rows.filter("seq % 2 = 1").drop("venue"), root, "bronze", "json")
+    found = lake.LakeEngine(spark, root, ("parquet", "json")).frame("bronze_ticks")
+    return found.select("event_type", "symbol", F.col("date").cast("string").alias("date"), "seq", "price", "size", "side", "venue")
+
+
+@query("scan_predicate", "WITH " + S_T + " SELECT seq, symbol, price FROM t WHERE side = 'buy' AND price * size > 500 ORDER BY ts DESC, symbol, tick_id LIMIT 50")
+def _(spark, d):
+    big = (F.col("side") == "buy") & (F.col("price") * F.col("size") > 500)
+    return engine(spark, d, bronze=True).scan("bronze_ticks", predicate=big).select("seq", "symbol", "price")
+
+
+@query("columnar_nested", "WITH " + S_T + ", " + s_bars(3600) + """ SELECT 'trade' AS kind, symbol, seq, '{"price":'||price||',"size":'||size||'}' AS payload, '["'||side||'","'||venue||'"]' AS tags, NULL AS close FROM t UNION ALL SELECT 'bar', symbol, NULL, '{"open":'||open||',"volume":'||volume||'}', NULL, close FROM b""")
+def _(spark, d):
+    t = trades(spark, d).select(F.lit("trade").alias("kind"), "symbol", "seq", F.struct("price", "size").alias("payload"), F.array("side", "venue").alias("tags"))
+    return lake.columnar(t, hourly(spark, d).select(F.lit("bar").alias("kind"), "symbol", F.struct("open", "volume").alias("payload"), "close"))
+
+
+@query("sink_snapshot_read", "WITH " + S_T + " SELECT CAST(v AS BIGINT) AS snapshot, symbol, count(*) AS n, CAST(sum(size) AS BIGINT) AS volume FROM t, range(0, 3) AS r(v) WHERE seq % 3 <= v GROUP BY ALL")
 def _(spark, d):
-    return lake.LakeEngine(spark, scratch(spark, "nothing")).frame("bronze_ticks").select("event_type", "symbol", "date")
+    # three appends; each snapshot still shows what was there behind it
+    root, rows = scratch(spark, "lake"), bronze_rows(spark, d)
+    for k in range(3):
+        lake.write_manifest(rows.filter(F.col("seq") % 3 == k), root, "bronze")
+    seen = [lake.read_snapshot(spark, root, "bronze", k).withColumn("snapshot", F.lit(k).cast("bigint")) for k in range(3)]
+    return reduce(DataFrame.unionByName, seen).groupBy("snapshot", "symbol").agg(F.count("*").alias("n"), F.sum("size").alias("volume"))
 
 
 @query("flatten_records", "WITH " + S_T + " SELECT 'trade' AS event_type, symbol, seq, price, size FROM t")
@@ -394,6 +434,27 @@ def _(spark, d):
     return validate.schema_gate(e.select(F.col("event_id").alias("seq"), value.alias("value")), {"symbol": "string", "price": "number", "size": "integer"})
 
 
+GATE = "WITH " + S_RAW + ", " + EVENT_WIRE + """ SELECT seq, CASE WHEN seq % 97 = 0 OR seq % 89 = 0 THEN NULL WHEN seq % 3 = 0 THEN 'ohlcv-bar' ELSE 'trade-tick' END AS subject,
+CASE WHEN seq % 97 = 0 THEN 'invalid json' WHEN seq % 89 = 0 THEN 'payload is not a JSON object' WHEN seq % 3 = 0 AND seq % 43 = 0 THEN 'missing required vwap'
+WHEN seq % 3 = 2 THEN 'missing required tick_id; missing required symbol; missing required ts; missing required price; missing required size; missing required venue; missing required sequence' END AS error FROM w"""
+
+
+@query("schema_gate_records", GATE)
+def _(spark, d):
+    # every record against the schema document of its subject
+    documents = {name: schemas.json_schema(schemas.get_schema(name), name) for name, _ in schemas.list_subjects()}
+    return validate.subject_gate(event_wire(spark, d), documents)
+
+
+@query("wire_decode_utf8", "WITH " + S_RAW + ", " + S_WIRE + " SELECT seq, CASE seq % 4 WHEN 1 THEN chr(65533)||value WHEN 2 THEN substr(value, 1, 20)||chr(65533)||chr(65533)||substr(value, 21) WHEN 3 THEN value||'é'||chr(65533) ELSE value END AS value FROM w")
+def _(spark, d):
+    # bytes that are no UTF-8 before, inside and behind the records
+    text, kind = F.col("value").cast("binary"), F.col("seq") % 4
+    bad = F.when(kind == 1, F.concat(F.unhex(F.lit("FF")), text)).when(kind == 2, F.concat(F.substring(text, 1, 20), F.unhex(F.lit("80C0")), F.expr("substring(CAST(value AS BINARY), 21)"))).when(
+        kind == 3, F.concat(text, F.unhex(F.lit("C3A9E2")))).otherwise(text)
+    return validate.decoded(T.wire(T.raw_ticks(events(spark, d))).withColumn("value", bad)).select("seq", "value")
+
+
 @query("infer_subject", "SELECT event_id AS seq, CASE WHEN event_id % 3 = 2 THEN 'trade-tick' ELSE 'ohlcv-bar' END AS subject FROM events")
 def _(spark, d):
     value = F.when(F.col("event_id") % 3 == 0, '{"event_type":"OHLCV"}').when(F.col("event_id") % 3 == 1, '{"open":1,"high":1,"low":1,"close":1,"window_start":"x"}').otherwise('{"price":1}')
@@ -424,6 +485,17 @@ def _(spark, d):
     return gold.route(rows).select("seq", "route")
 
 
+@query("gold_event_time", "SELECT event_id AS seq, CASE event_id % 5 WHEN 0 THEN strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(date_trunc('second', ts) - INTERVAL '2 hours', '%Y-%m-%d %H:%M:%S') ELSE '2024-02-15 00:00:00' END AS at FROM events")
+def _(spark, d):
+    # a window's start, a time with a zone, one with an offset, a text that is none, and no time at all
+    e, kind = events(spark, d), F.col("event_id") % 5
+    ts = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    rows = e.select(
+        F.col("event_id").alias("seq"), F.when(kind == 0, F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd'T'HH:mm:ss")).when(kind == 3, "soon").when(kind == 1, "").alias("window_start"),
+        F.when(kind.isin(0, 1, 3), F.concat(ts, F.lit("Z"))).when(kind == 2, F.concat(ts, F.lit("+02:00"))).alias("ts"))
+    return rows.select("seq", text_time(gold.event_time(rows, now()), "at"))
+
+
 @query("gold_dlq", "SELECT event_id AS seq, value AS close, value AS high, value AS low, value AS open, CASE WHEN event_id % 2 = 0 THEN event_id ELSE 0 END AS volume FROM events WHERE event_id % 5 <> 0")
 def _(spark, d):
     e = events(spark, d).select(
@@ -683,16 +755,23 @@ def _(spark, d):
     return j.select(a.symbol, text_time("window_start"), "seq")
 
 
+@query("interval_alert_wide", S_G + " SELECT g.symbol, strftime(g.window_start,'%Y-%m-%d %H:%M:%S') AS window_start, t.seq FROM g JOIN t ON g.symbol = t.symbol AND t.ts >= g.window_start AND t.ts < g.window_start + INTERVAL '150 minutes' WHERE g.is_anomaly")
+def _(spark, d):
+    # longer than a bar, so a tick may belong to several alerts
+    a = gold.alerts(gold.score(hourly(spark, d))).select("symbol", "window_start", (F.col("window_start") + F.expr("INTERVAL '150' MINUTE")).alias("until"))
+    return silver.interval_join(trades(spark, d).select("seq", "symbol", "ts"), a, "ts", "window_start", "until").select("symbol", text_time("window_start"), "seq")
+
+
 def symbols_flagged(spark, d):
-    return gold.score(hourly(spark, d)).filter("zscore_volume > 4").select("symbol").distinct()
+    return gold.score(hourly(spark, d)).filter("zscore_volume > 4.8").select("symbol").distinct()
 
 
-@query("semi_anom", S_G + " SELECT symbol, count(*) AS n FROM t WHERE symbol IN (SELECT symbol FROM g WHERE zscore_volume > 4) GROUP BY 1")
+@query("semi_anom", S_G + " SELECT symbol, count(*) AS n FROM t WHERE symbol IN (SELECT symbol FROM g WHERE zscore_volume > 4.8) GROUP BY 1")
 def _(spark, d):
     return trades(spark, d).join(symbols_flagged(spark, d), "symbol", "left_semi").groupBy("symbol").agg(F.count("*").alias("n"))
 
 
-@query("anti_anom", S_G + " SELECT symbol, count(*) AS n FROM t WHERE symbol NOT IN (SELECT symbol FROM g WHERE zscore_volume > 4) GROUP BY 1")
+@query("anti_anom", S_G + " SELECT symbol, count(*) AS n FROM t WHERE symbol NOT IN (SELECT symbol FROM g WHERE zscore_volume > 4.8) GROUP BY 1")
 def _(spark, d):
     return trades(spark, d).join(symbols_flagged(spark, d), "symbol", "left_anti").groupBy("symbol").agg(F.count("*").alias("n"))
 
@@ -759,14 +838,22 @@ sql_query("sql_rank", RANK.format("bronze_ticks"), S_RANK, B_)
 LEAD = "SELECT symbol, seq, lead(price) OVER w AS next_price, lag(price) OVER w AS last_price FROM {0} WINDOW w AS (PARTITION BY symbol ORDER BY seq)"
 sql_query("sql_lead_lag", LEAD.format("bronze_ticks"), "WITH " + S_T + " " + LEAD.format("t"), B_)
 sql_query("sql_intersect", "SELECT size FROM bronze_ticks WHERE symbol = 'CLICK' INTERSECT SELECT size FROM bronze_ticks WHERE symbol = 'VIEW'", "WITH " + S_T + " SELECT size FROM t WHERE symbol = 'CLICK' INTERSECT SELECT size FROM t WHERE symbol = 'VIEW'", B_)
-sql_query("sql_except", "SELECT size FROM bronze_ticks WHERE price > 1 EXCEPT SELECT size FROM bronze_ticks WHERE symbol = 'VIEW' AND price > 30", "WITH " + S_T + " SELECT size FROM t WHERE price > 1 EXCEPT SELECT size FROM t WHERE symbol = 'VIEW' AND price > 30", B_)
+sql_query("sql_except", "SELECT size FROM bronze_ticks WHERE price > 1 EXCEPT SELECT size FROM bronze_ticks WHERE symbol = 'VIEW' AND price > 150", "WITH " + S_T + " SELECT size FROM t WHERE price > 1 EXCEPT SELECT size FROM t WHERE symbol = 'VIEW' AND price > 150", B_)
+
+
+DRIFT = "WITH " + S_T + ", n AS (SELECT count(*) AS n FROM t) SELECT kind, field, CASE WHEN kind = 'added' THEN n ELSE 0 END AS rows FROM n, (VALUES ('added','date'),('added','event_type'),('added','notional'),('added','prev_close'),('added','return_bps'),('removed','sequence'),('removed','side'),('removed','venue')) v(kind, field)"
 
 
-@query("schema_drift", "SELECT * FROM (VALUES ('added','notional'),('added','prev_close'),('added','return_bps'),('removed','venue'),('required_removed','venue')) v(kind, field)")
+@query("schema_drift", DRIFT)
 def _(spark, d):
-    live = T_.StructType([f for f in schemas.TRADE_TICK.fields if f.name != "venue"] + [T_.StructField(c, T_.DoubleType()) for c in ("notional", "prev_close", "return_bps")])
-    found = schemas.drift(live, schemas.get_schema("trade-tick"))
-    return spark.createDataFrame([(k, f) for k, fs in found.items() for f in fs], "kind string, field string")
+    # the fields that the silver layer's files show, against the registered ones, and the rows that have them
+    root = scratch(spark, "lake")
+    live = spark.read.json(lake.write_layer(silver_trade_rows(spark, d), root, "silver", "json"))
+    found = schemas.drift(live.schema, schemas.get_schema("trade-tick"))
+    kinds = [(k, f) for k in ("added", "removed") for f in found[k]]
+    counts = live.agg(*[F.count(f).alias(f) if k == "added" else F.lit(0).cast("bigint").alias(f) for k, f in kinds])
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(f).alias("field"), F.col(f).alias("rows")) for k, f in kinds])
+    return counts.select(F.inline(rows))
 
 
 @query("chart_series", S_H + ", n AS (SELECT symbol, window_start, close FROM b ORDER BY window_start DESC, symbol LIMIT 200) SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY n.window_start) AS place, close FROM n")
@@ -846,13 +933,14 @@ def _(spark, d):
     return quality.freshness(engine(spark, d, bronze=True).scan("bronze_ticks"), ["ts"], now())
 
 
-@query("backfill", "SELECT symbol, CAST(n AS BIGINT) AS n FROM (VALUES ('CLICK', 500), ('VIEW', 500)) v(symbol, n)")
+@query("backfill", "WITH " + S_T + " SELECT symbol, count(*) AS n, CAST(sum(size) AS BIGINT) AS volume FROM t WHERE symbol IN ('CLICK', 'VIEW') GROUP BY symbol")
 def _(spark, d):
-    ticks = T.synthetic_ticks(spark, ["CLICK", "VIEW"], 1000).withColumn("seq", F.col("sequence"))
-    ok = validate.valid(validate.parse_ticks(T.wire(ticks)))
+    # past ticks of two symbols go through the wire and the parser into bronze, without a broker
+    old = trades(spark, d).filter(F.col("symbol").isin("CLICK", "VIEW"))
+    ok = validate.valid(validate.parse_ticks(T.wire(old)))
     root = scratch(spark, "lake")
     lake.write_layer(lake.with_date(ok.select("seq", "symbol", "ts", "price", "size", "side"), "ts").withColumn("event_type", F.lit("trade")), root, "bronze")
-    return lake.LakeEngine(spark, root).frame("bronze_ticks").groupBy("symbol").agg(F.count("*").alias("n"))
+    return lake.LakeEngine(spark, root).frame("bronze_ticks").groupBy("symbol").agg(F.count("*").alias("n"), F.sum("size").alias("volume"))
 
 
 # --- functions ---
@@ -919,6 +1007,14 @@ def _(spark, d):
     return streams.ohlcv(spark, d).select("symbol", text_time("window_start"), *BAR_NAMES)
 
 
+@query("stream_dedup_bars", "WITH " + S_T + ", " + s_bars(3600) + ", m AS (SELECT epoch_ms(max(ts)) - 600000 AS mark FROM t) SELECT symbol, " + WS + ", " + ", ".join(BAR_NAMES) + " FROM b, m WHERE epoch_ms(b.window_start) + 3600000 <= mark")
+def _(spark, d):
+    # ticks come twice, and a bar comes when the watermark has passed it
+    ticks = T.trades(streams.event_stream(spark, d)).withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = ticks.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    return streams.merged_bars(spark, streams.dedup_bars(twice, 3600)).select("symbol", text_time("window_start"), *BAR_NAMES)
+
+
 @query("stream_gold_alerts", ALERTS)
 def _(spark, d):
     return streams.gold_alerts(spark, d).select(*ALERT_COLS, text_time("window_start"))
@@ -973,8 +1069,8 @@ AUDIT = "WITH " + S_T + S_PREV + S_PARTS + ", c AS (SELECT k.part, s.* FROM s, t
 @query("stream_state_audit", AUDIT)
 def _(spark, d):
     # the state store is read as it was behind each part
-    out = stateful.fed(spark, arrival_parts(silver_rows(trades(spark, d))), "stream-audit")
-    batches = sorted(r.batch for r in stateful.emitted(spark, out, "trade").select("batch").distinct().collect())
+    batches = []
+    out = stateful.fed(spark, arrival_parts(silver_rows(trades(spark, d))), "stream-audit", batches=batches)
     states = [stateful.state_table(spark, out, b).withColumn("part", F.lit(i)) for i, b in enumerate(batches)]
     return reduce(DataFrame.unionByName, states).select("part", "symbol", "prev_close", "close", text_time(F.timestamp_micros("window_start"), "window_start"), "segment")
 
@@ -1003,3 +1099,47 @@ def _(spark, d):
     late = stateful.late_rows(spark, out).groupBy("symbol").agg(F.count("*").alias("late"))
     zero = {"in_bars": 0, "late": 0}
     return sent.join(bars, "symbol", "left").join(late, "symbol", "left").fillna(zero)
+
+
+# --- the wire as a log with offsets ---
+OFFSETS = "WITH " + S_T + ", " + S_WIRE + ", o AS (SELECT seq, symbol AS key, value, seq % 3 AS part FROM w WHERE price > 0 AND size > 0) SELECT key, value, CAST(part AS INTEGER) AS partition, row_number() OVER (PARTITION BY part ORDER BY seq) - 1 AS \"offset\" FROM o"
+
+
+def logged(spark, d, path, parts: int = 2):
+    """Appends the ticks to a log in parts; yields after each."""
+    t = T.wire(trades(spark, d))
+    cut = (t.agg(F.max("seq")).first()[0] or 0) // 2
+    for where in (F.col("seq") <= cut, F.col("seq") > cut):
+        wire_log.append(t.filter(where), path, "raw-ticks", F.col("seq") % 3)
+        yield
+
+
+@query("stream_source_offsets", OFFSETS)
+def _(spark, d):
+    # the stream stops after the first part of the log and goes on at its offsets when there is more
+    root = scratch(spark, "wire-log")
+    for _ in logged(spark, d, f"{root}/log"):
+        streams.run_batches(wire_log.stream(spark, f"{root}/log"), "offsets", lambda b, i, to: b.write.mode("overwrite").parquet(f"{to}/batch={i}"), "append", f"{root}/out")
+    rows = spark.read.schema(f"{wire_log.SCHEMA}, batch int").option("basePath", f"{root}/out").parquet(f"{root}/out/batch=*")
+    return rows.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "partition", "offset")
+
+
+@query("source_committed", "SELECT * FROM (" + OFFSETS + ") WHERE partition <> 1 AND \"offset\" > CASE partition WHEN 0 THEN 100 ELSE -1 END OR partition = 1 AND \"offset\" > 50")
+def _(spark, d):
+    # what a group that has committed two of the partitions still has to read
+    root = scratch(spark, "wire-log")
+    for _ in logged(spark, d, f"{root}/log"):
+        pass
+    rows = wire_log.table(spark, f"{root}/log", committed={"raw-ticks:0": 100, "raw-ticks:1": 50})
+    return rows.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "partition", "offset")
+
+
+@query("stream_layers", ALERTS)
+def _(spark, d):
+    # the log grows twice, and bronze, silver and gold each go on where they were; the last mark closes the last bars
+    root = scratch(spark, "layers")
+    end = spark.createDataFrame([("end", 0, "", "1970-01-01 00:00:00"), ("end", 1, "", "2100-01-01 00:00:00")], "kind string, seq bigint, symbol string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for i, _ in enumerate(logged(spark, d, f"{root}/log")):
+        end.filter(F.col("seq") == i).write.parquet(f"{root}/marks/part={i}")
+        out = streams.layers(wire_log.stream(spark, f"{root}/log"), spark.readStream.schema(stateful.ROW).parquet(f"{root}/marks/part=*"), root)
+    return streams.alert_rows(spark, out).select(*ALERT_COLS, text_time("window_start"))

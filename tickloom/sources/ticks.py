@@ -1,17 +1,14 @@
-"""Tick sources: trades from the events table, stress variants, the synthetic walk, wire records."""
+"""Tick sources: trades from the events table, stress variants, a walk over them, wire records."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 #: Spot prices by symbol (fixed values); any other symbol starts at 100.
 SPOTS = {"CLICK": 101.5, "VIEW": 55.25, "PURCHASE": 210.0}
 DEFAULT_SPOT = 100.0
-#: Seconds of a trading year: days, hours a day, seconds an hour.
-YEAR_SECONDS = 252 * 6.5 * 3600
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,25 +83,19 @@ def spot_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(SPOTS.items()), "symbol string, spot double")
 
 
-def synthetic_ticks(spark: SparkSession, symbols: list[str], n: int, ticks_per_sec: float = 50.0, volatility: float = 0.25,
-                    seed: int = 42, venue: str = "SYNTH", start: str = "2024-01-01 00:00:00") -> DataFrame:
-    """A drift-less geometric walk per symbol, symbols in turn; the price is the exponential of summed returns.
+def walk(ticks: DataFrame, order: str = "seq") -> DataFrame:
+    """The ticks with prices of a drift-less geometric walk of each symbol: every tick is a step of up to half a percent
+    that follows from its place in the order, and the price is the spot times the exponential of the steps so far.
 
-    The sum runs per symbol over n / symbols rows; the random draws are made per row before it.
+    Steps are whole numbers of ten-thousandths of a percent until they have been added up, by ranges.
     """
-    step = 1.0 / ticks_per_sec / YEAR_SECONDS
-    names = F.array(*[F.lit(s) for s in symbols])
-    base = spark.range(n).select(
-        F.col("id").alias("sequence"), F.get(names, (F.col("id") % len(symbols)).cast("int")).alias("symbol"),
-        (F.lit(-0.5 * volatility**2 * step) + F.lit(volatility * step**0.5) * F.randn(seed)).alias("log_return"),
-        (F.floor(F.rand(seed + 1) * 500) + 1).cast("bigint").alias("size"), F.when(F.rand(seed + 2) < 0.5, "buy").otherwise("sell").alias("side"))
-    path = F.sum("log_return").over(Window.partitionBy("symbol").orderBy("sequence"))
+    from ..operators.silver import running_sum
+
+    step = F.col(order) * 7919 % 1000 * 2 - 999
+    d = running_sum(ticks.withColumn("_step", step.cast("bigint")), "_step", "_path", order=order)
     spot = F.create_map(*[F.lit(x) for kv in SPOTS.items() for x in kv])
-    return base.select(
-        uuid_of(F.col("sequence") + seed * 1_000_000_007).alias("tick_id"), "symbol",
-        F.timestamp_micros((F.unix_micros(F.lit(start).cast("timestamp")) + F.col("sequence") * int(1e6 / ticks_per_sec))).cast("timestamp_ntz").alias("ts"),
-        F.round(F.greatest(F.lit(0.01), F.coalesce(F.try_element_at(spot, F.col("symbol")), F.lit(DEFAULT_SPOT)) * F.exp(path)), 4).alias("price"),
-        "size", "side", F.lit(venue).alias("venue"), "sequence")
+    start = F.coalesce(F.try_element_at(spot, F.col("symbol")), F.lit(DEFAULT_SPOT))
+    return d.withColumn("price", F.round(F.greatest(F.lit(0.01), start * F.exp(F.col("_path") / 200_000.0)), 4)).drop("_step", "_path")
 
 
 def from_values(spark: SparkSession, values: list[bytes | str]) -> DataFrame:

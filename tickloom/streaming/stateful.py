@@ -138,8 +138,8 @@ def rocks(spark: SparkSession):
 def run_silver(rows: DataFrame, out: str, seconds: int = 60, delay: str = "1 day", initial: DataFrame | None = None) -> str:
     """Runs a stream of rows (``ROW``) until its input is used up; a folder of an earlier run goes on where that ended.
 
-    Every batch replaces its own files, so a batch that runs again leaves its rows once. ``initial`` is the state to
-    begin with, as ``state_table`` gives it.
+    The file sink keeps a log of its files, so a batch that runs again leaves its rows once, also for a stream that reads
+    them. ``initial`` is the state to begin with, as ``state_table`` gives it.
     """
     spark = rows.sparkSession
     # the row's time travels as a number, so that rows behind the watermark reach the state instead of being dropped
@@ -147,19 +147,18 @@ def run_silver(rows: DataFrame, out: str, seconds: int = 60, delay: str = "1 day
     marked = rows.withWatermark("ts", delay).select("kind", "seq", "symbol", "tick_id", F.unix_micros("ts").alias("micros"), "price", "size", "side", amount)
     state = initial.select("symbol", *STATE_NAMES).groupBy("symbol") if initial is not None else None
     found = marked.groupBy("symbol").transformWithStateInPandas(SilverState(seconds), OUT, "append", "eventTime", state)
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
     with rocks(spark):
-        q = found.writeStream.outputMode("append").foreachBatch(each).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
+        q = found.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     return out
 
 
 def emitted(spark: SparkSession, out: str, kind: str) -> DataFrame:
-    """All rows of a kind that a stream has written: trades, bars or late rows; ``batch`` is the batch that wrote them."""
-    rows = spark.read.schema(f"{OUT}, batch bigint").option("basePath", out).parquet(f"{out}/batch=*")
+    """All rows of a kind that a stream has written: trades, bars or late rows."""
+    return of_kind(spark.read.schema(OUT).parquet(f"{out}/data"), kind)
+
+
+def of_kind(rows: DataFrame, kind: str) -> DataFrame:
     return rows.filter(F.col("kind") == kind).withColumn("ts", F.timestamp_micros("micros"))
 
 
@@ -172,11 +171,27 @@ def enriched(spark: SparkSession, out: str) -> DataFrame:
 
 def closed_bars(spark: SparkSession, out: str) -> DataFrame:
     """The bars, with the columns and roundings of the batch form."""
-    return silver.finished_bars(emitted(spark, out, "bar")).withColumn("window_start", F.timestamp_micros("window_start"))
+    return finished(emitted(spark, out, "bar"))
+
+
+def finished(bars: DataFrame) -> DataFrame:
+    return silver.finished_bars(bars).withColumn("window_start", F.timestamp_micros("window_start"))
+
+
+def bar_stream(spark: SparkSession, out: str) -> DataFrame:
+    """The bars that a stream writes, as a stream."""
+    return finished(of_kind(spark.readStream.schema(OUT).parquet(f"{out}/data"), "bar"))
 
 
 def late_rows(spark: SparkSession, out: str) -> DataFrame:
-    return emitted(spark, out, "late").select("seq", "symbol", "tick_id", "ts", "price", "size", "side", "batch")
+    return emitted(spark, out, "late").select("seq", "symbol", "tick_id", "ts", "price", "size", "side")
+
+
+def last_batch(spark: SparkSession, out: str) -> int:
+    """Number of the last batch that a stream has committed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/log/commits")
+    names = [s.getPath().getName() for s in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
+    return max(int(n) for n in names if n.isdigit())
 
 
 def state_table(spark: SparkSession, out: str, batch: int | None = None) -> DataFrame:
@@ -188,11 +203,14 @@ def state_table(spark: SparkSession, out: str, batch: int | None = None) -> Data
         return reader.load(f"{out}/log").select("key.symbol", "value.*")
 
 
-def fed(spark: SparkSession, parts: list[DataFrame], name: str, seconds: int = 60, delay: str = "1 day", initial: DataFrame | None = None) -> str:
-    """Runs the stream over parts that arrive one after the other, and stops it in between."""
+def fed(spark: SparkSession, parts: list[DataFrame], name: str, seconds: int = 60, delay: str = "1 day", initial: DataFrame | None = None, batches: list | None = None) -> str:
+    """Runs the stream over parts that arrive one after the other, and stops it in between; ``batches`` gets the number
+    of the last batch of each part."""
     root = scratch(spark, name)
     for i, part in enumerate(parts):
         part.write.parquet(f"{root}/in/part={i}")
         rows = spark.readStream.schema(ROW).parquet(f"{root}/in/part=*")
         run_silver(rows, f"{root}/out", seconds, delay, initial)
+        if batches is not None:
+            batches.append(last_batch(spark, f"{root}/out"))
     return f"{root}/out"

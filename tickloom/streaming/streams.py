@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -11,6 +9,7 @@ from pyspark.sql import Window
 from ..operators import gold, silver, validate
 from ..sources import ticks as T
 from ..sources.storage import scratch
+from . import stateful
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -63,8 +62,7 @@ def bar_updates(ticks: DataFrame, seconds: int, out: str | None = None, delay: s
 
 def merged_bars(spark: SparkSession, out: str) -> DataFrame:
     """The last state of every window, by symbol and start; those of the newest batches may still be open."""
-    found = [spark.read.parquet(f"{out}/batch={i}").withColumn("_batch", F.lit(i)) for i in _batches(spark, out)]
-    rows = reduce(DataFrame.unionByName, found)
+    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*").withColumnRenamed("batch", "_batch")
     cols = [c for c in rows.columns if c not in ("symbol", "window_start", "_batch")]
     return rows.groupBy("symbol", "window_start").agg(F.max_by(F.struct(*cols), "_batch").alias("bar")).select("symbol", "window_start", "bar.*")
 
@@ -104,7 +102,21 @@ def score_stream(bars: DataFrame, out: str | None = None, lookback: int = gold.L
 
 
 def alert_rows(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(*[f"{out}/batch={b}" for b in _batches(spark, out)])
+    return spark.read.option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
+
+
+def layers(log: DataFrame, more: DataFrame, root: str, seconds: int = 3600, delay: str = "1 day") -> str:
+    """Bronze, silver and gold as streams, each over the files of the layer before: records of the wire, and rows that
+    only move the watermark (``more``). Runs until all input is used up and goes on where it ended; returns the folder
+    of the gold alerts."""
+    spark = log.sparkSession
+    events = validate.valid(validate.parse_events(validate.decoded(log).withColumn("seq", F.lit(None).cast("bigint")), F.current_timestamp()))
+    trades = events.filter("event_type = 'trade'").select(
+        F.lit("trade").alias("kind"), F.col("sequence").alias("seq"), "symbol", "tick_id", F.col("ts").cast("timestamp").alias("ts"), "price", "size", "side")
+    trades.writeStream.format("parquet").option("path", f"{root}/bronze").option("checkpointLocation", f"{root}/bronze-log").trigger(availableNow=True).start().awaitTermination()
+    bronze_rows = spark.readStream.schema(stateful.ROW).parquet(f"{root}/bronze")
+    stateful.run_silver(bronze_rows.unionByName(more), f"{root}/silver", seconds, delay)
+    return score_stream(stateful.bar_stream(spark, f"{root}/silver"), f"{root}/gold")
 
 
 def gold_alerts(spark: SparkSession, sf_dir: str, seconds: int = 3600, lookback: int = gold.LOOKBACK) -> DataFrame:
