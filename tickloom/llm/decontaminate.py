@@ -8,16 +8,19 @@ whose names and figures were replaced is found too.
 Defined results: null and empty texts on either side have no windows and match nothing. A text of fewer than eight
 words is one window of its own length, so it matches only a text that is equal in canonical form. Repeated documents
 match alike; repeated items match each. A window of slots only tells nothing: it is no evidence for its item, and an item that
-has no other windows is sought by its plain words. Of equal windows of an item the first ``SAME`` count. An empty benchmark or corpus gives an empty result. A hit is per
+has no other windows is sought by its plain words. An empty benchmark or corpus gives an empty result. A hit is per
 (document, item): the best of the alignments that pass both checks, ties to the first. An alignment may begin before
 the document does.
+
+Equal windows inside an item or a document all count. Documents first meet items by distinct hashes, each as often as
+both sides have it; only pairs that could reach the coverage so are aligned place by place.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, row_key, small, staged, word_array
@@ -25,8 +28,6 @@ from .common import let, row_key, small, staged, word_array
 WINDOW = 8
 #: Share of an item's windows that must be found on one alignment.
 MIN_COVERAGE = 0.5
-#: Places of equal windows of an item that are sought, so that a text of equal words meets it in proportion to its length.
-SAME = 4
 #: Share of the aligned slots that may break the one-to-one mapping.
 MAX_INCONSISTENT = 0.2
 #: Fixed list of units.
@@ -110,9 +111,19 @@ def sought_windows(items: DataFrame, window: int) -> DataFrame:
     found = windows(items, "item_key", "item_at", window).join(tells, ["item_key", "item_at"])
     none = found.groupBy("item_key").agg(F.max("tells").alias("any")).filter(~F.col("any")).select("item_key")
     by_words = windows(items.join(none, "item_key", "left_semi"), "item_key", "item_at", window, plain)
-    both = found.filter("tells").select("item_key", "item_at", "h", F.lit("canonical").alias("by")).unionByName(by_words.withColumn("by", F.lit("plain")))
-    nth = F.row_number().over(Window.partitionBy("item_key", "h").orderBy("item_at"))
-    return both.withColumn("nth", nth).filter(F.col("nth") <= SAME).drop("nth")
+    return found.filter("tells").select("item_key", "item_at", "h", F.lit("canonical").alias("by")).unionByName(by_words.withColumn("by", F.lit("plain")))
+
+
+def candidates(docs: DataFrame, sought: DataFrame, sizes: DataFrame, forms: dict, window: int, min_coverage: float) -> DataFrame:
+    """(doc_key, item_key, item_windows): the pairs that share so many windows that an alignment could reach the coverage."""
+    counts = sought.groupBy("by", "h", "item_key").agg(F.count("*").alias("in_item"))
+    met = reduce(DataFrame.union, [
+        windows(docs, "doc_key", "doc_at", window, form).join(small(counts.filter(F.col("by") == by).drop("by")), "h").select("doc_key", "item_key", "h", "in_item", "doc_at")
+        for by, form in forms.items()])
+    # a repeated document meets the item at the same places again
+    each = met.distinct().groupBy("doc_key", "item_key", "h", "in_item").agg(F.count("*").alias("in_doc"))
+    shared = each.groupBy("doc_key", "item_key").agg(F.sum(F.least("in_item", "in_doc")).alias("shared")).join(small(sizes), "item_key")
+    return shared.filter(F.col("shared") >= min_coverage * F.col("item_windows")).select("doc_key", "item_key", "item_windows")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -126,20 +137,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     sought = staged(sought_windows(items, window), "item-windows")
     sizes = sought.groupBy("item_key").agg(F.count("*").alias("item_windows"))
     by_form = {r["by"] for r in sought.select("by").distinct().collect()} or {"canonical"}
+    forms = {by: form for by, form in (("canonical", canonical), ("plain", plain)) if by in by_form}
+    pairs = staged(candidates(d, sought, sizes, forms, window, min_coverage), "leak-candidates")
+    texts = staged(d.join(small(pairs.select("doc_key").distinct()), "doc_key", "left_semi").dropDuplicates(["doc_key"]), "leak-texts")
     hits = reduce(DataFrame.union, [
-        windows(d, "doc_key", "doc_at", window, form).join(small(sought.filter(F.col("by") == by).drop("by")), "h")
-        for by, form in (("canonical", canonical), ("plain", plain)) if by in by_form])
-    aligned = hits.groupBy("doc_key", "item_key", (F.col("doc_at") - F.col("item_at")).alias("shift")).agg(
-        F.count("*").alias("n_windows")
-    )
-    reached = staged(aligned.join(small(sizes), "item_key").filter(F.col("n_windows") >= min_coverage * F.col("item_windows")), "leak-candidates")
-    keys = reached.select("doc_key").distinct()
-    found = d.join(small(keys), "doc_key", "left_semi").dropDuplicates(["doc_key"])
-    found = found.select("doc_key", "doc_id", word_array(F.col("text")).alias("ws"))
+        windows(texts, "doc_key", "doc_at", window, form).join(small(pairs), "doc_key").join(small(sought.filter(F.col("by") == by).drop("by")), ["item_key", "h"])
+        .select("doc_key", "item_key", "item_windows", (F.col("doc_at") - F.col("item_at")).alias("shift"))
+        for by, form in forms.items()])
+    aligned = hits.groupBy("doc_key", "item_key", "item_windows", "shift").agg(F.count("*").alias("n_windows"))
+    reached = aligned.filter(F.col("n_windows") >= min_coverage * F.col("item_windows"))
+    found = texts.select("doc_key", "doc_id", word_array(F.col("text")).alias("ws"))
     found = found.withColumn("wc", canonical(F.col("ws")))
     sides = items.select("item_key", "item_id", word_array(F.col("text")).alias("iw"))
     sides = sides.withColumn("ic", canonical(F.col("iw")))
-    pairs = found.join(small(reached), "doc_key").join(small(sides), "item_key")
+    facing_pairs = found.join(small(reached), "doc_key").join(small(sides), "item_key")
     item_from, doc_from = F.greatest(-F.col("shift"), F.lit(0)) + 1, F.greatest(F.col("shift"), F.lit(0)) + 1
 
     def part(name: str, start: Column) -> Column:
@@ -153,7 +164,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         ),
         lambda s: s["kind"].isin(*SLOTS) & (s["kind"] == s["other"]),
     )
-    slots = pairs.select(
+    slots = facing_pairs.select(
         "doc_key", "doc_id", "item_key", "item_id", "n_windows", "item_windows", "shift",
         F.transform(facing, lambda s: F.concat_ws("\u0001", s["kind"], F.lower(s["item"]), F.lower(s["doc"]))).alias("both"),
         F.transform(facing, lambda s: F.concat_ws("\u0001", s["kind"], F.lower(s["item"]))).alias("left"),
