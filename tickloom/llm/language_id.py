@@ -14,7 +14,6 @@ Defined results: a null text and one without a letter are ``und`` with score 0.
 
 from __future__ import annotations
 
-import re
 
 import pyarrow as pa
 import zstandard
@@ -33,11 +32,15 @@ LEVEL = 9
 PRIMER_BYTES = 48
 #: Relative difference of the two smallest totals under which a prediction is rejected.
 MARGIN = 0.01
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of one of Unicode's letter categories; digits and numbers of any kind are none."""
+    return any(map(str.isalpha, text))
 
 
 def training_rows(docs: DataFrame, keep: Column) -> DataFrame:
-    """Labelled rows to learn from: those of ``keep`` with a language."""
+    """Labelled rows to learn from: those of ``keep``, which must be known to hold, with a language."""
     return docs.filter(keep & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
 
@@ -88,7 +91,7 @@ class Encoder:
         return [sum(len(c.compress(f + p)) - n for p in pieces) for c, f, n in zip(self.by, self.primers, self.fixed)]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if text is None or not self.langs or not LETTER.search(text):
+        if text is None or not self.langs or not has_letter(text):
             return "und", 0.0, False
         sizes = self.sizes(text)
         order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
