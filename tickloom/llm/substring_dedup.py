@@ -4,7 +4,7 @@ The corpus is cut into reference blocks of a few megabytes. A window is 35 conse
 eight-word sequences inside it the one with the least hash, which depends on the window's words only, so that equal
 windows have equal seeds.
 
-1. Seeds of all blocks meet in one grouping. A seed's reference blocks are the first and the last block that hold it.
+1. Seeds of all blocks meet in one grouping. A seed's reference blocks are two of the blocks that hold it, by a hash.
    Seeds of one block only need no other block: their windows are counted inside it.
 2. Every block sends the windows of each other seed to its reference blocks, and the reference blocks index theirs:
    sorted window hashes with their places. There each run of windows is parsed greedily from left to right: the factor
@@ -227,7 +227,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = blocks_of(docs, id_col, text_col, block_bytes, window, seed)
     id_type = blocks.schema["ids"].dataType.elementType.simpleString()
     held = blocks.select("block", F.explode("seeds").alias("seed"))
-    refs = held.groupBy("seed").agg(F.min("block").alias("low"), F.max("block").alias("high"), F.count("*").alias("n")).filter("n > 1")
+    # a hash of both picks the reference blocks, so that no block serves more seeds than others
+    turn = F.struct(F.xxhash64("seed", "block").alias("turn"), "block")
+    refs = held.groupBy("seed").agg(F.min(turn)["block"].alias("low"), F.max(turn)["block"].alias("high"), F.count("*").alias("n")).filter("n > 1")
     shared = held.join(refs, "seed").groupBy("block").agg(F.collect_list(F.struct("seed", "low", "high", (F.col("n") > 2).alias("far"))).alias("shared"))
     shared = staged(shared, "shared-seeds")
 
@@ -268,9 +270,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # missed by both reference blocks, and found in another block that they missed, too
     lost = told.filter("kind = 'miss'").select("block", F.explode("hashes").alias("h")).groupBy("block", "h").agg(F.count("*").alias("n")).filter("n > 1").select("block", "h")
     again = lost.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    rest = lost.join(again, "h").groupBy("block").agg(F.collect_list("h").alias("hashes"))
-    hits = told.filter("kind = 'hit'").select("block", "hashes").unionByName(rest)
-    hits = staged(hits.groupBy("block").agg(F.collect_list("hashes").alias("hits")), "hits")
+    # distinct, so a block gets no more than its own windows, however many slices answer
+    hits = told.filter("kind = 'hit'").select("block", F.explode("hashes").alias("h")).unionByName(lost.join(again, "h").select("block", "h"))
+    hits = staged(hits.distinct().groupBy("block").agg(F.collect_list("h").alias("hits")), "hits")
+    unstage(told)
 
     def finish(batches):
         cache = Words()
@@ -280,7 +283,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 _, kind, count = np.unique(w.hash, return_inverse=True, return_counts=True)
                 hit = count[kind] > 1
                 if hits:
-                    hit |= np.isin(w.hash, np.concatenate([np.array(h, np.int64) for h in hits]).view(np.uint64))
+                    hit |= np.isin(w.hash, np.array(hits, np.int64).view(np.uint64))
                 yield cut_spans(ids, w.words, w.start[hit], window, b.schema.field("ids").type.value_type)
 
     done = blocks.join(small(hits), "block", "left").select("ids", "payload", "hits")
