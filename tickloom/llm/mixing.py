@@ -37,6 +37,8 @@ CAP = 2.0
 ROUNDS = 60
 TOLERANCE = 1e-7
 HALVINGS = 12
+#: Relative error of a constraint that is no solution any more, if the rounds end before the tolerance is reached.
+LOOSE = 1e-3
 #: Documents of one source and size that a task ranks.
 PART = 50_000
 
@@ -89,6 +91,7 @@ def newton(classes: DataFrame, goal: DataFrame, cap: float = CAP, rounds: int =
     def named(values) -> dict[int, float]:
         return dict(zip(order, values))
 
+    worst = math.inf if order else 0.0
     for _ in range(rounds if order else 0):
         u = tilt(F.col("lam"), named(mu), F.col("size"))
         now = c.drop("target").join(few(state), "skey").withColumn("u", u).withColumn("rate", F.exp(F.least(F.col("u"), F.lit(top))))
@@ -111,7 +114,8 @@ def newton(classes: DataFrame, goal: DataFrame, cap: float = CAP, rounds: int =
                 schur[i, i] += r["h"]
                 right[i] -= r["r"]
                 gap[i] += r["taken"]
-        if max(worst, float(np.max(np.abs(gap) / want))) <= tolerance:
+        worst = max(worst, float(np.max(np.abs(gap) / want)))
+        if worst <= tolerance:
             unstage(now)
             break
         step = np.linalg.lstsq(schur, -(gap + right), rcond=1e-13)[0]
@@ -132,6 +136,8 @@ def newton(classes: DataFrame, goal: DataFrame, cap: float = CAP, rounds: int =
         for old in (state, now, ahead):
             unstage(old)
         state = after
+    if worst > LOOSE:
+        raise ValueError(f"the mix has not converged: a constraint is off by {worst:.3g} of its target after {rounds} rounds")
     rate = F.when(full, cap).when(F.col("lam").isNotNull(), F.exp(F.least(tilt(F.col("lam"), named(mu), F.col("size")), F.lit(top)))).otherwise(0.0)
     known = goal.join(state.select("skey", "lam"), "skey", "left")
     return classes.join(few(known), "skey").select("skey", "size", "n", F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"))
