@@ -405,10 +405,14 @@ def can_reach(similarity: float) -> Column:
     return (low >= similarity * high - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (low + high) + 1e-9)
 
 
-def apart_pairs(sets: DataFrame, groups: DataFrame, similarity: float, tile: int = STAGE_TILE) -> DataFrame:
+def apart_pairs(sets: DataFrame, groups: DataFrame, similarity: float, tile: int = STAGE_TILE, some: bool = False) -> DataFrame:
     """(a, b): all pairs of sets that share a token of their prefixes, are in different groups and can reach the
     similarity by their sizes and parity bitmaps. Only tokens that different groups share are looked at again; those
-    of many sets are cut into pairs of tiles."""
+    of many sets are cut into pairs of tiles.
+
+    With ``some``, only one pair for each group of a block: with the set in the middle of the block's sizes. In a large
+    family of near copies these few links join most groups, so that the pairs of those never come up.
+    """
     near = small(groups)
     keyed = sets.select("node", "prefix").join(near, "node").select(F.explode("prefix").alias("token"), "node", "grp")
     held = keyed.groupBy("token").agg(F.count("*").alias("n"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 <> g1")
@@ -427,7 +431,16 @@ def apart_pairs(sets: DataFrame, groups: DataFrame, similarity: float, tile: int
             ends = np.concatenate((np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
             end_of = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
             a, b = [], []
-            for i in np.flatnonzero(end_of - np.arange(len(block)) > 1).tolist():
+            if some:
+                starts = np.concatenate(([0], ends[:-1]))
+                middle = np.repeat((starts + ends) // 2, ends - starts)
+                here = np.arange(len(block))
+                differ = np.bitwise_count(bits ^ bits[middle]).sum(axis=1, dtype=np.int64)
+                low, high = np.minimum(size, size[middle]).astype(float), np.maximum(size, size[middle])
+                good = (grp != grp[middle]) & (low >= similarity * high - 1e-9) & (differ <= reach * (low + high) + 1e-9)
+                chosen = here[good][np.unique(np.stack([end_of[good], grp[good]]), axis=1, return_index=True)[1]]
+                a, b = [chosen], [middle[chosen]]
+            for i in [] if some else np.flatnonzero(end_of - np.arange(len(block)) > 1).tolist():
                 top = i + 1 + int(np.searchsorted(size[i + 1:end_of[i]], size[i] / similarity + 1e-9, side="right"))
                 other = np.arange(i + 1, top)[grp[i + 1:top] != grp[i]]
                 differ = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
@@ -442,6 +455,10 @@ def apart_pairs(sets: DataFrame, groups: DataFrame, similarity: float, tile: int
     return dealt.mapInArrow(run, "a bigint, b bigint").filter("a <> b").distinct()
 
 
+#: Rounds with some of the pairs before the one with all that are left.
+SOME_ROUNDS = 2
+
+
 def whole_blocks(batches, at_least: int = 1 << 16):
     """Column arrays of sorted batches whose first column is the block, cut only between blocks."""
     kept: list[list[np.ndarray]] = []
@@ -465,8 +482,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """(key, doc_id, class_id): classes of documents linked by the exact similarity of their shingles.
 
-    Candidates come in three rounds: close fingerprints, neighbours among the sharers of a rare shingle, and then all
-    pairs of the prefix-filter join whose groups are still apart. Every candidate is checked, only equal sets are not.
+    Candidates come in rounds: close fingerprints and neighbours among the sharers of a rare shingle, then some pairs of
+    the prefix-filter join between groups, as long as they join groups, and at last all of its pairs whose groups are
+    still apart. Every candidate is checked, only equal sets are not.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     d = d.withColumn("key", row_key(F.col("doc_id"), F.col("text")))
@@ -508,13 +526,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rare = rare.select(F.col("node").alias("a"), F.lead("node").over(beside).alias("b")).filter("b is not null")
     first = similar(near.union(rare))
     groups = grouped(first)
-    second = similar(apart_pairs(sets, groups, similarity))
-    if second.take(1):
-        unstage(groups)
-        groups = grouped(first.union(second))
+    links, found = first, [first]
+    for some in [True] * SOME_ROUNDS + [False]:
+        more = similar(apart_pairs(sets, groups, similarity, some=some))
+        found.append(more)
+        if more.take(1):
+            links = links.union(more)
+            unstage(groups)
+            groups = grouped(links)
     classes = marked.select("key", "doc_id", "node").join(groups.select("node", F.col("grp").alias("class_id")), "node").select("key", "doc_id", "class_id")
     classes = staged(classes, "stage-classes")
-    for t in (marked, sets, by_fp, first, second, groups):
+    for t in (marked, sets, by_fp, *found, groups):
         unstage(t)
     return classes
 
