@@ -4,7 +4,7 @@ The corpus is cut into reference blocks of a few megabytes. A window is 35 conse
 eight-word sequences inside it the one with the least hash, which depends on the window's words only, so that equal
 windows have equal seeds.
 
-1. Seeds of all blocks meet in one grouping. A seed's reference blocks are two of the blocks that hold it, by a hash.
+1. Seeds of all blocks meet in one grouping. A seed's reference blocks are the first and the last block that hold it.
    Seeds of one block only need no other block: their windows are counted inside it.
 2. Every block sends the windows of each other seed to its reference blocks, and the reference blocks index theirs:
    sorted window hashes with their places. There each run of windows is parsed greedily from left to right: the factor
@@ -227,9 +227,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = blocks_of(docs, id_col, text_col, block_bytes, window, seed)
     id_type = blocks.schema["ids"].dataType.elementType.simpleString()
     held = blocks.select("block", F.explode("seeds").alias("seed"))
-    # a hash of both picks the reference blocks, so that no block serves more seeds than others
-    turn = F.struct(F.xxhash64("seed", "block").alias("turn"), "block")
-    refs = held.groupBy("seed").agg(F.min(turn)["block"].alias("low"), F.max(turn)["block"].alias("high"), F.count("*").alias("n")).filter("n > 1")
+    # the same few blocks for most seeds: picked by a hash, every block would send to every other one
+    refs = held.groupBy("seed").agg(F.min("block").alias("low"), F.max("block").alias("high"), F.count("*").alias("n")).filter("n > 1")
     shared = held.join(refs, "seed").groupBy("block").agg(F.collect_list(F.struct("seed", "low", "high", (F.col("n") > 2).alias("far"))).alias("shared"))
     shared = staged(shared, "shared-seeds")
 
