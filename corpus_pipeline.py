@@ -42,7 +42,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: The tokenizer and the similarity stage have no SQL form; tests/llm compares every stage with a brute-force version.
+#: The tokenizer and the similarity stage have no SQL form; tests/llm holds the operators of the stages against brute force.
 ORACLE_SQL = None
 
 
