@@ -455,8 +455,8 @@ def apart_pairs(sets: DataFrame, groups: DataFrame, similarity: float, tile: int
     return dealt.mapInArrow(run, "a bigint, b bigint").filter("a <> b").distinct()
 
 
-#: Rounds with some of the pairs before the one with all that are left.
-SOME_ROUNDS = 2
+#: Rounds with some of the pairs before the one with all that are left; each deals the tokens anew.
+SOME_ROUNDS = 1
 
 
 def whole_blocks(batches, at_least: int = 1 << 16):
