@@ -50,3 +50,15 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert len([n for n in e.queries() if not re.match(r"op\d|pipeline", n)]) >= 110
+
+
+def test_newest_ticks_of_one_second(spark, duck, tmp_path):
+    """Scans of bronze ticks follow their SQL where many ticks share a second."""
+    duck.execute(f"""create or replace temp table crowd as select i as event_id, timestamp '2024-01-30 23:59:00' + interval 1 microsecond * (i * 7919 % 1000 * 997) as ts,
+        i as user_id, if(i % 2 = 0, 'click', 'view') as event_type, i + 0.5 as value, '{{"k": 90}}' as props from range(400) r(i)""")
+    duck.execute(f"copy crowd to '{tmp_path}/events.parquet'")
+    own = duckdb.connect()
+    own.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    for name in ("latest_ticks", "scan_predicate"):
+        got, want = registry.queries()[name](spark, str(tmp_path)).toPandas(), own.execute(registry.oracle_sql()[name]).fetchdf()
+        assert list(got["seq"]) == list(want["seq"]) and len(got) == 50

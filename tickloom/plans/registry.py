@@ -131,7 +131,8 @@ def _(spark, d):
 
 # --- the lake ---
 def bronze_rows(spark, d):
-    return lake.with_date(trades(spark, d), "ts").withColumn("event_type", F.lit("trade")).withColumn("ts", text_time("ts"))
+    # whole times: ticks of one second are scanned in their order
+    return lake.with_date(trades(spark, d), "ts").withColumn("event_type", F.lit("trade")).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 def silver_bar_rows(spark, d):
