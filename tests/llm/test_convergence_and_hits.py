@@ -34,3 +34,16 @@ def test_a_passage_in_every_block(spark):
     for block_bytes, slice_bytes in ((700, 400), (3000, 200), (1 << 20, 1 << 20)):
         got = substring_dedup.repeated_spans(docs, block_bytes=block_bytes, slice_bytes=slice_bytes).collect()
         assert {g.doc_id: (g.n_removed, g.kept_sha256) for g in got} == want
+
+
+def test_a_class_that_a_step_takes_to_the_cap_comes_back(spark):
+    """One word documents of one source only: the first step takes all of them past the cap, where nothing bends."""
+    for rate in (1.75, 1.95):
+        rows = [("=a", 1, 3)] + [("=a", k, 2) for k in range(40, 80, 2)] + [("=b", k, 2) for k in range(40, 80, 2)]
+        size = {s: sum(k * n for x, k, n in rows if x == s) for s in ("=a", "=b")}
+        goal = {"=a": rate * size["=a"], "=b": 0.8 * size["=b"]}
+        classes = spark.createDataFrame(rows, "skey string, size bigint, n bigint")
+        got = mixing.newton(classes, spark.createDataFrame([(s, size[s], goal[s]) for s in goal], "skey string, source_size bigint, target double")).collect()
+        for s in goal:
+            assert sum(g.n * g.size * g.rate for g in got if g.skey == s) == pytest.approx(goal[s], rel=1e-6)
+        assert [g.rate for g in got if g.size == 1] == [pytest.approx(rate, rel=1e-6)]

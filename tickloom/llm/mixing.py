@@ -8,7 +8,9 @@ document on its own: rate = min(CAP, exp(size * (source's multiplier + class's m
 
 Newton iterations solve the dual. Tokens taken and curvatures are grouped sums over (source, size) in Spark. Sources
 meet only through the few size classes, so each step solves the classes' Schur complement (at most 64 x 64) and then
-every source's multiplier by itself, in Spark; a backtracking search along the step keeps the dual falling.
+every source's multiplier by itself, in Spark; a backtracking search along the step keeps the dual falling. Documents at
+the cap have no curvature, so a class or source that stands there whole gets theirs as if the rate went on, or no step
+would bring it back; a second step that counts all of them so is searched as well, and the lower dual is taken.
 
 Rates become whole copies by error diffusion: within a source the sizes are passed from the largest down, each
 takes the copies that bring the tokens taken closest to the tokens due, so that only the smallest documents' rounding
@@ -37,6 +39,8 @@ CAP = 2.0
 ROUNDS = 60
 TOLERANCE = 1e-7
 HALVINGS = 12
+#: A class or source is held at the cap when less than this part of its curvature is below it.
+HELD = 1e-6
 #: Relative error of a constraint that is no solution any more, if the rounds end before the tolerance is reached.
 LOOSE = 1e-3
 #: Documents of one source and size that a task ranks.
@@ -95,44 +99,58 @@ def newton(classes: DataFrame, goal: DataFrame, cap: float = CAP, rounds: int =
     for _ in range(rounds if order else 0):
         u = tilt(F.col("lam"), named(mu), F.col("size"))
         now = c.drop("target").join(few(state), "skey").withColumn("u", u).withColumn("rate", F.exp(F.least(F.col("u"), F.lit(top))))
+        bend = F.col("n") * F.col("size") * F.col("size") * F.col("rate")
         now = now.groupBy("skey", "target", "lam", "cls").agg(
             F.sum(F.col("n") * F.col("size") * F.col("rate")).alias("taken"),
-            F.sum(F.when(F.col("u") < top, F.col("n") * F.col("size") * F.col("size") * F.col("rate")).otherwise(0.0)).alias("h"))
+            F.sum(F.when(F.col("u") < top, bend).otherwise(0.0)).alias("h"), F.sum(F.when(F.col("u") < top, 0.0).otherwise(bend)).alias("beyond"))
         now = now.groupBy("skey", "target", "lam").agg(
-            (F.sum("taken") - F.first("target")).alias("g"), (F.sum("h") + 1e-9 * F.sum("taken")).alias("hs"), F.collect_list(F.struct("cls", "taken", "h")).alias("by"))
+            (F.sum("taken") - F.first("target")).alias("g"), (F.sum("h") < HELD * F.sum("beyond")).alias("held"),
+            F.collect_list(F.struct("cls", "taken", "h", "beyond")).alias("by"))
         now = staged(now, "newton")
-        pair = now.select("target", "g", "hs", F.explode("by").alias("x"), "by").select("target", "g", "hs", "x", F.explode("by").alias("y"))
-        cross = pair.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(
-            F.sum(F.col("x.h") * F.col("y.h") / F.col("hs")).alias("s"), F.sum(F.col("x.h") * F.col("g") / F.col("hs")).alias("r"),
-            F.sum("x.h").alias("h"), F.sum("x.taken").alias("taken"), F.max(F.abs("g") / F.col("target")).alias("off")).collect()
-        worst = max(r["off"] for r in cross)
-        schur, right, gap = np.zeros((len(order), len(order))), np.zeros(len(order)), -want
-        for r in cross:
-            i, j = place[r["a"]], place[r["b"]]
-            schur[i, j] -= r["s"]
-            if i == j:
-                schur[i, i] += r["h"]
-                right[i] -= r["r"]
-                gap[i] += r["taken"]
-        worst = max(worst, float(np.max(np.abs(gap) / want)))
+        seen = now.select("target", "g", F.explode("by").alias("x")).groupBy(F.col("x.cls").alias("cls")).agg(
+            F.sum("x.taken").alias("taken"), F.sum("x.h").alias("h"), F.sum("x.beyond").alias("beyond"), F.max(F.abs("g") / F.col("target")).alias("off")).collect()
+        gap = np.array([r["taken"] for r in sorted(seen, key=lambda r: r["cls"])]) - want
+        worst = max(*(r["off"] for r in seen), float(np.max(np.abs(gap) / want)))
         if worst <= tolerance:
             unstage(now)
             break
-        step = np.linalg.lstsq(schur, -(gap + right), rcond=1e-13)[0]
-        moved = F.aggregate("by", F.lit(0.0), lambda a, x: a + x["h"] * F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for k, m in named(step).items() for v in (k, float(m))]), x["cls"]), F.lit(0.0)))
-        ahead = staged(now.select("skey", "target", "lam", (-(F.col("g") + moved) / F.col("hs")).alias("dl")), "steps")
-        # the dual along the step; its value beyond the cap goes on as a straight line
-        parts = []
-        for k in range(HALVINGS):
-            t = 0.5 ** k
-            v = tilt(F.col("lam") + t * F.col("dl"), named(mu + t * step), F.col("size"))
-            parts.append(F.sum(F.col("n") * (F.exp(F.least(v, F.lit(top))) + cap * F.greatest(v - top, F.lit(0.0)))).alias(f"v{k}"))
-        grown = c.drop("target").join(few(ahead), "skey").agg(*parts).first()
-        lines = ahead.agg(F.sum(F.col("target") * F.col("lam")), F.sum(F.col("target") * F.col("dl"))).first()
-        values = np.array([grown[k] - lines[0] - 0.5 ** k * lines[1] - float(want @ (mu + 0.5 ** k * step)) for k in range(HALVINGS)])
-        k = int(np.flatnonzero(values <= values.min() + 1e-12 * abs(values.min()))[0])
-        mu = mu + 0.5 ** k * step
-        after = staged(ahead.select("skey", "target", (F.col("lam") + 0.5 ** k * F.col("dl")).alias("lam")), "multipliers")
+        held = [r["cls"] for r in seen if r["h"] < HELD * r["beyond"]]
+        ways = []  # of each step: the classes' part and the sources'
+        for whole in (False, True):
+            curve = lambda x: x["h"] + (x["beyond"] if whole else F.when(F.col("held") | x["cls"].isin(held), x["beyond"]).otherwise(0.0))  # noqa: E731, B023
+            total = F.aggregate("by", F.lit(0.0), lambda a, x: a + curve(x)) + 1e-9 * F.col("target")  # noqa: B023
+            d = now.select("g", total.alias("hs"), F.transform("by", lambda x: F.struct(x["cls"].alias("cls"), curve(x).alias("h"))).alias("by"))  # noqa: B023
+            pair = d.select("g", "hs", F.explode("by").alias("x"), "by").select("g", "hs", "x", F.explode("by").alias("y"))
+            cross = pair.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(
+                F.sum(F.col("x.h") * F.col("y.h") / F.col("hs")).alias("s"), F.sum(F.col("x.h") * F.col("g") / F.col("hs")).alias("r"), F.sum("x.h").alias("h")).collect()
+            schur, right, scale = np.zeros((len(order), len(order))), np.zeros(len(order)), 1e-9 * want
+            for r in cross:
+                i, j = place[r["a"]], place[r["b"]]
+                schur[i, j] -= r["s"]
+                if i == j:
+                    schur[i, i] += r["h"]
+                    right[i] -= r["r"]
+                    scale[i] += r["h"]
+            # classes' curvatures lie many powers of ten apart, so they are scaled to one
+            scale = 1 / np.sqrt(scale)
+            step = scale * np.linalg.lstsq(schur * scale[:, None] * scale, -scale * (gap + right), rcond=1e-11)[0]
+            by_step = F.create_map(*[F.lit(v) for k, m in named(step).items() for v in (k, float(m))])
+            moved = F.aggregate("by", F.lit(0.0), lambda a, x: a + curve(x) * F.coalesce(F.try_element_at(by_step, x["cls"]), F.lit(0.0)))  # noqa: B023
+            ways.append((step, (-(F.col("g") + moved) / total).alias(f"dl{len(ways)}")))
+        ahead = staged(now.select("skey", "target", "lam", *[dl for _, dl in ways]), "steps")
+        # the dual along the steps; its value beyond the cap goes on as a straight line
+        tried = [(w, 0.5 ** k) for w in range(len(ways)) for k in range(HALVINGS)]
+        at = c.drop("target").join(few(ahead), "skey").select(
+            "n", tilt(F.col("lam"), named(mu), F.col("size")).alias("u"), F.array(*[tilt(F.col(f"dl{w}"), named(step), F.col("size")) for w, (step, _) in enumerate(ways)]).alias("du"))
+        at = at.select("n", "u", "du", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"), F.lit(t).alias("t")) for k, (w, t) in enumerate(tried)])).alias("x"))
+        at = at.select("n", F.col("x.k").alias("k"), (F.col("u") + F.col("x.t") * F.get("du", F.col("x.w"))).alias("v"))
+        value = F.sum(F.col("n") * (F.exp(F.least("v", F.lit(top))) + cap * F.greatest(F.col("v") - top, F.lit(0.0))))
+        grown = {r["k"]: r["value"] for r in at.groupBy("k").agg(value.alias("value")).collect()}
+        lines = ahead.agg(F.sum(F.col("target") * F.col("lam")), *[F.sum(F.col("target") * F.col(f"dl{w}")) for w in range(len(ways))]).first()
+        values = np.array([grown[k] - lines[0] - t * lines[1 + w] - float(want @ (mu + t * ways[w][0])) for k, (w, t) in enumerate(tried)])
+        w, t = tried[int(np.flatnonzero(values <= values.min() + 1e-12 * abs(values.min()))[0])]
+        mu = mu + t * ways[w][0]
+        after = staged(ahead.select("skey", "target", (F.col("lam") + t * F.col(f"dl{w}")).alias("lam")), "multipliers")
         for old in (state, now, ahead):
             unstage(old)
         state = after
