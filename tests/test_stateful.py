@@ -78,6 +78,36 @@ def test_silver_stream_equals_the_record_loop(spark):
     assert stateful.closed_bars(spark, out).count() == len(model.bars)
 
 
+def test_rows_of_a_batch_come_in_sorted_pieces(spark, monkeypatch):
+    """A symbol's rows of a batch are taken a few at a time, so that no task holds them all; the outcome is the same."""
+    rows = some_rows(9, 200)
+    model = Model(60)
+    for r in rows:
+        model.take(*r)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    advance = stateful.SilverState.advance
+
+    def few(self, d, s):
+        assert len(d) <= 7
+        return advance(self, d, s)
+
+    class Few(stateful.SilverState):
+        pass
+
+    Few.advance = few
+    monkeypatch.setattr(stateful, "SilverState", Few)
+    old = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        out = stateful.fed(spark, parts_of(spark, rows, [90]), "t-pieces")
+    finally:
+        spark.conf.set(key, old)
+    assert sorted((r.seq, r.prev_close) for r in stateful.enriched(spark, out).collect()) == model.trades
+    for s in list(model.open):
+        model.close(s)
+    assert sorted((b.symbol, b.open, b.high, b.low, b.close, b.volume) for b in stateful.closed_bars(spark, out).collect()) == sorted((b[0], *b[2:]) for b in model.bars)
+
+
 def test_a_stream_begins_with_the_state_of_another(spark):
     rows = some_rows(5, 60)
     model = Model(60)

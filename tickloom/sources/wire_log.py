@@ -115,7 +115,8 @@ class Log:
         found = ds.dataset(list_files(fs, partition.folders), filesystem=fs, format="parquet", schema=pa.schema([("key", pa.binary()), ("value", pa.binary()), ("offset", pa.int64())]))
         inside = (ds.field("offset") >= partition.start) & (ds.field("offset") < partition.stop)
         n = 0
-        for b in found.to_batches(filter=inside):
+        # few rows ahead, or a whole slice stands in Python's memory
+        for b in found.to_batches(filter=inside, batch_size=8192, batch_readahead=1, fragment_readahead=1):
             n += b.num_rows
             if b.num_rows:
                 yield pa.record_batch([

@@ -4,7 +4,8 @@ A symbol's state is its previous close and its open bar. Trades of a batch are t
 order in which the shuffle brings them; a trade of another window closes the open bar, and an event-time timer emits a
 bar once the watermark has passed its end. Rows behind the watermark are set apart instead of vanishing. State is kept
 by the state store, so a stopped stream goes on where it was; it can be read as a table, and another stream can begin
-with it. A symbol's rows of one batch meet in one task, so the trigger bounds what a task holds.
+with it. A symbol's rows of one batch meet in one task, which sorts them on the JVM's side and takes them a piece at a
+time, so what Python holds does not grow with the batch.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from ..sources.storage import scratch
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Spark refuses any sort of a stream; one inside the partitions of a batch is well defined.
+CHECK = "spark.sql.streaming.unsupportedOperationCheck"
 #: Columns of the input: trades, upstream bars (their close as price) and marks of the end, which only move the watermark.
 ROW = "kind string, seq bigint, symbol string, tick_id string, ts timestamp, price double, size bigint, side string"
 BAR = "window_start bigint, segment bigint, open double, high double, low double, close double, volume bigint, trade_count bigint, notional string, buy_volume bigint, sell_volume bigint"
@@ -47,22 +50,31 @@ class SilverState(StatefulProcessor):
         return (window_start + self.width) // 1000
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        d = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        late = (d["micros"] // 1000 < timerValues.getCurrentWatermarkInMs()) & (d["kind"] != "end")
-        out = [d[late].assign(kind="late")] if late.any() else []
-        d = d[~late & (d["kind"] != "end")].reset_index(drop=True)
-        if len(d):
-            s = dict(zip(STATE_NAMES, self.state.get(), strict=True)) if self.state.exists() else dict.fromkeys(STATE_NAMES)
-            was = s["window_start"]
-            out += self.advance(d, s)
+        """Takes a symbol's rows of a batch in the pieces in which they come, in order of arrival."""
+        mark = timerValues.getCurrentWatermarkInMs()
+        s = dict(zip(STATE_NAMES, self.state.get(), strict=True)) if self.state.exists() else dict.fromkeys(STATE_NAMES)
+        was, begun, at = (s["window_start"], s["emitted"]), False, None
+        for d in rows:
+            seq = d["seq"].dropna().to_numpy(np.int64)
+            if len(seq):
+                if at is not None and seq[0] < at or (seq[1:] < seq[:-1]).any():
+                    raise ValueError(f"rows of {key[0]} do not come in order of arrival")
+                at = seq[-1]
+            late = (d["micros"] // 1000 < mark) & (d["kind"] != "end")
+            if late.any():
+                yield self.shaped(d[late].assign(kind="late"), key[0])
+            d = d[~late & (d["kind"] != "end")].reset_index(drop=True)
+            if len(d):
+                begun = True
+                for o in self.advance(d, s):
+                    yield self.shaped(o, key[0])
+        if begun:
             now = s["window_start"]
-            if now is not None and now != was:
-                if was is not None and not s["emitted"]:
-                    self.handle.deleteTimer(self.end_ms(was))
+            if now is not None and now != was[0]:
+                if was[0] is not None and not was[1]:
+                    self.handle.deleteTimer(self.end_ms(was[0]))
                 self.handle.registerTimer(self.end_ms(now))
             self.state.update(tuple(s[c] for c in STATE_NAMES))
-        for o in out:
-            yield self.shaped(o, key[0])
 
     def advance(self, d: pd.DataFrame, s: dict) -> list[pd.DataFrame]:
         """Moves the state over rows in order of arrival; the trades, and the bars that they close."""
@@ -126,13 +138,16 @@ class SilverState(StatefulProcessor):
 
 @contextmanager
 def rocks(spark: SparkSession):
-    """Arbitrary state needs this state store; the setting is read when a stream starts."""
-    old = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
+    """Arbitrary state needs this state store, and its rows come sorted; the settings are read when a stream starts."""
+    wanted = {PROVIDER: ROCKS, CHECK: "false"}
+    old = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def run_silver(rows: DataFrame, out: str, seconds: int = 60, delay: str = "1 day", initial: DataFrame | None = None) -> str:
@@ -146,6 +161,8 @@ def run_silver(rows: DataFrame, out: str, seconds: int = 60, delay: str = "1 day
     amount = F.when(F.col("kind") == "trade", (F.col("price") * F.col("size")).cast("decimal(28,9)")).alias("amount")
     marked = rows.withWatermark("ts", delay).select("kind", "seq", "symbol", "tick_id", F.unix_micros("ts").alias("micros"), "price", "size", "side", amount)
     state = initial.select("symbol", *STATE_NAMES).groupBy("symbol") if initial is not None else None
+    # the order holds below the state: it is hashed by symbol alike
+    marked = marked.repartition("symbol").sortWithinPartitions("symbol", F.col("seq").asc_nulls_last())
     found = marked.groupBy("symbol").transformWithStateInPandas(SilverState(seconds), OUT, "append", "eventTime", state)
     with rocks(spark):
         q = found.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
