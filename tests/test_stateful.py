@@ -122,6 +122,41 @@ def test_a_stream_begins_with_the_state_of_another(spark):
     assert bars == sum(r[6] for r in rows if r[0] == "trade")
 
 
+def test_a_stream_that_begins_with_a_state_holds_few_pieces(spark, monkeypatch):
+    """Also the first rows behind a given state come a few at a time, and no earlier or later ones are held."""
+    rows = some_rows(11, 400)
+    model = Model(60)
+    for r in rows:
+        model.take(*r)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    advance = stateful.SilverState.advance
+
+    def few(self, d, s):
+        import gc
+
+        gc.collect()
+        # a piece's columns are held as series
+        held = sum(1 for o in gc.get_objects() if type(o).__name__ == "Series")
+        assert held <= 100, f"{held} series are held"
+        return advance(self, d, s)
+
+    class Few(stateful.SilverState):
+        pass
+
+    Few.advance = few
+    monkeypatch.setattr(stateful, "SilverState", Few)
+    old = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        first, second = parts_of(spark, rows, [40])
+        a = stateful.fed(spark, [first], "t-held-first")
+        b = stateful.fed(spark, [second], "t-held-second", initial=stateful.state_table(spark, a))
+    finally:
+        spark.conf.set(key, old)
+    got = stateful.enriched(spark, a).unionByName(stateful.enriched(spark, b))
+    assert sorted((r.seq, r.prev_close) for r in got.collect()) == model.trades
+
+
 def test_rows_behind_the_watermark_are_kept_apart(spark):
     def t(seq, minutes):
         return ("trade", seq, "A", f"id{seq}", DAY + dt.timedelta(minutes=minutes), 1.0 + seq, 1, "buy")

@@ -154,7 +154,8 @@ def run_silver(rows: DataFrame, out: str, seconds: int = 60, delay: str = "1 day
     """Runs a stream of rows (``ROW``) until its input is used up; a folder of an earlier run goes on where that ended.
 
     The file sink keeps a log of its files, so a batch that runs again leaves its rows once, also for a stream that reads
-    them. ``initial`` is the state to begin with, as ``state_table`` gives it.
+    them. ``initial`` is the state to begin with, as ``state_table`` gives it; the batch that takes it holds a symbol's
+    rows whole in Python, so it should bring none (see ``fed``).
     """
     spark = rows.sparkSession
     # the row's time travels as a number, so that rows behind the watermark reach the state instead of being dropped
@@ -222,12 +223,19 @@ def state_table(spark: SparkSession, out: str, batch: int | None = None) -> Data
 
 def fed(spark: SparkSession, parts: list[DataFrame], name: str, seconds: int = 60, delay: str = "1 day", initial: DataFrame | None = None, batches: list | None = None) -> str:
     """Runs the stream over parts that arrive one after the other, and stops it in between; ``batches`` gets the number
-    of the last batch of each part."""
+    of the last batch of each part. An ``initial`` state is taken in a batch of its own, which brings one early mark."""
     root = scratch(spark, name)
+
+    def go_on(state: DataFrame | None = None) -> None:
+        run_silver(spark.readStream.schema(ROW).parquet(f"{root}/in/part=*"), f"{root}/out", seconds, delay, state)
+
+    if initial is not None:
+        mark = spark.range(1).select(F.lit("end").alias("kind"), F.lit(None).cast("bigint").alias("seq"), F.lit("").alias("symbol"), F.timestamp_seconds(F.lit(0)).alias("ts"))
+        mark.write.parquet(f"{root}/in/part=begin")
+        go_on(initial)
     for i, part in enumerate(parts):
         part.write.parquet(f"{root}/in/part={i}")
-        rows = spark.readStream.schema(ROW).parquet(f"{root}/in/part=*")
-        run_silver(rows, f"{root}/out", seconds, delay, initial)
+        go_on()
         if batches is not None:
             batches.append(last_batch(spark, f"{root}/out"))
     return f"{root}/out"
