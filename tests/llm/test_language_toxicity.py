@@ -80,3 +80,16 @@ def test_toxic_spans_of_odd_rows(spark):
     assert toxicity.score(docs.limit(0), tagger).count() == 0 and toxicity.train([]).score is not None
     blank = toxicity.score(docs, toxicity.train([])).collect()
     assert len(blank) == 6
+
+
+def test_the_sample_does_not_shuffle_the_texts(spark, monkeypatch):
+    """The picked ids go to the texts, however large Spark takes the labels to be."""
+    plans = []
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id bigint, text string")
+    labels = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda d: (plans.append(d._jdf.queryExecution().optimizedPlan().toString()), collect(d))[1])
+    got = toxicity.sample(docs, labels, F.lit(True), sample_docs=5)
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert joins and all("strategy=broadcast" in j for j in joins)
+    assert 0 < len(got) <= 10

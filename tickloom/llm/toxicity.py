@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small
+
 #: Bounds of the fit.
 SAMPLE_DOCS = 2000
 SAMPLE_CHARS = 8000
@@ -55,8 +57,9 @@ def sample(docs: DataFrame, labels: DataFrame, train: Column, sample_docs: int =
     h = F.xxhash64("doc_id", F.lit(5))
     limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 2.0 * sample_docs / n) * (1 << 31)))])
     picked = known.filter(F.pmod(h, F.lit(1 << 31)) <= limit[F.col("toxic")])
+    # the picked ids are few whatever the labels, so they go to the texts; else all texts would be shuffled.
     # an id may repeat on many rows: equal texts count once, and the bound holds behind the join
-    rows = docs.select("doc_id", "text").join(picked, "doc_id").withColumn("h", F.xxhash64("text", F.lit(9)))
+    rows = docs.select("doc_id", "text").join(small(picked), "doc_id").withColumn("h", F.xxhash64("text", F.lit(9)))
     at = F.pmod(F.col("h"), F.greatest(F.length("text") - sample_chars + 1, F.lit(1))) + 1
     rows = rows.select("toxic", "h", F.substring("text", at.cast("int"), F.lit(sample_chars)).alias("text"))
     rows = rows.groupBy("toxic", "h").agg(F.min("text").alias("text"))
