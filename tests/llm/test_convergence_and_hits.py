@@ -47,3 +47,21 @@ def test_a_class_that_a_step_takes_to_the_cap_comes_back(spark):
         for s in goal:
             assert sum(g.n * g.size * g.rate for g in got if g.skey == s) == pytest.approx(goal[s], rel=1e-6)
         assert [g.rate for g in got if g.size == 1] == [pytest.approx(rate, rel=1e-6)]
+
+
+def test_words_that_came_again_stay_cached(monkeypatch):
+    """A full cache forgets the words that came once first; the ids are those of the tokenizer."""
+    from tickloom.llm import queries, token_store
+
+    monkeypatch.setattr(token_store, "TEXTS_AT_ONCE", 1)
+    monkeypatch.setattr(token_store, "MAX_CACHED_WORDS", 9)
+    words = token_store.WordTokens(queries.TOKENIZER, "<u4")
+    learned, learn = [], words.learn
+    monkeypatch.setattr(words, "learn", lambda new: (learned.extend(new), learn(new))[1])
+    texts = ["apple pear", "pear apple", "qa qb qc qd", "qe qf qg qh", "apple pear", "qa apple"]
+    got = words.encode(texts)
+    assert got == [words.alone(t) for t in texts]
+    assert learned.count(b"apple") == learned.count(b"pear") == 1 and learned.count(b"qa") == 2
+    for size in (1, 2, 5):
+        monkeypatch.setattr(token_store, "MAX_CACHED_WORDS", size)
+        assert words.encode(texts * 2) == got * 2

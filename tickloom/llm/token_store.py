@@ -35,7 +35,7 @@ SAMPLE_CHARS = 4000
 DICT_BYTES = 64 << 10
 SEGMENT_BYTES = 1 << 20
 #: Words whose ids a Python worker keeps (about 300 bytes each), and texts whose words are looked up together.
-MAX_CACHED_WORDS = 150_000
+MAX_CACHED_WORDS = 300_000
 TEXTS_AT_ONCE = 256
 LEVEL = 3
 ODD = re.compile(rb"0|<\|")
@@ -89,6 +89,8 @@ class WordTokens:
         if mark:
             self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(mark)]] = True
         self.cache: dict[bytes, bytes] = {}
+        #: cached words that were looked up again since the cache was last cleared
+        self.again: set[bytes] = set()
 
     def alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.id_type).tobytes()
@@ -156,9 +158,12 @@ class WordTokens:
             missing = new - self.cache.keys()
             if missing:
                 if len(self.cache) + len(missing) > MAX_CACHED_WORDS:
-                    # the words in use now, most of them the common ones, stay
-                    self.cache = {w: self.cache[w] for w in new - missing}
+                    # words that came again stay, but for the words in use now only while they leave half of the room
+                    self.again = new - missing | (self.again if 2 * len(self.again) <= MAX_CACHED_WORDS else set())
+                    self.cache = {w: self.cache[w] for w in self.again}
+                    self.again = set()
                 self.learn(missing)
+            self.again |= new - missing
             get = self.cache.__getitem__
             out += [b"".join(map(get, w)) for w in words]
         return out
