@@ -65,3 +65,15 @@ def test_words_that_came_again_stay_cached(monkeypatch):
     for size in (1, 2, 5):
         monkeypatch.setattr(token_store, "MAX_CACHED_WORDS", size)
         assert words.encode(texts * 2) == got * 2
+
+
+def test_two_long_documents_that_share_a_class(spark):
+    """One long document of each source, alone in a class: an early step takes one past the cap and the other to nothing, where nothing bends."""
+    rows = [(s, k, 100) for s in ("=a", "=b") for k in range(8, 200, 4)] + [("=a", 3000, 1), ("=b", 3000, 1)]
+    size = {s: sum(k * n for x, k, n in rows if x == s) for s in ("=a", "=b")}
+    goal = {"=a": 0.3 * size["=a"], "=b": 1.95 * size["=b"]}
+    classes = spark.createDataFrame(rows, "skey string, size bigint, n bigint")
+    got = mixing.newton(classes, spark.createDataFrame([(s, size[s], goal[s]) for s in goal], "skey string, source_size bigint, target double")).collect()
+    for s in goal:
+        assert sum(g.n * g.size * g.rate for g in got if g.skey == s) == pytest.approx(goal[s], rel=1e-6)
+    assert sum(g.rate for g in got if g.size == 3000) == pytest.approx(0.3 + 1.95, rel=1e-6)

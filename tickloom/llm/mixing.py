@@ -10,7 +10,9 @@ Newton iterations solve the dual. Tokens taken and curvatures are grouped sums o
 meet only through the few size classes, so each step solves the classes' Schur complement (at most 64 x 64) and then
 every source's multiplier by itself, in Spark; a backtracking search along the step keeps the dual falling. Documents at
 the cap have no curvature, so a class or source that stands there whole gets theirs as if the rate went on, or no step
-would bring it back; a second step that counts all of them so is searched as well, and the lower dual is taken.
+would bring it back; a second step that counts all of them so is searched as well, and the lower dual is taken. After a
+step, multipliers of such a class or source are cut back to the edge of the cap, from where that curvature is right.
+Where rates are near nothing the dual is flat, so the search lengthens steps as well.
 
 Rates become whole copies by error diffusion: within a source the sizes are passed from the largest down, each
 takes the copies that bring the tokens taken closest to the tokens due, so that only the smallest documents' rounding
@@ -35,10 +37,10 @@ from .common import small, small_enough, staged, unstage, whole_row_key, word_ar
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 CAP = 2.0
-#: Newton steps at most, the largest relative miss of a constraint at which they end, and halvings of a step.
+#: Newton steps at most, the largest relative miss of a constraint at which they end, halvings and doublings of a step.
 ROUNDS = 60
 TOLERANCE = 1e-7
-HALVINGS = 12
+HALVINGS, DOUBLINGS = 12, 8
 #: A class or source is held at the cap when less than this part of its curvature is below it.
 HELD = 1e-6
 #: Relative error of a constraint that is no solution any more, if the rounds end before the tolerance is reached.
@@ -102,10 +104,11 @@ def newton(classes: DataFrame, goal: DataFrame, cap: float = CAP, rounds: int =
         bend = F.col("n") * F.col("size") * F.col("size") * F.col("rate")
         now = now.groupBy("skey", "target", "lam", "cls").agg(
             F.sum(F.col("n") * F.col("size") * F.col("rate")).alias("taken"),
-            F.sum(F.when(F.col("u") < top, bend).otherwise(0.0)).alias("h"), F.sum(F.when(F.col("u") < top, 0.0).otherwise(bend)).alias("beyond"))
+            F.sum(F.when(F.col("u") < top, bend).otherwise(0.0)).alias("h"), F.sum(F.when(F.col("u") < top, 0.0).otherwise(bend)).alias("beyond"),
+            (top / F.min("size")).alias("reach"))
         now = now.groupBy("skey", "target", "lam").agg(
             (F.sum("taken") - F.first("target")).alias("g"), (F.sum("h") < HELD * F.sum("beyond")).alias("held"),
-            F.collect_list(F.struct("cls", "taken", "h", "beyond")).alias("by"))
+            F.collect_list(F.struct("cls", "taken", "h", "beyond", "reach")).alias("by"))
         now = staged(now, "newton")
         seen = now.select("target", "g", F.explode("by").alias("x")).groupBy(F.col("x.cls").alias("cls")).agg(
             F.sum("x.taken").alias("taken"), F.sum("x.h").alias("h"), F.sum("x.beyond").alias("beyond"), F.max(F.abs("g") / F.col("target")).alias("off")).collect()
@@ -137,9 +140,10 @@ def newton(classes: DataFrame, goal: DataFrame, cap: float = CAP, rounds: int =
             by_step = F.create_map(*[F.lit(v) for k, m in named(step).items() for v in (k, float(m))])
             moved = F.aggregate("by", F.lit(0.0), lambda a, x: a + curve(x) * F.coalesce(F.try_element_at(by_step, x["cls"]), F.lit(0.0)))  # noqa: B023
             ways.append((step, (-(F.col("g") + moved) / total).alias(f"dl{len(ways)}")))
-        ahead = staged(now.select("skey", "target", "lam", *[dl for _, dl in ways]), "steps")
+        reach = F.transform("by", lambda x: F.struct(x["cls"].alias("cls"), x["reach"].alias("reach"))).alias("reach")
+        ahead = staged(now.select("skey", "target", "lam", reach, *[dl for _, dl in ways]), "steps")
         # the dual along the steps; its value beyond the cap goes on as a straight line
-        tried = [(w, 0.5 ** k) for w in range(len(ways)) for k in range(HALVINGS)]
+        tried = [(w, 0.5 ** k) for w in range(len(ways)) for k in [*range(HALVINGS), *range(-1, -DOUBLINGS - 1, -1)]]
         at = c.drop("target").join(few(ahead), "skey").select(
             "n", tilt(F.col("lam"), named(mu), F.col("size")).alias("u"), F.array(*[tilt(F.col(f"dl{w}"), named(step), F.col("size")) for w, (step, _) in enumerate(ways)]).alias("du"))
         at = at.select("n", "u", "du", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"), F.lit(t).alias("t")) for k, (w, t) in enumerate(tried)])).alias("x"))
@@ -149,8 +153,13 @@ def newton(classes: DataFrame, goal: DataFrame, cap: float = CAP, rounds: int =
         lines = ahead.agg(F.sum(F.col("target") * F.col("lam")), *[F.sum(F.col("target") * F.col(f"dl{w}")) for w in range(len(ways))]).first()
         values = np.array([grown[k] - lines[0] - t * lines[1 + w] - float(want @ (mu + t * ways[w][0])) for k, (w, t) in enumerate(tried)])
         w, t = tried[int(np.flatnonzero(values <= values.min() + 1e-12 * abs(values.min()))[0])]
-        mu = mu + t * ways[w][0]
-        after = staged(ahead.select("skey", "target", (F.col("lam") + t * F.col(f"dl{w}")).alias("lam")), "multipliers")
+        # a multiplier that took all its documents past the cap goes back to where the last one reaches it: the dual is
+        # a rising line from there on, along which no later step would find its way back
+        moved = ahead.select("skey", "target", (F.col("lam") + t * F.col(f"dl{w}")).alias("lam"), "reach")
+        edge = moved.select("lam", F.explode("reach").alias("x")).groupBy(F.col("x.cls").alias("cls")).agg(F.max(F.col("x.reach") - F.col("lam")).alias("edge")).collect()
+        mu = np.minimum(mu + t * ways[w][0], [r["edge"] for r in sorted(edge, key=lambda r: r["cls"])])
+        past = F.array_max(F.transform("reach", lambda x: x["reach"] - F.element_at(F.create_map(*[F.lit(v) for k, m in named(mu).items() for v in (k, float(m))]), x["cls"])))
+        after = staged(moved.select("skey", "target", F.least("lam", past).alias("lam")), "multipliers")
         for old in (state, now, ahead):
             unstage(old)
         state = after
