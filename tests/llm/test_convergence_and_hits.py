@@ -1,12 +1,13 @@
 """A mix that does not converge is an error; repeats in many blocks come out whole whatever their reference blocks are."""
 
 import hashlib
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, substring_dedup
+from tickloom.llm import mixing, simhash, substring_dedup
 
 
 def test_a_mix_that_stops_early_is_an_error(spark):
@@ -77,3 +78,26 @@ def test_two_long_documents_that_share_a_class(spark):
     for s in goal:
         assert sum(g.n * g.size * g.rate for g in got if g.skey == s) == pytest.approx(goal[s], rel=1e-6)
     assert sum(g.rate for g in got if g.size == 3000) == pytest.approx(0.3 + 1.95, rel=1e-6)
+
+
+def test_tokens_of_near_copies(spark):
+    """Tokens that sets share come out whole, however they are dealt; a pair comes from few of its common tokens, and none is lost."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base[:k] + [f"x{n}"] + base[k:]) for n, k in enumerate(rng.sample(range(120), 40))]
+    texts += [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k bigint, text string")
+    sets = simhash.shingle_sets(docs, simhash.shingle_counts(docs.select("text"), 5), 5, 0.8).cache()
+    rows = sets.collect()
+    tokens = simhash.shared_tokens(sets).collect()
+    seen = Counter(t for r in rows for t in r.prefix)
+    got = {(t.token, t.node): (t.size, t.left) for t in tokens}
+    assert len(got) == len(tokens)
+    assert {(t, r.node) for r in rows for t in r.prefix if seen[t] > 1} <= set(got)
+    assert sum(seen[t.token] == 1 for t in tokens) <= 2 * 4  # the ends of ranges
+    assert all(got[t, r.node] == (r["size"], r["size"] - i) for r in rows for i, t in enumerate(r.prefix) if (t, r.node) in got)
+    whole = {r.node: set(simhash.shingle_set(texts[r.k], 5, simhash.Words()).tolist()) for r in rows}
+    near = {(a, b) for a in whole for b in whole if a < b and len(whole[a] & whole[b]) >= 0.8 * len(whole[a] | whole[b])}
+    pairs = simhash.apart_pairs(spark.createDataFrame(tokens), sets, sets.select("node", F.col("node").alias("grp")), 0.8).collect()
+    assert len(near) > 700 and near <= {(p.a, p.b) for p in pairs}
+    assert len(pairs) < 4 * len(near)

@@ -318,6 +318,8 @@ STAGE_CLOSE = 3
 COUNTERS, SLICES = 1 << 20, 64
 #: Words of 64 bits of a set's parity bitmap.
 PARITY = 8
+#: Shingles of a set from which it has a wider bitmap too, of so many words, as the narrow one tells nothing there.
+LARGE, WIDE = 600, 64
 #: Rarest shingles of a set whose sharers are tried one by one before all pairs are.
 FIRST = 4
 STAGE_TILE = 1024
@@ -352,7 +354,7 @@ def shingle_counts(texts: DataFrame, shingle: int) -> np.ndarray:
 
 
 def shingle_sets(keyed: DataFrame, counts: np.ndarray, shingle: int, similarity: float) -> DataFrame:
-    """(k, node, size, fp, prefix, parity) of rows (k, text).
+    """(k, node, size, fp, prefix, parity, wide) of rows (k, text); wide is the bitmap of a large set, else null.
 
     node names the set of shingles, fp is its SimHash. prefix has its rarest shingles, so many that two sets of the
     similarity share one. The bits in which two parity bitmaps differ are at most the shingles that only one set has.
@@ -367,10 +369,10 @@ def shingle_sets(keyed: DataFrame, counts: np.ndarray, shingle: int, similarity:
         node = xxhash.xxh64_intdigest(u.tobytes(), 42)
         first = len(u) - int(np.ceil(similarity * len(u) - 1e-9)) + 1
         prefix = u[np.lexsort((u, shared.value[counter_of(u)]))[:first]].view(np.int64)
-        odd = np.bincount((u >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
-        return node - ((node >> 63) << 64), len(u), fp, prefix, np.packbits(odd.astype(np.uint8)).view(np.int64)
+        parity, wide = (np.packbits((np.bincount((u >> np.uint64(32)).astype(np.int64) % (64 * w), minlength=64 * w) & 1).astype(np.uint8)).view(np.int64) for w in (PARITY, WIDE))
+        return node - ((node >> 63) << 64), len(u), fp, prefix, parity, wide if len(u) >= LARGE else None
 
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
     def run(batches):
         cache = Words()
@@ -379,10 +381,10 @@ def shingle_sets(keyed: DataFrame, counts: np.ndarray, shingle: int, similarity:
                 c = b.slice(at, 512)
                 found = [one(shingle_set(t.as_py(), shingle, cache)) for t in c.column(1)]
                 cols = [pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([c.column(0), *cols], ["k", "node", "size", "fp", "prefix", "parity"])
+                yield pa.RecordBatch.from_arrays([c.column(0), *cols], ["k", "node", "size", "fp", "prefix", "parity", "wide"])
 
     kind = keyed.schema["k"].dataType.simpleString()
-    return keyed.select("k", "text").mapInArrow(run, f"k {kind}, node bigint, size int, fp bigint, prefix array<bigint>, parity array<bigint>")
+    return keyed.select("k", "text").mapInArrow(run, f"k {kind}, node bigint, size int, fp bigint, prefix array<bigint>, parity array<bigint>, wide array<bigint>")
 
 
 def full_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -399,34 +401,70 @@ def full_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def can_reach(similarity: float) -> Column:
-    """Whether the sizes (sa, sb) and parity bitmaps (pa, pb) of two sets allow the similarity."""
+    """Whether the sizes (sa, sb) and parity bitmaps (pa, pb; wa, wb, null for small sets) of two sets allow the similarity."""
     low, high = F.least("sa", "sb"), F.greatest("sa", "sb")
-    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    differ = lambda x, y: F.aggregate(F.zip_with(x, y, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    differ = F.when(F.col("wa").isNotNull() & F.col("wb").isNotNull(), differ("wa", "wb")).otherwise(differ("pa", "pb"))
     return (low >= similarity * high - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (low + high) + 1e-9)
 
 
-def apart_pairs(sets: DataFrame, groups: DataFrame, similarity: float, tile: int = STAGE_TILE, some: bool = False) -> DataFrame:
+def shared_tokens(sets: DataFrame) -> DataFrame:
+    """(token, node, size, left): the prefixes' tokens that two sets have at least; left counts a set's shingles from
+    the token on, in the order from rare to common.
+
+    Rows are dealt by ranges of (token, node), so a token of many sets is no single task's work. The first and the last
+    token of a range may go on in the next one and stay in any case.
+    """
+    rows = sets.select(F.posexplode("prefix").alias("at", "token"), "node", "size")
+    rows = rows.select("token", "node", "size", (F.col("size") - F.col("at")).alias("left"))
+    rows = rows.repartitionByRange(n_partitions(sets.sparkSession), "token", "node").sortWithinPartitions("token")
+
+    def run(batches):
+        first = last = None  # the last row waits for the next one
+        for b in batches:
+            t = b.column(0).to_numpy()
+            if not len(t):
+                continue
+            first = t[0] if first is None else first
+            again = np.concatenate(([last is not None and last.column(0)[0].as_py() == t[0]], t[1:] == t[:-1]))
+            if last is not None and (waits or again[0]):
+                yield last
+            keep = again | (t == first)
+            keep[:-1] |= again[1:]
+            last, waits = b.slice(len(t) - 1), bool(keep[-1])
+            keep[-1] = False
+            yield b.filter(pa.array(keep))
+        if last is not None:
+            yield last
+
+    return staged(rows.mapInArrow(run, rows.schema), "stage-tokens")
+
+
+def apart_pairs(tokens: DataFrame, sets: DataFrame, groups: DataFrame, similarity: float, tile: int = STAGE_TILE, some: bool = False) -> DataFrame:
     """(a, b): all pairs of sets that share a token of their prefixes, are in different groups and can reach the
-    similarity by their sizes and parity bitmaps. Only tokens that different groups share are looked at again; those
-    of many sets are cut into pairs of tiles.
+    similarity by their sizes, parity bitmaps and the token's place. Only tokens that different groups share are looked
+    at again; those of many sets are cut into pairs of tiles. Pairs may repeat.
+
+    What two sets have in common comes at their first common token or behind it, so there what is left of either set
+    must reach the similarity. At later tokens that test only drops repeats of the pair.
 
     With ``some``, only one pair for each group of a block: with the set in the middle of the block's sizes. In a large
     family of near copies these few links join most groups, so that the pairs of those never come up.
     """
     near = small(groups)
-    keyed = sets.select("node", "prefix").join(near, "node").select(F.explode("prefix").alias("token"), "node", "grp")
+    keyed = tokens.select("token", "node").join(near, "node")
     held = keyed.groupBy("token").agg(F.count("*").alias("n"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 <> g1")
     held = staged(held.select("token", F.ceil(F.col("n") / tile).cast("int").alias("t")), "open-tokens")
-    j = sets.select("node", F.explode("prefix").alias("token")).join(small(held), "token")
+    j = tokens.join(small(held), "token")
     j = j.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("t")).cast("int"))
     j = j.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    j = j.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node")
-    j = j.join(sets.select("node", "size", "parity"), "node").join(near, "node").select("block", "node", "size", "grp", "parity")
+    j = j.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", "size", "left")
+    j = j.join(sets.select("node", "parity"), "node").join(near, "node").select("block", "node", "size", "left", "grp", "parity")
     dealt = j.repartition(n_partitions(sets.sparkSession), "block").sortWithinPartitions("block", "size", "node")
-    reach = (1 - similarity) / (1 + similarity)
+    reach, overlap = (1 - similarity) / (1 + similarity), similarity / (1 + similarity)
 
     def run(batches):
-        for block, node, size, grp, parity in whole_blocks(batches):
+        for block, node, size, left, grp, parity in whole_blocks(batches):
             bits = np.stack(list(parity)).view(np.uint64)
             ends = np.concatenate((np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
             end_of = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
@@ -438,11 +476,13 @@ def apart_pairs(sets: DataFrame, groups: DataFrame, similarity: float, tile: int
                 differ = np.bitwise_count(bits ^ bits[middle]).sum(axis=1, dtype=np.int64)
                 low, high = np.minimum(size, size[middle]).astype(float), np.maximum(size, size[middle])
                 good = (grp != grp[middle]) & (low >= similarity * high - 1e-9) & (differ <= reach * (low + high) + 1e-9)
+                good &= np.minimum(left, left[middle]) >= overlap * (low + high) - 1e-6
                 chosen = here[good][np.unique(np.stack([end_of[good], grp[good]]), axis=1, return_index=True)[1]]
                 a, b = [chosen], [middle[chosen]]
             for i in [] if some else np.flatnonzero(end_of - np.arange(len(block)) > 1).tolist():
                 top = i + 1 + int(np.searchsorted(size[i + 1:end_of[i]], size[i] / similarity + 1e-9, side="right"))
-                other = np.arange(i + 1, top)[grp[i + 1:top] != grp[i]]
+                rest = np.minimum(left[i + 1:top], left[i]) >= overlap * (size[i + 1:top] + size[i]) - 1e-6
+                other = np.arange(i + 1, top)[rest & (grp[i + 1:top] != grp[i])]
                 differ = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
                 other = other[differ <= reach * (size[other] + size[i]) + 1e-9]
                 a.append(np.full(len(other), i))
@@ -452,7 +492,7 @@ def apart_pairs(sets: DataFrame, groups: DataFrame, similarity: float, tile: int
                 both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").filter("a <> b").distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint").filter("a <> b")
 
 
 #: Rounds with some of the pairs before the one with all that are left; each deals the tokens anew.
@@ -484,21 +524,26 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Candidates come in rounds: close fingerprints and neighbours among the sharers of a rare shingle, then some pairs of
     the prefix-filter join between groups, as long as they join groups, and at last all of its pairs whose groups are
-    still apart. Every candidate is checked, only equal sets are not.
+    still apart. Every candidate is checked once, only equal sets are not.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     d = d.withColumn("key", row_key(F.col("doc_id"), F.col("text")))
     counts = shingle_counts(d.select("text"), shingle)
     marked = shingle_sets(d.select(F.struct("key", "doc_id").alias("k"), "text"), counts, shingle, similarity)
-    marked = staged(marked.select("k.key", "k.doc_id", "node", "size", "fp", "prefix", "parity"), "stage-sets")
-    sets = staged(marked.groupBy("node").agg(F.min_by(F.struct("key", "size", "fp", "prefix", "parity"), "key").alias("s")).select("node", "s.*"), "stage-distinct")
-    look = sets.select("node", "size", "parity")
+    marked = staged(marked.select("k.key", "k.doc_id", "node", "size", "fp", "prefix", "parity", "wide"), "stage-sets")
+    sets = staged(marked.groupBy("node").agg(F.min_by(F.struct("key", "size", "fp", "prefix", "parity", "wide"), "key").alias("s")).select("node", "s.*"), "stage-distinct")
+    look = sets.select("node", "size", "parity", "wide")
+    tested: list[DataFrame] = []
 
     def similar(pairs: DataFrame) -> DataFrame:
         pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(look.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("parity").alias("pa")), "a")
-        pairs = pairs.join(look.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("parity").alias("pb")), "b")
-        pairs = staged(pairs.filter(can_reach(similarity)).select("a", "b"), "stage-pairs")
+        pairs = pairs.join(look.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("parity").alias("pa"), F.col("wide").alias("wa")), "a")
+        pairs = pairs.join(look.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("parity").alias("pb"), F.col("wide").alias("wb")), "b")
+        pairs = pairs.filter(can_reach(similarity)).select("a", "b")
+        for old in tested:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "stage-pairs")
+        tested.append(pairs)
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         reps = sets.select("node", "key").join(ends, "node")
         texts = staged(full_sets(d.join(small(reps), "key").dropDuplicates(["node"]), shingle), "stage-shingles")
@@ -506,7 +551,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             texts.select(F.col("node").alias("b"), F.col("hs").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         links = staged(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "stage-similar")
-        unstage(pairs)
         unstage(texts)
         return links
 
@@ -526,9 +570,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rare = rare.select(F.col("node").alias("a"), F.lead("node").over(beside).alias("b")).filter("b is not null")
     first = similar(near.union(rare))
     groups = grouped(first)
-    links, found = first, [first]
+    links, found, tokens = first, [first], shared_tokens(sets)
     for some in [True] * SOME_ROUNDS + [False]:
-        more = similar(apart_pairs(sets, groups, similarity, some=some))
+        more = similar(apart_pairs(tokens, sets, groups, similarity, some=some))
         found.append(more)
         if more.take(1):
             links = links.union(more)
@@ -536,7 +580,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             groups = grouped(links)
     classes = marked.select("key", "doc_id", "node").join(groups.select("node", F.col("grp").alias("class_id")), "node").select("key", "doc_id", "class_id")
     classes = staged(classes, "stage-classes")
-    for t in (marked, sets, by_fp, *found, groups):
+    for t in (marked, sets, by_fp, tokens, *tested, *found, groups):
         unstage(t)
     return classes
 
