@@ -101,3 +101,19 @@ def test_tokens_of_near_copies(spark):
     pairs = simhash.apart_pairs(spark.createDataFrame(tokens), sets, sets.select("node", F.col("node").alias("grp")), 0.8).collect()
     assert len(near) > 700 and near <= {(p.a, p.b) for p in pairs}
     assert len(pairs) < 4 * len(near)
+
+
+def test_near_duplicates_leave_few_broadcasts_on_the_driver(spark):
+    """The driver builds and keeps broadcast tables, megabytes each even for a few rows; there were 33 here."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([f"t{k // 3}", *words[k % 7:], *(["more", "words"] * (k % 3))]) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = store.executionsCount()
+    simhash.similar_groups(docs)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    graphs = [store.planGraph(runs.apply(i).executionId()).allNodes() for i in range(before, runs.size())]
+    counts = [sum(g.apply(i).name() == "BroadcastExchange" for i in range(g.size())) for g in graphs]
+    assert len(graphs) > 20 and sum(counts) <= 30

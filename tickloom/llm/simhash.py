@@ -16,12 +16,13 @@ than a shingle is one shingle. Repeated rows share one component. An empty table
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import n_partitions, row_key, small, staged, unstage
@@ -258,39 +259,47 @@ def whole_groups(batches, at_least: int = 1 << 16):
         yield pack(np.concatenate([x[0] for x in kept]), np.concatenate([x[1] for x in kept]))
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """The side of a join of narrow rows that is to be sorted, not broadcast: the driver builds and keeps every broadcast
+    table, megabytes even for a few rows, until its garbage is collected."""
+    return df.hint("merge")
+
+
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches, by large-star and small-star rounds.
 
-    Every round is a few joins and groupings of the links; hot nodes are pre-aggregated by the partial minimum and
-    split by the skew join. Rounds end when no link changes; each round is written to the shared folder.
+    Every star is a join and a grouping of the links; hot nodes are pre-aggregated by the partial minimum and split by
+    the skew join. Rounds end when no link changes; each star is written to the shared folder, as the driver plans a
+    query anew after each of its shuffles. Links are counted while they are written.
     """
-    edges = staged(links.select("a", "b").filter("a <> b").distinct(), "links")
-
     def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(
-            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        back = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+        both = e.select(F.inline(F.array(F.struct("a", "b"), back))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = both.groupBy("a").agg(F.min("b").alias("m0"))
-        low = low.select("a", F.least("a", "m0").alias("m"))
-        j = both.join(low, "a")
+        j = both.join(merged(low.select("a", F.least("a", "m0").alias("m"))), "a")
         if large:
             out = j.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
-            out = j.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+            out = j.select(F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col("m").alias("b")) for x in ("b", "a")])))
         return out.filter("a <> b").distinct()
 
-    def mark(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    before = mark(edges)
-    for _ in range(max_rounds):
-        after = staged(star(star(edges, True), False), "links")
+    def marked(e: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        e = staged(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "links")
+        return e, seen.get
+
+    edges, before = marked(links.select("a", "b").filter("a <> b").distinct())
+    rounds = 0
+    while before["n"]:
+        if rounds == max_rounds:
+            raise RuntimeError(f"components are unfinished after {max_rounds} rounds")
+        half = staged(star(edges, True), "links")
         unstage(edges)
-        edges, now = after, mark(after)
+        edges, now = marked(star(half, False))
+        unstage(half)
         if now == before:
             break
-        before = now
-    else:
-        raise RuntimeError(f"components are unfinished after {max_rounds} rounds")
+        before, rounds = now, rounds + 1
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
@@ -451,15 +460,14 @@ def apart_pairs(tokens: DataFrame, sets: DataFrame, groups: DataFrame, similarit
     With ``some``, only one pair for each group of a block: with the set in the middle of the block's sizes. In a large
     family of near copies these few links join most groups, so that the pairs of those never come up.
     """
-    near = small(groups)
-    keyed = tokens.select("token", "node").join(near, "node")
+    keyed = staged(tokens.join(merged(groups), "node"), "group-tokens")
     held = keyed.groupBy("token").agg(F.count("*").alias("n"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 <> g1")
     held = staged(held.select("token", F.ceil(F.col("n") / tile).cast("int").alias("t")), "open-tokens")
-    j = tokens.join(small(held), "token")
+    j = keyed.join(small(held), "token")
     j = j.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("t")).cast("int"))
     j = j.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    j = j.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", "size", "left")
-    j = j.join(sets.select("node", "parity"), "node").join(near, "node").select("block", "node", "size", "left", "grp", "parity")
+    j = j.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("block"), "node", "size", "left", "grp")
+    j = j.join(sets.select("node", "parity"), "node").select("block", "node", "size", "left", "grp", "parity")
     dealt = j.repartition(n_partitions(sets.sparkSession), "block").sortWithinPartitions("block", "size", "node")
     reach, overlap = (1 - similarity) / (1 + similarity), similarity / (1 + similarity)
 
@@ -535,40 +543,47 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     look = sets.select("node", "size", "parity", "wide")
     tested: list[DataFrame] = []
 
+    # each step is written, as the driver plans a query anew after each of its shuffles, at the length of its whole plan
     def similar(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = pairs.join(look.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("parity").alias("pa"), F.col("wide").alias("wa")), "a")
+        candidates = staged(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stage-candidates")
+        pairs = candidates.join(look.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("parity").alias("pa"), F.col("wide").alias("wa")), "a")
         pairs = pairs.join(look.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("parity").alias("pb"), F.col("wide").alias("wb")), "b")
         pairs = pairs.filter(can_reach(similarity)).select("a", "b")
-        for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        if tested:
+            pairs = pairs.join(merged(reduce(DataFrame.union, tested)), ["a", "b"], "left_anti")
         pairs = staged(pairs, "stage-pairs")
+        unstage(candidates)
         tested.append(pairs)
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        reps = sets.select("node", "key").join(ends, "node")
+        reps = staged(sets.select("node", "key").join(merged(ends), "node"), "stage-ends")
         texts = staged(full_sets(d.join(small(reps), "key").dropDuplicates(["node"]), shingle), "stage-shingles")
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("hs").alias("x")), "a").join(
             texts.select(F.col("node").alias("b"), F.col("hs").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         links = staged(both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "stage-similar")
         unstage(texts)
+        unstage(reps)
         return links
 
     def grouped(links: DataFrame) -> DataFrame:
         roots = components(links).withColumnRenamed("node", "of")
         nodes = sets.select("node")
-        return staged(nodes.join(roots, nodes.node == roots.of, "left").select("node", F.coalesce("root", "node").alias("grp")), "stage-groups")
+        return staged(nodes.join(merged(roots), nodes.node == roots.of, "left").select("node", F.coalesce("root", "node").alias("grp")), "stage-groups")
 
     by_fp = staged(sets.groupBy("fp").agg(F.min("node").alias("rep")), "stage-fingerprints")
-    near = spanning_links(by_fp.select("fp"), STAGE_CLOSE)
-    near = near.join(by_fp.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    near = near.select(F.col("ra").alias("a"), F.col("rb").alias("b")).union(sets.select("node", "fp").join(by_fp, "fp").select("node", "rep"))
+    close = staged(spanning_links(by_fp.select("fp"), STAGE_CLOSE), "stage-close")
+    near = close.join(merged(by_fp.select(F.col("fp").alias("a"), F.col("rep").alias("ra"))), "a")
+    near = near.join(merged(by_fp.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))), "b")
+    near = near.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    same = sets.select(F.col("node").alias("a"), "fp").join(merged(by_fp), "fp").select("a", F.col("rep").alias("b")).filter("a <> b")
+    near = [staged(near, "stage-near"), staged(same, "stage-near")]
     rare = sets.select("node", F.posexplode(F.slice("prefix", 1, FIRST)).alias("at", "token"))
     held = rare.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").select("token", F.ceil(F.col("n") / STAGE_TILE).cast("int").alias("t"))
     rare = rare.join(small(staged(held, "rare-tokens")), "token").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("t")))
     beside = Window.partitionBy("token", "own").orderBy(F.xxhash64("node", "token"), "node")
     rare = rare.select(F.col("node").alias("a"), F.lead("node").over(beside).alias("b")).filter("b is not null")
-    first = similar(near.union(rare))
+    near.append(staged(rare, "stage-near"))
+    first = similar(near[0].union(near[1]).union(near[2]))
     groups = grouped(first)
     links, found, tokens = first, [first], shared_tokens(sets)
     for some in [True] * SOME_ROUNDS + [False]:
@@ -578,9 +593,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             links = links.union(more)
             unstage(groups)
             groups = grouped(links)
-    classes = marked.select("key", "doc_id", "node").join(groups.select("node", F.col("grp").alias("class_id")), "node").select("key", "doc_id", "class_id")
+    classes = marked.select("key", "doc_id", "node").join(merged(groups.select("node", F.col("grp").alias("class_id"))), "node").select("key", "doc_id", "class_id")
     classes = staged(classes, "stage-classes")
-    for t in (marked, sets, by_fp, tokens, *tested, *found, groups):
+    for t in (marked, sets, by_fp, close, *near, tokens, *tested, *found, groups):
         unstage(t)
     return classes
 
@@ -589,7 +604,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One document of each class stays, the one with the smallest id, in the input's columns."""
     classes = similar_groups(docs, id_col, text_col)
     first = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("first"))
-    gone = staged(classes.join(first, "class_id").filter(F.col("key") != F.col("first.key")).select("key").distinct(), "gone")
+    gone = staged(classes.join(merged(first), "class_id").filter(F.col("key") != F.col("first.key")).select("key").distinct(), "gone")
     again = staged(classes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit(True).alias("again")), "again")
     kept = docs.select(F.struct(*docs.columns).alias("row"), row_key(F.col(id_col), F.col(text_col)).alias("key"))
     kept = kept.join(small(gone), "key", "left_anti").join(small(again), "key", "left")
