@@ -500,7 +500,9 @@ def apart_pairs(tokens: DataFrame, sets: DataFrame, groups: DataFrame, similarit
                 both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").filter("a <> b")
+    out = dealt.mapInArrow(run, "a bigint, b bigint").filter("a <> b")
+    out.staged_path = keyed.staged_path  # goes with the pairs
+    return out
 
 
 #: Rounds with some of the pairs before the one with all that are left; each deals the tokens anew.
@@ -587,7 +589,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = grouped(first)
     links, found, tokens = first, [first], shared_tokens(sets)
     for some in [True] * SOME_ROUNDS + [False]:
-        more = similar(apart_pairs(tokens, sets, groups, similarity, some=some))
+        pairs = apart_pairs(tokens, sets, groups, similarity, some=some)
+        more = similar(pairs)
+        unstage(pairs)
         found.append(more)
         if more.take(1):
             links = links.union(more)
